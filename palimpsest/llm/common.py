@@ -9,7 +9,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Text bytes that one vectorised step works on; a longer single text is a step of its own.
 CHUNK_BYTES = 1 << 20
@@ -69,5 +69,81 @@ def byte_slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit:
             start = end
 
 
-def packed(rows: list[bytes], kind: pa.DataType = pa.binary()) -> pa.Array:
-    return pa.array(rows, kind)
+#: Bytes of white-space-separated words, and bytes of words of ASCII letters, digits and non-ASCII.
+NOT_SPACE = np.ones(256, bool)
+NOT_SPACE[[0x20, *range(0x09, 0x0E)]] = False
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+MIX = np.uint64(0x9E3779B97F4A7C15)
+_BASE = np.uint64(0xD6E8FEB86659FD93)
+_PLACES = np.cumprod(np.full(1 << 12, _BASE, np.uint64), dtype=np.uint64)
+
+
+def mixed(value: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit values that spreads every input bit."""
+    value = (value ^ (value >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    value = (value ^ (value >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return value ^ (value >> np.uint64(31))
+
+
+def token_spans(data: np.ndarray, offsets: np.ndarray, inside_table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of bytes in the table, and the index of each document's first
+    run; no run crosses a document's end."""
+    inside = np.zeros(len(data) + 1, bool)
+    inside[:-1] = inside_table[data]
+    begins = inside[:-1].copy()
+    begins[1:] &= ~inside[:-2]
+    finish = inside[:-1] & ~inside[1:]
+    cut = offsets[1:-1]
+    cut = cut[(cut > 0) & (cut < len(data))]
+    begins[cut] |= inside[cut]
+    finish[cut - 1] |= inside[cut - 1]
+    starts = np.flatnonzero(begins)
+    return starts, np.flatnonzero(finish) + 1, np.searchsorted(starts, offsets)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span; spans are in order and don't overlap."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    size = ends - starts
+    before = np.cumsum(size) - size
+    within = np.arange(int(size.sum())) - np.repeat(before, size)
+    value = (data[np.repeat(starts, size) + within].astype(np.uint64) + np.uint64(1)) * _PLACES[within & 0xFFF]
+    long = within > 0xFFF
+    if long.any():
+        value[long] *= mixed((within[long] >> 12).astype(np.uint64)) | np.uint64(1)
+    total = np.add.reduceat(value, before[size > 0]) if len(value) else np.zeros(0, np.uint64)
+    out = np.zeros(len(starts), np.uint64)
+    out[size > 0] = total
+    return mixed(out + size.astype(np.uint64) * MIX)
+
+
+def per_row(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Sums of values between bounds; empty stretches give 0."""
+    total = np.append(np.zeros(1, np.int64 if values.dtype.kind in "biu" else np.float64), np.cumsum(values, dtype=np.int64 if values.dtype.kind in "biu" else np.float64))
+    return total[bounds[1:]] - total[bounds[:-1]]
+
+
+def distinct_in_rows(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values of each row and the rows' new bounds."""
+    row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    order = np.lexsort((values, row))
+    values, row = values[order], row[order]
+    new = np.ones(len(values), bool)
+    new[1:] = (values[1:] != values[:-1]) | (row[1:] != row[:-1])
+    values, row = values[new], row[new]
+    return values, np.searchsorted(row, np.arange(len(bounds)))
+
+
+def schema_of(df: DataFrame, keep: Iterable[str], more: str) -> str:
+    return ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep] + [more])
+
+
+def learnable(key: str = "doc_id"):
+    """Whether a row may be learned from."""
+    return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(HELD_OUT_MOD)) != HELD_OUT_REMAINDER
+
+
+def binary_rows(rows: list[bytes]) -> pa.Array:
+    return pa.array(rows, pa.binary())

@@ -5,10 +5,20 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, langid, licenses, tiff
-from .common import table
+from . import bpe, decontaminate, jaccard, langid, licenses, pii, quality, tiff
+from .common import learnable, table, written
 
 RANK_FILE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+#: A fixed key, so that the query's results repeat; callers pass their own.
+PSEUDONYM_KEY = "registered-query"
+
+
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +56,12 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(matches)
 
 
-QUERIES = {f.__name__: f for f in (op3_bpe, op6_license_scan, op7_language_id, op8_tiff, op9_decontamination)}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = written(quality.document_statistics(table(spark, sf_dir, "documents")), "statistics")
+    scored = quality.score(stats, quality.train(stats, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (~learnable()).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_pii_pseudonyms, op3_bpe, op6_license_scan, op7_language_id, op8_tiff, op9_decontamination, op10_quality)}
 
 SQL: dict[str, str] = {}
