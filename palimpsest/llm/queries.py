@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, jaccard, langid, licenses, pii, quality, tiff
+from . import bpe, decontaminate, jaccard, langid, licenses, lines, pii, quality, repeats, tiff
 from .common import learnable, table, written
 
 RANK_FILE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -27,6 +27,16 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op5_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = lines.drop_recurring_lines(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_lines_dropped", F.octet_length("text").cast("bigint").alias("n_bytes_left"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_digest(licenses.license_scan(table(spark, sf_dir, "documents")))
 
@@ -62,6 +72,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~learnable()).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_pii_pseudonyms, op3_bpe, op6_license_scan, op7_language_id, op8_tiff, op9_decontamination, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_pii_pseudonyms, op3_bpe, op4_suffix_dedup, op5_line_templates, op6_license_scan, op7_language_id, op8_tiff, op9_decontamination, op10_quality)}
 
 SQL: dict[str, str] = {}
