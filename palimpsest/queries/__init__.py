@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from . import asking, capturing, keeping, streams
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+for _part in (capturing, asking, keeping, streams):
+    QUERIES |= _part.register.queries
+    SQL |= _part.register.sql
