@@ -12,7 +12,8 @@ a match of ``LENGTH`` bytes names the earliest document that has it. The transfo
 first ``LENGTH`` bytes, which is all that such matches ask for.
 
 Equal texts are recognised first: all but the first of them go as a whole. Equal contexts of one
-map step or shard are indexed once, the others are marked by the first.
+map step or shard count once, the others are marked by the first; an anchor with only one context
+left in its shard has nothing to be held against and needs no place in the index.
 
 Defined results: a null text counts as empty; texts shorter than ``LENGTH`` bytes keep all; equal
 keys count as one document; rows with a null key take no part and keep all; extra columns are
@@ -21,6 +22,7 @@ ignored; an empty table gives an empty table. The input must be a scan that repe
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -28,13 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import MIX, byte_slices, distinct_in_rows, mixed, string_buffers, written
-from .fragments import DEALT, STEP_BYTES, deal, fragments_for, shared_values, text_bytes
+from .fragments import DEALT, deal, fragments_for, shared_values, text_bytes
 
 LENGTH, GRAM = 50, 16
 #: Bytes on either side of an anchor's start that a passage with it can reach.
 REACH = LENGTH - GRAM
 #: Bytes of text for an anchor, and bytes of shared text for a shard.
-BYTES_PER_ANCHOR, SHARD_BYTES = 17, 1 << 20
+BYTES_PER_ANCHOR, SHARD_BYTES, STEP = 17, 1 << 20, 4 << 20
 SEPARATOR = 0xFF
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
@@ -84,19 +86,21 @@ class RunIndex:
         rank = self._dense(key)
         have = 8
         while have * 2 <= length:
-            rank = self._dense(rank[: len(rank) - have].astype(np.uint64) << np.uint64(32) | rank[have:].astype(np.uint64))
+            rank = self._dense(rank[: len(rank) - have] << 32 | rank[have:])
             have *= 2
-        before = self._dense(rank[:n].astype(np.uint64) << np.uint64(32) | rank[length - 1 - have : length - 1 - have + n].astype(np.uint64))
-        full = self._dense(rank[:n].astype(np.uint64) << np.uint64(32) | rank[length - have : length - have + n].astype(np.uint64))
-        order = np.argsort(full.astype(np.uint64) << np.uint64(32) | np.arange(n, dtype=np.uint64))
-        full, before = full[order], before[order]
-        top = np.ones(n, bool)
-        top[1:] = full[1:] != full[:-1]
-        self.group_tops = np.flatnonzero(top)
-        self.first_document = document_at[order[self.group_tops]]
-        wider = np.ones(n, bool)
-        wider[1:] = before[1:] != before[:-1]
-        self.wider_tops = np.flatnonzero(wider)
+        head, tail, near = rank[:n], rank[length - have : length - have + n], rank[length - 1 - have : length - 1 - have + n]
+        bits = int(rank.max()).bit_length()
+        if 2 * bits + n.bit_length() < 64:
+            order = np.argsort((head << bits | tail) << n.bit_length() | np.arange(n))
+        else:
+            order = np.lexsort((tail, head))
+        same = np.zeros(n, bool)
+        same[1:] = head[order][1:] == head[order][:-1]
+        differs = lambda part: ~(same & np.append(False, part[order][1:] == part[order][:-1]))
+        top, wider = differs(tail), differs(near)
+        self.group_of = (np.cumsum(top) - 1).astype(np.int32)
+        self.first_document = document_at[order[np.flatnonzero(top)]]
+        self.wider_top = np.maximum.accumulate(np.where(wider, np.arange(n), 0)).astype(np.int32)
         last = text[order - 1]
         new = np.ones(n, bool)
         new[1:] = last[1:] != last[:-1]
@@ -137,11 +141,11 @@ class RunIndex:
             alive = alive[size[alive] > t]
             at = rows[alive]
             if t >= length:  # a match has its full length: forget its last byte
-                at = self.wider_tops[np.searchsorted(self.wider_tops, at, side="right") - 1]
+                at = self.wider_top[at].astype(np.int64)
             place = end[alive] - 1 - t
             rows[alive] = at = self.extend(at, text[place].astype(np.int64))
             if t >= length - 1:
-                yield alive, place - begin[alive], self.first_document[np.searchsorted(self.group_tops, at, side="right") - 1]
+                yield alive, place - begin[alive], self.first_document[self.group_of[at]]
 
 
 def _packed_marks(key: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Table:
@@ -194,16 +198,17 @@ def _contexts(data: np.ndarray, at: np.ndarray, keys: np.ndarray, wanted: list,
     first, shard = first[order], shard[order]
     cuts = np.flatnonzero(np.diff(shard, prepend=-1))
     raw = data.tobytes()
-    rows = {c: [] for c in ("keys", "starts", "sizes", "bytes")}
+    rows = {c: [] for c in ("keys", "starts", "sizes", "anchor", "bytes")}
     for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(shard)]):
         own = first[a:b]
         rows["keys"].append(keys[doc[own]].astype("<i8").tobytes())
-        rows["starts"].append((begin - at[doc])[own].astype("<i8").tobytes())
-        rows["sizes"].append((end - begin)[own].astype("<i4").tobytes())
-        rows["bytes"].append(b"".join([raw[x:y] for x, y in zip(begin[own].tolist(), end[own].tolist())]))
+        rows["starts"].append((begin - at[doc])[own].astype("<u4").tobytes())
+        rows["sizes"].append((end - begin)[own].astype("<u1").tobytes())
+        rows["anchor"].append(spread[own].astype("<u4").tobytes())
+        rows["bytes"].append(zlib.compress(b"".join([raw[x:y] for x, y in zip(begin[own].tolist(), end[own].tolist())]), 1))
     if known.num_rows:
         parts = [-1 - int(known.column("key")[0].as_py()) % 65_536] * known.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array([np.int64(k).tobytes() for k in known.column("key").to_pylist()], pa.binary()), known.column("marks").combine_chunks(), *(pa.array([b""] * known.num_rows, pa.binary()) for _ in range(2))], names=["shard", *rows])
+        yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array([np.int64(k).tobytes() for k in known.column("key").to_pylist()], pa.binary()), known.column("marks").combine_chunks(), *(pa.array([b""] * known.num_rows, pa.binary()) for _ in range(3))], names=["shard", *rows])
     yield pa.RecordBatch.from_arrays([pa.array(shard[cuts]), *(pa.array(v, pa.binary()) for v in rows.values())], names=["shard", *rows])
 
 
@@ -221,12 +226,17 @@ def _index_shard(table: pa.Table) -> pa.Table:
     keys = np.concatenate([np.frombuffer(x.as_py(), "<i8") for x in table.column("keys")])
     if table.column("shard")[0].as_py() < 0:
         return pa.table({"key": pa.array(keys), "marks": table.column("starts").combine_chunks()})
-    starts = np.concatenate([np.frombuffer(x.as_py(), "<i8") for x in table.column("starts")])
-    sizes = np.concatenate([np.frombuffer(x.as_py(), "<i4") for x in table.column("sizes")]).astype(np.int64)
-    data = np.frombuffer(b"".join(table.column("bytes").to_pylist()), np.uint8)
+    starts = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in table.column("starts")]).astype(np.int64)
+    sizes = np.concatenate([np.frombuffer(x.as_py(), "<u1") for x in table.column("sizes")]).astype(np.int64)
+    data = np.frombuffer(b"".join([zlib.decompress(x) for x in table.column("bytes").to_pylist()]), np.uint8)
     end = np.cumsum(sizes)
     first, later = _settle(context_hashes(data, end - sizes, end), keys, starts)
     marked = [(keys[later], starts[later], (starts + sizes)[later])]
+    anchor = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in table.column("anchor")])[first]
+    _, same, variants = np.unique(anchor, return_inverse=True, return_counts=True)
+    first = first[variants[same] > 1]  # an anchor with one context has no other passage to be held against
+    if not len(first):
+        return _packed_marks(*marked[0])
     first = first[np.lexsort((starts[first], keys[first]))]
     size = sizes[first]
     text = np.full(int(size.sum()) + len(first), SEPARATOR, np.uint8)
@@ -241,40 +251,46 @@ def _index_shard(table: pa.Table) -> pa.Table:
     return _packed_marks(*(np.concatenate(x) for x in zip(*marked)))
 
 
-def repeated_passages(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``id`` and ``marks``: lists of packed ranges (64-bit start and end bytes) to remove."""
-    docs = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("string").alias("_text")).where(F.col("id").isNotNull() & (F.octet_length("_text") >= LENGTH))
+def _rows(df: DataFrame, text: str, key: str) -> DataFrame:
+    return df.select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("string").alias("_text"))
+
+
+def repeated_passages(rows: DataFrame) -> DataFrame:
+    """``id`` and ``marks`` (lists of packed ranges, 64-bit start and end bytes) to remove, or
+    ``whole``, of rows (id, _text)."""
+    docs = rows.where(F.col("id").isNotNull() & (F.octet_length("_text") >= LENGTH))
     total = text_bytes(docs, "_text")
-    fragments, shards = fragments_for(total / BYTES_PER_ANCHOR), max(8, total // SHARD_BYTES // 4)
+    fragments, shards = fragments_for(total / BYTES_PER_ANCHOR), max(8, total // SHARD_BYTES)
     digests = docs.select("id", F.octet_length("_text").cast("bigint").alias("size"), F.md5(F.col("_text").cast("binary")).alias("digest"))
     first = digests.groupBy("digest").agg(F.min("id").alias("first"))
-    copies = written(digests.join(first, "digest").where("id <> first").select("id", "size").distinct(), "copies")
+    copies = written(digests.join(first, "digest").where("id <> first").select("id").distinct(), "copies")
 
     def deal_anchors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in byte_slices(batches, "_text", STEP_BYTES):
+        for part in byte_slices(batches, "_text", STEP):
             data, at = string_buffers(part.column("_text"))
             places, hashes = anchors(data, at)
             values, bounds = distinct_in_rows(mixed(hashes + MIX), np.searchsorted(places, at))
             yield from deal(part.column("id").to_numpy(), bounds, values, fragments, True)
 
     def deal_contexts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in byte_slices(batches, "_text", STEP_BYTES):
+        for part in byte_slices(batches, "_text", STEP):
             yield from _contexts(*string_buffers(part.column("_text")), part.column("id").to_numpy(), part.column("wanted").to_pylist(), shards)
 
     shared = shared_values(docs.mapInArrow(deal_anchors, DEALT), fragments, True).groupBy(F.col("key").alias("id")).agg(F.collect_list("shared").alias("wanted"))
-    wanted = docs.join(shared.join(copies.select("id"), "id", "left_anti"), "id")
-    dealt = wanted.mapInArrow(deal_contexts, "shard bigint, keys binary, starts binary, sizes binary, bytes binary")
+    # Also joined from the left, as at the end, so that the texts are shuffled once for both.
+    wanted = rows.join(written(shared.join(copies, "id", "left_anti"), "shared"), "id", "left").where("wanted is not null")
+    dealt = wanted.mapInArrow(deal_contexts, "shard bigint, keys binary, starts binary, sizes binary, anchor binary, bytes binary")
     marks = dealt.groupBy("shard").applyInArrow(_index_shard, "key bigint, marks binary")
     whole = copies.select(F.col("id").alias("key"), F.lit(None).cast("binary").alias("marks"))
-    return written(marks.union(whole), "marks").groupBy(F.col("key").alias("id")).agg(F.collect_list("marks").alias("marks"), F.max(F.col("marks").isNull()).alias("whole"))
+    return marks.union(whole).groupBy(F.col("key").alias("id")).agg(F.collect_list("marks").alias("marks"), F.max(F.col("marks").isNull()).alias("whole"))
 
 
-def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns, ``n_bytes``, ``n_removed``, ``n_spans``, ``spans`` (packed) and the
-    remaining bytes in ``kept``."""
-    marks = repeated_passages(df, text, key)
-    rows = df.select(*keep, F.col(key).cast("bigint").alias("_id"), F.col(text).cast("string").alias("_text"))
-    joined = rows.join(marks, F.col("_id") == F.col("id"), "left").select(*keep, "marks", "whole", "_text")
+def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``key``, ``n_bytes``, ``n_removed``, ``n_spans``, ``spans`` (packed ranges) and the
+    remaining bytes in ``kept``, for every row."""
+    rows = _rows(df, text, key)
+    keep = ("id",)
+    joined = rows.join(repeated_passages(rows), "id", "left").select("id", "marks", "whole", "_text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in byte_slices(batches, "_text"):
@@ -301,5 +317,5 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", keep:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *(pa.array(v, k) for v, k in zip(out.values(), kinds))], names=[*keep, *out])
 
-    schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep] + ["n_bytes bigint, n_removed bigint, n_spans bigint, spans binary, kept binary"])
-    return joined.mapInArrow(run, schema)
+    found = joined.mapInArrow(run, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, spans binary, kept binary")
+    return found.withColumnRenamed("id", key)
