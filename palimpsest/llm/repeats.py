@@ -32,11 +32,11 @@ from pyspark.sql import DataFrame, functions as F
 from .common import MIX, byte_slices, distinct_in_rows, mixed, string_buffers, written
 from .fragments import DEALT, deal, fragments_for, shared_values, text_bytes
 
-LENGTH, GRAM = 50, 16
+LENGTH, GRAM = 50, 32
 #: Bytes on either side of an anchor's start that a passage with it can reach.
 REACH = LENGTH - GRAM
 #: Bytes of text for an anchor, and bytes of shared text for a shard.
-BYTES_PER_ANCHOR, SHARD_BYTES, STEP = 17, 1 << 20, 4 << 20
+BYTES_PER_ANCHOR, SHARD_BYTES, STEP = 10, 1 << 20, 4 << 20
 SEPARATOR = 0xFF
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
@@ -166,18 +166,22 @@ def _packed_marks(key: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Tab
     return pa.table({"key": pa.array(key[first]), "marks": pa.array([pair[a:b].astype("<i8").tobytes() for a, b in zip(first.tolist(), [*first[1:].tolist(), len(key)])], pa.binary())})
 
 
-def _settle(hashes: np.ndarray, key: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of equal contexts the first by document and place, and those of later documents."""
+def _settle(hashes: np.ndarray, key: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of equal contexts: the first by document and place, those of later documents, and further
+    ones of the first's document with the number of the first."""
     order = np.lexsort((place, key, hashes))
     new = np.ones(len(order), bool)
     new[1:] = hashes[order][1:] != hashes[order][:-1]
-    first = order[new]
-    owner = key[first][np.cumsum(new) - 1]
-    return first, order[key[order] > owner]
+    first, number = order[new], np.cumsum(new) - 1
+    owner = key[first][number]
+    own = ~new & (key[order] == owner)
+    return first, order[key[order] > owner], order[own], number[own]
 
 
 def _contexts(data: np.ndarray, at: np.ndarray, keys: np.ndarray, wanted: list, shards: int) -> Iterator[pa.RecordBatch]:
     """Contexts of shared anchors of a step, by shard; shard -1 has what the step knows itself."""
+    if not any(wanted):
+        return
     places, hashes = anchors(data, at)
     doc = np.searchsorted(at, places, side="right") - 1
     spread = mixed(hashes + MIX)
@@ -191,7 +195,8 @@ def _contexts(data: np.ndarray, at: np.ndarray, keys: np.ndarray, wanted: list,
         return
     begin, end = np.maximum(places - REACH, at[doc]), np.minimum(places + LENGTH, at[doc + 1])
     context = context_hashes(data, begin, end)
-    first, later = _settle(context, keys[doc], places - at[doc])
+    first, later, again, _ = _settle(context, keys[doc], places - at[doc])
+    first = np.append(first, again)
     known = _packed_marks(keys[doc[later]], (begin - at[doc])[later], (end - at[doc])[later])
     shard = ((spread[first] >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
     order = np.argsort(shard, kind="stable")
@@ -230,24 +235,37 @@ def _index_shard(table: pa.Table) -> pa.Table:
     sizes = np.concatenate([np.frombuffer(x.as_py(), "<u1") for x in table.column("sizes")]).astype(np.int64)
     data = np.frombuffer(b"".join([zlib.decompress(x) for x in table.column("bytes").to_pylist()]), np.uint8)
     end = np.cumsum(sizes)
-    first, later = _settle(context_hashes(data, end - sizes, end), keys, starts)
+    first, later, again, number = _settle(context_hashes(data, end - sizes, end), keys, starts)
     marked = [(keys[later], starts[later], (starts + sizes)[later])]
     anchor = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in table.column("anchor")])[first]
     _, same, variants = np.unique(anchor, return_inverse=True, return_counts=True)
-    first = first[variants[same] > 1]  # an anchor with one context has no other passage to be held against
-    if not len(first):
+    used = np.flatnonzero(variants[same] > 1)  # an anchor with one context has nothing to be held against
+    if not len(used):
         return _packed_marks(*marked[0])
-    first = first[np.lexsort((starts[first], keys[first]))]
+    used = used[np.lexsort((starts[first[used]], keys[first[used]]))]
+    first = first[used]
     size = sizes[first]
     text = np.full(int(size.sum()) + len(first), SEPARATOR, np.uint8)
     begin = np.cumsum(size + 1) - size - 1
     within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
     text[np.repeat(begin, size) + within] = data[np.repeat((end - sizes)[first], size) + within]
     index = RunIndex(text, np.repeat(keys[first], size + 1), LENGTH)
+    patterns, offsets = [], []
     for pattern, offset, document in index.first_documents(text, begin, begin + size, LENGTH):
         hit = document < keys[first[pattern]]
-        own, offset = first[pattern[hit]], offset[hit]
-        marked.append((keys[own], starts[own] + offset, starts[own] + offset + LENGTH))
+        patterns.append(pattern[hit])
+        offsets.append(offset[hit])
+    pattern, offset = np.concatenate(patterns), np.concatenate(offsets)
+    marked.append((keys[first[pattern]], starts[first[pattern]] + offset, starts[first[pattern]] + offset + LENGTH))
+    # Further occurrences in the same document have the same passages.
+    place = np.full(len(variants[same]), -1)
+    place[used] = np.arange(len(used))
+    again, number = again[place[number] >= 0], place[number[place[number] >= 0]]
+    by = np.argsort(pattern, kind="stable")
+    low, high = np.searchsorted(pattern[by], number), np.searchsorted(pattern[by], number, side="right")
+    which = np.repeat(low, high - low) + np.arange(int((high - low).sum())) - np.repeat(np.cumsum(high - low) - (high - low), high - low)
+    own, offset = np.repeat(again, high - low), offset[by][which]
+    marked.append((keys[own], starts[own] + offset, starts[own] + offset + LENGTH))
     return _packed_marks(*(np.concatenate(x) for x in zip(*marked)))
 
 
@@ -274,11 +292,12 @@ def repeated_passages(rows: DataFrame) -> DataFrame:
 
     def deal_contexts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in byte_slices(batches, "_text", STEP):
-            yield from _contexts(*string_buffers(part.column("_text")), part.column("id").to_numpy(), part.column("wanted").to_pylist(), shards)
+            yield from _contexts(*string_buffers(part.column("_text")), part.column("id").to_numpy(zero_copy_only=False), part.column("wanted").to_pylist(), shards)
 
-    shared = shared_values(docs.mapInArrow(deal_anchors, DEALT), fragments, True).groupBy(F.col("key").alias("id")).agg(F.collect_list("shared").alias("wanted"))
-    # Also joined from the left, as at the end, so that the texts are shuffled once for both.
-    wanted = rows.join(written(shared.join(copies, "id", "left_anti"), "shared"), "id", "left").where("wanted is not null")
+    shared = shared_values(docs.mapInArrow(deal_anchors, DEALT), fragments, True)
+    shared = shared.groupBy(F.col("key").alias("id")).agg(F.collect_list("shared").alias("wanted"))
+    # Joined from the left and without a filter, as at the end: the texts are shuffled once for both.
+    wanted = rows.join(written(shared.join(copies, "id", "left_anti"), "shared"), "id", "left").select("id", "_text", "wanted")
     dealt = wanted.mapInArrow(deal_contexts, "shard bigint, keys binary, starts binary, sizes binary, anchor binary, bytes binary")
     marks = dealt.groupBy("shard").applyInArrow(_index_shard, "key bigint, marks binary")
     whole = copies.select(F.col("id").alias("key"), F.lit(None).cast("binary").alias("marks"))
