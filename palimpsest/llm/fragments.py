@@ -15,8 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-#: Entries that a fragment should hold, and text bytes that a step looks at together.
-FRAGMENT_ENTRIES, STEP_BYTES = 2_000_000, 8 << 20
+#: Entries that a fragment should hold, fragments of small inputs, and text bytes that a step looks at together.
+FRAGMENT_ENTRIES, LEAST_FRAGMENTS, STEP_BYTES = 2_000_000, 48, 4 << 20
 
 DEALT = "part bigint, keys binary, owner binary, entries binary"
 SHARED = "key bigint, n bigint, shared binary"
@@ -28,7 +28,7 @@ def text_bytes(df: DataFrame, text: str) -> int:
 
 
 def fragments_for(entries: float) -> int:
-    return max(8, int(entries // FRAGMENT_ENTRIES) + 1)
+    return max(LEAST_FRAGMENTS, int(entries // FRAGMENT_ENTRIES) + 1)
 
 
 def fragment_of(values: np.ndarray, fragments: int) -> np.ndarray:

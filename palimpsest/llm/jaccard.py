@@ -34,6 +34,8 @@ from .fragments import DEALT, STEP_BYTES, deal, fragments_for, shared_values, te
 WORDS, PERCENT = 5, 80
 #: Cells of the sketch of shingle frequencies that orders them, and fragments of a pair's count.
 CELLS_LOG2, COUNT_FRAGMENTS = 20, 4
+#: Documents of a block's sides, on the average.
+FEW, MANY = 64, 256
 #: About so many bytes of text make a shingle.
 BYTES_PER_SHINGLE = 7
 _GAPS = np.cumprod(np.full(64, np.uint64(0xA0761D6478BD642F), np.uint64), dtype=np.uint64)
@@ -185,20 +187,79 @@ def _near_size(x: str, y: str, percent: int):
     return F.least(x, y) * 100 >= F.greatest(x, y) * percent
 
 
-def _candidates(ordered: DataFrame, roots: DataFrame | None, percent: int) -> DataFrame:
-    """Pairs that share a shingle of their prefixes. Without ``roots`` (id, root): every document
-    with its list's most central one. With: all pairs of different roots."""
-    rows = ordered.select("id", "n", "central", F.explode("prefix").alias("shingle"))
-    if roots is None:
-        lists = rows.groupBy("shingle").agg(F.count("*").alias("size"), F.max(F.struct("central", (-F.col("id")).alias("low"), "n")).alias("top")).where("size > 1")
-        found = rows.join(lists.select("shingle", (-F.col("top.low")).alias("a"), F.col("top.n").alias("n_a")), "shingle")
-        return found.where((F.col("id") != F.col("a")) & _near_size("n", "n_a", percent)).select("a", F.col("id").alias("b")).distinct()
-    rows = rows.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+def _prefix_rows(ordered: DataFrame) -> DataFrame:
+    return ordered.select("id", "n", "central", F.explode("prefix").alias("shingle"))
+
+
+def _central_pairs(ordered: DataFrame, percent: int) -> DataFrame:
+    """Every document with the most central one of each list of documents with a shingle of
+    their prefixes."""
+    rows = _prefix_rows(ordered)
+    lists = rows.groupBy("shingle").agg(F.count("*").alias("size"), F.max(F.struct("central", (-F.col("id")).alias("low"), "n")).alias("top")).where("size > 1")
+    found = rows.join(lists.select("shingle", (-F.col("top.low")).alias("a"), F.col("top.n").alias("n_a")), "shingle")
+    return found.where((F.col("id") != F.col("a")) & _near_size("n", "n_a", percent)).select("a", F.col("id").alias("b")).distinct()
+
+
+def _all_pairs(ordered: DataFrame, percent: int) -> DataFrame:
+    """All pairs that share a shingle of their prefixes."""
+    rows = _prefix_rows(ordered)
+    other = rows.select("shingle", F.col("id").alias("b"), F.col("n").alias("n_b"))
+    found = rows.join(other, "shingle").where((F.col("id") < F.col("b")) & _near_size("n", "n_b", percent))
+    return found.select(F.col("id").alias("a"), "b").distinct()
+
+
+def _block_links(ordered: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join different roots.
+
+    Lists whose documents have several roots are sorted by the root of their most central
+    document. Of such a family, the documents of other roots are held against all its documents
+    in blocks of bounded size; a block adds up partial overlaps by fragment and gives one link for
+    each two roots that it joins, never its pairs.
+    """
+    rows = _prefix_rows(ordered).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     lists = rows.groupBy("shingle").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.max(F.struct("central", "root")).alias("top")).where("least < most")
-    mixed_lists = written(rows.join(lists.select("shingle", F.col("top.root").alias("main")), "shingle").select("shingle", "id", "n", "root", "main"), "lists")
-    few = mixed_lists.where("root <> main").select("shingle", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
-    found = few.join(mixed_lists, "shingle").where((F.col("root") != F.col("root_a")) & ((F.col("root") == F.col("main")) | (F.col("a") < F.col("id"))) & _near_size("n", "n_a", percent))
-    return found.select("a", F.col("id").alias("b")).distinct()
+    family = written(rows.join(lists.select("shingle", F.col("top.root").alias("main")), "shingle").select("main", "id", "root").distinct(), "families")
+    size = family.groupBy("main").agg(F.ceil(F.count_if(F.col("root") != F.col("main")) / FEW).cast("int").alias("blocks"), F.ceil(F.count("*") / MANY).cast("int").alias("others"))
+    sized = family.join(size, "main")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
+    few = sized.where("root <> main").select("main", "id", "root", one("blocks", 1).alias("x"), every("others").alias("y"))
+    many = sized.select("main", "id", "root", every("blocks").alias("x"), one("others", 2).alias("y"))
+    pieces = ordered.select("id", "n", *[f"f{k}" for k in range(COUNT_FRAGMENTS)])
+    by = ("main", "x", "y")
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        links: list[tuple[int, int]] = []
+        joined: dict[int, int] = {}
+
+        def top(r: int) -> int:
+            while joined.get(r, r) != r:
+                r = joined[r]
+            return r
+
+        ids, root, n = (right.column(c).to_numpy() for c in ("id_", "root_", "n_"))
+        fragments = []
+        for k in range(COUNT_FRAGMENTS):
+            parts = [np.frombuffer(x, np.uint64) for x in right.column(f"f{k}_").to_pylist()]
+            fragments.append((np.concatenate(parts) if parts else np.zeros(0, np.uint64), np.repeat(np.arange(len(parts)), [len(p) for p in parts])))
+        for row in left.to_pylist():
+            overlap = np.zeros(len(ids), np.int64)
+            for k, (values, owner) in enumerate(fragments):
+                own = np.sort(np.frombuffer(row[f"f{k}"], np.uint64))
+                if len(own):
+                    at = np.minimum(np.searchsorted(own, values), len(own) - 1)
+                    overlap += np.bincount(owner[own[at] == values], minlength=len(ids))
+            near = np.flatnonzero((root != row["root"]) & (overlap * 100 >= (n + row["n"] - overlap) * percent))
+            for j in near.tolist():
+                x, y = top(row["root"]), top(int(root[j]))
+                if x != y:
+                    joined[max(x, y)] = min(x, y)
+                    links.append((row["id"], int(ids[j])))
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+    left, right = few.join(pieces, "id"), many.join(pieces, "id")
+    right = right.select(*[F.col(c).alias(f"{c}_") for c in right.columns])
+    return left.groupBy(*by).cogroup(right.groupBy(*[f"{c}_" for c in by])).applyInArrow(compare, "a bigint, b bigint")
 
 
 def jaccard_components(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -214,9 +275,9 @@ def jaccard_components(df: DataFrame, text: str = "text", key: str = "doc_id", w
     left = classes.where("slack >= 0").select(F.col("representative").alias("id")).distinct()
     kept = written(shingle_sets(docs.join(left, "id", "left_semi"), "_text", "id", words).dropDuplicates(["id"]), "sets")
     ordered = written(_in_order(kept, percent), "ordered")
-    links = written(_common(_candidates(ordered, None, percent), ordered, percent), "pairs")
+    links = written(_common(_central_pairs(ordered, percent), ordered, percent), "pairs")
     roots = connected(links)
-    more = written(_common(_candidates(ordered, roots, percent), ordered, percent), "pairs")
+    more = written(_block_links(ordered, roots, percent), "pairs")
     if more.limit(1).count():
         roots = connected(links.select("a", "b").union(more.select("a", "b")))
     placed = sizes.join(classes.drop("slack"), ["sig1", "sig2", "n"], "left")
@@ -232,6 +293,4 @@ def jaccard_pairs(df: DataFrame, text: str = "text", key: str = "doc_id", words:
     for callers that need every pair and whose groups are small enough to hold them."""
     sets = shingle_sets(df, text, key, words).where("n > 0").groupBy("shingles").agg(F.min("id").alias("id"), F.first("n").alias("n"))
     ordered = written(_in_order(written(sets.select("id", "n", "shingles"), "sets"), percent), "ordered")
-    alone = ordered.select("id", F.col("id").alias("root"))
-    pairs = _candidates(ordered, alone, percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return _common(pairs, ordered, percent)
+    return _common(_all_pairs(ordered, percent), ordered, percent)

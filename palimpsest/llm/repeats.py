@@ -297,7 +297,7 @@ def repeated_passages(rows: DataFrame) -> DataFrame:
     shared = shared_values(docs.mapInArrow(deal_anchors, DEALT), fragments, True)
     shared = shared.groupBy(F.col("key").alias("id")).agg(F.collect_list("shared").alias("wanted"))
     # Joined from the left and without a filter, as at the end: the texts are shuffled once for both.
-    wanted = rows.join(written(shared.join(copies, "id", "left_anti"), "shared"), "id", "left").select("id", "_text", "wanted")
+    wanted = rows.join(written(shared, "shared").join(copies, "id", "left_anti"), "id", "left").select("id", "_text", "wanted")
     dealt = wanted.mapInArrow(deal_contexts, "shard bigint, keys binary, starts binary, sizes binary, anchor binary, bytes binary")
     marks = dealt.groupBy("shard").applyInArrow(_index_shard, "key bigint, marks binary")
     whole = copies.select(F.col("id").alias("key"), F.lit(None).cast("binary").alias("marks"))
