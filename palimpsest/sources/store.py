@@ -54,7 +54,11 @@ class Engine:
         out.close()
 
     def _get(self, name: str) -> str:
-        return "\n".join(r["value"] for r in self.spark.read.text(f"{self.path}/{name}", wholetext=True).collect())
+        stream = self._fs.open(self._at(name))
+        try:
+            return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
 
     @contextmanager
     def lock(self, name: str = "writer") -> Iterator[None]:
