@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from palimpsest.llm import bpe, decontaminate, jaccard, langid, lines
-from palimpsest.llm.common import table, written
+from palimpsest.llm.common import bounded_batches, table, written
 from palimpsest.llm.queries import RANK_FILE
 
 #: Share of a document's letters that its language must have.
@@ -20,25 +20,30 @@ LANGUAGE_SHARE = 0.5
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     found = langid.identify(docs, langid.train(docs), keep=tuple(docs.columns))
     return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LANGUAGE_SHARE)).select(*docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return lines.drop_recurring_lines(docs).withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     groups = jaccard.jaccard_components(docs)
     return docs.join(groups.where("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     matches = decontaminate.phrase_matches(docs, table(spark, sf_dir, "benchmark"), keep=tuple(docs.columns))
     return matches.where(F.size("hit_spans") == 0).select(*docs.columns)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     decoded = bpe.bpe_decode(bpe.bpe_encode(docs, RANK_FILE), RANK_FILE)
     return decoded.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
