@@ -12,14 +12,24 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Text bytes that one vectorised step works on; a longer single text is a step of its own.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 #: Remainder of crc32(doc_id) modulo 4 that is held out from learning.
 HELD_OUT_MOD, HELD_OUT_REMAINDER = 4, 2
 
 
+#: Rows of a batch between Spark and Python: texts may be long, so batches are short.
+BATCH_ROWS = 1000
+
+
+def bounded_batches(spark: SparkSession) -> SparkSession:
+    """Keeps batches of whole texts small in the JVM and in Python."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return bounded_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:

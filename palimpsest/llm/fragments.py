@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 #: Entries that a fragment should hold, fragments of small inputs, and text bytes that a step looks at together.
-FRAGMENT_ENTRIES, LEAST_FRAGMENTS, STEP_BYTES = 2_000_000, 48, 4 << 20
+FRAGMENT_ENTRIES, LEAST_FRAGMENTS, STEP_BYTES = 2_000_000, 48, 2 << 20
 
 DEALT = "part bigint, keys binary, owner binary, entries binary"
 SHARED = "key bigint, n bigint, shared binary"

@@ -36,7 +36,7 @@ LENGTH, GRAM = 50, 32
 #: Bytes on either side of an anchor's start that a passage with it can reach.
 REACH = LENGTH - GRAM
 #: Bytes of text for an anchor, and bytes of shared text for a shard.
-BYTES_PER_ANCHOR, SHARD_BYTES, STEP = 10, 1 << 20, 4 << 20
+BYTES_PER_ANCHOR, SHARD_BYTES, STEP = 10, 1 << 20, 2 << 20
 SEPARATOR = 0xFF
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
