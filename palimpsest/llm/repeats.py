@@ -75,7 +75,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
 
 class RunIndex:
     """Run-length Burrows-Wheeler index of distinct contexts; answers the first document of each
-    passage of ``length`` bytes."""
+    passage of ``length`` bytes (9 or more)."""
 
     def __init__(self, text: np.ndarray, document_at: np.ndarray, length: int):
         n = len(text)
@@ -85,7 +85,7 @@ class RunIndex:
             key = (key << np.uint64(8)) | padded[j : j + len(key)]
         rank = self._dense(key)
         have = 8
-        while have * 2 <= length:
+        while have * 2 < length:
             rank = self._dense(rank[: len(rank) - have] << 32 | rank[have:])
             have *= 2
         head, tail, near = rank[:n], rank[length - have : length - have + n], rank[length - 1 - have : length - 1 - have + n]
