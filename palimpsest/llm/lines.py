@@ -1,10 +1,13 @@
 """Line dedup by a fixed-depth tree of log templates.
 
 A line's path in the tree is its number of tokens and its first tokens, where tokens with digits
-are variable fields from the start. In a leaf, a token is a fixed part of its place if enough
-documents have it there; other tokens are variable fields. If most places are fixed, the line's
-template is what is left of it, else the line stands for itself. A template that enough documents
-have is recurring: its lines go from every document but the first, the one of the smallest key.
+are variable fields from the start. In a leaf, a token is a fixed part of its place if a share of
+the leaf's documents have it there; other tokens are variable fields. The share is halved step by
+step, from a half down to ``min_documents``: a line takes the first, most general template that
+leaves most of its places fixed and that enough documents have, so that the same fields are found
+in a leaf of any size. A line without such a template stands for itself. A template that enough
+documents have is recurring: its lines go from every document but the first, the one of the
+smallest key.
 
 Step by step: equal lines meet within a map step, then by leaf, so that a line that a third of
 all documents have makes one entry for each step; templates' documents are counted exactly in
@@ -63,7 +66,7 @@ class Lines:
 
 
 def _deal(df: DataFrame, leading: int, min_tokens: int, buckets: int) -> DataFrame:
-    """Distinct lines of each step, by buckets of leaves: leaf, line, documents, short tokens."""
+    """Distinct lines of each step, by buckets of leaves: leaf, line, documents, token hashes."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in byte_slices(batches, "_text", STEP_BYTES):
@@ -84,7 +87,7 @@ def _deal(df: DataFrame, leading: int, min_tokens: int, buckets: int) -> DataFra
             order = np.argsort(bucket, kind="stable")
             which, documents, bucket = which[order], documents[order], bucket[order]
             cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-            short = (lines.hashes >> np.uint64(48)).astype("<u2")
+            tokens = lines.hashes.astype("<u8")
             rows = {c: [] for c in ("leaf", "line", "documents", "size", "tokens")}
             for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(bucket)).tolist()):
                 w = which[a:b]
@@ -92,7 +95,7 @@ def _deal(df: DataFrame, leading: int, min_tokens: int, buckets: int) -> DataFra
                 rows["line"].append(lines.line[w].tobytes())
                 rows["documents"].append(documents[a:b].astype("<i4").tobytes())
                 rows["size"].append(lines.count[w].astype("<i4").tobytes())
-                rows["tokens"].append(b"".join([short[x:y].tobytes() for x, y in zip(lines.begin[w].tolist(), lines.end[w].tolist())]))
+                rows["tokens"].append(b"".join([tokens[x:y].tobytes() for x, y in zip(lines.begin[w].tolist(), lines.end[w].tolist())]))
             yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts]), *(pa.array(v, pa.binary()) for v in rows.values())], names=["bucket", *rows])
 
     return df.mapInArrow(run, "bucket bigint, leaf binary, line binary, documents binary, size binary, tokens binary")
@@ -102,19 +105,36 @@ def generalise(leaf: np.ndarray, line: np.ndarray, documents: np.ndarray, tokens
     """Templates of distinct lines of equal length (``tokens`` is a matrix), in leaves."""
     n, size = tokens.shape
     _, number = np.unique(leaf, return_inverse=True)
-    fixed = np.empty((n, size), bool)
+    in_leaf = np.bincount(number, weights=documents)[number]
+    have = np.empty((n, size), np.int64)
     for p in range(size):
-        _, value = np.unique(number.astype(np.int64) << 16 | tokens[:, p], return_inverse=True)
-        fixed[:, p] = np.bincount(value, weights=documents)[value] >= min_documents
-    places = mixed((np.arange(1, size + 1).astype(np.uint64) * MIX)[None, :] + tokens.astype(np.uint64))
-    left = np.where(fixed, places, np.uint64(0)).sum(axis=1, dtype=np.uint64)
-    return np.where(fixed.mean(axis=1) >= fixed_share, mixed(leaf + left * _GAP), line)
+        _, value = np.unique(mixed(leaf + tokens[:, p] * MIX), return_inverse=True)
+        have[:, p] = np.bincount(value, weights=documents)[value]
+    template = line.copy()
+    left = np.arange(n)
+    share = 0.5
+    while len(left):
+        least = np.maximum(min_documents, share * in_leaf[left])
+        fixed = have[left] >= least[:, None]
+        open_rows = fixed.mean(axis=1) >= fixed_share
+        rows, fixed = left[open_rows], fixed[open_rows]
+        places = np.zeros(len(rows), np.uint64)
+        for p, turn in enumerate(np.arange(1, size + 1, dtype=np.uint64) * MIX):
+            places += np.where(fixed[:, p], mixed(tokens[rows, p] + turn), np.uint64(0))
+        found = mixed(leaf[rows] + places * _GAP)
+        _, group = np.unique(found, return_inverse=True)
+        enough = np.bincount(group, weights=documents[rows])[group] >= min_documents if len(rows) else np.zeros(0, bool)
+        template[rows[enough]] = found[enough]
+        done = least <= min_documents
+        done[np.flatnonzero(open_rows)[enough]] = True
+        left, share = left[~done], share / 2
+    return template
 
 
 def _templates(min_documents: int, fixed_share: float):
     def run(table: pa.Table) -> pa.Table:
         column = lambda c, kind: np.concatenate([np.frombuffer(x.as_py(), kind) for x in table.column(c)])
-        leaf, line, documents, size, tokens = column("leaf", "<u8"), column("line", "<u8"), column("documents", "<i4"), column("size", "<i4").astype(np.int64), column("tokens", "<u2")
+        leaf, line, documents, size, tokens = column("leaf", "<u8"), column("line", "<u8"), column("documents", "<i4"), column("size", "<i4").astype(np.int64), column("tokens", "<u8")
         at = np.cumsum(size) - size
         line, one, same = np.unique(line, return_index=True, return_inverse=True)
         documents = np.bincount(same, weights=documents).astype(np.int64)
@@ -124,7 +144,7 @@ def _templates(min_documents: int, fixed_share: float):
         out_line, out_template = [], []
         for length in np.unique(size[often]):
             rows = often[size[often] == length]
-            template = generalise(leaf[rows], line[rows], documents[rows], tokens[at[rows][:, None] + np.arange(length)].astype(np.int64), min_documents, fixed_share)
+            template = generalise(leaf[rows], line[rows], documents[rows], tokens[at[rows][:, None] + np.arange(length)], min_documents, fixed_share)
             _, group = np.unique(template, return_inverse=True)
             enough = np.bincount(group, weights=documents[rows])[group] >= min_documents
             out_line.append(line[rows[enough]])
