@@ -5,7 +5,9 @@ are variable fields from the start. In a leaf, a token is a fixed part of its pl
 the leaf's documents have it there; other tokens are variable fields. The share is halved step by
 step, from a half down to ``min_documents``: a line takes the first, most general template that
 leaves most of its places fixed and that enough documents have, so that the same fields are found
-in a leaf of any size. A line without such a template stands for itself. A template that enough
+in a leaf of any size. Only constant tokens count as fixed, and a third of the places beyond the
+leading ones must be. A line without such a template stands for itself; one that cannot have any,
+as it is short or mostly of digits, does so by its real tokens. A template that enough
 documents have is recurring: its lines go from every document but the first, the one of the
 smallest key.
 
@@ -14,7 +16,7 @@ all documents have makes one entry for each step; templates' documents are count
 joins on the line; every document is rewritten from the hashes of its own dropped lines.
 
 Defined results: null texts stay null, empty texts empty; lines of fewer tokens than
-``min_tokens`` always stay; a document's own repetition alone drops nothing; rows with a null key
+``min_tokens`` have no fields; lines without tokens stay; a document's own repetition alone drops nothing; rows with a null key
 stay as they are; rows of equal keys count as one document; all columns of the input are kept; an
 empty table gives an empty table. The input must be a scan that repeats.
 """
@@ -39,38 +41,49 @@ _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
 _VARIABLE = np.uint64(0x5851F42D4C957F2D)
 _GAP = np.uint64(0xA0761D6478BD642F)
+_REAL = np.uint64(0x8EBC6AF09C88C6E3)
+
+
+def enough_fixed(fixed: np.ndarray, beyond: np.ndarray, size: np.ndarray | int, fixed_share: float, leading: int) -> np.ndarray:
+    """Whether so many fixed places, and so many of them beyond the leading ones, make a template."""
+    return (fixed / size >= fixed_share) & (3 * beyond >= size - leading)
 
 
 class Lines:
-    """Lines of a step with at least ``min_tokens`` tokens: place in the text, document, tokens."""
+    """Lines of a step with any tokens: place in the text, document, tokens, whether they may have
+    a template."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, leading: int, min_tokens: int):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, fixed_share: float, leading: int, min_tokens: int):
         starts, ends, first = token_spans(data, offsets, _NOT_BREAK)
         words, word_ends, _ = token_spans(data, offsets, NOT_SPACE)
-        hashes = span_hashes(data, words, word_ends)
-        if len(words):
-            hashes = np.where(np.add.reduceat(_DIGIT[data], words, dtype=np.int64) > 0, _VARIABLE, hashes)
+        real = span_hashes(data, words, word_ends)
+        constant = np.add.reduceat(_DIGIT[data], words, dtype=np.int64) == 0 if len(words) else np.zeros(0, bool)
+        hashes = np.where(constant, real, _VARIABLE)
         self.all_starts, self.all_ends = starts, ends
         begin, end = np.searchsorted(words, starts), np.searchsorted(words, ends)
-        self.kept = np.flatnonzero(end - begin >= min_tokens)
+        self.kept = np.flatnonzero(end > begin)
         begin, end = begin[self.kept], end[self.kept]
         self.doc = np.searchsorted(first, self.kept, side="right") - 1
         self.count = end - begin
         place = np.arange(len(hashes)) - np.repeat(np.searchsorted(words, starts), np.diff(np.append(np.searchsorted(words, starts), len(words)))) if len(starts) else np.zeros(0, np.int64)
-        weighted = mixed(hashes + (place.astype(np.uint64) + np.uint64(1)) * MIX)
-        total = np.append(np.uint64(0), np.cumsum(weighted, dtype=np.uint64))
+        turn = (place.astype(np.uint64) + np.uint64(1)) * MIX
+        running = lambda x: np.append(x.dtype.type(0), np.cumsum(x, dtype=x.dtype))
+        total, total_real, constants = running(mixed(hashes + turn)), running(mixed(real + turn)), running(constant.astype(np.int64))
         sized = self.count.astype(np.uint64) * _GAP
-        self.line = mixed(total[end] - total[begin] + sized)
-        self.leaf = mixed(total[np.minimum(begin + leading, end)] - total[begin] + sized)
+        beyond = np.minimum(begin + leading, end)
+        self.open = (self.count >= min_tokens) & enough_fixed(constants[end] - constants[begin], constants[end] - constants[beyond], self.count, fixed_share, leading)
+        itself = mixed((total_real[end] - total_real[begin] + sized) ^ _REAL)
+        self.line = np.where(self.open, mixed(total[end] - total[begin] + sized), itself)
+        self.leaf = np.where(self.open, mixed(total[beyond] - total[begin] + sized), itself)
         self.hashes, self.begin, self.end = hashes, begin, end
 
 
-def _deal(df: DataFrame, leading: int, min_tokens: int, buckets: int) -> DataFrame:
+def _deal(df: DataFrame, fixed_share: float, leading: int, min_tokens: int, buckets: int) -> DataFrame:
     """Distinct lines of each step, by buckets of leaves: leaf, line, documents, token hashes."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in byte_slices(batches, "_text", STEP_BYTES):
-            lines = Lines(*string_buffers(part.column("_text")), leading, min_tokens)
+            lines = Lines(*string_buffers(part.column("_text")), fixed_share, leading, min_tokens)
             if not len(lines.kept):
                 continue
             pair = np.lexsort((lines.doc, lines.line))
@@ -94,14 +107,15 @@ def _deal(df: DataFrame, leading: int, min_tokens: int, buckets: int) -> DataFra
                 rows["leaf"].append(lines.leaf[w].tobytes())
                 rows["line"].append(lines.line[w].tobytes())
                 rows["documents"].append(documents[a:b].astype("<i4").tobytes())
-                rows["size"].append(lines.count[w].astype("<i4").tobytes())
+                rows["size"].append(np.where(lines.open[w], lines.count[w], 0).astype("<i4").tobytes())
+                w = w[lines.open[w]]
                 rows["tokens"].append(b"".join([tokens[x:y].tobytes() for x, y in zip(lines.begin[w].tolist(), lines.end[w].tolist())]))
             yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts]), *(pa.array(v, pa.binary()) for v in rows.values())], names=["bucket", *rows])
 
     return df.mapInArrow(run, "bucket bigint, leaf binary, line binary, documents binary, size binary, tokens binary")
 
 
-def generalise(leaf: np.ndarray, line: np.ndarray, documents: np.ndarray, tokens: np.ndarray, min_documents: int, fixed_share: float) -> np.ndarray:
+def generalise(leaf: np.ndarray, line: np.ndarray, documents: np.ndarray, tokens: np.ndarray, min_documents: int, fixed_share: float, leading: int = LEADING) -> np.ndarray:
     """Templates of distinct lines of equal length (``tokens`` is a matrix), in leaves."""
     n, size = tokens.shape
     _, number = np.unique(leaf, return_inverse=True)
@@ -109,14 +123,14 @@ def generalise(leaf: np.ndarray, line: np.ndarray, documents: np.ndarray, tokens
     have = np.empty((n, size), np.int64)
     for p in range(size):
         _, value = np.unique(mixed(leaf + tokens[:, p] * MIX), return_inverse=True)
-        have[:, p] = np.bincount(value, weights=documents)[value]
+        have[:, p] = np.where(tokens[:, p] == _VARIABLE, 0, np.bincount(value, weights=documents)[value])
     template = line.copy()
     left = np.arange(n)
     share = 0.5
     while len(left):
         least = np.maximum(min_documents, share * in_leaf[left])
         fixed = have[left] >= least[:, None]
-        open_rows = fixed.mean(axis=1) >= fixed_share
+        open_rows = enough_fixed(fixed.sum(axis=1), fixed[:, leading:].sum(axis=1), size, fixed_share, leading)
         rows, fixed = left[open_rows], fixed[open_rows]
         places = np.zeros(len(rows), np.uint64)
         for p, turn in enumerate(np.arange(1, size + 1, dtype=np.uint64) * MIX):
@@ -131,7 +145,7 @@ def generalise(leaf: np.ndarray, line: np.ndarray, documents: np.ndarray, tokens
     return template
 
 
-def _templates(min_documents: int, fixed_share: float):
+def _templates(min_documents: int, fixed_share: float, leading: int):
     def run(table: pa.Table) -> pa.Table:
         column = lambda c, kind: np.concatenate([np.frombuffer(x.as_py(), kind) for x in table.column(c)])
         leaf, line, documents, size, tokens = column("leaf", "<u8"), column("line", "<u8"), column("documents", "<i4"), column("size", "<i4").astype(np.int64), column("tokens", "<u8")
@@ -144,7 +158,8 @@ def _templates(min_documents: int, fixed_share: float):
         out_line, out_template = [], []
         for length in np.unique(size[often]):
             rows = often[size[often] == length]
-            template = generalise(leaf[rows], line[rows], documents[rows], tokens[at[rows][:, None] + np.arange(length)], min_documents, fixed_share)
+            # Lines that can have no template come without tokens.
+            template = generalise(leaf[rows], line[rows], documents[rows], tokens[at[rows][:, None] + np.arange(length)], min_documents, fixed_share, leading) if length else line[rows]
             _, group = np.unique(template, return_inverse=True)
             enough = np.bincount(group, weights=documents[rows])[group] >= min_documents
             out_line.append(line[rows[enough]])
@@ -155,10 +170,10 @@ def _templates(min_documents: int, fixed_share: float):
     return run
 
 
-def _document_lines(df: DataFrame, leading: int, min_tokens: int) -> DataFrame:
+def _document_lines(df: DataFrame, fixed_share: float, leading: int, min_tokens: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in byte_slices(batches, "_text", STEP_BYTES):
-            lines = Lines(*string_buffers(part.column("_text")), leading, min_tokens)
+            lines = Lines(*string_buffers(part.column("_text")), fixed_share, leading, min_tokens)
             ids = part.column("id").to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(ids[lines.doc], pa.int64()), pa.array(lines.line.view(np.int64))], names=["id", "line"])
 
@@ -169,9 +184,9 @@ def recurring_lines(df: DataFrame, text: str = "text", key: str = "doc_id", min_
     """``id``, ``line`` (hash) and ``template`` of every line that goes."""
     docs = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("string").alias("_text")).where("id is not null")
     buckets = max(8, text_bytes(docs, "_text") // BUCKET_BYTES + 1)
-    found = _deal(docs, leading, min_tokens, buckets).groupBy("bucket").applyInArrow(_templates(min_documents, fixed_share), "line bigint, template bigint")
+    found = _deal(docs, fixed_share, leading, min_tokens, buckets).groupBy("bucket").applyInArrow(_templates(min_documents, fixed_share, leading), "line bigint, template bigint")
     found = written(found, "templates")
-    places = written(_document_lines(docs, leading, min_tokens).join(found, "line").select("id", "line", "template").distinct(), "places")
+    places = written(_document_lines(docs, fixed_share, leading, min_tokens).join(found, "line").select("id", "line", "template").distinct(), "places")
     first = places.groupBy("template", "id").agg(F.lit(1).alias("one")).groupBy("template").agg(F.count("*").alias("documents"), F.min("id").alias("first"))
     first = first.where(F.col("documents") >= min_documents).select("template", "first")
     return places.join(first, "template").where("id <> first").select("id", "line", "template")
@@ -186,7 +201,7 @@ def drop_recurring_lines(df: DataFrame, text: str = "text", key: str = "doc_id",
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in byte_slices(batches, text):
             data, at = string_buffers(part.column(text))
-            lines = Lines(data, at, leading, min_tokens)
+            lines = Lines(data, at, fixed_share, leading, min_tokens)
             raw, texts, dropped = data.tobytes(), [], []
             bounds = np.searchsorted(lines.doc, np.arange(part.num_rows + 1))
             valid = part.column(text).is_valid().to_pylist()

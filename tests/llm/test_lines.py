@@ -37,3 +37,22 @@ def test_fields_of_named_values(spark, tmp_path):
     texts = [" ".join(["entry", "made", "by", names[i], "for", names[j], "in", names[k]]) for i, j, k in rng.integers(0, 30, (3000, 3))]
     got = cut(spark, tmp_path, texts)
     assert got[0] == texts[0] and not any(got[1:])
+
+
+def test_numeric_rows_go_by_their_real_text(spark, tmp_path):
+    texts = [f"{k} {k + 1} {k * k} {k + 7}\n9 8 7 6\nrow {k}" for k in range(1, 8)]
+    got = cut(spark, tmp_path, texts)
+    assert got[0] == texts[0] and got[1:] == [t.replace("9 8 7 6\n", "") for t in texts[1:]]
+
+
+def test_leading_tokens_alone_make_no_template(spark, tmp_path):
+    words = ["apple stew", "green tea", "warm bread", "cold milk", "plain rice", "fresh fish", "roast corn"]
+    texts = [f"we all like {w}\nwe all like {w.split()[0]}" for w in words]
+    assert cut(spark, tmp_path, texts) == texts
+
+
+def test_short_lines_go_by_their_real_text(spark, tmp_path):
+    texts = [f"Read more\nPage {k}\n \nown{k}" for k in range(6)]
+    got = cut(spark, tmp_path, texts)
+    assert got[0] == texts[0] and got[1:] == [t.replace("Read more\n", "") for t in texts[1:]]
+    assert cut(spark, tmp_path / "few", texts[:4]) == texts[:4]
