@@ -11,6 +11,10 @@ context is then streamed against it from right to left: a step extends the match
 a match of ``LENGTH`` bytes names the earliest document that has it. The transform sorts by the
 first ``LENGTH`` bytes, which is all that such matches ask for.
 
+An anchor with more contexts than a shard should hold, as a common phrase in differing
+surroundings has, is split: each of its passages of ``LENGTH`` bytes is a context of its own, with
+its own hash for an anchor, so that its passages spread over all shards and only equal ones meet.
+
 Equal texts are recognised first: all but the first of them go as a whole. Equal contexts of one
 map step or shard count once, the others are marked by the first; an anchor with only one context
 left in its shard has nothing to be held against and needs no place in the index.
@@ -178,7 +182,44 @@ def _settle(hashes: np.ndarray, key: np.ndarray, place: np.ndarray) -> tuple[np.
     return first, order[key[order] > owner], order[own], number[own]
 
 
-def _contexts(data: np.ndarray, at: np.ndarray, keys: np.ndarray, wanted: list, shards: int) -> Iterator[pa.RecordBatch]:
+def _around(places: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.maximum(places - REACH, at[doc]), np.minimum(places + LENGTH, at[doc + 1])
+
+
+def _passages(data: np.ndarray, begin: np.ndarray, end: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
+    """All passages of contexts, each place once: begins, ends, documents and hashes."""
+    many = end - begin - LENGTH + 1
+    within = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+    begin, one = np.unique(np.repeat(begin, many) + within, return_index=True)
+    return begin, begin + LENGTH, np.repeat(doc, many)[one], mixed(context_hashes(data, begin, begin + LENGTH) + MIX)
+
+
+def split_anchors(docs: DataFrame, least: int) -> np.ndarray:
+    """Anchors with over ``least`` contexts. A step's only context of an anchor doesn't count, so
+    one a step may be missed."""
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in byte_slices(batches, "_text", STEP):
+            data, at = string_buffers(part.column("_text"))
+            places, hashes = anchors(data, at)
+            spread = mixed(hashes + MIX)
+            _, which, many = np.unique(spread, return_inverse=True, return_counts=True)
+            rows = np.flatnonzero(many[which] > 1)
+            if not len(rows):
+                continue
+            context = context_hashes(data, *_around(places[rows], np.searchsorted(at, places[rows], side="right") - 1, at))
+            order = np.lexsort((context, spread[rows]))
+            spread, context = spread[rows][order], context[order]
+            new = np.ones(len(order), bool)
+            new[1:] = (spread[1:] != spread[:-1]) | (context[1:] != context[:-1])
+            own, n = np.unique(spread[new], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(own[n > 1].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], names=["anchor", "n"])
+
+    found = docs.mapInArrow(count, "anchor bigint, n bigint").groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") > least)
+    return np.sort(np.array([r["anchor"] for r in found.collect()], np.int64).view(np.uint64))
+
+
+def _contexts(data: np.ndarray, at: np.ndarray, keys: np.ndarray, wanted: list, shards: int, split: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Contexts of shared anchors of a step, by shard; shard -1 has what the step knows itself."""
     if not any(wanted):
         return
@@ -193,7 +234,12 @@ def _contexts(data: np.ndarray, at: np.ndarray, keys: np.ndarray, wanted: list,
     places, doc, spread = places[keep], doc[keep], spread[keep]
     if not len(places):
         return
-    begin, end = np.maximum(places - REACH, at[doc]), np.minimum(places + LENGTH, at[doc + 1])
+    begin, end = _around(places, doc, at)
+    cut = np.isin(spread, split)
+    if cut.any():
+        more = _passages(data, begin[cut], end[cut], doc[cut])
+        begin, end, doc, spread = (np.append(x[~cut], y) for x, y in zip((begin, end, doc, spread), more))
+        places = np.append(places[~cut], more[0])
     context = context_hashes(data, begin, end)
     first, later, again, _ = _settle(context, keys[doc], places - at[doc])
     first = np.append(first, again)
@@ -279,6 +325,7 @@ def repeated_passages(rows: DataFrame) -> DataFrame:
     docs = rows.where(F.col("id").isNotNull() & (F.octet_length("_text") >= LENGTH))
     total = text_bytes(docs, "_text")
     fragments, shards = fragments_for(total / BYTES_PER_ANCHOR), max(8, total // SHARD_BYTES)
+    split = rows.sparkSession.sparkContext.broadcast(split_anchors(docs, SHARD_BYTES // (LENGTH + REACH)))
     digests = docs.select("id", F.octet_length("_text").cast("bigint").alias("size"), F.md5(F.col("_text").cast("binary")).alias("digest"))
     first = digests.groupBy("digest").agg(F.min("id").alias("first"))
     copies = written(digests.join(first, "digest").where("id <> first").select("id").distinct(), "copies")
@@ -292,7 +339,7 @@ def repeated_passages(rows: DataFrame) -> DataFrame:
 
     def deal_contexts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in byte_slices(batches, "_text", STEP):
-            yield from _contexts(*string_buffers(part.column("_text")), part.column("id").to_numpy(zero_copy_only=False), part.column("wanted").to_pylist(), shards)
+            yield from _contexts(*string_buffers(part.column("_text")), part.column("id").to_numpy(zero_copy_only=False), part.column("wanted").to_pylist(), shards, split.value)
 
     shared = shared_values(docs.mapInArrow(deal_anchors, DEALT), fragments, True)
     shared = shared.groupBy(F.col("key").alias("id")).agg(F.collect_list("shared").alias("wanted"))
