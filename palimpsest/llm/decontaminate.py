@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import byte_slices, string_buffers
+from .common import byte_slices, string_buffers, written
 
 WINDOW_WORDS = 10
 #: Benchmark text of one broadcast block, in bytes.
@@ -83,18 +83,18 @@ class Windows:
     terms: np.ndarray
     sizes: np.ndarray
     items: np.ndarray
-    names: list[str | None]
+    names: list[list[str]]
 
 
-def windows_of(items: list[tuple[object, str | None]], width: int = WINDOW_WORDS) -> Windows:
+def windows_of(items: list[tuple[list[str], str | None]], width: int = WINDOW_WORDS) -> Windows:
     column = pa.array([t or "" for _, t in items], pa.string())
     lower, starts, ends, first = word_spans(*string_buffers(column))
     raw = lower.tobytes()
     numbers: dict[bytes, int] = {}
     rows, sizes, owners, names = [], [], [], []
-    for i, (item, _) in enumerate(items):
+    for i, (own, _) in enumerate(items):
         ids = [numbers.setdefault(raw[starts[k] : ends[k]], len(numbers)) for k in range(first[i], first[i + 1])]
-        names.append(None if item is None else str(item))
+        names.append(own)
         for k in range(max(1, len(ids) - width + 1) if ids else 0):
             row = ids[k : k + width]
             rows.append(row + [-1] * (width - len(row)))
@@ -190,21 +190,22 @@ class Postings:
         return w[one], s[one], e[one]
 
 
-def blocks_of(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> Iterator[list[tuple[object, str | None]]]:
-    """The benchmark in blocks of bounded size: one unless it is larger than that."""
-    rows = benchmark.select(F.col(item).alias("item"), F.col(text).cast("string").alias("text")).where("text is not null")
+def blocks_of(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> Iterator[list[tuple[list[str], str | None]]]:
+    """Distinct benchmark texts with their items, in blocks of bounded size: one unless they are larger than that."""
+    rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).cast("string").alias("text")).where("text is not null")
+    rows = written(rows.groupBy("text").agg(F.array_sort(F.collect_set("item")).alias("items")), "benchmark")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-int(total) // block_bytes))
     for k in range(n):
         part = rows.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k) if n > 1 else rows
-        yield [(r.item, r.text) for r in part.toLocalIterator()]
+        yield [(r["items"], r["text"]) for r in part.toLocalIterator()]
 
 
 RESULT = "n_words bigint, hit_spans array<struct<start: bigint, end: bigint>>, items array<string>, near_items array<string>"
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _block_matches(df: DataFrame, keep: tuple[str, ...], items: list[tuple[object, str | None]], width: int, near_share: float) -> DataFrame:
+def _block_matches(df: DataFrame, keep: tuple[str, ...], items: list[tuple[list[str], str | None]], width: int, near_share: float) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(windows_of(items, width))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,11 +223,11 @@ def _block_matches(df: DataFrame, keep: tuple[str, ...], items: list[tuple[objec
                 own: list[list[int]] = []
                 full, part_of = set(), set()
                 for window, start, whole in zip(w[rows].tolist(), s[rows].tolist(), exact[rows].tolist()):
-                    name = windows.names[windows.items[window]]
+                    own_names = windows.names[windows.items[window]]
                     if not whole:
-                        part_of.add(name)
+                        part_of.update(own_names)
                         continue
-                    full.add(name)
+                    full.update(own_names)
                     a = start - int(index.doc_start[d])
                     b = a + int(windows.sizes[window])
                     if own and a <= own[-1][1]:
@@ -234,8 +235,8 @@ def _block_matches(df: DataFrame, keep: tuple[str, ...], items: list[tuple[objec
                     else:
                         own.append([a, b])
                 spans.append([{"start": a, "end": b} for a, b in own])
-                named.append(sorted(x for x in full if x is not None))
-                near.append(sorted(x for x in part_of - full if x is not None))
+                named.append(sorted(full))
+                near.append(sorted(part_of - full))
             yield pa.RecordBatch.from_arrays(
                 [*part.columns[:-1], pa.array(index.n_words, pa.int64()), pa.array(spans, SPANS), pa.array(named, pa.list_(pa.string())), pa.array(near, pa.list_(pa.string()))],
                 names=[*keep, "n_words", "hit_spans", "items", "near_items"],
@@ -250,16 +251,20 @@ def phrase_matches(df: DataFrame, benchmark: DataFrame, text: str = "text", keep
     ``items`` with exact phrases and ``near_items`` with proximity matches only.
 
     One pass per block of the benchmark, over the documents where they lie; answers of several
-    blocks meet in one grouping by ``keep``, which must then identify a document.
+    blocks meet by a number that each row gets, so that equal rows stay apart and no text is shuffled
+    for them.
     """
     rows = df.select(*keep, F.col(text).cast("string").alias("_text"))
-    parts = [_block_matches(rows, keep, block, width, near_share) for block in blocks_of(benchmark, item, item_text, block_bytes)]
-    if len(parts) == 1:
-        return parts[0]
+    blocks = blocks_of(benchmark, item, item_text, block_bytes)
+    block, following = next(blocks), next(blocks, None)
+    if following is None:
+        return _block_matches(rows, keep, block, width, near_share)
+    rows = written(rows.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    parts = [_block_matches(rows, ("_row",), own, width, near_share) for own in (block, following, *blocks)]
     together = parts[0]
     for part in parts[1:]:
         together = together.unionByName(part)
-    together = together.groupBy(*keep).agg(
+    together = together.groupBy("_row").agg(
         F.max("n_words").alias("n_words"),
         F.array_sort(F.flatten(F.collect_list("hit_spans"))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
@@ -271,7 +276,7 @@ def phrase_matches(df: DataFrame, benchmark: DataFrame, text: str = "text", keep
         "then concat(slice(done, 1, size(done) - 1), array(struct(element_at(done, -1).start as start, greatest(element_at(done, -1).end, x.end) as end))) "
         "else concat(done, array(x)) end)"
     )
-    return together.select(*keep, "n_words", merged.alias("hit_spans"), "items", F.array_except("near_items", "items").alias("near_items"))
+    return rows.select("_row", *keep).join(together, "_row").select(*keep, "n_words", merged.alias("hit_spans"), "items", F.array_except("near_items", "items").alias("near_items"))
 
 
 def contamination(matches: DataFrame) -> DataFrame:
