@@ -24,14 +24,18 @@ CYCLE, CYCLE_A, CYCLE_B, EPOCH = 146_097, 189, 773, "1800-01-01"
 
 EMAIL = r"(?<![\w.%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+(?<=\.[A-Za-z]{2,12})"
 PHONE = r"(?<![\w+])\+1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|(?<![\w(.-])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])"
-ISO_DATE = r"(?<![\w./-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![\w/]|-[0-9]|\.[0-9])"
+#: Ten digits with dashes or dots, and international numbers of 8 to 15 digits.
+PLAIN_PHONE = r"(?<![\w(.+-])(?:[0-9]{3}-[0-9]{3}-[0-9]{4}|[0-9]{3}\.[0-9]{3}\.[0-9]{4})(?![\w]|[.-][0-9])"
+ABROAD = r"(?<![\w+])\+[2-9](?:[ .-]?[0-9]){7,14}(?![0-9])"
+ISO_DATE = r"(?<![\w./-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?:(?=T[0-9]{2})|(?![\w/]|-[0-9]|\.[0-9]))"
 TURNED_DATE = r"(?<![\w./-])(?:[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![\w/]|-[0-9]|\.[0-9])"
 ADDRESS = r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9])"
 SOCIAL = r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w]|-[0-9])"
 CARD = r"(?<![\w.+-])[0-9](?:[ -]?[0-9]){12,18}(?![\w]|[.-][0-9])"
-SECRET = r"(?:password|passwd|token|secret|api_key|apikey) {0,3}[=:] {0,3}[\"']?[A-Fa-f0-9]{12,128}(?!\w)"
+#: Hexadecimal of 12 digits or more, or eight characters or more with a digit among them.
+SECRET = r"(?i:password|passwd|token|secret|api_key|apikey) {0,3}[=:] {0,3}[\"']?(?:[A-Fa-f0-9]{12,}+(?!\w)|(?=[^\s\"'<>,;]*[0-9])[^\s\"'<>,;]{7,}[^\s\"'<>,;.:!?)])"
 #: Nothing begins inside a word, so most places of a text are left at once.
-ANY = r"(?<!\w)(?:" + "|".join((EMAIL, PHONE, ISO_DATE, TURNED_DATE, ADDRESS, SOCIAL, SECRET, CARD)) + ")"
+ANY = r"(?<!\w)(?:" + "|".join((EMAIL, PHONE, PLAIN_PHONE, ABROAD, ISO_DATE, TURNED_DATE, ADDRESS, SOCIAL, SECRET, CARD)) + ")"
 
 
 def _keyed(key: str, *parts: Column) -> Column:
@@ -116,6 +120,16 @@ def _phone(m: Column, digits: Column, key: str, invert: bool) -> Column:
     return _into(m, F.concat(F.when(F.length(digits) > 10, "1").otherwise(""), moved))
 
 
+def _abroad(m: Column, digits: Column, key: str, invert: bool) -> Column:
+    """The first three digits, which hold the country code, are kept."""
+    many = F.length(digits) - 3
+    left = (many / 2).cast("int")
+    right = many - left
+    power = lambda n: F.pow(F.lit(10.0), n).cast("bigint")
+    new = feistel(_number(digits, F.lit(4), left), _number(digits, F.lit(4) + left, right), power(left), power(right), key, "abroad", invert)
+    return _into(m, _let(new, lambda n: F.concat(F.substring(digits, 1, 3), _padded(n["a"], left), _padded(n["b"], right))))
+
+
 def _address(m: Column, key: str, invert: bool) -> Column:
     octet = [F.split(m, r"\.")[i].cast("bigint") for i in range(4)]
     new = feistel(octet[0] * 256 + octet[1], octet[2] * 256 + octet[3], 65_536, 65_536, key, "ip", invert)
@@ -155,14 +169,15 @@ def pseudonym(m: Column, key: str, invert: bool = False) -> Column:
     octets = F.forall(F.split(m, r"\."), lambda x: x.cast("int") <= 255)
     area = F.substring(digits, -10, 3)
     found = lambda kind, new: F.struct(F.lit(kind).alias("kind"), new.alias("new"))
-    hexed = F.regexp_extract(m, "[A-Fa-f0-9]{12,}$", 0)
+    hexed = F.regexp_extract(m, "[=:] {0,3}[\"']?(.*)$", 1)
     digest = F.concat(*[_keyed(key, F.lit(f"secret{i}"), hexed) for i in range(2)]).substr(F.lit(1), F.length(hexed))
     secret = F.concat(m.substr(F.lit(1), F.length(m) - F.length(hexed)), digest)
     whole = lambda pattern: m.rlike(rf"^(?:{pattern})$")
     return (
         F.when(m.rlike("[=:]"), found("secret", F.lit(None).cast("string") if invert else secret))
         .when(m.contains("@"), found("email", F.lit(None).cast("string") if invert else _email(m, key)))
-        .when(whole(r"\+1.*|\([0-9]{3}\).*"), F.when((area >= "200") & (F.substring(digits, -7, 3) >= "200"), found("phone", _phone(m, digits, key, invert))))
+        .when(whole(r"\+[2-9].*"), found("phone", _abroad(m, digits, key, invert)))
+        .when(whole(r"\+1.*|\([0-9]{3}\).*|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}"), F.when((area >= "200") & (F.substring(digits, -7, 3) >= "200"), found("phone", _phone(m, digits, key, invert))))
         .when(whole("[0-9]{4}-[0-9]{2}-[0-9]{2}"), F.when(iso.isNotNull() & in_cycles, found("date", F.date_format(_date(iso, key, invert), "yyyy-MM-dd"))))
         .when(m.contains("/"), F.when(slashed.isNotNull() & in_cycles, found("date", moved(slashed, "MM/dd/yyyy", "M/d/yyyy"))))
         .when(whole(r"[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}"), F.when(dotted.isNotNull() & in_cycles, found("date", moved(dotted, "dd.MM.yyyy", "d.M.yyyy"))))
@@ -175,7 +190,7 @@ def pseudonym(m: Column, key: str, invert: bool = False) -> Column:
 def pseudonymise(df: DataFrame, key: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), invert: bool = False) -> DataFrame:
     """``keep`` columns, ``text`` with pseudonyms, ``n_private`` and ``kinds`` (of the values)."""
     rows = df.select(*keep, F.col(text).cast("string").alias("_text"))
-    may = F.col("_text").rlike("[0-9@]|(?:password|passwd|token|secret|api_?key) {0,3}[=:]")
+    may = F.col("_text").rlike("[0-9@]|(?i:password|passwd|token|secret|api_?key) {0,3}[=:]")
     found = rows.select(*keep, "_text", F.when(may, F.regexp_extract_all("_text", F.lit(ANY), F.lit(0))).alias("_found"))
     named = found.select(*keep, "_text", "_found", F.when(F.size("_found") > 0, F.transform("_found", lambda m: pseudonym(m, key, invert))).alias("_new"))
     pieces = F.zip_with(F.split("_text", ANY, -1), F.zip_with("_found", "_new", lambda m, n: F.coalesce(n["new"], m)), lambda gap, new: F.concat(gap, F.coalesce(new, F.lit(""))))
