@@ -6,15 +6,16 @@ import argparse
 import json
 import sys
 from datetime import datetime, timezone
+from importlib import import_module
 
 from pyspark.sql import SparkSession
 
 from .operators.blame import format_blame
 from .operators.revert import reverted
 from .plans.policy import grant_admin, revoke_writes
-from .plans.registry import Registry
+from .plans.registry import Registry, declared
 from .sources.store import Engine, write_json_lines
-from .spec import make_spec
+from .spec import Capture
 
 
 def parser() -> argparse.ArgumentParser:
@@ -30,15 +31,22 @@ def parser() -> argparse.ArgumentParser:
     plan.add_argument("--output")
     sub.add_parser("partitions").add_argument("--months", type=int, default=3)
     sub.add_parser("status")
+    sub.add_parser("chain-enable", help="chain every event from here on")
+    sub.add_parser("vacuum").add_argument("--admin", action="store_true", required=True)
+    apply = sub.add_parser("apply", help="install the captures that a module declares")
+    apply.add_argument("module")
+    apply.add_argument("--prune", action="store_true")
+    apply.add_argument("--dry-run", action="store_true")
     policy = sub.add_parser("policy")
     policy.add_argument("role")
-    policy.add_argument("--admin", action="store_true")
+    policy.add_argument("--admin", dest="grant", action="store_true")
     verify = sub.add_parser("chain-verify")
     verify.add_argument("--tip", help="JSON of a tip that was noted before")
     purge = sub.add_parser("purge")
     purge.add_argument("older_than")
     purge.add_argument("--drop-partitions", action="store_true")
     purge.add_argument("--dry-run", action="store_true")
+    purge.add_argument("--admin", action="store_true", help="needed unless it is a dry run")
     blame = sub.add_parser("blame")
     blame.add_argument("table")
     blame.add_argument("object_id")
@@ -61,12 +69,12 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("palimpsest").getOrCreate()
-    engine = Engine(spark, args.log, admin=args.command == "purge")
-    now = datetime.now(timezone.utc).replace(tzinfo=None)
+    engine = Engine(spark, args.log, admin=getattr(args, "admin", False))
+    now = datetime.now(timezone.utc)
     if args.command == "init":
         engine.bootstrap()
     elif args.command == "plan":
-        text = make_spec(args.table, track_only=args.only, exclude_fields=args.exclude, log_conditions=args.condition).build().canonical_text
+        text = Capture(args.table, columns=tuple(args.only) if args.only else None, without=tuple(args.exclude or ()), where=args.condition).plan().text
         if args.output:
             with open(args.output, "w") as f:
                 f.write(text)
@@ -76,15 +84,28 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         for name, start, end in engine.partition_bounds(now, args.months):
             print(name, start.date(), end.date())
     elif args.command == "status":
-        print(json.dumps(engine.status() | {"specs": Registry(engine).installed()}, default=str))
+        print(json.dumps(engine.status() | {"captures": [r.asDict() for r in Registry(engine).installed.orderBy("name").collect()]}, default=str))
     elif args.command == "policy":
-        print(";\n".join(grant_admin("log", args.role, "contexts") if args.admin else revoke_writes("log", args.role, "contexts")))
+        print(";\n".join(grant_admin("log", args.role, "contexts") if args.grant else revoke_writes("log", args.role, "contexts")))
+    elif args.command == "chain-enable":
+        engine.bootstrap()
+        engine.enable_chain()
+    elif args.command == "vacuum":
+        print(engine.vacuum())
+    elif args.command == "apply":
+        import_module(args.module)
+        registry = Registry(engine)
+        if args.dry_run:
+            for row in registry.pending(declared(), args.prune).orderBy("name").toLocalIterator():
+                print(row["action"], row["name"])
+        else:
+            print(json.dumps(registry.apply(declared(), args.prune)))
     elif args.command == "chain-verify":
         result = engine.verify(json.loads(args.tip) if args.tip else None)
         print(json.dumps(result))
         return 0 if result["ok"] else 1
     elif args.command == "purge":
-        print(engine.drop_old_months(now, args.older_than, args.dry_run) if args.drop_partitions else engine.purge(now, args.older_than, args.dry_run))
+        print(engine.drop_old_months(now, args.older_than, args.dry_run) if args.drop_partitions else engine.purge(now, args.older_than, args.dry_run, keep_anchor=True))
     elif args.command == "blame":
         print(format_blame(engine.blame(args.table, args.object_id, args.field, args.limit), args.table, args.object_id, args.format))
     elif args.command == "as-of":

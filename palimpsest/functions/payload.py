@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, functions as F
 
 #: Nulls are kept, and timestamps keep their microseconds.
@@ -48,11 +50,16 @@ def paired_diff(columns: dict[str, str], old: str, new: str, which: str) -> Colu
 
 def json_diff(old: Column, new: Column) -> Column:
     """The same for JSON objects: keys of the new one whose values differ; keys that only the old
-    one has are not reported, a missing key differs from null."""
-    before = F.from_json(old, "map<string,string>")
-    changed = F.filter(F.json_object_keys(new), lambda k: ~(F.coalesce(F.array_contains(F.json_object_keys(old), k), F.lit(False)) & before[k].eqNullSafe(F.from_json(new, "map<string,string>")[k])))
-    entries = F.transform(changed, lambda k: F.struct(k.alias("key"), F.struct(before[k].alias("old"), F.from_json(new, "map<string,string>")[k].alias("new")).alias("value")))
-    return F.when(F.size(entries) > 0, F.map_from_entries(entries))
+    one has are not reported, a missing key differs from null. Each text is parsed once."""
+    sides = F.struct(F.from_json(old, "map<string,string>").alias("old"), F.from_json(new, "map<string,string>").alias("new"))
+
+    def changed(x: Column) -> Column:
+        had = lambda k: F.coalesce(F.map_contains_key(x["old"], k), F.lit(False))
+        differs = F.map_filter(x["new"], lambda k, v: ~(had(k) & x["old"][k].eqNullSafe(v)))
+        return F.transform_values(differs, lambda k, v: F.struct(x["old"][k].alias("old"), v.alias("new")))
+
+    found = F.transform(F.array(sides), changed)[0]
+    return F.when(F.size(found) > 0, found)
 
 
 def touches(field: str) -> Column:
@@ -72,3 +79,12 @@ def metadata_user(column: Column) -> Column:
     """The user's number in metadata; anything that isn't a whole number gives null."""
     text = F.get_json_object(column, "$.user_id")
     return F.when(text.rlike(r"^\s*[+-]?[0-9]+\s*$"), text.try_cast("int"))
+
+
+def hmac_hex(key: str, text: Column) -> Column:
+    """HMAC-SHA256 of a text column, in hex. The plan shows the padded key: give it one that was
+    derived for this use, not a master key."""
+    raw = key.encode()
+    raw = (hashlib.sha256(raw).digest() if len(raw) > 64 else raw).ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(b ^ p for b in raw)) for p in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, text.cast("binary")), 256))), 256)

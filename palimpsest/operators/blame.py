@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import json
-from dataclasses import asdict, dataclass
+from dataclasses import dataclass
 from datetime import datetime
 from typing import Any
 
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import render
-from ..functions.payload import has_key, touches
+from ..functions.payload import JSON_OPTIONS, has_key, touches
 from ..identifiers import validate_identifier
 
 
@@ -27,12 +27,16 @@ class BlameEntry:
     actor: str
 
 
+def own_events(log: DataFrame, table: str, object_id: str, limit: int = 200) -> DataFrame:
+    """A row's first events, oldest first."""
+    validate_identifier(table, "table")
+    return log.where((F.col("table_name") == table) & (F.col("object_id") == str(object_id))).orderBy("changed_at", "id").limit(limit)
+
+
 def blame(log: DataFrame, contexts: DataFrame, table: str, object_id: str, field: str | None = None, limit: int = 200) -> DataFrame:
     """Events of a row, oldest first, with their context. The limit counts events of the row;
     narrowing to a field comes after it."""
-    validate_identifier(table, "table")
-    own = log.where((F.col("table_name") == table) & (F.col("object_id") == str(object_id))).orderBy("changed_at", "id").limit(limit)
-    named = own.join(contexts.select(F.col("id").alias("context_id"), "metadata"), "context_id", "left")
+    named = own_events(log, table, object_id, limit).join(contexts.select(F.col("id").alias("context_id"), "metadata"), "context_id", "left")
     if field is not None:
         keep = F.when(F.col("operation") == "UPDATE", touches(field)).when(F.col("operation") == "INSERT", has_key(F.col("new_data"), field)).when(F.col("operation") == "DELETE", has_key(F.col("old_data"), field))
         named = named.where(F.coalesce(keep, F.lit(False)))
@@ -59,20 +63,28 @@ def entries(found: DataFrame) -> list[BlameEntry]:
     return out
 
 
+def text_lines(found: DataFrame) -> DataFrame:
+    """``id``, ``changed_at`` and an aligned ``line`` for each event; actors have the width of the longest."""
+    width = found.agg(F.coalesce(F.max(F.length("actor")), F.lit(0))).scalar()
+    padded = F.concat("actor", F.repeat(F.lit(" "), width - F.length("actor")))
+    reason = F.when(F.col("change_reason") != "", F.concat(F.lit("  ("), "change_reason", F.lit(")"))).otherwise("")
+    context = F.when(F.col("context_id").isNotNull(), F.concat(F.lit("  ctx="), F.substring("context_id", 1, 8))).otherwise("")
+    whole = F.concat(F.date_format("changed_at", "yyyy-MM-dd HH:mm"), F.lit("  "), F.rpad("operation", 6, " "), F.lit("  "), padded, F.lit("  "), F.coalesce("change", F.lit("")), reason, context)
+    return found.select("id", "changed_at", F.rtrim(whole).alias("line"))
+
+
+def json_rows(found: DataFrame) -> DataFrame:
+    """``id``, ``changed_at`` and each event as a JSON object with an ISO moment."""
+    entry = F.struct("id", "changed_at", "operation", "user_id", "context_id", F.from_json("metadata", "map<string,string>").alias("metadata"), "change_reason", "diff", "actor")
+    return found.select("id", "changed_at", F.to_json(entry, JSON_OPTIONS).alias("entry"))
+
+
 def format_blame(found: DataFrame, table: str, object_id: str, fmt: str = "text", markup: bool = False) -> str:
-    """Aligned lines under a header, or a JSON array."""
+    """Aligned lines under a header, or a JSON array; as many rows as ``blame`` was limited to."""
     if fmt == "json":
-        return json.dumps([asdict(e) | {"changed_at": e.changed_at.isoformat()} for e in entries(found)], ensure_ascii=False)
-    rows = found.select(F.date_format("changed_at", "yyyy-MM-dd HH:mm").alias("at"), "operation", "actor", "change", "change_reason", F.substring("context_id", 1, 8).alias("context")).collect()
-    lines = [f"{table}#{object_id}"]
-    width = max((len(r["actor"]) for r in rows), default=0)
-    for r in rows:
-        line = f"{r['at']}  {r['operation']:<6}  {r['actor']:<{width}}  {r['change']}"
-        line += f"  ({r['change_reason']})" if r["change_reason"] else ""
-        line += f"  ctx={r['context']}" if r["context"] else ""
-        lines.append(line)
-    lines += [] if rows else ["(no events found)"]
-    text = "\n".join(x.rstrip() for x in lines)
+        return "[" + ", ".join(r["entry"] for r in json_rows(found).orderBy("changed_at", "id").collect()) + "]"
+    lines = [r["line"] for r in text_lines(found).orderBy("changed_at", "id").collect()]
+    text = "\n".join([f"{table}#{object_id}", *(lines or ["(no events found)"])])
     return text.replace("[", "\\[") if markup else text
 
 

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..context import Context, current_context
 from ..functions.payload import metadata_user, paired_diff, row_json
 from ..schema import OPERATIONS
-from ..spec import TrackSpec
+from ..spec import Capture
 
 ENVELOPE = ("id", "operation", "changed_at", "object_id", "table_name", "user_id", "old_data", "new_data", "diff", "context_id", "meta")
 
@@ -18,7 +19,7 @@ def _row_columns(changes: DataFrame) -> dict[str, str]:
     return {f.name: f.dataType.simpleString() for f in changes.schema["NEW"].dataType.fields}
 
 
-def capture_cdc(changes: DataFrame, spec: TrackSpec, context: Context | None = None) -> DataFrame:
+def capture_cdc(changes: DataFrame, spec: Capture, context: Context | None = None) -> DataFrame:
     """Events of ordered change records.
 
     ``changes`` has ``operation``, ``changed_at`` and structs ``OLD`` and ``NEW`` of one type (null
@@ -32,14 +33,14 @@ def capture_cdc(changes: DataFrame, spec: TrackSpec, context: Context | None = N
         text = json.dumps(dict(context.metadata), default=str) if context else None
         changes = changes.withColumn("metadata", F.lit(text).cast("string")).withColumn("context_id", F.lit(context.id if context else None).cast("string"))
     changes = changes.withColumn("CTX", F.from_json("metadata", "map<string,string>"))
-    if spec.log_condition:
-        changes = changes.where(F.coalesce(F.expr(spec.log_condition), F.lit(True)))
+    if spec.where:
+        changes = changes.where(F.coalesce(F.expr(spec.where), F.lit(True)))
     diff: Column = F.lit(None)
     for operation in reversed(OPERATIONS):
-        used = {c: columns[c] for c in spec.fields.columns(list(columns), operation)}
+        used = {c: columns[c] for c in spec.compared(columns, operation)}
         diff = F.when(F.col("operation") == operation, paired_diff(used, "OLD", "NEW", operation)).otherwise(diff)
     row = F.coalesce("NEW", "OLD")
-    meta = F.create_map(*[x for f in spec.extra_meta_fields for x in (F.lit(f), F.col(f"NEW.{f}").cast("string"))]) if spec.extra_meta_fields else F.lit(None).cast("map<string,string>")
+    meta = F.create_map(*[x for f in spec.keep for x in (F.lit(f), F.col(f"NEW.{f}").cast("string"))]) if spec.keep else F.lit(None).cast("map<string,string>")
     image = lambda side, absent: F.when((F.col("operation") != absent) & F.col(side).isNotNull(), row_json(F.col(side)))
     events = changes.select(
         *(["id"] if "id" in changes.columns else []),
@@ -65,26 +66,22 @@ def snapshot_changes(before: DataFrame, after: DataFrame, key: str, changed_at:
     return both.select(operation.alias("operation"), changed_at.alias("changed_at"), "OLD", "NEW")
 
 
-def capture_snapshots(before: DataFrame, after: DataFrame, spec: TrackSpec, key: str, changed_at: Column, context: Context | None = None) -> DataFrame:
+def capture_snapshots(before: DataFrame, after: DataFrame, spec: Capture, key: str, changed_at: Column, context: Context | None = None) -> DataFrame:
     return capture_cdc(snapshot_changes(before, after, key, changed_at), spec, context)
 
 
-def with_ids(events: DataFrame, first_id: int) -> DataFrame:
+def with_ids(events: DataFrame, first_id: int, stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Consecutive ids in order of time for one committed batch.
 
-    Counts by partition of a range partitioning are added up on the driver (one number for each
-    partition), so no window sees the whole batch. ``events`` must be a written table: ids have
-    to come out the same when a task is run again.
+    Rows are sorted over a range partitioning and written once (by ``stage``) with their
+    partition and their place in it; every later step reads these numbers as data, so that a new
+    run of a task, or other range bounds, cannot number a row twice. A running sum over one row a
+    partition gives the offsets.
     """
-    order = [F.col(c) for c in ("changed_at", "table_name", "object_id", "operation")]
-    spread = events.repartitionByRange(*order).sortWithinPartitions(*order, F.xxhash64("new_data", "old_data"))
-    numbered = spread.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
-    counts = sorted((r["_part"], r["n"]) for r in numbered.groupBy("_part").agg(F.count("*").alias("n")).collect())
-    offsets, total = {}, first_id
-    for part, n in counts:
-        offsets[part] = total
-        total += n
-    if not offsets:
-        return events.select(F.lit(first_id).cast("bigint").alias("id"), *events.columns)
-    starts = F.create_map(*[F.lit(x).cast("bigint") for pair in offsets.items() for x in pair])
-    return numbered.select((starts[F.col("_part").cast("bigint")] + F.col("_row")).alias("id"), *events.columns)
+    order = [F.col(c) for c in ("changed_at", "table_name", "object_id", "operation")] + [F.xxhash64("new_data", "old_data", "context_id")]
+    spread = events.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = stage(spread.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
+    before = F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    counts = placed.groupBy("_part").agg(F.count("*").alias("n"))
+    offsets = counts.select("_part", (F.coalesce(before, F.lit(0)) + F.lit(first_id)).alias("_offset"))
+    return placed.join(F.broadcast(offsets), "_part").select((F.col("_offset") + F.col("_row")).cast("bigint").alias("id"), *events.columns)

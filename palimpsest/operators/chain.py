@@ -67,27 +67,32 @@ def chain_tip(log: DataFrame) -> DataFrame:
     return log.where(F.col("row_hash").isNotNull()).orderBy(F.desc_nulls_last("chain_seq"), F.desc("id")).limit(1).select("id", "chain_seq", "row_hash", "changed_at")
 
 
-def with_expected(log: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def with_expected(log: DataFrame, bucket_rows: int = BUCKET_ROWS, start: str | None = None) -> DataFrame:
     """Chained rows with ``expected_prev``, the hash before them in order of ``chain_seq``, rows
-    without one first, then id."""
+    without one first, then id. ``start`` is the hash before the first one."""
     rows = log.where(F.col("row_hash").isNotNull()).withColumn("_bucket", F.coalesce(F.floor(F.col("chain_seq") / bucket_rows), F.lit(-1)))
     order = [F.asc_nulls_first("chain_seq"), F.asc("id")]
     rows = rows.withColumn("_lag", F.lag("row_hash").over(Window.partitionBy("_bucket").orderBy(*order)))
     first = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
     rows = rows.withColumn("_first", first == 1)
     last = F.max(F.struct(F.coalesce("chain_seq", F.lit(-(1 << 62))).alias("s"), "id", "row_hash"))
-    ends = rows.groupBy("_bucket").agg(last.alias("end")).select("_bucket", F.lag("end.row_hash").over(Window.orderBy("_bucket")).alias("_before"))
+    ends = rows.groupBy("_bucket").agg(last.alias("end")).select("_bucket", F.lag("end.row_hash", 1, start).over(Window.orderBy("_bucket")).alias("_before"))
     joined = rows.join(ends, "_bucket", "left")
     return joined.withColumn("expected_prev", F.when(F.col("_first"), F.col("_before")).otherwise(F.col("_lag"))).drop("_bucket", "_lag", "_first", "_before")
 
 
-def verify(log: DataFrame, expected_tip: dict[str, Any] | None = None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def verify(log: DataFrame, expected_tip: dict[str, Any] | None = None, bucket_rows: int = BUCKET_ROWS, chain_from: int | None = None, anchor: dict[str, Any] | None = None) -> DataFrame:
     """Broken rows: ``id`` and one ``reason`` each. A wrong link hides a wrong hash; empty and
-    null hashes are equal. A tip that was noted before must still be there as it was."""
-    rows = with_expected(log, bucket_rows)
+    null hashes are equal. A tip that was noted before must still be there as it was. From the id
+    ``chain_from`` on every row must have a hash; ``anchor`` is the last row that a purge has
+    taken, which the first row left must follow."""
+    rows = with_expected(log, bucket_rows, (anchor or {}).get("row_hash"))
     blank = lambda c: F.when(F.col(c) != "", F.col(c))
     reason = F.when(~blank("prev_hash").eqNullSafe(blank("expected_prev")), "prev_hash mismatch").when(row_hash(digest(), F.col("expected_prev")) != F.col("row_hash"), "row_hash mismatch")
     broken = rows.select("id", reason.alias("reason")).where("reason is not null")
+    if chain_from is not None:
+        bare = log.where((F.col("id") >= chain_from) & F.col("row_hash").isNull())
+        broken = broken.unionByName(bare.select("id", F.lit("row without a hash").alias("reason")))
     if not expected_tip or expected_tip.get("id") is None:
         return broken
     tip_id, tip_hash = int(expected_tip["id"]), expected_tip.get("row_hash")
@@ -96,16 +101,21 @@ def verify(log: DataFrame, expected_tip: dict[str, Any] | None = None, bucket_ro
         F.when(F.col("own").isNull(), F.lit("expected tip row is missing")).when(F.col("own.h") != F.lit(tip_hash or ""), F.lit("expected tip hash changed")),
         F.when(F.col("most") < tip_id, F.lit("tail of the log is missing")),
     )
-    anchor = there.select(F.lit(tip_id).cast("bigint").alias("id"), F.explode(checks).alias("reason")).where("reason is not null")
-    return broken.unionByName(anchor)
+    noted = there.select(F.lit(tip_id).cast("bigint").alias("id"), F.explode(checks).alias("reason")).where("reason is not null")
+    return broken.unionByName(noted)
 
 
-def verify_summary(log: DataFrame, expected_tip: dict[str, Any] | None = None) -> dict[str, Any]:
-    broken = [(r["id"], r["reason"]) for r in verify(log, expected_tip).orderBy("id").collect()]
-    return {"checked": log.where(F.col("row_hash").isNotNull()).count(), "ok": not broken, "broken": broken}
+def summary(log: DataFrame, broken: DataFrame) -> DataFrame:
+    """One row: chained rows that were checked, whether all is well, and how many are broken."""
+    count = broken.agg(F.count("*")).scalar()
+    return log.agg(F.count("row_hash").alias("checked")).select("checked", (count == 0).alias("ok"), count.alias("n_broken"))
 
 
-def purge_anchor(log: DataFrame, cutoff: Any) -> dict[str, Any] | None:
-    """The last row that a purge will take; a later check of what is left may start from it."""
-    rows = chain_tip(log.where(F.col("changed_at") < F.lit(cutoff))).collect()
-    return rows[0].asDict() if rows else None
+def verify_summary(log: DataFrame, expected_tip: dict[str, Any] | None = None, chain_from: int | None = None, anchor: dict[str, Any] | None = None, first: int = 1000) -> dict[str, Any]:
+    """Counts, and the first broken rows; ``verify`` gives the table of all of them."""
+    if expected_tip and anchor and expected_tip.get("id") is not None and expected_tip["id"] <= anchor["id"]:
+        expected_tip = None  # a purge has taken the whole chain
+    broken = verify(log, expected_tip, chain_from=chain_from, anchor=anchor)
+    found = summary(log, broken).first()
+    rows = [(r["id"], r["reason"]) for r in broken.orderBy("id", "reason").limit(first).collect()] if found["n_broken"] else []
+    return {"checked": found["checked"], "ok": found["ok"], "n_broken": found["n_broken"], "broken": rows}

@@ -29,6 +29,11 @@ def integrity_check(log: DataFrame, live: DataFrame) -> DataFrame:
     return joined.withColumn("status", status)
 
 
+def log_counts(log: DataFrame) -> DataFrame:
+    """Rows and the last id, 0 in an empty log."""
+    return log.agg(F.count("*").alias("rows"), F.coalesce(F.max("id"), F.lit(0)).alias("last_id"))
+
+
 def chain_status(log: DataFrame) -> DataFrame:
     return log.agg(
         F.count("*").alias("total"),
@@ -93,9 +98,11 @@ def latency_quantiles(df: DataFrame, value: str, by: str, accuracy: int = 10_000
 
 
 def statement_statistics(df: DataFrame, name: str, millis: str, top: int = 25) -> DataFrame:
-    """Calls, total, mean and relative spread of timed statements, slowest first."""
+    """Calls, total, mean, relative spread and share of all time of timed statements, slowest first."""
     mean = F.avg(millis)
-    return df.groupBy(name).agg(F.count("*").alias("calls"), F.sum(millis).alias("total_ms"), mean.alias("mean_ms"), F.try_divide(F.stddev_pop(millis), mean).alias("spread")).orderBy(F.desc("total_ms"), name).limit(top)
+    rows = df.groupBy(name).agg(F.count("*").alias("calls"), F.sum(millis).alias("total_ms"), mean.alias("mean_ms"), F.try_divide(F.stddev_pop(millis), mean).alias("spread"))
+    total = rows.agg(F.sum("total_ms")).scalar()
+    return rows.withColumn("percent", 100 * F.col("total_ms") / total).orderBy(F.desc("total_ms"), name).limit(top)
 
 
 def partition_sizes(log: DataFrame) -> DataFrame:

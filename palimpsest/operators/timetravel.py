@@ -15,10 +15,6 @@ from ..identifiers import validate_identifier
 from ..plans.months import until
 
 
-def _image(column: str = "new_data"):
-    return F.col(column)
-
-
 def row_as_of(log: DataFrame, table: str, object_id: str, at: datetime | str) -> DataFrame:
     """At most one row: the image at a moment. Top one by time, then nothing if it is a DELETE."""
     validate_identifier(table, "table")
@@ -126,5 +122,8 @@ class Tracked:
     def field_history(self, pk: Any, field: str) -> DataFrame:
         return field_history(self.log, self.table, str(pk), field)
 
+    def state(self, at: datetime | str) -> DataFrame:
+        return table_as_of(self.log, self.table, at)
+
     def state_as_of(self, at: datetime | str) -> Iterator[HistoricalRow]:
-        return historical_rows(table_as_of(self.log, self.table, at), self.table, at)
+        return historical_rows(self.state(at), self.table, at)

@@ -2,24 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+TEXTS, PAIRS = "map<string,string>", "map<string,struct<old:string,new:string>>"
 
-def is_paired(diff_json: str = "diff") -> F.Column:
-    """Whether all values of a diff are objects of old and new."""
-    values = F.map_values(F.from_json(diff_json, "map<string,string>"))
-    return F.size(values).isNotNull() & F.forall(values, lambda v: F.coalesce(F.array_sort(F.json_object_keys(v)) == F.array(F.lit("new"), F.lit("old")), F.lit(False)))
+
+def _paired(values: Column) -> Column:
+    """Whether all values of a diff are objects of old and new; only what looks like an object is parsed."""
+    sides = lambda v: F.array_sort(F.json_object_keys(v)) == F.array(F.lit("new"), F.lit("old"))
+    return F.size(values).isNotNull() & F.forall(F.map_values(values), lambda v: F.coalesce(F.when(v.startswith("{"), sides(v)), F.lit(False)))
+
+
+def is_paired(diff_json: str = "diff") -> Column:
+    return F.transform(F.array(F.from_json(diff_json, TEXTS)), _paired)[0]
 
 
 def paired(log: DataFrame, diff_json: str = "diff") -> DataFrame:
     """Diffs of new values only become pairs, with old values from the old image; paired ones
-    stay. Running it twice changes nothing. The result's diff is a map."""
-    shape = "map<string,struct<old:string,new:string>>"
-    values, old, new = (F.from_json(c, "map<string,string>") for c in (diff_json, "old_data", "new_data"))
-    side = lambda image, k: F.when(image.isNotNull(), image[k])
-    upgraded = (
-        F.when(F.col("operation") == "UPDATE", F.transform_values(values, lambda k, v: F.struct(side(old, k).alias("old"), v.alias("new"))))
-        .when(F.col("operation") == "INSERT", F.transform_values(new, lambda k, v: F.struct(F.lit(None).cast("string").alias("old"), v.alias("new"))))
-        .when(F.col("operation") == "DELETE", F.transform_values(old, lambda k, v: F.struct(v.alias("old"), F.lit(None).cast("string").alias("new"))))
-    )
-    return log.withColumn(diff_json, F.when(is_paired(diff_json), F.from_json(diff_json, shape)).otherwise(upgraded))
+    stay. Running it twice changes nothing. The result's diff is a map. Each text is parsed once
+    for a row: the maps are bound before the lambdas that look into them."""
+    parsed = F.struct(*[F.from_json(c, TEXTS).alias(n) for n, c in (("values", diff_json), ("old", "old_data"), ("new", "new_data"))])
+    nothing = F.lit(None).cast("string")
+
+    def pairs(x: Column) -> Column:
+        return (
+            F.when(F.col("operation") == "UPDATE", F.transform_values(x["values"], lambda k, v: F.struct(F.when(x["old"].isNotNull(), x["old"][k]).alias("old"), v.alias("new"))))
+            .when(F.col("operation") == "INSERT", F.transform_values(x["new"], lambda k, v: F.struct(nothing.alias("old"), v.alias("new"))))
+            .when(F.col("operation") == "DELETE", F.transform_values(x["old"], lambda k, v: F.struct(v.alias("old"), nothing.alias("new"))))
+        )
+
+    upgraded = F.transform(F.array(parsed), lambda x: F.when(_paired(x["values"]), F.from_json(diff_json, PAIRS)).otherwise(pairs(x)))[0]
+    return log.withColumn(diff_json, upgraded)

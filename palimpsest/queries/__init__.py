@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import asking, capturing, keeping, streams
+from . import asking, capturing, chains, keeping, logs, reports, streams
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for _part in (capturing, asking, keeping, streams):
+for _part in (capturing, asking, keeping, streams, chains, logs, reports):
     QUERIES |= _part.register.queries
     SQL |= _part.register.sql

@@ -137,9 +137,9 @@ def value_rendering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", render.value(F.col("text")).alias("shown"))
 
 
-@register("""SELECT id, 'event_type' AS field, old_type AS old, event_type AS new FROM audit WHERE event_type IS DISTINCT FROM old_type UNION ALL SELECT id, 'k', CAST(old_k AS VARCHAR), CAST(k AS VARCHAR) FROM audit WHERE k IS DISTINCT FROM old_k""")
+@register(" UNION ALL ".join(f"SELECT id, '{c}' AS field, CAST(old_{o} AS VARCHAR) AS old, CAST({c} AS VARCHAR) AS new FROM audit WHERE {c} IS DISTINCT FROM old_{o}" for c, o in (("event_type", "type"), ("k", "k"), ("value", "value"))))
 def image_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blame_ops.image_changes(testlog.log(spark, sf_dir)).where("field IN ('event_type', 'k')").select("id", "field", "old", "new")
+    return blame_ops.image_changes(testlog.log(spark, sf_dir)).where("field <> 'id'").select("id", "field", "old", "new")
 
 
 @register("SELECT ctx.id, ctx.source, ctx.username AS \"user\", ctx.reason, coalesce(n, 0) AS events FROM ctx LEFT JOIN (SELECT context_id, count(*) AS n FROM audit GROUP BY context_id) c ON c.context_id = ctx.id")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..operators import timetravel
 from ..operators.capture import capture_cdc, capture_snapshots
 from ..sources import testlog
-from ..spec import FieldFilter, TrackSpec
+from ..spec import Capture
 from .base import AT, EVENT_SQL, OBJECT, Registered, event_columns, image, micros
 
 register = Registered()
@@ -48,35 +48,35 @@ def diff_entries_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("SELECT id, operation FROM audit WHERE operation <> 'UPDATE' OR event_type IS DISTINCT FROM old_type")
 def diff_only_suppressed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return testlog.log(spark, sf_dir, TrackSpec("events", fields=FieldFilter.only("event_type"))).select("id", "operation")
+    return testlog.log(spark, sf_dir, Capture("events", columns=("event_type",))).select("id", "operation")
 
 
 @register("SELECT id, CASE operation WHEN 'DELETE' THEN 'event_type,id,k,value' ELSE 'event_type' END AS fields FROM audit WHERE operation <> 'UPDATE' OR event_type IS DISTINCT FROM old_type")
 def diff_only_delete_all_cols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = testlog.log(spark, sf_dir, TrackSpec("events", fields=FieldFilter.only("event_type")))
+    log = testlog.log(spark, sf_dir, Capture("events", columns=("event_type",)))
     return log.select("id", F.array_join(F.array_sort(F.map_keys("diff")), ",").alias("fields"))
 
 
 @register("SELECT id, operation, CASE WHEN operation = 'UPDATE' THEN concat_ws(',', CASE WHEN event_type IS DISTINCT FROM old_type THEN 'event_type' END, CASE WHEN k IS DISTINCT FROM old_k THEN 'k' END) ELSE 'event_type,id,k' END AS fields FROM audit WHERE operation <> 'UPDATE' OR event_type IS DISTINCT FROM old_type OR k IS DISTINCT FROM old_k")
 def diff_exclude(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = testlog.log(spark, sf_dir, TrackSpec("events", fields=FieldFilter.exclude("value")))
+    log = testlog.log(spark, sf_dir, Capture("events", without=("value",)))
     return log.select("id", "operation", F.array_join(F.array_sort(F.map_keys("diff")), ",").alias("fields"))
 
 
 @register("SELECT id, operation FROM audit WHERE operation = 'DELETE' OR value IS NULL OR value > 50")
 def log_condition_null_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return testlog.log(spark, sf_dir, TrackSpec("events", log_condition="NEW.value > 50")).select("id", "operation")
+    return testlog.log(spark, sf_dir, Capture("events", where="NEW.value > 50")).select("id", "operation")
 
 
 @register("SELECT id, operation FROM audit WHERE operation <> 'DELETE' AND value > 50 AND (context_id IS NULL OR owner % 3 = 0)")
 def log_condition_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Null-safe, so that deletes are skipped, and reading the context's metadata."""
-    return testlog.log(spark, sf_dir, TrackSpec("events", log_condition="NEW IS NOT NULL AND NEW.value > 50 AND CTX['source'] = 'http'")).select("id", "operation")
+    return testlog.log(spark, sf_dir, Capture("events", where="NEW IS NOT NULL AND NEW.value > 50 AND CTX['source'] = 'http'")).select("id", "operation")
 
 
 @register("SELECT id, CASE WHEN operation <> 'DELETE' THEN event_type END AS event_type, CASE WHEN operation <> 'DELETE' THEN k END AS k, TRUE AS has_meta FROM audit")
 def meta_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = testlog.log(spark, sf_dir, TrackSpec("events", extra_meta_fields=("event_type", "k")))
+    log = testlog.log(spark, sf_dir, Capture("events", keep=("event_type", "k")))
     return log.select("id", F.col("meta")["event_type"].alias("event_type"), F.col("meta")["k"].cast("bigint").alias("k"), F.col("meta").isNotNull().alias("has_meta"))
 
 
@@ -92,7 +92,7 @@ SELECT CASE WHEN b.o_orderkey IS NULL THEN 'INSERT' WHEN a.o_orderkey IS NULL TH
 FROM b FULL OUTER JOIN a ON a.o_orderkey = b.o_orderkey WHERE b.o_orderkey IS NULL OR a.o_orderkey IS NULL OR a.o_orderstatus IS DISTINCT FROM b.o_orderstatus OR a.o_totalprice IS DISTINCT FROM b.o_totalprice""", log=False)
 def snapshot_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
     before, after = testlog.order_snapshots(spark, sf_dir)
-    events = capture_snapshots(before, after, TrackSpec("orders"), "o_orderkey", F.lit(AT).cast("timestamp"))
+    events = capture_snapshots(before, after, Capture("orders"), "o_orderkey", F.lit(AT).cast("timestamp"))
     get = lambda side, n: F.get_json_object(side, f"$.{n}")
     return events.select("operation", F.coalesce(get("new_data", "o_orderkey"), get("old_data", "o_orderkey")).cast("bigint").alias("o_orderkey"), get("old_data", "o_orderstatus").alias("old_status"), get("new_data", "o_orderstatus").alias("new_status"))
 
@@ -118,12 +118,12 @@ def resurrections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points.join(there, ["object_id", "at"], "left_anti").groupBy("object_id").agg(F.count("*").alias("deleted_then_back"))
 
 
-@register("""SELECT object_id, event_type, value, k FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY changed_at DESC, id DESC) AS n FROM audit) WHERE n = 1 AND operation = 'DELETE') WHERE FALSE""")
+@register("""SELECT object_id, operation <> 'DELETE' AS there FROM (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY changed_at DESC, id DESC) AS n FROM audit) WHERE n = 1""")
 def asof_row_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Objects whose last event is a DELETE, asked for after it: nothing is there."""
+    """Every object, asked for after all events: one whose last event is a DELETE is not there."""
     log = testlog.log(spark, sf_dir)
-    gone = log.groupBy("object_id").agg(F.max_by("operation", F.struct("changed_at", "id")).alias("last")).where("last = 'DELETE'").select("object_id")
-    return image(timetravel.table_as_of(log, "events", "2030-01-01 00:00:00").join(gone, "object_id", "left_semi"))
+    there = timetravel.table_as_of(log, "events", "2030-01-01 00:00:00").select("object_id", F.lit(True).alias("there"))
+    return log.select("object_id").distinct().join(there, "object_id", "left").select("object_id", F.coalesce("there", F.lit(False)).alias("there"))
 
 
 @register(f"""SELECT id, changed_us, CASE WHEN operation <> 'DELETE' THEN event_type END AS value FROM audit WHERE object_id = '{OBJECT}' AND (operation <> 'UPDATE' OR event_type IS DISTINCT FROM old_type)""")

@@ -1,8 +1,7 @@
 """The hash chain over the whole log, with its full images.
 
-The chain is built once and written, as a log keeps it; checks read what was written. Building and
-its tip have no SQL, as a recursion over the whole log is too slow there; the tests hold them
-against a plain fold. What the checks find has SQL over all events.
+The chain is built once and written, as a log keeps it; checks read what was written. The SQL of
+building it and of its tip is a recursion over all events with their whole images.
 """
 
 from __future__ import annotations
@@ -11,14 +10,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import chain, metrics
 from ..sources import testlog
-from .base import AT, Registered
-from .streams import _folder
+from ..sources.folders import fresh_folder
+from .base import AT, LOG, Registered, sql_field
 
 register = Registered()
 
 
 def _kept(df: DataFrame, spark: SparkSession) -> DataFrame:
-    path = f"{_folder(spark)}/chain"
+    path = fresh_folder(spark, "chain")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -45,19 +44,35 @@ def tampered(log: DataFrame) -> DataFrame:
     return log.withColumns(changed)
 
 
-@register(None)
+def _sql_image(kind: str, value: str, k: str, absent: str) -> str:
+    text = f"""concat('{{"id":', object_id, ',"event_type":"', {kind}, '","value":', CAST({value} AS VARCHAR), ',"k":', CAST({k} AS VARCHAR), '}}')"""
+    return f"CASE WHEN operation <> '{absent}' THEN {text} END"
+
+
+FIELDS = ("CAST(id AS VARCHAR)", "CAST(changed_us AS VARCHAR)", "operation", "'events'", _sql_image("old_type", "old_value", "old_k", "INSERT"), _sql_image("event_type", "value", "k", "DELETE"))
+CHAIN = f""", p AS MATERIALIZED (SELECT id, sha256(concat({", ".join(sql_field(v) for v in FIELDS)})) AS digest, row_number() OVER (ORDER BY id) AS seq FROM audit),
+h AS (SELECT id, seq, CAST(NULL AS VARCHAR) AS prev_hash, sha256(concat('v1|', digest, '|')) AS row_hash FROM p WHERE seq = 1
+UNION ALL SELECT p.id, p.seq, h.row_hash, sha256(concat('v1|', p.digest, '|', h.row_hash)) FROM h JOIN p ON p.seq = h.seq + 1) """
+
+
+def _recursive(sql: str) -> str:
+    return (LOG + CHAIN).replace("WITH e AS", "WITH RECURSIVE e AS", 1) + sql
+
+
+@register(_recursive("SELECT id, seq AS chain_seq, prev_hash, row_hash FROM h"), log=False)
 def chain_log_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chain.chained(_rows(spark, sf_dir)).select("id", "chain_seq", "prev_hash", "row_hash")
 
 
-@register(None)
+@register(_recursive("SELECT id, seq AS chain_seq, row_hash FROM h ORDER BY seq DESC LIMIT 1"), log=False)
 def chain_log_tip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chain.chain_tip(chain.chained(_rows(spark, sf_dir))).select("id", "chain_seq", "row_hash")
 
 
-@register("SELECT CAST(NULL AS BIGINT) AS id, CAST(NULL AS VARCHAR) AS reason WHERE FALSE", log=False)
+@register("SELECT count(*) AS checked, TRUE AS ok, CAST(0 AS BIGINT) AS n_broken FROM audit")
 def chain_log_verify_ok(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chain.verify(_chained(spark, sf_dir))
+    log = _chained(spark, sf_dir)
+    return chain.summary(log, chain.verify(log))
 
 
 @register("SELECT id, 'row_hash mismatch' AS reason FROM audit WHERE id % 10 = 0")
@@ -92,3 +107,19 @@ def chain_log_legacy_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("SELECT count(*) AS total, count(*) AS chained, count(*) AS hashed, count(*) AS tip_seq FROM audit")
 def chain_log_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.chain_status(_chained(spark, sf_dir)).select("total", "chained", "hashed", "tip_seq")
+
+
+@register("SELECT id, 'row without a hash' AS reason FROM audit WHERE id % 50 = 7")
+def chain_log_bare_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that somebody has put in beside the chain after it was switched on."""
+    rows = _rows(spark, sf_dir)
+    own = F.col("id") % 50 == 7
+    none = [F.lit(None).cast(k).alias(c) for c, k in (("row_hash", "string"), ("prev_hash", "string"), ("chain_seq", "bigint"))]
+    log = _kept(chain.chained(rows.where(~own)).unionByName(rows.where(own).select("*", *none)), spark)
+    return chain.verify(log, chain_from=0)
+
+
+#: Names of the first round; they read the whole log now, as their namesakes do.
+for _old, _new in {"chain_build": "build", "chain_tip": "tip", "chain_verify_ok": "verify_ok", "chain_verify_tampered": "verify_tampered", "chain_tail_truncated": "tail_truncated", "chain_anchor_rewritten": "anchor_rewritten", "chain_legacy_rows": "legacy_rows", "chain_status": "status"}.items():
+    register.queries[_old] = register.queries[f"chain_log_{_new}"]
+    register.sql[_old] = register.sql[f"chain_log_{_new}"]

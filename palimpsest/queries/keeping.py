@@ -8,95 +8,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.intervals import month_bounds
 from ..functions.payload import has_key
-from ..operators import chain, contexts as context_ops, metrics, retention, revert, upgrade
+from ..operators import contexts as context_ops, retention, revert, upgrade
+from ..operators.timetravel import table_as_of, typed_rows
 from ..plans.months import with_month
 from ..sources import importers, testlog
-from .base import NOW, OBJECT, Registered, micros, sql_field
+from .base import NOW, OBJECT, Registered, micros
 
 register = Registered()
-FIRST = 300
-
-
-def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first events with plain texts as images, whose hashes SQL can build too."""
-    text = lambda side: F.when(F.col(side).isNotNull(), F.concat(F.lit("{k:"), F.get_json_object(side, "$.k"), F.lit("}")))
-    log = testlog.log(spark, sf_dir).where(F.col("id") <= FIRST)
-    return log.select("id", "changed_at", "operation", "table_name", text("old_data").alias("old_data"), text("new_data").alias("new_data"))
-
-
-def _fields(new: str = "CASE WHEN operation <> 'DELETE' THEN concat('{k:', CAST(k AS VARCHAR), '}') END") -> str:
-    old = "CASE WHEN operation <> 'INSERT' THEN concat('{k:', CAST(old_k AS VARCHAR), '}') END"
-    values = ("CAST(id AS VARCHAR)", "CAST(changed_us AS VARCHAR)", "operation", "'events'", old, new)
-    return f"sha256(concat({', '.join(sql_field(v) for v in values)}))"
-
-
-CHAIN = f""", p AS (SELECT id, changed_us, operation, k, old_k, {_fields()} AS digest, row_number() OVER (ORDER BY id) AS seq FROM audit WHERE id <= {FIRST}),
-"""
-RUN = """h AS (SELECT p.id, p.seq, CAST(NULL AS VARCHAR) AS prev_hash, sha256(concat('v1|', p.digest, '|')) AS row_hash FROM p WHERE seq = 1
-UNION ALL SELECT p.id, p.seq, h.row_hash, sha256(concat('v1|', p.digest, '|', h.row_hash)) FROM h JOIN p ON p.seq = h.seq + 1) """
-
-
-def _recursive(sql: str) -> str:
-    from .base import LOG
-
-    return (LOG + CHAIN + RUN).replace("WITH e AS", "WITH RECURSIVE e AS", 1) + sql
-
-
-def _chained(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chain.chained(_rows(spark, sf_dir))
-
-
-@register(_recursive("SELECT id, seq AS chain_seq, prev_hash, row_hash FROM h"), log=False)
-def chain_build_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _chained(spark, sf_dir).select("id", "chain_seq", "prev_hash", "row_hash")
-
-
-@register(_recursive("SELECT id, seq AS chain_seq, row_hash FROM h ORDER BY seq DESC LIMIT 1"), log=False)
-def chain_tip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chain.chain_tip(_chained(spark, sf_dir)).select("id", "chain_seq", "row_hash")
-
-
-@register("SELECT CAST(NULL AS BIGINT) AS id, CAST(NULL AS VARCHAR) AS reason WHERE FALSE", log=False)
-def chain_verify_ok(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chain.verify(_chained(spark, sf_dir), bucket_rows=64)
-
-
-@register(f"SELECT max(id) AS id, 'row_hash mismatch' AS reason FROM audit WHERE id <= {FIRST} AND id % 10 = 0 GROUP BY id")
-def chain_verify_tampered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edited = F.when(F.col("id") % 10 == 0, F.lit("{edited}")).otherwise(F.col("new_data"))
-    return chain.verify(_chained(spark, sf_dir).withColumn("new_data", edited), bucket_rows=64)
-
-
-def _tip(spark: SparkSession, sf_dir: str) -> dict:
-    return chain.chain_tip(_chained(spark, sf_dir)).first().asDict()
-
-
-@register(f"SELECT m AS id, unnest(['expected tip row is missing', 'tail of the log is missing']) AS reason FROM (SELECT max(id) AS m FROM audit WHERE id <= {FIRST})")
-def chain_tail_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tip = _tip(spark, sf_dir)
-    return chain.verify(_chained(spark, sf_dir).where(F.col("id") < tip["id"]), tip)
-
-
-@register(f"SELECT max(id) AS id, 'expected tip hash changed' AS reason FROM audit WHERE id <= {FIRST}")
-def chain_anchor_rewritten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tip = _tip(spark, sf_dir)
-    return chain.verify(_chained(spark, sf_dir), tip | {"row_hash": "0" * 64})
-
-
-@register(f", a AS (SELECT id, row_number() OVER (ORDER BY id) AS n FROM audit WHERE id <= {FIRST}) SELECT count(*) AS total, CAST(0 AS BIGINT) AS broken, count(*) - 50 AS hashed FROM a")
-def chain_legacy_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows from before the chain have no hash and are not part of it."""
-    rows = _rows(spark, sf_dir)
-    legacy = rows.orderBy("id").limit(50)
-    none = [F.lit(None).cast(k).alias(c) for c, k in (("row_hash", "string"), ("prev_hash", "string"), ("chain_seq", "bigint"))]
-    log = chain.chained(rows.join(legacy.select("id"), "id", "left_anti")).unionByName(legacy.select("*", *none))
-    broken = chain.verify(log, bucket_rows=64).agg(F.count("*")).scalar()
-    return log.agg(F.count("*").alias("total"), F.count("row_hash").alias("hashed")).select("total", broken.alias("broken"), "hashed")
-
-
-@register(f"SELECT count(*) AS total, count(*) AS chained, count(*) AS hashed, count(*) AS tip_seq FROM audit WHERE id <= {FIRST}")
-def chain_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.chain_status(_chained(spark, sf_dir)).select("total", "chained", "hashed", "tip_seq")
 
 
 @register(f"SELECT id, changed_us FROM audit WHERE changed_at >= TIMESTAMP '{NOW}' - INTERVAL 14 DAY")
@@ -105,18 +23,31 @@ def purge_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retention.survivors(log, datetime.fromisoformat(NOW), "2 weeks").select("id", micros().alias("changed_us"))
 
 
-@register("SELECT strftime(m, '%Y-%m') AS month FROM generate_series(TIMESTAMP '2023-01-01', TIMESTAMP '2024-02-01', INTERVAL 1 MONTH) g(m) WHERE m + INTERVAL 1 MONTH <= TIMESTAMP '2024-01-31' - INTERVAL 6 MONTH", log=False)
+SHIFTED = "SELECT *, changed_at - to_months(CAST(id % 9 AS INTEGER)) AS moved FROM audit"
+
+
+def shifted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log over nine months: its moments moved back by a number of months that the id gives."""
+    log = testlog.log(spark, sf_dir)
+    return log.withColumn("changed_at", (F.col("changed_at") - F.make_interval(months=(F.col("id") % 9).cast("int"))).cast("timestamp"))
+
+
+@register(f"SELECT DISTINCT strftime(moved, '%Y-%m') AS month FROM ({SHIFTED}) WHERE date_trunc('month', moved) + INTERVAL 1 MONTH <= TIMESTAMP '2024-01-31' - INTERVAL 4 MONTH")
 def dropped_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    months = [name for name, _, _ in month_bounds(datetime(2023, 1, 1), 14)]
-    names = retention.droppable_months([*months, "__DEFAULT__"], datetime.fromisoformat(NOW), "6 months")
+    months = [r[0] for r in with_month(shifted(spark, sf_dir)).select("changed_month").distinct().collect()]
+    names = retention.droppable_months([*months, "__DEFAULT__"], datetime.fromisoformat(NOW), "4 months")
     return spark.createDataFrame([(n,) for n in names], "month string")
 
 
-@register("SELECT strftime(m, '%Y-%m') AS month, epoch_us(m) AS start_us, epoch_us(m + INTERVAL 1 MONTH) AS end_us FROM generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-04-01', INTERVAL 1 MONTH) g(m)", log=False)
+@register(f"SELECT strftime(m, '%Y-%m') AS month, epoch_us(m) AS start_us, epoch_us(m + INTERVAL 1 MONTH) AS end_us, n AS events FROM (SELECT date_trunc('month', moved) AS m, count(*) AS n FROM ({SHIFTED}) GROUP BY 1)")
 def partition_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = month_bounds(datetime.fromisoformat(NOW), 4)
-    frame = spark.createDataFrame([(n, a.isoformat(sep=" "), b.isoformat(sep=" ")) for n, a, b in rows], "month string, a string, b string")
-    return frame.select("month", micros("a").alias("start_us"), micros("b").alias("end_us"))
+    """Bounds of the months from the oldest event on, and the events that lie in them."""
+    log = shifted(spark, sf_dir)
+    first, last = log.agg(F.min("changed_at"), F.max("changed_at")).first()
+    rows = month_bounds(first, (last.year - first.year) * 12 + last.month - first.month + 1)
+    bounds = spark.createDataFrame([(n, a, b) for n, a, b in rows], "month string, a timestamp, b timestamp")
+    inside = F.broadcast(bounds).join(log, (F.col("changed_at") >= F.col("a")) & (F.col("changed_at") < F.col("b")))
+    return inside.groupBy("month", micros("a").alias("start_us"), micros("b").alias("end_us")).agg(F.count("*").alias("events"))
 
 
 @register("""WITH v AS (SELECT user_id, event_type, ts, event_id, LAG(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS was FROM events)
@@ -128,33 +59,41 @@ def context_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_ops.resolve(versions).select("id", "metadata", micros("created_at").alias("created_us"), micros("updated_at").alias("updated_us"))
 
 
-@register("""SELECT CAST(owner AS BIGINT) AS id, CASE WHEN object_id = '7' THEN (SELECT old_type FROM audit WHERE object_id = '7' AND operation = 'UPDATE' ORDER BY id LIMIT 1) ELSE event_type END AS event_type
-FROM (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY changed_at DESC, id DESC) AS n FROM audit) WHERE n = 1 AND operation <> 'DELETE'""")
+FIRST_UPDATE = "(SELECT old_{0} FROM audit WHERE object_id = '7' AND operation = 'UPDATE' ORDER BY id LIMIT 1)"
+REVERTED = ", ".join(f"CASE WHEN object_id = '7' THEN {FIRST_UPDATE.format(old)} ELSE {c} END AS {c}" for c, old in (("event_type", "type"), ("value", "value"), ("k", "k")))
+
+
+@register(f"SELECT CAST(owner AS BIGINT) AS id, {REVERTED} FROM (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY changed_at DESC, id DESC) AS n FROM audit) WHERE n = 1 AND operation <> 'DELETE'")
 def revert_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The surviving table with one row as it was before its first update."""
-    from ..operators.timetravel import table_as_of, typed_rows
-
     log = testlog.log(spark, sf_dir)
     current = typed_rows(table_as_of(log, "events", "2030-01-01 00:00:00"), "id bigint, event_type string, value double, k bigint").drop("object_id")
     first = log.where((F.col("object_id") == OBJECT) & (F.col("operation") == "UPDATE")).agg(F.min("id")).first()[0]
-    return revert.reverted(current, log, OBJECT, first).select("id", "event_type")
+    return revert.reverted(current, log, OBJECT, first).select("id", "event_type", "value", "k")
+
+
+UPGRADED = " UNION ALL ".join(
+    f"SELECT id, operation, '{c}' AS field, CASE WHEN operation <> 'INSERT' THEN CAST(old_{old} AS VARCHAR) END AS old, CASE WHEN operation <> 'DELETE' THEN CAST({c} AS VARCHAR) END AS new FROM audit WHERE operation <> 'UPDATE' OR {c} IS DISTINCT FROM old_{old}"
+    for c, old in (("event_type", "type"), ("value", "value"), ("k", "k"))
+)
 
 
-@register("SELECT id, operation, old_type AS old, event_type AS new FROM audit WHERE operation <> 'UPDATE' OR event_type IS DISTINCT FROM old_type")
+@register(UPGRADED)
 def diff_upgrade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Diffs of new values only, brought to pairs twice over; the second time changes nothing."""
     log = testlog.log(spark, sf_dir)
     values = F.to_json(F.transform_values("diff", lambda _, v: v["new"]), {"ignoreNullFields": "false"})
     once = upgrade.paired(log.withColumn("diff", values))
     twice = upgrade.paired(once.withColumn("diff", F.to_json("diff", {"ignoreNullFields": "false"})))
-    change = F.col("diff")["event_type"]
-    return twice.where(F.map_contains_key("diff", "event_type")).select("id", "operation", change["old"].alias("old"), change["new"].alias("new"))
+    return twice.select("id", "operation", F.explode("diff").alias("field", "change")).where("field <> 'id'").select("id", "operation", "field", "change.old", "change.new")
 
 
-@register("SELECT id FROM audit WHERE operation <> 'DELETE' AND FALSE")
+@register(" UNION ALL ".join(f"SELECT '{c}' AS field, count(*) FILTER (operation <> 'DELETE') AS images, {n} AS with_key FROM audit" for c, n in (("event_type", "count(*) FILTER (operation <> 'DELETE')"), ("value", "count(*) FILTER (operation <> 'DELETE')"), ("gone", "CAST(0 AS BIGINT)"))))
 def missing_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Null is not the same as missing: images have all keys, whatever their values."""
-    return testlog.log(spark, sf_dir).where(F.col("new_data").isNotNull() & ~has_key(F.col("new_data"), "value")).select("id")
+    """Null is not the same as missing: images have all keys of their row, whatever their values."""
+    images = testlog.log(spark, sf_dir).where(F.col("new_data").isNotNull()).withColumn("new_data", F.regexp_replace("new_data", '"value":[^,]*', '"value":null'))
+    counted = images.agg(F.count("*").alias("images"), *[F.count_if(has_key(F.col("new_data"), c)).alias(c) for c in ("event_type", "value", "gone")])
+    return counted.select(F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col("images").alias("images"), F.col(c).alias("with_key")) for c in ("event_type", "value", "gone")])).alias("x")).select("x.*")
 
 
 @register("SELECT conv_id AS object_key, CASE WHEN turn = mn THEN 'INSERT' WHEN turn = mx THEN 'DELETE' ELSE 'UPDATE' END AS operation, role, text FROM (SELECT *, min(turn) OVER (PARTITION BY conv_id) AS mn, max(turn) OVER (PARTITION BY conv_id) AS mx FROM conversations)", log=False)

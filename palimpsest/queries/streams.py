@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources import testlog
+from ..sources.folders import fresh_folder
 from ..streaming.stream import images_to_changes, stream_capture, stream_rates
 from .base import Registered, micros
 
@@ -15,9 +13,7 @@ register = Registered()
 
 
 def _folder(spark: SparkSession) -> str:
-    """A folder that all executors share; a temporary one only where none is configured."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    return f"{base}/stream-{uuid.uuid4().hex}"
+    return fresh_folder(spark, "stream")
 
 
 def _run(stream: DataFrame, folder: str, mode: str) -> DataFrame:
@@ -53,12 +49,15 @@ def stream_rates_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(micros("window.start").alias("window_us"), "operation", "events")
 
 
-@register("SELECT operation, count(*) AS n FROM audit WHERE operation <> 'UPDATE' OR event_type IS DISTINCT FROM old_type OR value IS DISTINCT FROM old_value GROUP BY operation")
+@register("SELECT operation, changed_us, object_id, event_type, value, old_type, old_value FROM audit WHERE operation <> 'UPDATE' OR event_type IS DISTINCT FROM old_type OR value IS DISTINCT FROM old_value")
 def stream_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Only new images arrive; the state of each object gives the old ones."""
     folder = _folder(spark)
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    images = e.select(F.col("user_id").alias("id"), "event_type", "value", F.col("ts").cast("timestamp").alias("changed_at"), (F.col("event_type") == "error").alias("deleted"))
-    images.orderBy("changed_at").coalesce(1).write.parquet(f"{folder}/in")
+    images = e.select(F.col("user_id").alias("id"), "event_type", "value", F.col("ts").cast("timestamp").alias("changed_at"), (F.col("event_type") == "error").alias("deleted"), F.col("event_id").alias("tie"))
+    images.write.parquet(f"{folder}/in")
     stream = spark.readStream.schema(images.schema).parquet(f"{folder}/in")
-    return _run(images_to_changes(stream), folder, "append").groupBy("operation").agg(F.count("*").alias("n"))
+    get = lambda side, n, k, name: F.get_json_object(side, f"$.{n}").cast(k).alias(name)
+    return _run(images_to_changes(stream, tie="tie"), folder, "append").select(
+        "operation", micros().alias("changed_us"), "object_id", get("new_data", "event_type", "string", "event_type"), get("new_data", "value", "double", "value"), get("old_data", "event_type", "string", "old_type"), get("old_data", "value", "double", "old_value")
+    )

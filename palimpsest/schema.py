@@ -32,11 +32,11 @@ CONTEXT = T.StructType([
 ])
 
 REGISTRY = T.StructType([
-    T.StructField("trigger_name", T.StringType(), False),
+    T.StructField("name", T.StringType(), False),
     T.StructField("table_name", T.StringType(), False),
     T.StructField("checksum", T.StringType(), False),
     T.StructField("applied_at", T.TimestampType()),
-    T.StructField("spec_fingerprint", T.StringType()),
+    T.StructField("plan", T.StringType()),
 ])
 
 OPERATIONS = ("INSERT", "UPDATE", "DELETE")

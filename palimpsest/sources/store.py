@@ -1,13 +1,17 @@
-"""A log in a folder: month-partitioned Parquet, one writer, append-only unless an administrator.
+"""A log in a folder: month-partitioned Parquet, one writer at a time, append-only unless an administrator.
 
 Everything goes through the Hadoop file system of the path, so the folder may be in any store
-that Spark reads. A lock file keeps writers apart; rewrites go to a staging folder and are moved
-in, and a version file is written last.
+that Spark reads. Every write goes to folders of its own, which nobody reads until a manifest
+names them; a manifest is a small numbered file that is made once and never changed. So a commit
+happens whole or not at all: rows, the number of the last id, the chain's tip and the streams'
+places go together, and what a crash leaves behind is not part of the log. A purge writes what
+it keeps of the cutoff's month beside the old rows and then commits a manifest without those.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -22,12 +26,17 @@ from ..functions.intervals import cutoff, month_bounds
 from ..operators import blame as blame_ops, chain, contexts as context_ops, retention, timetravel
 from ..operators.capture import capture_cdc, with_ids
 from ..operators.history import History
-from ..plans.months import MONTH, with_month
+from ..plans.months import MONTH, since, utc, with_month
 from ..schema import AUDIT_LOG, CONTEXT
-from ..spec import TrackSpec
+from ..spec import Capture
 from .importers import conform
 
-FORMAT_VERSION = 1
+FORMAT_VERSION, BATCH = 2, "batch"
+#: Seconds after which a lock that its owner has not given back may be taken over.
+LOCK_SECONDS = 6 * 3600
+#: Older manifests that are kept.
+OLD_MANIFESTS = 20
+EMPTY = {"number": 0, "parts": [], "last_id": 0, "tip": None, "chain_from": None, "anchor": None, "streams": {}}
 
 
 class Locked(RuntimeError):
@@ -35,8 +44,11 @@ class Locked(RuntimeError):
 
 
 class Engine:
+    """``hash_chain=True`` switches the log's chain on; that is kept with the log and holds for
+    every later writer."""
+
     def __init__(self, spark: SparkSession, path: str, admin: bool = False, hash_chain: bool = False):
-        self.spark, self.path, self.admin, self.hash_chain = spark, path.rstrip("/"), admin, hash_chain
+        self.spark, self.path, self.admin, self._chain_wanted = spark, path.rstrip("/"), admin, hash_chain
         self._jvm = spark.sparkContext._jvm
         self._fs = self._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
@@ -60,53 +72,123 @@ class Engine:
         finally:
             stream.close()
 
+    def _names(self, folder: str) -> list[str]:
+        return [s.getPath().getName() for s in self._fs.listStatus(self._at(folder))] if self._exists(folder) else []
+
     @contextmanager
     def lock(self, name: str = "writer") -> Iterator[None]:
-        """Made exclusively; a second writer fails at once instead of waiting."""
-        at = self._at(f"_{name}.lock")
+        """Made exclusively; a second writer fails at once instead of waiting. The file says whose
+        lock it is and until when, so that one left by a crash can be taken over after that."""
+        file, owner = f"_{name}.lock", uuid.uuid4().hex
+        note = json.dumps({"owner": owner, "until": time.time() + LOCK_SECONDS})
         try:
-            self._fs.create(at, False).close()
+            self._put(file, note, overwrite=False)
         except Exception as why:
-            raise Locked(f"another writer holds {name}") from why
+            if not self._lock_is_old(file):
+                raise Locked(f"another writer holds {name}") from why
+            self._fs.delete(self._at(file), False)
+            try:
+                self._put(file, note, overwrite=False)
+            except Exception as again:
+                raise Locked(f"another writer holds {name}") from again
         try:
             yield
         finally:
-            self._fs.delete(at, False)
+            if self._exists(file) and owner in self._get(file):
+                self._fs.delete(self._at(file), False)
+
+    def _lock_is_old(self, file: str) -> bool:
+        try:
+            return json.loads(self._get(file))["until"] < time.time()
+        except Exception:  # noqa: BLE001 - being written, or gone
+            return False
+
+    # Manifests
+
+    def _manifest_numbers(self) -> list[int]:
+        return sorted(int(n[:-5]) for n in self._names("manifests") if n.endswith(".json") and n[:-5].isdigit())
+
+    def manifest(self) -> dict[str, Any]:
+        """What is committed."""
+        numbers = self._manifest_numbers()
+        return EMPTY | json.loads(self._get(f"manifests/{numbers[-1]:012d}.json")) if numbers else dict(EMPTY)
+
+    def _commit(self, now: dict[str, Any], **changes: Any) -> None:
+        """The manifest after ``now``. Its file must not exist: of two writers one fails."""
+        number = now["number"] + 1
+        self._put(f"manifests/{number:012d}.json", json.dumps(now | changes | {"number": number}, default=str), overwrite=False)
+        for old in self._manifest_numbers()[:-OLD_MANIFESTS]:
+            self._fs.delete(self._at(f"manifests/{old:012d}.json"), False)
 
     # Set-up
 
     def bootstrap(self) -> None:
         """Makes the folder's tables; again and again without harm."""
-        for name in ("log", "contexts", "registry"):
+        for name in ("log", "contexts", "registry", "manifests"):
             self._fs.mkdirs(self._at(name))
         if not self._exists("_version.json"):
             self._put("_version.json", json.dumps({"format": FORMAT_VERSION}))
+        if self._chain_wanted:
+            self.enable_chain()
 
     def version(self) -> int:
         return int(json.loads(self._get("_version.json"))["format"]) if self._exists("_version.json") else 0
 
     def upgrade(self) -> list[str]:
-        """Brings an older folder to today's format; gives the steps taken."""
-        steps = []
-        if self.version() < 1:
+        """Brings an older folder to today's format; gives the steps taken. Folders of format 1 had
+        months without batches: their files move into a batch of their own, then are committed."""
+        steps, version = [], self.version()
+        if version == 1:
+            with self.lock():
+                parts = []
+                for folder in (n for n in self._names("log") if n.startswith(f"{MONTH}=")):
+                    files = [n for n in self._names(f"log/{folder}") if n.endswith(".parquet")]
+                    self._fs.mkdirs(self._at("log", folder, f"{BATCH}=format1"))
+                    for name in files:
+                        self._fs.rename(self._at("log", folder, name), self._at("log", folder, f"{BATCH}=format1", name))
+                    parts.append([folder.split("=", 1)[1], "format1"])
+                self._fs.mkdirs(self._at("manifests"))
+                rows = self._read(parts)
+                tip = chain.chain_tip(rows).collect() if parts else []
+                first = rows.where("row_hash is not null").agg(F.min("id")).first()[0] if parts else None
+                last = rows.agg(F.max("id")).first()[0] if parts else 0
+                self._commit(dict(EMPTY), parts=parts, last_id=last or 0, tip=tip[0].asDict() if tip else None, chain_from=first)
+            steps.append("batches and manifests")
+        if version < FORMAT_VERSION:
             self.bootstrap()
-            steps.append("created tables")
+            self._put("_version.json", json.dumps({"format": FORMAT_VERSION}))
+            steps.append("tables")
         return steps
 
-    def _files(self, name: str) -> bool:
-        return self._exists(name) and any(not s.getPath().getName().startswith("_") for s in self._fs.listStatus(self._at(name)))
+    def enable_chain(self) -> None:
+        """Chains every row from here on, whoever writes it; it cannot be switched off."""
+        now = self.manifest()
+        if now["chain_from"] is None:
+            with self.lock():
+                now = self.manifest()
+                if now["chain_from"] is None:
+                    self._commit(now, chain_from=now["last_id"] + 1)
+
+    @property
+    def hash_chain(self) -> bool:
+        return self._chain_wanted or self.manifest()["chain_from"] is not None
 
     # Reading
 
+    def _read(self, parts: list[list[str]]) -> DataFrame:
+        if not parts:
+            return with_month(self.spark.createDataFrame([], AUDIT_LOG))
+        schema = StructType([*AUDIT_LOG.fields, StructField(MONTH, StringType()), StructField(BATCH, StringType())])
+        paths = [f"{self.path}/log/{MONTH}={month}/{BATCH}={batch}" for month, batch in parts]
+        return self.spark.read.schema(schema).option("basePath", f"{self.path}/log").parquet(*paths).drop(BATCH)
+
     @property
     def log(self) -> DataFrame:
-        if not self._files("log"):
-            return with_month(self.spark.createDataFrame([], AUDIT_LOG))
-        return self.spark.read.schema(StructType([*AUDIT_LOG.fields, StructField(MONTH, StringType())])).parquet(f"{self.path}/log")
+        return self._read(self.manifest()["parts"])
 
     @property
     def context_versions(self) -> DataFrame:
-        if not self._files("contexts"):
+        if not any(not n.startswith("_") for n in self._names("contexts")):
             return self.spark.createDataFrame([], CONTEXT)
         return self.spark.read.schema(CONTEXT).parquet(f"{self.path}/contexts")
 
@@ -124,31 +206,36 @@ class Engine:
         return timetravel.row_as_of(self.log, table, object_id, at)
 
     def blame(self, table: str, object_id: str, field: str | None = None, limit: int = 200) -> DataFrame:
-        return blame_ops.blame(self.log, self.contexts, table, object_id, field, limit)
+        """Only contexts of the row's own events are resolved."""
+        log = self.log
+        versions = context_ops.used_only(self.context_versions, blame_ops.own_events(log, table, object_id, limit))
+        return blame_ops.blame(log, context_ops.resolve(versions), table, object_id, field, limit)
 
     def chain_tip(self) -> dict[str, Any]:
         found = chain.chain_tip(self.log).collect()
         return found[0].asDict() if found else dict.fromkeys(("id", "chain_seq", "row_hash", "changed_at"))
 
     def verify(self, expected_tip: dict[str, Any] | None = None) -> dict[str, Any]:
-        return chain.verify_summary(self.log, expected_tip)
+        """Held against the tip that was noted with the last commit unless another is given; rows
+        that came without a hash after the chain was switched on are broken as well."""
+        now = self.manifest()
+        return chain.verify_summary(self.log, expected_tip or now["tip"], now["chain_from"], now["anchor"])
 
     def months(self) -> list[str]:
-        if not self._exists("log"):
-            return []
-        return sorted(n.split("=", 1)[1] for s in self._fs.listStatus(self._at("log")) if (n := s.getPath().getName()).startswith(f"{MONTH}="))
+        return sorted({month for month, _ in self.manifest()["parts"]})
 
     def partition_bounds(self, now: datetime, months_ahead: int = 3) -> list[tuple[str, datetime, datetime]]:
         """Folders come on demand; these are the bounds that they will have."""
         return month_bounds(now, months_ahead + 1)
 
     def status(self) -> dict[str, Any]:
+        now = self.manifest()
         counts = self.log.agg(F.count("*").alias("rows"), F.max("id").alias("last_id")).first()
-        return {"rows": counts["rows"], "last_id": counts["last_id"] or 0, "months": self.months(), "chain": self.chain_tip(), "version": self.version()}
+        return {"rows": counts["rows"], "last_id": counts["last_id"] or 0, "months": self.months(), "chain": self.chain_tip(), "chain_from": now["chain_from"], "version": self.version(), "commit": now["number"]}
 
     # Writing
 
-    def capture(self, changes: DataFrame, spec: TrackSpec) -> int:
+    def capture(self, changes: DataFrame, spec: Capture) -> int:
         """Appends the events of a batch of changes; the number of events."""
         context = current_context()
         written = self.append_events(capture_cdc(changes, spec, context).drop("id"))
@@ -156,19 +243,31 @@ class Engine:
             self.write_contexts(self.spark.createDataFrame([(context.id, json.dumps(dict(context.metadata), default=str))], "id string, metadata string"))
         return written
 
-    def append_events(self, events: DataFrame) -> int:
-        """Ids and, if asked for, the chain continue from the log. The batch is staged first: ids
-        must come out the same when a task is run again."""
+    def append_events(self, events: DataFrame, stream: str | None = None, batch_number: int | None = None) -> int:
+        """Ids and, if it is on, the chain continue from the last commit. A stream's batch is
+        committed together with its number and is left alone when it comes again."""
         with self.lock():
-            staged = self._staged(conform(events).drop("id"))
-            last = self.log.agg(F.coalesce(F.max("id"), F.lit(0)).alias("id")).first()["id"]
-            batch = with_ids(staged, int(last) + 1)
-            if self.hash_chain:
-                batch = chain.chained(self._staged(batch), self.chain_tip())
-            batch = conform(batch)
-            n = staged.count()
-            if n:
-                with_month(batch).repartition(MONTH).sortWithinPartitions("table_name", "object_id", "changed_at").write.mode("append").partitionBy(MONTH).parquet(f"{self.path}/log")
+            now = self.manifest()
+            if stream is not None and now["streams"].get(stream, -1) >= batch_number:
+                return 0
+            placed = with_ids(conform(events).drop("id"), now["last_id"] + 1, self._staged)
+            tip, first = now["tip"], now["chain_from"]
+            if self._chain_wanted and first is None:
+                first = now["last_id"] + 1
+            if first is not None:
+                placed = self._staged(chain.chained(self._staged(placed), tip))
+            name = uuid.uuid4().hex
+            # Ranges of month, table and object: one month does not go to one task.
+            spread = with_month(conform(placed)).repartitionByRange(MONTH, "table_name", "object_id", "changed_at", "id").sortWithinPartitions(MONTH, "table_name", "object_id", "changed_at")
+            spread.withColumn(BATCH, F.lit(name)).write.mode("append").partitionBy(MONTH, BATCH).parquet(f"{self.path}/log")
+            months = [n.split("=", 1)[1] for n in self._names("log") if n.startswith(f"{MONTH}=") and self._exists("log", n, f"{BATCH}={name}")]
+            rows = self._read([[m, name] for m in sorted(months)])
+            n = rows.count() if months else 0
+            if n and first is not None:
+                tip = chain.chain_tip(rows).first().asDict()
+            streams = now["streams"] | ({stream: batch_number} if stream is not None else {})
+            if n or stream is not None:
+                self._commit(now, parts=now["parts"] + [[m, name] for m in sorted(months)], last_id=now["last_id"] + n, tip=tip, chain_from=first, streams=streams)
             self._fs.delete(self._at("_staging"), True)
         return n
 
@@ -179,7 +278,7 @@ class Engine:
 
     def write_contexts(self, rows: DataFrame, now: datetime | None = None) -> None:
         """Adds a version of each context (id, metadata); reading resolves them."""
-        moment = F.lit((now or datetime.now(timezone.utc)).strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp")
+        moment = F.lit(utc(now or datetime.now(timezone.utc)).isoformat(sep=" ")).cast("timestamp")
         seq = self.context_versions.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("n")).first()["n"] + 1
         rows.select("id", "metadata", moment.alias("written_at"), F.lit(int(seq)).cast("bigint").alias("seq")).write.mode("append").parquet(f"{self.path}/contexts")
 
@@ -187,39 +286,67 @@ class Engine:
         if not self.admin:
             raise PermissionError("the log is append-only; maintenance needs Engine(..., admin=True)")
 
+    def _forget(self, parts: list[list[str]]) -> None:
+        """Deletes folders that no manifest names any more."""
+        for month, batch in parts:
+            self._fs.delete(self._at("log", f"{MONTH}={month}", f"{BATCH}={batch}"), True)
+
     def drop_old_months(self, now: datetime, older_than: str, dry_run: bool = False) -> list[str]:
-        """Whole months that are out of retention: their folders go, nothing is rewritten."""
+        """Whole months that are out of retention: one commit, then their folders go."""
         names = retention.droppable_months(self.months(), now, older_than)
-        if not dry_run:
+        if not dry_run and names:
             self._only_admin()
             with self.lock():
-                for name in names:
-                    self._fs.delete(self._at("log", f"{MONTH}={name}"), True)
+                state = self.manifest()
+                gone = [p for p in state["parts"] if p[0] in names]
+                self._commit(state, parts=[p for p in state["parts"] if p[0] not in names], anchor=self._anchor(state, self._read(gone)))
+                self._forget(gone)
         return names
 
+    @staticmethod
+    def _anchor(state: dict[str, Any], gone: DataFrame) -> dict[str, Any] | None:
+        """The last chained row that goes, from which what is left can be checked."""
+        found = chain.chain_tip(gone).collect()
+        return found[0].asDict() if found else state["anchor"]
+
     def purge(self, now: datetime, older_than: str, dry_run: bool = False, keep_anchor: bool = False) -> int:
         """Deletes events before the cutoff: whole months go, only the cutoff's month is
         rewritten. ``keep_anchor`` notes the last purged row's hash, so that what is left can be
         checked from there."""
-        edge = cutoff(now, older_than)
-        gone = self.log.where(F.col("changed_at") < F.lit(edge.isoformat(sep=" ")).cast("timestamp"))
+        edge = utc(cutoff(now, older_than))
+        log = self.log
+        gone = log.where(~since(log, edge))
         n = gone.count()
         if dry_run or not n:
             return n
         self._only_admin()
         with self.lock():
-            if keep_anchor and (anchor := chain.purge_anchor(self.log, edge.isoformat(sep=" "))):
-                self._put("_chain_anchor.json", json.dumps(anchor, default=str))
-            month = edge.strftime("%Y-%m")
-            if month in self.months():
-                kept = self._staged(retention.survivors(self.log.where(F.col(MONTH) == month), now, older_than).drop(MONTH))
-                kept.write.mode("overwrite").parquet(f"{self.path}/log/{MONTH}={month}")
-            for name in self.months():
-                if name < month and name[:4].isdigit():
-                    self._fs.delete(self._at("log", f"{MONTH}={name}"), True)
-            self._fs.delete(self._at("_staging"), True)
+            state, month = self.manifest(), edge.strftime("%Y-%m")
+            anchor = self._anchor(state, gone) if keep_anchor else state["anchor"]
+            old = [p for p in state["parts"] if p[0] <= month]
+            rewritten = [p for p in old if p[0] == month]
+            parts = [p for p in state["parts"] if p[0] > month]
+            if rewritten:
+                name = uuid.uuid4().hex
+                kept = self._read(rewritten)
+                kept.where(since(kept, edge)).withColumn(BATCH, F.lit(name)).write.mode("append").partitionBy(MONTH, BATCH).parquet(f"{self.path}/log")
+                if self._exists("log", f"{MONTH}={month}", f"{BATCH}={name}"):
+                    parts.append([month, name])
+            self._commit(state, parts=sorted(parts), anchor=anchor)
+            self._forget(old)
         return n
 
+    def vacuum(self) -> int:
+        """Deletes folders that a crash has left and no manifest names; how many."""
+        self._only_admin()
+        with self.lock():
+            live = {tuple(p) for p in self.manifest()["parts"]}
+            found = [[m.split("=", 1)[1], b.split("=", 1)[1]] for m in self._names("log") if m.startswith(f"{MONTH}=") for b in self._names(f"log/{m}") if b.startswith(f"{BATCH}=")]
+            lost = [p for p in found if tuple(p) not in live]
+            self._forget(lost)
+            self._fs.delete(self._at("_staging"), True)
+        return len(lost)
+
 
 def read_jdbc(spark: SparkSession, url: str, table: str, key: str | None = None, bounds: tuple[int, int] | None = None, partitions: int = 8, **options: str) -> DataFrame:
     """A source table over JDBC, in ranges of a numeric key if given."""
@@ -229,6 +356,12 @@ def read_jdbc(spark: SparkSession, url: str, table: str, key: str | None = None,
     return reader.load()
 
 
+def write_jdbc(rows: DataFrame, url: str, table: str, mode: str = "append", partitions: int = 8, **options: str) -> None:
+    """Rows to a table over JDBC, over a bounded number of connections; maps and structs go as JSON."""
+    flat = rows.select(*[F.to_json(F.col(f.name), {"ignoreNullFields": "false"}).alias(f.name) if f.dataType.typeName() in ("map", "struct", "array") else F.col(f.name) for f in rows.schema])
+    flat.write.format("jdbc").option("url", url).option("dbtable", table).option("numPartitions", partitions).options(**options).mode(mode).save()
+
+
 def write_json_lines(rows: DataFrame, path: str | None = None, limit: int | None = None) -> Iterator[str] | None:
     """Rows as JSON lines: to files, or streamed to the driver a partition at a time."""
     ordered = rows.orderBy("object_id").limit(limit) if limit is not None else rows

@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..operators.capture import capture_cdc
-from ..spec import TrackSpec
+from ..spec import Capture
 
-SPEC = TrackSpec("events")
+SPEC = Capture("events")
 COLUMNS = ("event_type", "value", "k")
 
 
@@ -41,7 +41,7 @@ def metadata(event_id, user_id):
     return F.to_json(F.struct(user.alias("user_id"), source.alias("source"), F.concat(F.lit("u"), user_id.cast("string")).alias("username")))
 
 
-def log(spark: SparkSession, sf_dir: str, spec: TrackSpec = SPEC) -> DataFrame:
+def log(spark: SparkSession, sf_dir: str, spec: Capture = SPEC) -> DataFrame:
     return capture_cdc(changes(spark, sf_dir), spec)
 
 

@@ -3,7 +3,6 @@
 import calendar
 import hashlib
 
-import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,16 +39,6 @@ def test_whole_log_is_chained(spark, data, fold):
     assert [tuple(r) for r in known["chain_log_tip"](spark, data).collect()] == [(fold[-1][0], fold[-1][1], fold[-1][3])]
 
 
-@pytest.mark.parametrize("name", sorted(chains.register.sql))
-def test_query_equals_sql(name, spark, data):
-    c = duckdb.connect()
-    c.execute(f"create view events as select * from '{data}/events.parquet'")
-    got = __spark_entry__.queries()[name](spark, data)
-    want = c.sql(__spark_entry__.oracle_sql()[name])
-    assert sorted(got.columns) == sorted(want.columns)
-    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall())
-
-
 def test_edits_are_found_anywhere(spark, data, fold):
     log = chains._chained(spark, data)
     for column in ("operation", "table_name", "old_data", "new_data"):

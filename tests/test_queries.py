@@ -5,7 +5,7 @@ import pytest
 
 from palimpsest import queries
 
-TABLES = ("customer", "orders", "events", "conversations")
+TABLES = ("nation", "customer", "orders", "events", "conversations")
 
 
 def plain(value):
@@ -22,7 +22,11 @@ def oracle(data):
     return c
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+#: The same functions under a second name.
+SECOND = {n for n in queries.QUERIES if n.startswith("chain_") and not n.startswith("chain_log_") and n != "chain_switch"}
+
+
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - SECOND))
 def test_query_equals_sql(name, spark, data, oracle):
     got = queries.QUERIES[name](spark, data)
     want = oracle.sql(queries.SQL[name])
@@ -30,7 +34,7 @@ def test_query_equals_sql(name, spark, data, oracle):
     assert columns == sorted(want.columns)
     at = [want.columns.index(c) for c in columns]
     rows = sorted((tuple(plain(r[c]) for c in columns) for r in got.collect()), key=repr)
-    assert rows == sorted((tuple(plain(r[i]) for i in at) for r in want.fetchall()), key=repr)
+    assert rows and rows == sorted((tuple(plain(r[i]) for i in at) for r in want.fetchall()), key=repr)
 
 
 def test_plans(spark, data):
