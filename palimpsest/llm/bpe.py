@@ -6,8 +6,10 @@ associatively. A block-wise scan over compositions gives the state before every
 from it the token boundaries - no regular expression runs. The slices between boundaries then
 feed pair merging behind a cache.
 
-Defined results: a null text counts as empty (no tokens); equal rows give equal results; extra
-columns of the input are dropped unless named in ``keep``; an empty table gives an empty table.
+Defined results: a null text counts as empty (no tokens); texts of any length are encoded whole,
+a piece without a boundary in it by a heap; equal and repeated rows give equal results, and ties
+of pairs merge from the left; extra columns of the input are dropped unless named in ``keep``,
+where a column with the name of a result is replaced by it; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -15,14 +17,16 @@ from __future__ import annotations
 import base64
 import heapq
 import unicodedata
+import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
-from .common import byte_slices, string_buffers
+from .common import byte_slices, map_arrow, schema_of, string_buffers, text_rows
 
 # Code point classes.
 LETTER, NUMBER, OTHER, BREAK, SPACE, QUOTE, END = range(7)
@@ -35,8 +39,9 @@ S_LETTER, S_NUMBER, S_OTHER, S_QUOTE1, S_QUOTE2, S_WHITE, S_LAST_BREAK, S_LAST_S
 CLOSED, IN_LETTERS, IN_NUMBERS, IN_OTHERS, AFTER_SPACE, IN_WHITE, ENDING1, ENDING2 = range(8)
 N_STATES, N_SYMBOLS = 8, 10
 BLOCK = 256
-#: Cached pieces of each of two generations in a Python worker; the longest piece that is cached.
-CACHE_PIECES, CACHE_PIECE_BYTES = 200_000, 64
+#: Memory of each of two generations of cached pieces in a Python worker, in bytes; what an entry
+#: takes besides its own bytes; the longest piece that is cached.
+CACHE_BYTES, ENTRY_BYTES, CACHE_PIECE_BYTES = 32 << 20, 200, 64
 
 
 @lru_cache(maxsize=1)
@@ -143,21 +148,39 @@ def pretokenise(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return cuts, np.searchsorted(cuts, offsets)
 
 
-class Vocabulary:
-    """Ranks of byte strings, merging, and decoding by the tokens' offsets in one byte string."""
+class Decoder:
+    """The tokens' bytes in one string, by offsets."""
 
-    def __init__(self, rank_lines: bytes):
-        pairs = [line.split() for line in rank_lines.splitlines() if line.strip()]
-        self.ranks = {base64.b64decode(token): int(rank) for token, rank in pairs}
-        size = max(self.ranks.values(), default=-1) + 1
-        tokens = [b""] * size
-        for token, rank in self.ranks.items():
-            tokens[rank] = token
+    def __init__(self, tokens: list[bytes]):
         self.lengths = np.array([len(t) for t in tokens], np.int64)
         self.begins = np.cumsum(self.lengths) - self.lengths
         self.joined = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of a run of ids and the offset at which each id's bytes end."""
+        size = self.lengths[ids]
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        source = np.repeat(self.begins[ids] - (ends - size), size) + np.arange(total)
+        return self.joined[source], ends
+
+
+def tokens_of(ranks: dict[bytes, int]) -> list[bytes]:
+    """Tokens by rank; ranks without a token are empty."""
+    out = [b""] * (max(ranks.values(), default=-1) + 1)
+    for token, rank in ranks.items():
+        out[rank] = token
+    return out
+
+
+class Encoder:
+    """Ranks of byte strings, and merging behind a cache."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks, self.none = ranks, max(ranks.values(), default=-1) + 1
         self.cache: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
+        self.held = 0
 
     def merge(self, piece: bytes) -> bytes:
         """Ids of one piece, little-endian: the lowest rank merges first, the leftmost of equals."""
@@ -167,7 +190,7 @@ class Vocabulary:
         return self.merge_short(piece) if len(piece) <= CACHE_PIECE_BYTES else self.merge_long(piece)
 
     def merge_short(self, piece: bytes) -> bytes:
-        rank_of, none = self.ranks.get, len(self.begins)
+        rank_of, none = self.ranks.get, self.none
         parts = [piece[i : i + 1] for i in range(len(piece))]
         pairs = [rank_of(piece[i : i + 2], none) for i in range(len(piece) - 1)]
         while pairs and (low := min(pairs)) < none:
@@ -205,14 +228,15 @@ class Vocabulary:
         return np.array(out, "<u4").tobytes()
 
     def miss(self, piece: bytes) -> bytes:
-        """Looks among the older pieces, then merges; two generations keep the cache bounded."""
+        """Looks among the older pieces, then merges; two generations keep the cache's bytes bounded."""
         if (ids := self.older.get(piece)) is None:
             ids = self.merge(piece)
         if len(piece) <= CACHE_PIECE_BYTES:
-            if len(self.cache) >= CACHE_PIECES:
-                self.older = dict(self.cache)
+            if self.held >= CACHE_BYTES:
+                self.older, self.held = dict(self.cache), 0
                 self.cache.clear()
             self.cache[piece] = ids
+            self.held += len(piece) + len(ids) + ENTRY_BYTES
         return ids
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
@@ -224,70 +248,91 @@ class Vocabulary:
         first = first.tolist()
         return [b"".join(ids[a:b]) for a, b in zip(first, first[1:])]
 
-    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Bytes of a run of ids and the offset at which each id's bytes end."""
-        size = self.lengths[ids]
-        ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        source = np.repeat(self.begins[ids] - (ends - size), size) + np.arange(total)
-        return self.joined[source], ends
 
+_KNOWN: dict[int, tuple[dict[bytes, int], dict[str, object]]] = {}
+
+
+def _tools(shared) -> tuple[dict[bytes, int], dict[str, object]]:
+    """Ranks, and what was made of them: once for a Python worker, which keeps it between tasks."""
+    number, lines = shared.value
+    if number not in _KNOWN:
+        _KNOWN.clear()
+        pairs = [line.split() for line in lines.splitlines() if line.strip()]
+        _KNOWN[number] = ({base64.b64decode(token): int(rank) for token, rank in pairs}, {})
+    return _KNOWN[number]
 
-_VOCABULARIES: dict[int, Vocabulary] = {}
 
+def _encoder(shared) -> Encoder:
+    ranks, made = _tools(shared)
+    return made.setdefault("encoder", made.get("encoder") or Encoder(ranks))
 
-def _vocabulary(shared) -> Vocabulary:
-    """One per Python worker and broadcast; the worker keeps it between tasks."""
-    if shared.value[0] not in _VOCABULARIES:
-        _VOCABULARIES.clear()
-        _VOCABULARIES[shared.value[0]] = Vocabulary(shared.value[1])
-    return _VOCABULARIES[shared.value[0]]
+
+def _decoder(shared) -> Decoder:
+    ranks, made = _tools(shared)
+    return made.setdefault("decoder", made.get("decoder") or Decoder(tokens_of(ranks)))
 
 
 def _share(df: DataFrame, rank_file: str):
     """The rank file's size is fixed by the vocabulary, never by the corpus."""
     with open(rank_file, "rb") as f:
         lines = f.read()
-    return df.sparkSession.sparkContext.broadcast((hash(lines), lines))
+    return df.sparkSession.sparkContext.broadcast((zlib.crc32(lines), lines))
+
+
+ENCODED, DECODED = "token_ids binary, n_tokens bigint", "decoded binary, token_ends binary"
+
+
+def _encoded(encoder: Encoder, column: pa.Array) -> list[bytes]:
+    return encoder.encode(*string_buffers(column))
 
 
 def bpe_encode(df: DataFrame, rank_file: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, ``token_ids`` (packed little-endian unsigned 32-bit) and ``n_tokens``."""
     shared = _share(df, rank_file)
+    keep, name, rows = text_rows(df, keep, text, ENCODED)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = _vocabulary(shared)
-        for part in byte_slices(batches, "_text"):
-            ids = vocabulary.encode(*string_buffers(part.column("_text")))
-            yield pa.RecordBatch.from_arrays(
-                [*part.columns[:-1], pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())],
-                names=[*keep, "token_ids", "n_tokens"],
-            )
+        encoder = _encoder(shared)
+        for part in byte_slices(batches, name):
+            ids = _encoded(encoder, part.column(name))
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())], names=[*keep, "token_ids", "n_tokens"])
 
-    rows = df.select(*keep, F.col(text).cast("string").alias("_text"))
-    schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep] + ["token_ids binary", "n_tokens bigint"])
-    return rows.mapInArrow(run, schema)
+    return map_arrow(rows, run, schema_of(df, keep, ENCODED))
 
 
 def bpe_decode(encoded: DataFrame, rank_file: str) -> DataFrame:
     """Adds ``decoded`` (bytes) and ``token_ends`` (packed unsigned 32-bit byte offsets)."""
     shared = _share(encoded, rank_file)
+    given = StructType.fromDDL(DECODED).fieldNames()
+    keep = [c for c in encoded.columns if c not in given]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = _vocabulary(shared)
+        decoder = _decoder(shared)
         for batch in batches:
-            texts, ends = [], []
-            for row in batch.column("token_ids"):
-                value, at = vocabulary.decode(np.frombuffer(row.as_py() or b"", "<u4"))
-                texts.append(value.tobytes())
-                ends.append(at.astype("<u4").tobytes())
+            both = [decoder.decode(np.frombuffer(row.as_py() or b"", "<u4")) for row in batch.column("token_ids")]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(texts, pa.binary()), pa.array(ends, pa.binary())],
-                names=[*batch.schema.names, "decoded", "token_ends"],
+                [*batch.columns, pa.array([t.tobytes() for t, _ in both], pa.binary()), pa.array([e.astype("<u4").tobytes() for _, e in both], pa.binary())],
+                names=[*keep, *given],
             )
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema] + ["decoded binary", "token_ends binary"])
-    return encoded.mapInArrow(run, schema)
+    return map_arrow(encoded.select(*[F.col(f"`{c}`") for c in keep]), run, schema_of(encoded, keep, DECODED))
+
+
+def bpe_round_trip(df: DataFrame, rank_file: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Encodes every text and decodes its ids again, in one pass of one worker: ``keep`` columns,
+    ``token_ids``, ``n_tokens`` and ``decoded``."""
+    shared = _share(df, rank_file)
+    more = f"{ENCODED}, decoded binary"
+    keep, name, rows = text_rows(df, keep, text, more)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, decoder = _encoder(shared), _decoder(shared)
+        for part in byte_slices(batches, name):
+            ids = _encoded(encoder, part.column(name))
+            texts = [decoder.decode(np.frombuffer(x, "<u4"))[0].tobytes() for x in ids]
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(texts, pa.binary())], names=[*keep, "token_ids", "n_tokens", "decoded"])
+
+    return map_arrow(rows, run, schema_of(df, keep, more))
 
 
 def unpacked_ids(column) -> F.Column:

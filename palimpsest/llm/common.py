@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterable, Iterator
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
+
+from ..sources.folders import fresh_folder
 
 #: Text bytes that one vectorised step works on; a longer single text is a step of its own.
 CHUNK_BYTES = 1 << 19
@@ -18,13 +21,16 @@ CHUNK_BYTES = 1 << 19
 HELD_OUT_MOD, HELD_OUT_REMAINDER = 4, 2
 
 
-#: Rows of a batch between Spark and Python: texts may be long, so batches are short.
-BATCH_ROWS = 1000
+#: Rows and bytes of a batch between Spark and Python: texts may be long, so batches are short.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+#: A key is hot if it has more than one in so many rows; there cannot be more hot keys than this.
+HOT_SHARE = 1000
 
 
 def bounded_batches(spark: SparkSession) -> SparkSession:
-    """Keeps batches of whole texts small in the JVM and in Python."""
+    """Keeps batches of whole texts small in the JVM and in Python: two settings of the session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 
@@ -32,24 +38,63 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return bounded_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is configured (tests)."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", configured)
-    return configured
-
-
 def written(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage is cut, and no
-    lost executor can take the rows with it."""
+    lost executor can take the rows with it. The folder belongs to the cluster, which clears it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = fresh_folder(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def name_beside(names: Iterable[str], wanted: str) -> str:
+    """A column name that none of ``names`` has."""
+    names = set(names)
+    while wanted in names:
+        wanted += "_"
+    return wanted
+
+
+def text_rows(df: DataFrame, keep: Iterable[str], text: str, own: str) -> tuple[tuple[str, ...], str, DataFrame]:
+    """Kept columns, the name of the text beside them, and both as rows. A kept column with the
+    name of one that the operator gives (``own``, a schema) is replaced by the operator's."""
+    given = set(StructType.fromDDL(own).fieldNames())
+    keep = tuple(c for c in keep if c not in given)
+    name = name_beside(keep, "_text")
+    return keep, name, df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias(name))
+
+
+def _give_back() -> None:
+    """Returns freed memory to the system, as Python workers live on after their task."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` whose workers keep no more memory than they need after a task."""
+
+    def tidy(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        _give_back()
+
+    return df.mapInArrow(tidy, schema)
+
+
+def join_counted(left: DataFrame, right: DataFrame, on: list[str], members: str = "members") -> DataFrame:
+    """Inner join with a table of unique keys that says how many rows of ``left`` each key has.
+
+    Keys with more than one in ``HOT_SHARE`` of all rows are broadcast, at most ``HOT_SHARE`` of
+    them by their definition; the others are shuffled, and no task gets much of the rows. Both
+    sides are read twice and should be written tables. ``members`` is not in the result.
+    """
+    total = right.agg(F.sum(members)).first()[0] or 0
+    hot = F.col(members) > total // HOT_SHARE
+    often = F.broadcast(right.where(hot).drop(members))
+    seldom = left.join(F.broadcast(right.where(hot).select(*on)), on, "left_anti").join(right.where(~hot).drop(members), on)
+    return left.join(often, on).unionByName(seldom)
+
+
 def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and the n + 1 offsets of its rows; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -65,7 +110,7 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def byte_slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+def byte_slices(batches: Iterable[pa.RecordBatch], column: str | int = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that no piece of several rows holds more than ``limit`` text bytes."""
     for batch in batches:
         if not batch.num_rows:
@@ -150,10 +195,11 @@ def schema_of(df: DataFrame, keep: Iterable[str], more: str) -> str:
     return ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep] + [more])
 
 
-def learnable(key: str = "doc_id"):
-    """Whether a row may be learned from."""
-    return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(HELD_OUT_MOD)) != HELD_OUT_REMAINDER
+def held_out(key: str = "doc_id"):
+    """Whether a row is held out from learning."""
+    return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(HELD_OUT_MOD)) == HELD_OUT_REMAINDER
 
 
-def binary_rows(rows: list[bytes]) -> pa.Array:
-    return pa.array(rows, pa.binary())
+def learnable(key: str = "doc_id"):
+    """Whether a row may be learned from."""
+    return ~held_out(key)

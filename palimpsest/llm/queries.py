@@ -22,9 +22,8 @@ def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = bpe.bpe_encode(table(spark, sf_dir, "documents"), RANK_FILE)
-    decoded = bpe.bpe_decode(encoded, RANK_FILE)
-    return decoded.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    coded = bpe.bpe_round_trip(table(spark, sf_dir, "documents"), RANK_FILE)
+    return coded.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
