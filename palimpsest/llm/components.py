@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import written
+from .common import join_counted, written
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -18,14 +18,18 @@ def connected(links: DataFrame) -> DataFrame:
     both = written(both.distinct(), "links")
     labels = None
     while both.limit(1).count():
-        least = both.groupBy("a").agg(F.min(F.struct(F.xxhash64("b").alias("k"), F.col("b").alias("to"))).alias("m"))
+        least = both.groupBy("a").agg(F.min(F.struct(F.xxhash64("b").alias("k"), F.col("b").alias("to"))).alias("m"), F.count("*").alias("members"))
         own = F.struct(F.xxhash64("a").alias("k"), F.col("a").alias("to"))
-        moves = written(least.select(F.col("a").alias("id"), F.least("m", own)["to"].alias("root")), "moves")
-        to = lambda c: moves.select(F.col("id").alias(c), F.col("root").alias(f"{c}_to"))
-        both = written(both.join(to("a"), "a").join(to("b"), "b").select(F.col("a_to").alias("a"), F.col("b_to").alias("b")).where("a <> b").distinct(), "links")
+        moves = written(least.select(F.col("a").alias("id"), F.least("m", own)["to"].alias("root"), "members"), "moves")
+        # Links stand in both directions, so an id has as many on either side.
+        to = lambda c: moves.select(F.col("id").alias(c), F.col("root").alias(f"{c}_to"), "members")
+        half = written(join_counted(both, to("a"), ["a"]), "half")
+        both = written(join_counted(half, to("b"), ["b"]).select(F.col("a_to").alias("a"), F.col("b_to").alias("b")).where("a <> b").distinct(), "links")
+        moves = moves.select("id", "root")
         if labels is None:
             labels = moves
         else:
-            again = moves.select(F.col("id").alias("root"), F.col("root").alias("next"))
-            labels = written(labels.join(again, "root", "left").select("id", F.coalesce("next", "root").alias("root")), "labels")
+            sizes = labels.groupBy("root").agg(F.count("*").alias("members"))
+            again = written(moves.select(F.col("id").alias("root"), F.col("root").alias("next")).join(sizes, "root", "right").select("root", F.coalesce("next", "root").alias("next"), "members"), "again")
+            labels = written(join_counted(labels, again, ["root"]).select("id", F.col("next").alias("root")), "labels")
     return labels if labels is not None else links.select(F.col("a").alias("id"), F.col("b").alias("root")).limit(0)

@@ -12,9 +12,14 @@ all are first compared with the list's most central one; then only documents tha
 different components are compared with each other. No pair of different components is left out,
 so components are those of all links.
 
+Every set of shingles is one class, whatever rows have it, and all of this happens among classes;
+rows only meet their class at the end. So keys may repeat or be null.
+
 Defined results: null texts and texts without words have no shingles, link with nothing and form
-their own component; texts with fewer words than a shingle are one shingle; equal sets are one
-class whose smallest key stands for it; repeated keys count as one document each row; extra
+their own component; texts with fewer words than a shingle are one shingle; texts of any length
+are taken whole; equal sets are one class; the smallest key of a component stands for it, where
+rows with a null key take part but cannot stand for it (null if no row of it has a key); each row
+of a repeated key counts by itself; ties of frequency are settled by the shingle's hash; extra
 columns are ignored; an empty table gives an empty table. The input must be a scan that repeats
 (files, or a written table), as lost tasks are run again.
 """
@@ -27,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import LOWER, MIX, NOT_SPACE, byte_slices, distinct_in_rows, mixed, span_hashes, string_buffers, token_spans, written
+from .common import LOWER, MIX, NOT_SPACE, byte_slices, distinct_in_rows, join_counted, map_arrow, mixed, per_row, span_hashes, string_buffers, token_spans, written
 from .components import connected
 from .fragments import DEALT, STEP_BYTES, deal, fragments_for, shared_values, text_bytes
 
@@ -83,31 +88,40 @@ def shingle_sets(df: DataFrame, text: str, key: str, words: int = WORDS) -> Data
             at = bounds.tolist()
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.diff(bounds), pa.int64()), pa.array([values[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary())], names=["id", "n", "shingles"])
 
-    return df.select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("string").alias("_text")).mapInArrow(run, "id bigint, n bigint, shingles binary")
+    return map_arrow(df.select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("string").alias("_text")), run, "id bigint, n bigint, shingles binary")
+
 
+SIZES = "id bigint, digest string, n bigint, low bigint, sig1 bigint, sig2 bigint"
 
-def _sizes(df: DataFrame, words: int) -> DataFrame:
-    """``id``, number of shingles, of those in the lower half of the order, and a signature."""
+
+def _sizes(docs: DataFrame, words: int) -> DataFrame:
+    """Number of shingles, of those in the lower half of the order, and a signature of the set."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in byte_slices(batches, "_text"):
             values, bounds = shingles(*string_buffers(part.column("_text")), words)
-            low = np.append(0, np.cumsum(values < np.uint64(1 << 63)))
-            one, two = _signatures(values, bounds)
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.diff(bounds), pa.int64()), pa.array(low[bounds[1:]] - low[bounds[:-1]], pa.int64()), pa.array(one), pa.array(two)], names=["id", "n", "low", "sig1", "sig2"])
+            numbers = (np.diff(bounds), per_row(values < np.uint64(1 << 63), bounds), *_signatures(values, bounds))
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("digest"), *(pa.array(x, pa.int64()) for x in numbers)], names=["id", "digest", "n", "low", "sig1", "sig2"])
+
+    return map_arrow(docs, run, "id bigint, digest string, n bigint, low bigint, sig1 bigint, sig2 bigint")
 
-    return df.mapInArrow(run, "id bigint, n bigint, low bigint, sig1 bigint, sig2 bigint")
 
+def _deal_low(docs: DataFrame, words: int, fragments: int) -> DataFrame:
+    """Entries of the order's lower half by fragments; sets go by their signature, and equal ones
+    of a step are dealt once."""
 
-def _deal_low(df: DataFrame, words: int, fragments: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in byte_slices(batches, "_text", STEP_BYTES):
             values, bounds = shingles(*string_buffers(part.column("_text")), words)
-            low = values < np.uint64(1 << 63)
-            before = np.append(0, np.cumsum(low))
-            yield from deal(part.column("id").to_numpy(), before[bounds], values[low] << np.uint64(1), fragments, False)
+            one, _ = _signatures(values, bounds)
+            first = np.zeros(part.num_rows, bool)
+            first[np.unique(one, return_index=True)[1]] = True
+            owner = np.repeat(np.arange(part.num_rows), np.diff(bounds))
+            used = (values < np.uint64(1 << 63)) & first[owner]
+            ends = np.append(0, np.cumsum(np.bincount(owner[used], minlength=part.num_rows)))
+            yield from deal(one, ends, values[used] << np.uint64(1), fragments, False)
 
-    return df.mapInArrow(run, DEALT)
+    return map_arrow(docs.select("_text"), run, DEALT)
 
 
 def _frequency_order(sets: DataFrame) -> np.ndarray:
@@ -163,7 +177,7 @@ def _in_order(sets: DataFrame, percent: int) -> DataFrame:
                     names=["id", "n", "prefix", "central", *(f"f{k}" for k in range(COUNT_FRAGMENTS))],
                 )
 
-    return sets.mapInArrow(run, "id bigint, n bigint, prefix array<bigint>, central bigint, " + ", ".join(f"f{k} binary" for k in range(COUNT_FRAGMENTS)))
+    return map_arrow(sets, run, "id bigint, n bigint, prefix array<bigint>, central bigint, " + ", ".join(f"f{k} binary" for k in range(COUNT_FRAGMENTS)))
 
 
 def _common(pairs: DataFrame, ordered: DataFrame, percent: int) -> DataFrame:
@@ -178,7 +192,7 @@ def _common(pairs: DataFrame, ordered: DataFrame, percent: int) -> DataFrame:
             overlap = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(overlap, pa.int64())], names=["a", "b", "n_a", "n_b", "part"])
 
-    parts = cut.mapInArrow(count, "a bigint, b bigint, n_a bigint, n_b bigint, part bigint")
+    parts = map_arrow(cut, count, "a bigint, b bigint, n_a bigint, n_b bigint, part bigint")
     summed = parts.groupBy("a", "b", "n_a", "n_b").agg(F.sum("part").alias("overlap"))
     return summed.where(F.col("overlap") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("overlap")) * percent).select("a", "b", "n_a", "n_b", "overlap")
 
@@ -188,7 +202,8 @@ def _near_size(x: str, y: str, percent: int):
 
 
 def _prefix_rows(ordered: DataFrame) -> DataFrame:
-    return ordered.select("id", "n", "central", F.explode("prefix").alias("shingle"))
+    more = ["root"] if "root" in ordered.columns else []
+    return ordered.select("id", "n", "central", *more, F.explode("prefix").alias("shingle"))
 
 
 def _central_pairs(ordered: DataFrame, percent: int) -> DataFrame:
@@ -196,7 +211,8 @@ def _central_pairs(ordered: DataFrame, percent: int) -> DataFrame:
     their prefixes."""
     rows = _prefix_rows(ordered)
     lists = rows.groupBy("shingle").agg(F.count("*").alias("size"), F.max(F.struct("central", (-F.col("id")).alias("low"), "n")).alias("top")).where("size > 1")
-    found = rows.join(lists.select("shingle", (-F.col("top.low")).alias("a"), F.col("top.n").alias("n_a")), "shingle")
+    lists = written(lists.select("shingle", (-F.col("top.low")).alias("a"), F.col("top.n").alias("n_a"), F.col("size").alias("members")), "lists")
+    found = join_counted(rows, lists, ["shingle"])
     return found.where((F.col("id") != F.col("a")) & _near_size("n", "n_a", percent)).select("a", F.col("id").alias("b")).distinct()
 
 
@@ -216,11 +232,12 @@ def _block_links(ordered: DataFrame, roots: DataFrame, percent: int) -> DataFram
     in blocks of bounded size; a block adds up partial overlaps by fragment and gives one link for
     each two roots that it joins, never its pairs.
     """
-    rows = _prefix_rows(ordered).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    lists = rows.groupBy("shingle").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.max(F.struct("central", "root")).alias("top")).where("least < most")
-    family = written(rows.join(lists.select("shingle", F.col("top.root").alias("main")), "shingle").select("main", "id", "root").distinct(), "families")
-    size = family.groupBy("main").agg(F.ceil(F.count_if(F.col("root") != F.col("main")) / FEW).cast("int").alias("blocks"), F.ceil(F.count("*") / MANY).cast("int").alias("others"))
-    sized = family.join(size, "main")
+    rows = written(_prefix_rows(ordered.join(roots, "id", "left")).withColumn("root", F.coalesce("root", "id")), "prefixes")
+    lists = rows.groupBy("shingle").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.max(F.struct("central", "root")).alias("top"), F.count("*").alias("members")).where("least < most")
+    lists = written(lists.select("shingle", F.col("top.root").alias("main"), "members"), "lists")
+    family = written(join_counted(rows, lists, ["shingle"]).select("main", "id", "root").distinct(), "families")
+    size = family.groupBy("main").agg(F.ceil(F.count_if(F.col("root") != F.col("main")) / FEW).cast("int").alias("blocks"), F.ceil(F.count("*") / MANY).cast("int").alias("others"), F.count("*").alias("members"))
+    sized = join_counted(family, written(size, "sizes"), ["main"])
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     one = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
     few = sized.where("root <> main").select("main", "id", "root", one("blocks", 1).alias("x"), every("others").alias("y"))
@@ -263,34 +280,45 @@ def _block_links(ordered: DataFrame, roots: DataFrame, percent: int) -> DataFram
 
 
 def jaccard_components(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """``key``, ``n_shingles``, ``representative`` (of its class of equal sets) and
-    ``component_id`` of every row."""
-    docs = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("string").alias("_text"))
+    """``key``, ``n_shingles``, ``component_id`` and ``representative`` (the smallest key of its
+    class of equal sets) of every row."""
+    docs = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("string").alias("_text")).withColumn("digest", F.md5(F.col("_text").cast("binary")))
     fragments = fragments_for(text_bytes(docs, "_text") / BYTES_PER_SHINGLE / 2)
-    shared = shared_values(_deal_low(docs, words, fragments), fragments, False).groupBy("key").agg(F.sum("n").alias("met"))
-    sizes = _sizes(docs, words).join(shared.withColumnRenamed("key", "id"), "id", "left")
-    sizes = written(sizes.withColumn("met", F.coalesce("met", F.lit(0))), "sizes")
-    classes = sizes.where("n > 0").groupBy("sig1", "sig2", "n").agg(F.min("id").alias("representative"), F.max(F.col("met") + F.col("n") - F.floor((F.col("n") * percent + 99) / 100) - F.col("low")).alias("slack"))
+    sizes = written(_sizes(docs, words), "sizes")
+    met = shared_values(_deal_low(docs, words, fragments), fragments, False).groupBy(F.col("key").alias("sig1")).agg(F.sum("n").alias("met"))
+    by = ["sig1", "sig2", "n"]
+    classes = sizes.where("n > 0").groupBy(*by).agg(F.min("id").alias("least"), F.min(F.struct("id", "digest")).alias("text"), F.max("low").alias("low"), F.count("*").alias("members"))
+    slack = F.coalesce("met", F.lit(0)) + F.col("n") - F.floor((F.col("n") * percent + 99) / 100) - F.col("low")
+    classes = classes.join(met, "sig1", "left").select(F.monotonically_increasing_id().alias("class"), *by, "least", "text", "members", slack.alias("slack"))
     classes = written(classes, "classes")
-    left = classes.where("slack >= 0").select(F.col("representative").alias("id")).distinct()
-    kept = written(shingle_sets(docs.join(left, "id", "left_semi"), "_text", "id", words).dropDuplicates(["id"]), "sets")
+    # One row of each class left gives its text: by key and digest, so that copies don't meet.
+    left = classes.where("slack >= 0").select("class", F.col("text.id").alias("own"), F.col("text.digest").alias("digest"))
+    texts = docs.join(left, (docs["digest"] == left["digest"]) & docs["id"].eqNullSafe(left["own"])).select("class", "_text")
+    kept = written(shingle_sets(texts, "_text", "class", words).dropDuplicates(["id"]), "sets")
     ordered = written(_in_order(kept, percent), "ordered")
     links = written(_common(_central_pairs(ordered, percent), ordered, percent), "pairs")
     roots = connected(links)
     more = written(_block_links(ordered, roots, percent), "pairs")
     if more.limit(1).count():
         roots = connected(links.select("a", "b").union(more.select("a", "b")))
-    placed = sizes.join(classes.drop("slack"), ["sig1", "sig2", "n"], "left")
-    placed = placed.select("id", "n", F.coalesce("representative", "id").alias("representative"))
-    placed = placed.join(roots.withColumnRenamed("id", "representative"), "representative", "left")
-    placed = written(placed.select("id", "n", "representative", F.coalesce("root", "representative").alias("root")), "placed")
-    least = placed.groupBy("root").agg(F.min("id").alias("component_id"))
-    return placed.join(least, "root").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "representative", "component_id")
+    placed = classes.join(roots.select(F.col("id").alias("class"), "root"), "class", "left").select(*by, "least", "members", F.coalesce("root", "class").alias("root"))
+    placed = written(placed, "placed")
+    least = written(placed.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("classes")), "least")
+    named = written(join_counted(placed, least, ["root"], "classes").drop("root"), "named")
+    found = join_counted(sizes.where("n > 0").drop("digest", "low"), named, by).select("id", "n", "component_id", "least")
+    alone = sizes.where("n = 0").select("id", "n", F.col("id").alias("component_id"), F.col("id").alias("least"))
+    return found.unionByName(alone).select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id", F.col("least").alias("representative"))
 
 
 def jaccard_pairs(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """All links (a, b, n_a, n_b, overlap) between different sets, each standing for its class:
     for callers that need every pair and whose groups are small enough to hold them."""
-    sets = shingle_sets(df, text, key, words).where("n > 0").groupBy("shingles").agg(F.min("id").alias("id"), F.first("n").alias("n"))
-    ordered = written(_in_order(written(sets.select("id", "n", "shingles"), "sets"), percent), "ordered")
-    return _common(_all_pairs(ordered, percent), ordered, percent)
+    sets = shingle_sets(df, text, key, words).where("n > 0").groupBy("shingles").agg(F.min("id").alias("key"), F.first("n").alias("n"))
+    sets = written(sets.select(F.monotonically_increasing_id().alias("id"), "key", "n", "shingles"), "sets")
+    ordered = written(_in_order(sets.select("id", "n", "shingles"), percent), "ordered")
+    found, keys = written(_common(_all_pairs(ordered, percent), ordered, percent), "pairs"), sets.select("id", "key")
+    for side in ("a", "b"):
+        found = found.join(keys.select(F.col("id").alias(side), F.col("key").alias(f"key_{side}")), side)
+    swap = F.col("key_a") > F.col("key_b")
+    pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
+    return found.select(pick("key_a", "key_b").alias("a"), pick("key_b", "key_a").alias("b"), pick("n_a", "n_b").alias("n_a"), pick("n_b", "n_a").alias("n_b"), "overlap")
