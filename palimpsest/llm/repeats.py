@@ -6,7 +6,7 @@ removed. Two occurrences of it lie in documents that share an anchor: in every s
 Anchors that several documents have are found by fragments of their hash order; the contexts
 around them, long enough for every passage with that anchor, meet by anchor in shards. In a shard
 the distinct contexts, in document order, are indexed by the Burrows-Wheeler transform of their
-text, kept as runs, with the document sampled at the top of each group of equal passages. Every
+text, kept as runs, with the document sampled at the top of each different passage. Every
 context is then streamed against it from right to left: a step extends the match by one byte, and
 a match of ``LENGTH`` bytes names the earliest document that has it. The transform sorts by the
 first ``LENGTH`` bytes, which is all that such matches ask for.
@@ -19,9 +19,11 @@ Equal texts are recognised first: all but the first of them go as a whole. Equal
 map step or shard count once, the others are marked by the first; an anchor with only one context
 left in its shard has nothing to be held against and needs no place in the index.
 
-Defined results: a null text counts as empty; texts shorter than ``LENGTH`` bytes keep all; equal
-keys count as one document; rows with a null key take no part and keep all; extra columns are
-ignored; an empty table gives an empty table. The input must be a scan that repeats.
+Defined results: a null text counts as empty; texts shorter than ``LENGTH`` bytes keep all; longer
+ones of any size are judged whole; rows of an equal key don't remove from each other, and each is
+judged by itself against rows of smaller keys; rows with a null key take no part and keep all;
+extra columns are ignored; an empty table gives an empty table. The input must be a scan that
+repeats.
 """
 
 from __future__ import annotations
@@ -31,9 +33,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import MIX, byte_slices, distinct_in_rows, mixed, string_buffers, written
+from .common import MIX, byte_slices, distinct_in_rows, join_counted, map_arrow, mixed, string_buffers, written
 from .fragments import DEALT, deal, fragments_for, shared_values, text_bytes
 
 LENGTH, GRAM = 50, 32
@@ -102,9 +105,9 @@ class RunIndex:
         same[1:] = head[order][1:] == head[order][:-1]
         differs = lambda part: ~(same & np.append(False, part[order][1:] == part[order][:-1]))
         top, wider = differs(tail), differs(near)
-        self.group_of = (np.cumsum(top) - 1).astype(np.int32)
-        self.first_document = document_at[order[np.flatnonzero(top)]]
-        self.wider_top = np.maximum.accumulate(np.where(wider, np.arange(n), 0)).astype(np.int32)
+        # One entry for each different passage, not for each place: repeats make no entries.
+        self.tops, self.wider_tops = np.flatnonzero(top), np.flatnonzero(wider)
+        self.first_document = document_at[order[self.tops]]
         last = text[order - 1]
         new = np.ones(n, bool)
         new[1:] = last[1:] != last[:-1]
@@ -145,35 +148,37 @@ class RunIndex:
             alive = alive[size[alive] > t]
             at = rows[alive]
             if t >= length:  # a match has its full length: forget its last byte
-                at = self.wider_top[at].astype(np.int64)
+                at = self.wider_tops[np.searchsorted(self.wider_tops, at, side="right") - 1]
             place = end[alive] - 1 - t
             rows[alive] = at = self.extend(at, text[place].astype(np.int64))
             if t >= length - 1:
-                yield alive, place - begin[alive], self.first_document[self.group_of[at]]
+                yield alive, place - begin[alive], self.first_document[np.searchsorted(self.tops, at, side="right") - 1]
 
 
-def _packed_marks(key: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Table:
-    """Marked ranges of each document, merged."""
+def _packed_marks(key: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Table:
+    """Marked ranges of each row, merged."""
     if not len(key):
-        return pa.table({"key": pa.array([], pa.int64()), "marks": pa.array([], pa.binary())})
-    order = np.lexsort((start, key))
-    key, start, end = key[order], start[order], end[order]
-    number = np.cumsum(np.append(0, key[1:] != key[:-1]))
-    reach = np.maximum.accumulate(number * (1 << 40) + end)  # of the same document: later ones begin higher
+        return pa.table({"key": pa.array([], pa.int64()), "row": pa.array([], pa.int64()), "marks": pa.array([], pa.binary())})
+    order = np.lexsort((start, row, key))
+    key, row, start, end = key[order], row[order], start[order], end[order]
+    other = np.ones(len(key), bool)
+    other[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
+    number = np.cumsum(other) - 1
+    reach = np.maximum.accumulate(number * (1 << 40) + end)  # of the same row: later ones begin higher
     new = np.ones(len(key), bool)
     new[1:] = (number * (1 << 40) + start)[1:] > reach[:-1]
     at = np.flatnonzero(new)
     stop = np.append(at[1:], len(key)) - 1
-    key, start, end = key[at], start[at], reach[stop] & ((1 << 40) - 1)
-    pair = np.column_stack([start, end]).astype("<i4" if end.max() < 1 << 31 else "<i8")
-    first = np.flatnonzero(np.diff(key, prepend=key[0] - 1))
-    return pa.table({"key": pa.array(key[first]), "marks": pa.array([pair[a:b].astype("<i8").tobytes() for a, b in zip(first.tolist(), [*first[1:].tolist(), len(key)])], pa.binary())})
+    pair = np.column_stack([start[at], reach[stop] & ((1 << 40) - 1)])
+    first = np.flatnonzero(other[at])
+    at = at[first]
+    return pa.table({"key": pa.array(key[at]), "row": pa.array(row[at]), "marks": pa.array([pair[a:b].astype("<i8").tobytes() for a, b in zip(first.tolist(), [*first[1:].tolist(), len(pair)])], pa.binary())})
 
 
-def _settle(hashes: np.ndarray, key: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of equal contexts: the first by document and place, those of later documents, and further
-    ones of the first's document with the number of the first."""
-    order = np.lexsort((place, key, hashes))
+def _settle(hashes: np.ndarray, key: np.ndarray, row: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of equal contexts: the first by key, row and place, those of larger keys, and further ones
+    of the first's key with the number of the first."""
+    order = np.lexsort((place, row, key, hashes))
     new = np.ones(len(order), bool)
     new[1:] = hashes[order][1:] != hashes[order][:-1]
     first, number = order[new], np.cumsum(new) - 1
@@ -215,11 +220,11 @@ def split_anchors(docs: DataFrame, least: int) -> np.ndarray:
             own, n = np.unique(spread[new], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(own[n > 1].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], names=["anchor", "n"])
 
-    found = docs.mapInArrow(count, "anchor bigint, n bigint").groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") > least)
+    found = map_arrow(docs, count, "anchor bigint, n bigint").groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") > least)
     return np.sort(np.array([r["anchor"] for r in found.collect()], np.int64).view(np.uint64))
 
 
-def _contexts(data: np.ndarray, at: np.ndarray, keys: np.ndarray, wanted: list, shards: int, split: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _contexts(data: np.ndarray, at: np.ndarray, keys: np.ndarray, row: np.ndarray, wanted: list, shards: int, split: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Contexts of shared anchors of a step, by shard; shard -1 has what the step knows itself."""
     if not any(wanted):
         return
@@ -241,25 +246,27 @@ def _contexts(data: np.ndarray, at: np.ndarray, keys: np.ndarray, wanted: list,
         begin, end, doc, spread = (np.append(x[~cut], y) for x, y in zip((begin, end, doc, spread), more))
         places = np.append(places[~cut], more[0])
     context = context_hashes(data, begin, end)
-    first, later, again, _ = _settle(context, keys[doc], places - at[doc])
+    first, later, again, _ = _settle(context, keys[doc], row[doc], places - at[doc])
     first = np.append(first, again)
-    known = _packed_marks(keys[doc[later]], (begin - at[doc])[later], (end - at[doc])[later])
+    known = _packed_marks(keys[doc[later]], row[doc[later]], (begin - at[doc])[later], (end - at[doc])[later])
     shard = ((spread[first] >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
     order = np.argsort(shard, kind="stable")
     first, shard = first[order], shard[order]
     cuts = np.flatnonzero(np.diff(shard, prepend=-1))
     raw = data.tobytes()
-    rows = {c: [] for c in ("keys", "starts", "sizes", "anchor", "bytes")}
+    rows = {c: [] for c in ("keys", "rows", "starts", "sizes", "anchor", "bytes")}
     for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(shard)]):
         own = first[a:b]
         rows["keys"].append(keys[doc[own]].astype("<i8").tobytes())
+        rows["rows"].append(row[doc[own]].astype("<i8").tobytes())
         rows["starts"].append((begin - at[doc])[own].astype("<u4").tobytes())
         rows["sizes"].append((end - begin)[own].astype("<u1").tobytes())
         rows["anchor"].append(spread[own].astype("<u4").tobytes())
         rows["bytes"].append(zlib.compress(b"".join([raw[x:y] for x, y in zip(begin[own].tolist(), end[own].tolist())]), 1))
     if known.num_rows:
         parts = [-1 - int(known.column("key")[0].as_py()) % 65_536] * known.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array([np.int64(k).tobytes() for k in known.column("key").to_pylist()], pa.binary()), known.column("marks").combine_chunks(), *(pa.array([b""] * known.num_rows, pa.binary()) for _ in range(3))], names=["shard", *rows])
+        one = lambda c: pa.array([np.int64(k).tobytes() for k in known.column(c).to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), one("key"), one("row"), known.column("marks").combine_chunks(), *(pa.array([b""] * known.num_rows, pa.binary()) for _ in range(3))], names=["shard", *rows])
     yield pa.RecordBatch.from_arrays([pa.array(shard[cuts]), *(pa.array(v, pa.binary()) for v in rows.values())], names=["shard", *rows])
 
 
@@ -274,21 +281,21 @@ def context_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.n
 
 
 def _index_shard(table: pa.Table) -> pa.Table:
-    keys = np.concatenate([np.frombuffer(x.as_py(), "<i8") for x in table.column("keys")])
+    keys, row = (np.concatenate([np.frombuffer(x.as_py(), "<i8") for x in table.column(c)]) for c in ("keys", "rows"))
     if table.column("shard")[0].as_py() < 0:
-        return pa.table({"key": pa.array(keys), "marks": table.column("starts").combine_chunks()})
+        return pa.table({"key": pa.array(keys), "row": pa.array(row), "marks": table.column("starts").combine_chunks()})
     starts = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in table.column("starts")]).astype(np.int64)
     sizes = np.concatenate([np.frombuffer(x.as_py(), "<u1") for x in table.column("sizes")]).astype(np.int64)
     data = np.frombuffer(b"".join([zlib.decompress(x) for x in table.column("bytes").to_pylist()]), np.uint8)
     end = np.cumsum(sizes)
-    first, later, again, number = _settle(context_hashes(data, end - sizes, end), keys, starts)
-    marked = [(keys[later], starts[later], (starts + sizes)[later])]
+    first, later, again, number = _settle(context_hashes(data, end - sizes, end), keys, row, starts)
+    marked = [(keys[later], row[later], starts[later], (starts + sizes)[later])]
     anchor = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in table.column("anchor")])[first]
     _, same, variants = np.unique(anchor, return_inverse=True, return_counts=True)
     used = np.flatnonzero(variants[same] > 1)  # an anchor with one context has nothing to be held against
     if not len(used):
         return _packed_marks(*marked[0])
-    used = used[np.lexsort((starts[first[used]], keys[first[used]]))]
+    used = used[np.lexsort((starts[first[used]], row[first[used]], keys[first[used]]))]
     first = first[used]
     size = sizes[first]
     text = np.full(int(size.sum()) + len(first), SEPARATOR, np.uint8)
@@ -302,7 +309,7 @@ def _index_shard(table: pa.Table) -> pa.Table:
         patterns.append(pattern[hit])
         offsets.append(offset[hit])
     pattern, offset = np.concatenate(patterns), np.concatenate(offsets)
-    marked.append((keys[first[pattern]], starts[first[pattern]] + offset, starts[first[pattern]] + offset + LENGTH))
+    marked.append((keys[first[pattern]], row[first[pattern]], starts[first[pattern]] + offset, starts[first[pattern]] + offset + LENGTH))
     # Further occurrences in the same document have the same passages.
     place = np.full(len(variants[same]), -1)
     place[used] = np.arange(len(used))
@@ -311,44 +318,46 @@ def _index_shard(table: pa.Table) -> pa.Table:
     low, high = np.searchsorted(pattern[by], number), np.searchsorted(pattern[by], number, side="right")
     which = np.repeat(low, high - low) + np.arange(int((high - low).sum())) - np.repeat(np.cumsum(high - low) - (high - low), high - low)
     own, offset = np.repeat(again, high - low), offset[by][which]
-    marked.append((keys[own], starts[own] + offset, starts[own] + offset + LENGTH))
+    marked.append((keys[own], row[own], starts[own] + offset, starts[own] + offset + LENGTH))
     return _packed_marks(*(np.concatenate(x) for x in zip(*marked)))
 
 
 def _rows(df: DataFrame, text: str, key: str) -> DataFrame:
-    return df.select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("string").alias("_text"))
+    """Key, a number that tells rows of one key apart by their text, and the text."""
+    rows = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("string").alias("_text"))
+    return rows.select("id", F.xxhash64("id", "_text").alias("row"), "_text")
 
 
 def repeated_passages(rows: DataFrame) -> DataFrame:
-    """``id`` and ``marks`` (lists of packed ranges, 64-bit start and end bytes) to remove, or
-    ``whole``, of rows (id, _text)."""
+    """``row`` and ``marks`` to remove, of rows (id, row, _text): key and packed ranges (64-bit start
+    and end bytes), null for a whole text."""
     docs = rows.where(F.col("id").isNotNull() & (F.octet_length("_text") >= LENGTH))
     total = text_bytes(docs, "_text")
     fragments, shards = fragments_for(total / BYTES_PER_ANCHOR), max(8, total // SHARD_BYTES)
     split = rows.sparkSession.sparkContext.broadcast(split_anchors(docs, SHARD_BYTES // (LENGTH + REACH)))
-    digests = docs.select("id", F.octet_length("_text").cast("bigint").alias("size"), F.md5(F.col("_text").cast("binary")).alias("digest"))
-    first = digests.groupBy("digest").agg(F.min("id").alias("first"))
-    copies = written(digests.join(first, "digest").where("id <> first").select("id").distinct(), "copies")
+    digests = written(docs.select("id", "row", F.md5(F.col("_text").cast("binary")).alias("digest")), "digests")
+    first = written(digests.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("members")).where("members > 1"), "first")
+    copies = written(join_counted(digests, first, ["digest"]).where("id <> first").select("id", "row").distinct(), "copies")
 
     def deal_anchors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in byte_slices(batches, "_text", STEP):
             data, at = string_buffers(part.column("_text"))
             places, hashes = anchors(data, at)
             values, bounds = distinct_in_rows(mixed(hashes + MIX), np.searchsorted(places, at))
-            yield from deal(part.column("id").to_numpy(), bounds, values, fragments, True)
+            yield from deal(part.column("row").to_numpy(), bounds, values, fragments, True)
 
     def deal_contexts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in byte_slices(batches, "_text", STEP):
-            yield from _contexts(*string_buffers(part.column("_text")), part.column("id").to_numpy(zero_copy_only=False), part.column("wanted").to_pylist(), shards, split.value)
+            yield from _contexts(*string_buffers(part.column("_text")), pc.fill_null(part.column("id"), 0).to_numpy(), part.column("row").to_numpy(), part.column("wanted").to_pylist(), shards, split.value)
 
-    shared = shared_values(docs.mapInArrow(deal_anchors, DEALT), fragments, True)
-    shared = shared.groupBy(F.col("key").alias("id")).agg(F.collect_list("shared").alias("wanted"))
+    shared = shared_values(map_arrow(docs, deal_anchors, DEALT), fragments, True)
+    shared = shared.groupBy(F.col("key").alias("row")).agg(F.collect_list("shared").alias("wanted"))
     # Joined from the left and without a filter, as at the end: the texts are shuffled once for both.
-    wanted = rows.join(written(shared, "shared").join(copies, "id", "left_anti"), "id", "left").select("id", "_text", "wanted")
-    dealt = wanted.mapInArrow(deal_contexts, "shard bigint, keys binary, starts binary, sizes binary, anchor binary, bytes binary")
-    marks = dealt.groupBy("shard").applyInArrow(_index_shard, "key bigint, marks binary")
-    whole = copies.select(F.col("id").alias("key"), F.lit(None).cast("binary").alias("marks"))
-    return marks.union(whole).groupBy(F.col("key").alias("id")).agg(F.collect_list("marks").alias("marks"), F.max(F.col("marks").isNull()).alias("whole"))
+    wanted = rows.join(written(shared, "shared").join(copies, "row", "left_anti"), "row", "left").select("id", "row", "_text", "wanted")
+    dealt = map_arrow(wanted, deal_contexts, "shard bigint, keys binary, rows binary, starts binary, sizes binary, anchor binary, bytes binary")
+    marks = dealt.groupBy("shard").applyInArrow(_index_shard, "key bigint, row bigint, marks binary")
+    whole = copies.select(F.col("id").alias("key"), "row", F.lit(None).cast("binary").alias("marks"))
+    return marks.union(whole).groupBy("row").agg(F.collect_list(F.struct("key", "marks")).alias("marks"))
 
 
 def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -356,18 +365,19 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     remaining bytes in ``kept``, for every row."""
     rows = _rows(df, text, key)
     keep = ("id",)
-    joined = rows.join(repeated_passages(rows), "id", "left").select("id", "marks", "whole", "_text")
+    joined = rows.join(repeated_passages(rows), "row", "left").select("id", "marks", "_text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in byte_slices(batches, "_text"):
             data, at = string_buffers(part.column("_text"))
             raw, at = data.tobytes(), at.tolist()
             out = {c: [] for c in ("n_bytes", "n_removed", "n_spans", "spans", "kept")}
-            for a, b, own, whole in zip(at, at[1:], part.column("marks").to_pylist(), part.column("whole").to_pylist()):
-                if whole:
+            for a, b, key, found in zip(at, at[1:], part.column("id").to_pylist(), part.column("marks").to_pylist()):
+                own = [m["marks"] for m in found or () if m["key"] == key]
+                if None in own:
                     spans = np.array([[0, b - a]])
                 else:
-                    ranges = np.frombuffer(b"".join(own or ()), "<i8").reshape(-1, 2)
+                    ranges = np.frombuffer(b"".join(own), "<i8").reshape(-1, 2)
                     ranges = ranges[np.argsort(ranges[:, 0], kind="stable")]
                     reach = np.maximum.accumulate(ranges[:, 1])
                     new = np.ones(len(ranges), bool)
@@ -383,5 +393,5 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id") -> Da
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *(pa.array(v, k) for v, k in zip(out.values(), kinds))], names=[*keep, *out])
 
-    found = joined.mapInArrow(run, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, spans binary, kept binary")
+    found = map_arrow(joined, run, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, spans binary, kept binary")
     return found.withColumnRenamed("id", key)

@@ -50,8 +50,24 @@ def test_no_shard_has_all_contexts_of_an_anchor(texts):
     wanted = [[common.astype("<u4").tobytes()]] * len(texts)
 
     def largest(split):
-        parts = [b for b in repeats._contexts(data, at, np.arange(len(texts)), wanted, 64, split)]
+        parts = [b for b in repeats._contexts(data, at, np.arange(len(texts)), np.arange(len(texts)), wanted, 64, split)]
         return max(len(r["keys"]) // 8 for b in parts for r in b.to_pylist() if r["shard"] >= 0)
 
     assert largest(np.zeros(0, np.uint64)) >= 200
     assert largest(common) <= 2 * 19 * len(common) * len(texts) / 64
+
+
+def test_repeated_and_null_keys(spark, tmp_path):
+    """Rows of a key don't cut each other, and each is cut by its own text."""
+    one, two = "a passage of well over fifty bytes that stands in several rows", "another passage of well over fifty bytes, in some other rows"
+    rows = [(1, one), (1, "x " + one), (2, two), (2, "short"), (2, f"{two} and {one}"), (2, f"{two} and {one}"), (3, one + two), (3, two), (None, one), (None, None), (0, "y " + two)]
+    out = str(tmp_path / "d")
+    spark.createDataFrame(rows, SCHEMA).repartition(4).write.parquet(out)
+    got = sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], bytes(r["kept"])) for r in repeats.remove_repeats(spark.read.schema(SCHEMA).parquet(out)).collect()), key=repr)
+    want = []
+    for k, t in rows:
+        raw = (t or "").encode()
+        seen = {u.encode()[i : i + 50] for j, u in rows if u and j is not None and k is not None and j < k for i in range(len(u.encode()) - 49)}
+        gone = {i + j for i in range(len(raw) - 49) if raw[i : i + 50] in seen for j in range(50)}
+        want.append((k, len(raw), len(gone), bytes(b for i, b in enumerate(raw) if i not in gone)))
+    assert got == sorted(want, key=repr)
