@@ -1,17 +1,24 @@
 """Benchmark decontamination by a distributed positional inverted index.
 
-The index is partitioned by documents: each piece of the corpus keeps the postings (positions,
-in order) of every term that the benchmark uses. A window of consecutive benchmark words is
-answered from its rarest term there: that term's list, moved by the term's offset in the window,
-gives the possible starts, and the other terms' places, rarest first, are intersected with it.
-Starts where all terms stand are exact phrase matches; starts where most of them stand are
-proximity matches. Nothing is shuffled: benchmark windows go to the documents in blocks of
-bounded size, and each document's answer comes from its own postings.
-
-Defined results: null or empty texts have no words and no hits; benchmark rows without words
-are ignored; a null item_id counts for hits but cannot be listed; repeated items and ties count
-once per item_id; extra columns are dropped unless named in ``keep``; an empty benchmark leaves
-every document clean.
+The index is a stored table. Each document's row has its postings: the distinct words that the
+benchmark uses, by hash, and the positions of each, in order; so documents are spread over tasks,
+and all postings of one document lie together. How often each word stands in the whole corpus is
+counted on the stored table. A window of consecutive benchmark words is answered from its rarest
+word there: that word's list, moved by its offset in the window, gives the possible starts, and
+the other words' lists, rarest first, are intersected with them. The benchmark goes over the
+index in blocks of bounded size, and the texts are read once, whatever their number.
+
+Starts where all words stand are exact phrase matches. A proximity match is found from any of the
+window's rarest words, as many as may be missing and one more: with it at its place, so many of
+the window's words must stand within ``NEAR_DISTANCE`` words of theirs, before or after. Words
+that were put in, left out or swapped move the others by a few places only.
+
+Defined results: null or empty texts have no words and no hits; texts of any length are indexed
+whole; benchmark rows without words are ignored; a null item_id counts for hits but cannot be
+listed; repeated items and ties count once per item_id; each row counts by itself, whether keys
+repeat or are null; extra columns are dropped unless named in ``keep``, where one with the name of
+a result is replaced by it; an empty benchmark leaves every document clean, and an empty table
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -21,18 +28,23 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import byte_slices, string_buffers, written
+from .common import byte_slices, map_arrow, schema_of, string_buffers, text_rows, written
 
 WINDOW_WORDS = 10
-#: Benchmark text of one broadcast block, in bytes.
-BLOCK_BYTES = 8 << 20
-#: Of ten words, so many at their places make a proximity match.
-NEAR_SHARE = 0.8
-#: Candidate starts that are looked at together.
-STEP = 1 << 18
+#: Benchmark text of one broadcast block, in bytes; a longer single item is a block of its own.
+BLOCK_BYTES = 2 << 20
+#: Of ten words, so many make a proximity match; how far each may be from its place.
+NEAR_SHARE, NEAR_DISTANCE = 0.8, 3
+#: Distinct benchmark words up to which the index leaves all other words out (8 bytes each are
+#: broadcast); beyond that it has every word, and results are the same.
+VOCABULARY_WORDS = 1 << 20
+#: Candidate starts, and words of documents, that are looked at together.
+STEP, STEP_WORDS = 1 << 18, 1 << 17
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -74,197 +86,262 @@ def word_hashes(lower: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return (total + size.astype(np.uint64)) * _FACTOR
 
 
+def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of a column of texts, and each text's first word."""
+    lower, starts, ends, first = word_spans(*string_buffers(column))
+    return word_hashes(lower, starts, ends), first
+
+
+#: The index's own columns, beside those that are kept.
+INDEX = "_index_words bigint, _index_terms array<bigint>, _index_many binary, _index_positions binary"
+INDEX_COLUMNS = ("_index_words", "_index_terms", "_index_many", "_index_positions")
+
+
+def store_index(df: DataFrame, vocabulary: np.ndarray | None, keep: tuple[str, ...], text: str) -> DataFrame:
+    """Writes the index: ``keep`` columns, ``row`` (a number of the row), the number of words, the
+    distinct words' hashes, how often each stands, and the positions of each in turn."""
+    keep, name, rows = text_rows(df, keep, text, f"_index_row bigint, {INDEX}, {RESULT}")
+    shared = rows.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for part in byte_slices(batches, name):
+            hashes, first = words_of(part.column(name))
+            doc = np.repeat(np.arange(part.num_rows), np.diff(first))
+            position = np.arange(len(hashes)) - first[doc]
+            if known is not None:
+                place = np.minimum(np.searchsorted(known, hashes), max(0, len(known) - 1))
+                used = known[place] == hashes if len(known) else np.zeros(len(hashes), bool)
+                hashes, doc, position = hashes[used], doc[used], position[used]
+            order = np.lexsort((hashes, doc))  # stable, so that positions rise in each list
+            hashes, doc, position = hashes[order], doc[order], position[order].astype("<i4")
+            new = np.ones(len(hashes), bool)
+            new[1:] = (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])
+            at = np.flatnonzero(new)
+            many = np.diff(np.append(at, len(hashes))).astype("<i4")
+            lists, ends = np.searchsorted(doc[at], np.arange(part.num_rows + 1)), np.searchsorted(doc, np.arange(part.num_rows + 1))
+            pieces = lambda x, bounds: pa.array([x[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())], pa.binary())
+            terms = pa.ListArray.from_arrays(pa.array(lists, pa.int32()), pa.array(hashes[at].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(np.diff(first), pa.int64()), terms, pieces(many, lists), pieces(position, ends)], names=[*keep, "_index_words", "_index_terms", "_index_many", "_index_positions"])
+
+    indexed = map_arrow(rows, run, schema_of(df, keep, INDEX))
+    return written(indexed.select(F.monotonically_increasing_id().alias("_index_row"), "*"), "postings")
+
+
 @dataclass
-class Windows:
-    """Benchmark windows of one block: term numbers by offset (-1 beyond a short item's end)."""
+class Block:
+    """Benchmark items of one block: hashes of their words, each item's first word, and its names."""
 
-    words: list[bytes]
     hashes: np.ndarray
-    terms: np.ndarray
-    sizes: np.ndarray
-    items: np.ndarray
+    first: np.ndarray
     names: list[list[str]]
 
 
-def windows_of(items: list[tuple[list[str], str | None]], width: int = WINDOW_WORDS) -> Windows:
-    column = pa.array([t or "" for _, t in items], pa.string())
-    lower, starts, ends, first = word_spans(*string_buffers(column))
-    raw = lower.tobytes()
-    numbers: dict[bytes, int] = {}
-    rows, sizes, owners, names = [], [], [], []
-    for i, (own, _) in enumerate(items):
-        ids = [numbers.setdefault(raw[starts[k] : ends[k]], len(numbers)) for k in range(first[i], first[i + 1])]
-        names.append(own)
-        for k in range(max(1, len(ids) - width + 1) if ids else 0):
-            row = ids[k : k + width]
-            rows.append(row + [-1] * (width - len(row)))
-            sizes.append(len(row))
-            owners.append(i)
-    words = list(numbers)
-    at = np.cumsum([0, *map(len, words)])
-    flat = np.frombuffer(b"".join(words), np.uint8)
-    return Windows(words, word_hashes(flat, at[:-1], at[1:]), np.array(rows, np.int32).reshape(-1, width), np.array(sizes, np.int32), np.array(owners, np.int64), names)
+class Windows:
+    """Windows of a block: term numbers by offset (-1 beyond a short item's end), and the order of
+    their words from rare to frequent in the corpus."""
+
+    def __init__(self, block: Block, found: np.ndarray, how_often: np.ndarray, width: int):
+        self.known, number = np.unique(block.hashes, return_inverse=True)
+        size = np.diff(block.first)
+        many = np.where(size > 0, np.maximum(1, size - width + 1), 0)
+        self.items = np.repeat(np.arange(len(size)), many)
+        start = block.first[self.items] + np.arange(len(self.items)) - np.repeat(np.cumsum(many) - many, many)
+        self.sizes = np.minimum(width, size[self.items])
+        column = start[:, None] + np.arange(width)
+        inside = np.arange(width) < self.sizes[:, None]
+        self.terms = np.where(inside, number[np.minimum(column, max(0, len(number) - 1))] if len(number) else -1, -1).astype(np.int32)
+        frequency = np.zeros(len(self.known) + 1, np.int64)
+        frequency[np.searchsorted(self.known, found)] = how_often
+        frequency[-1] = np.iinfo(np.int64).max
+        self.ranked = np.argsort(frequency[self.terms], axis=1, kind="stable").astype(np.int8)
+        self.names = block.names
 
 
 class Postings:
-    """Positional index of one piece of the corpus over the terms of a block of windows."""
-
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, windows: Windows):
-        lower, starts, ends, self.first = word_spans(data, offsets)
-        order = np.argsort(windows.hashes)
-        known = windows.hashes[order]
-        hashes = word_hashes(lower, starts, ends)
-        place = np.minimum(np.searchsorted(known, hashes), max(0, len(known) - 1))
-        is_term = known[place] == hashes if len(known) else np.zeros(len(hashes), bool)
-        ids = np.where(is_term, order[place], -1) if len(known) else np.full(len(hashes), -1)
-        # A gap of a window's width after each document keeps phrases within it.
-        width = windows.terms.shape[1]
-        n_docs = len(offsets) - 1
-        doc = np.repeat(np.arange(n_docs), np.diff(self.first))
-        self.position = np.arange(len(starts)) + doc * width
-        self.size = len(starts) + n_docs * width
-        self.term_at = np.full(self.size + width, -2, np.int32)
-        self.term_at[self.position] = ids
-        used = np.flatnonzero(ids >= 0)
-        by_term = used[np.argsort(ids[used], kind="stable")]
-        self.lists = self.position[by_term]
-        self.begin = np.searchsorted(ids[by_term], np.arange(len(windows.words) + 1))
-        self.n_words = np.diff(self.first)
-        self.doc_start = self.first[:-1] + np.arange(n_docs) * width
-
-    def match(self, windows: Windows, near_share: float = NEAR_SHARE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Rows (window, start, exact) of all phrase and proximity matches."""
-        terms, width = windows.terms, windows.terms.shape[1]
-        length = np.diff(self.begin)
-        many = np.where(terms >= 0, length[terms], np.iinfo(np.int64).max)
-        need = np.ceil(near_share * windows.sizes).astype(np.int64)
-        present = ((terms >= 0) & (many > 0)).sum(axis=1)
-        possible = np.flatnonzero(present >= need)
-        # The rarest term that does occur; a proximity match may lack others, so the next rarest
-        # terms, as many as may be missing, are anchors as well.
-        ranked = np.argsort(np.where(many > 0, many, np.iinfo(np.int64).max - 1), axis=1, kind="stable")
-        anchors = windows.sizes - need + 1
-        w_parts, s_parts = [], []
-        for rank in range(int(anchors.max(initial=0))):
-            rows = possible[anchors[possible] > rank]
-            offset = ranked[rows, rank]
+    """Lists of some documents' words, met by term; documents stand a gap apart."""
+
+    def __init__(self, windows: Windows, n_words: np.ndarray, terms: np.ndarray, terms_first: np.ndarray, many: np.ndarray, positions: np.ndarray, gap: int):
+        self.doc_start = gap + np.cumsum(n_words + gap) - n_words - gap
+        size = int(self.doc_start[-1] + n_words[-1]) + gap if len(n_words) else gap
+        doc = np.repeat(np.arange(len(n_words)), np.diff(terms_first))
+        place = np.minimum(np.searchsorted(windows.known, terms), max(0, len(windows.known) - 1))
+        used = windows.known[place] == terms if len(windows.known) else np.zeros(len(terms), bool)
+        term = np.repeat(np.where(used, place, -1), many)
+        at = positions + np.repeat(self.doc_start[doc], many)
+        self.term_at = np.full(size + gap, -2, np.int32)
+        self.term_at[at] = term
+        kept = np.flatnonzero(term >= 0)
+        by_term = kept[np.argsort(term[kept], kind="stable")]
+        self.lists = at[by_term]
+        self.begin = np.searchsorted(term[by_term], np.arange(len(windows.known) + 1))
+
+    def match(self, windows: Windows, near_share: float, distance: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Rows (window, start, place of the word it was found from, exact) of all matches."""
+        terms, ranked, sizes = windows.terms, windows.ranked, windows.sizes
+        length = np.append(np.diff(self.begin), 0)
+        need = np.minimum(sizes, np.ceil(near_share * sizes).astype(np.int64))
+        possible = np.flatnonzero((length[terms] > 0).sum(axis=1) >= need)
+        # A proximity match may lack some words, so the next rarest ones may find it as well.
+        finders = sizes - need + 1
+        out: list[tuple[np.ndarray, ...]] = []
+        for rank in range(int(finders[possible].max(initial=0))):
+            rows = possible[finders[possible] > rank]
+            offset = ranked[rows, rank].astype(np.int64)
             term = terms[rows, offset]
-            fits = (term >= 0) & (length[term] > 0)
+            fits = length[term] > 0
             rows, offset, term = rows[fits], offset[fits], term[fits]
-            w_parts.append((rows, offset, term))
-        out_w, out_s, out_e = [], [], []
-        for rows, offset, term in w_parts:
             ends = np.cumsum(length[term])
             begin = 0
             while begin < len(rows):
                 base = ends[begin - 1] if begin else 0
                 end = max(begin + 1, int(np.searchsorted(ends, base + STEP, side="right")))
                 counts = length[term[begin:end]]
-                total = int(counts.sum())
-                within = np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)
-                w = np.repeat(rows[begin:end], counts)
-                s = self.lists[np.repeat(self.begin[term[begin:end]], counts) + within] - np.repeat(offset[begin:end], counts)
-                ok = s >= 0
-                w, s = w[ok], s[ok]
-                agree = np.zeros(len(w), np.int32)
-                seen = np.zeros(len(w), np.int32)
-                alive = np.arange(len(w))
-                for k in range(width):
-                    t = terms[w[alive], ranked[w[alive], k]]
-                    real = t >= 0
-                    agree[alive] += real & (self.term_at[s[alive] + ranked[w[alive], k]] == t)
-                    seen[alive] += real
-                    alive = alive[windows.sizes[w[alive]] - seen[alive] + agree[alive] >= need[w[alive]]]
-                    if not len(alive):
-                        break
-                out_w.append(w[alive])
-                out_s.append(s[alive])
-                out_e.append(agree[alive] == windows.sizes[w[alive]])
+                within = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+                w, found = np.repeat(rows[begin:end], counts), self.lists[np.repeat(self.begin[term[begin:end]], counts) + within]
+                out.append(self._agree(windows, w, found - np.repeat(offset[begin:end], counts), found, need, distance))
                 begin = end
-        if not out_w:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
-        w, s, e = np.concatenate(out_w), np.concatenate(out_s), np.concatenate(out_e)
-        if not len(w):
-            return w, s, e
-        _, one = np.unique(w * np.int64(self.size + width) + s, return_index=True)
-        return w[one], s[one], e[one]
+        if not out:
+            return tuple(np.zeros(0, np.int64) for _ in range(3)) + (np.zeros(0, bool),)
+        w, s, found, exact = (np.concatenate(x) for x in zip(*out))
+        _, one = np.unique(w * np.int64(len(self.term_at)) + s, return_index=True)
+        return w[one], s[one], found[one], exact[one]
+
+    def _agree(self, windows: Windows, w: np.ndarray, s: np.ndarray, found: np.ndarray, need: np.ndarray, distance: int) -> tuple[np.ndarray, ...]:
+        """Those starts at which enough of the window's words stand near their places."""
+        near, exact = np.zeros(len(w), np.int32), np.ones(len(w), bool)
+        alive = np.arange(len(w))
+        for k in range(windows.terms.shape[1]):
+            own = w[alive]
+            offset = windows.ranked[own, k].astype(np.int64)
+            term = windows.terms[own, offset]
+            real = term >= 0
+            place = s[alive] + offset
+            hit = self.term_at[place] == term
+            exact[alive[real & ~hit]] = False
+            for d in range(1, distance + 1):
+                left = np.flatnonzero(real & ~hit & (need[own] < windows.sizes[own]))
+                if not len(left):
+                    break
+                hit[left] = (self.term_at[place[left] - d] == term[left]) | (self.term_at[place[left] + d] == term[left])
+            near[alive] += real & hit
+            lost = np.minimum(k + 1, windows.sizes[own]) - near[alive]
+            alive = alive[lost <= windows.sizes[own] - need[own]]
+            if not len(alive):
+                break
+        return w[alive], s[alive], found[alive], exact[alive]
 
 
-def blocks_of(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> Iterator[list[tuple[list[str], str | None]]]:
-    """Distinct benchmark texts with their items, in blocks of bounded size: one unless they are larger than that."""
+RESULT = "n_words bigint, hit_spans array<struct<start: bigint, end: bigint>>, items array<string>, near_items array<string>"
+SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+def blocks_of(items: DataFrame, block_bytes: int) -> Iterator[Block]:
+    """Distinct benchmark texts (``text``, ``items``) in blocks of bounded size."""
+    column, names, size = [], [], 0
+
+    def block() -> Block:
+        return Block(*words_of(pa.array(column, pa.string())), names)
+
+    for row in items.toLocalIterator():
+        if column and size + len(row["text"]) > block_bytes:
+            yield block()
+            column, names, size = [], [], 0
+        column.append(row["text"])
+        names.append(row["items"])
+        size += len(row["text"])
+    yield block()
+
+
+def benchmark_items(benchmark: DataFrame, item: str, text: str) -> DataFrame:
     rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).cast("string").alias("text")).where("text is not null")
-    rows = written(rows.groupBy("text").agg(F.array_sort(F.collect_set("item")).alias("items")), "benchmark")
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-int(total) // block_bytes))
-    for k in range(n):
-        part = rows.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k) if n > 1 else rows
-        yield [(r["items"], r["text"]) for r in part.toLocalIterator()]
+    return written(rows.groupBy("text").agg(F.array_sort(F.collect_set("item")).alias("items")), "benchmark")
 
 
-RESULT = "n_words bigint, hit_spans array<struct<start: bigint, end: bigint>>, items array<string>, near_items array<string>"
-SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+def benchmark_words(items: DataFrame) -> DataFrame:
+    """Distinct words of the benchmark, by hash (``term``)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in byte_slices(batches, "text"):
+            hashes, _ = words_of(part.column("text"))
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(hashes).view(np.int64))], names=["term"])
+
+    return written(map_arrow(items.select("text"), run, "term bigint").distinct(), "words")
 
 
-def _block_matches(df: DataFrame, keep: tuple[str, ...], items: list[tuple[list[str], str | None]], width: int, near_share: float) -> DataFrame:
-    shared = df.sparkSession.sparkContext.broadcast(windows_of(items, width))
+def _block_matches(index: DataFrame, kept: tuple[str, ...], block: Block, frequency: DataFrame, width: int, near_share: float, distance: int) -> DataFrame:
+    spark = index.sparkSession
+    own = np.unique(block.hashes)
+    known = spark.createDataFrame(pd.DataFrame({"term": own.view(np.int64)}), "term bigint")
+    found = frequency.join(known, "term").toPandas()  # as many rows as the block has words at most
+    shared = spark.sparkContext.broadcast((block, found["term"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = shared.value
-        for part in byte_slices(batches, "_text"):
-            index = Postings(*string_buffers(part.column("_text")), windows)
-            w, s, exact = index.match(windows, near_share)
-            doc = np.searchsorted(index.doc_start, s, side="right") - 1
-            order = np.lexsort((s, doc))
-            w, s, exact, doc = w[order], s[order], exact[order], doc[order]
-            bounds = np.searchsorted(doc, np.arange(part.num_rows + 1))
-            spans, named, near = [], [], []
-            for d in range(part.num_rows):
-                rows = slice(bounds[d], bounds[d + 1])
-                own: list[list[int]] = []
-                full, part_of = set(), set()
-                for window, start, whole in zip(w[rows].tolist(), s[rows].tolist(), exact[rows].tolist()):
-                    own_names = windows.names[windows.items[window]]
-                    if not whole:
-                        part_of.update(own_names)
-                        continue
-                    full.update(own_names)
-                    a = start - int(index.doc_start[d])
-                    b = a + int(windows.sizes[window])
-                    if own and a <= own[-1][1]:
-                        own[-1][1] = max(b, own[-1][1])
-                    else:
-                        own.append([a, b])
-                spans.append([{"start": a, "end": b} for a, b in own])
-                named.append(sorted(full))
-                near.append(sorted(part_of - full))
-            yield pa.RecordBatch.from_arrays(
-                [*part.columns[:-1], pa.array(index.n_words, pa.int64()), pa.array(spans, SPANS), pa.array(named, pa.list_(pa.string())), pa.array(near, pa.list_(pa.string()))],
-                names=[*keep, "n_words", "hit_spans", "items", "near_items"],
-            )
-
-    schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep] + [RESULT])
-    return df.select(*keep, F.col("_text")).mapInArrow(run, schema)
-
-
-def phrase_matches(df: DataFrame, benchmark: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), item: str = "item_id", item_text: str = "text", width: int = WINDOW_WORDS, near_share: float = NEAR_SHARE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+        windows = Windows(*shared.value, width)
+        for batch in batches:
+            total = np.append(0, np.cumsum(batch.column("_index_words").to_numpy()))
+            start = 0
+            while start < batch.num_rows:
+                end = max(start + 1, int(np.searchsorted(total, total[start] + STEP_WORDS, side="right")) - 1)
+                yield _answers(batch.slice(start, end - start), windows)
+                start = end
+
+    def _answers(part: pa.RecordBatch, windows: Windows) -> pa.RecordBatch:
+        n_words = part.column("_index_words").to_numpy()
+        packed = lambda c: np.frombuffer(b"".join(part.column(c).to_pylist()), "<i4").astype(np.int64)
+        lists = part.column("_index_terms")
+        first = np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)))
+        postings = Postings(windows, n_words, lists.flatten().to_numpy().view(np.uint64), first, packed("_index_many"), packed("_index_positions"), width + distance)
+        w, s, place, exact = postings.match(windows, near_share, distance)
+        doc = np.searchsorted(postings.doc_start, place, side="right") - 1
+        order = np.lexsort((s, doc))
+        w, s, exact, doc = w[order], s[order], exact[order], doc[order]
+        spans: list[list] = [[] for _ in range(part.num_rows)]
+        full: list[set] = [set() for _ in range(part.num_rows)]
+        some: list[set] = [set() for _ in range(part.num_rows)]
+        for d, window, begin, whole in zip(doc.tolist(), w.tolist(), s.tolist(), exact.tolist()):
+            names = windows.names[windows.items[window]]
+            if not whole:
+                some[d].update(names)
+                continue
+            full[d].update(names)
+            a = begin - int(postings.doc_start[d])
+            b = a + int(windows.sizes[window])
+            if spans[d] and a <= spans[d][-1]["end"]:
+                spans[d][-1]["end"] = max(b, spans[d][-1]["end"])
+            else:
+                spans[d].append({"start": a, "end": b})
+        strings = pa.list_(pa.string())
+        more = [part.column("_index_words"), pa.array(spans, SPANS), pa.array([sorted(x) for x in full], strings), pa.array([sorted(y - x) for x, y in zip(full, some)], strings)]
+        return pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *more], names=[*kept, "n_words", "hit_spans", "items", "near_items"])
+
+    return map_arrow(index.select(*[F.col(f"`{c}`") for c in kept], *INDEX_COLUMNS), run, schema_of(index, kept, RESULT))
+
+
+def phrase_matches(df: DataFrame, benchmark: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), item: str = "item_id", item_text: str = "text", width: int = WINDOW_WORDS, near_share: float = NEAR_SHARE, distance: int = NEAR_DISTANCE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``keep`` columns, ``n_words``, ``hit_spans`` (word ranges of exact phrases, merged),
     ``items`` with exact phrases and ``near_items`` with proximity matches only.
 
-    One pass per block of the benchmark, over the documents where they lie; answers of several
-    blocks meet by a number that each row gets, so that equal rows stay apart and no text is shuffled
-    for them.
+    Each block of the benchmark is one pass over the stored index; answers of several blocks meet
+    by the number of the row in it.
     """
-    rows = df.select(*keep, F.col(text).cast("string").alias("_text"))
-    blocks = blocks_of(benchmark, item, item_text, block_bytes)
+    items = benchmark_items(benchmark, item, item_text)
+    words = benchmark_words(items)
+    few = words.count() <= VOCABULARY_WORDS
+    vocabulary = np.sort(words.toPandas()["term"].to_numpy(np.int64).view(np.uint64)) if few else None
+    index = store_index(df, vocabulary, keep, text)
+    kept = tuple(c for c in index.columns if c not in ("_index_row", *INDEX_COLUMNS))
+    lists = index.select(F.explode("_index_terms").alias("term"))
+    frequency = written(lists.groupBy("term").agg(F.count("*").alias("n")), "frequencies")
+    blocks = blocks_of(items, block_bytes)
     block, following = next(blocks), next(blocks, None)
     if following is None:
-        return _block_matches(rows, keep, block, width, near_share)
-    rows = written(rows.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    parts = [_block_matches(rows, ("_row",), own, width, near_share) for own in (block, following, *blocks)]
-    together = parts[0]
-    for part in parts[1:]:
-        together = together.unionByName(part)
-    together = together.groupBy("_row").agg(
+        return _block_matches(index, kept, block, frequency, width, near_share, distance)
+    together = None
+    for own in (block, following, *blocks):
+        part = _block_matches(index, ("_index_row",), own, frequency, width, near_share, distance)
+        together = part if together is None else together.unionByName(part)
+    together = together.groupBy("_index_row").agg(
         F.max("n_words").alias("n_words"),
         F.array_sort(F.flatten(F.collect_list("hit_spans"))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
@@ -276,20 +353,20 @@ def phrase_matches(df: DataFrame, benchmark: DataFrame, text: str = "text", keep
         "then concat(slice(done, 1, size(done) - 1), array(struct(element_at(done, -1).start as start, greatest(element_at(done, -1).end, x.end) as end))) "
         "else concat(done, array(x)) end)"
     )
-    return rows.select("_row", *keep).join(together, "_row").select(*keep, "n_words", merged.alias("hit_spans"), "items", F.array_except("near_items", "items").alias("near_items"))
+    answers = together.select("_index_row", "n_words", merged.alias("hit_spans"), "items", F.array_except("near_items", "items").alias("near_items"))
+    return index.select("_index_row", *[F.col(f"`{c}`") for c in kept]).join(answers, "_index_row").drop("_index_row")
 
 
-def contamination(matches: DataFrame) -> DataFrame:
+def contamination(matches: DataFrame, key: str = "doc_id") -> DataFrame:
     """Hit words, items and their digest for each document."""
     hit = F.aggregate("hit_spans", F.lit(0).cast("bigint"), lambda n, x: n + x["end"] - x["start"])
     return matches.select(
-        "doc_id",
+        key,
         "n_words",
         hit.alias("n_hit"),
         F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (hit > 0).alias("contaminated"),
-        F.size("near_items").cast("bigint").alias("n_near_items"),
     )
 
 
