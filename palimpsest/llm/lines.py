@@ -15,10 +15,13 @@ Step by step: equal lines meet within a map step, then by leaf, so that a line t
 all documents have makes one entry for each step; templates' documents are counted exactly in
 joins on the line; every document is rewritten from the hashes of its own dropped lines.
 
-Defined results: null texts stay null, empty texts empty; lines of fewer tokens than
-``min_tokens`` have no fields; lines without tokens stay; a document's own repetition alone drops nothing; rows with a null key
-stay as they are; rows of equal keys count as one document; all columns of the input are kept; an
-empty table gives an empty table. The input must be a scan that repeats.
+Defined results: null texts stay null, empty texts empty; texts of any length are taken whole;
+lines of fewer tokens than ``min_tokens`` have no fields; lines without tokens stay; a document's
+own repetition alone drops nothing; rows with a null key stay as they are; rows of equal keys
+count as one document, and each loses its own lines; of a template's documents the one with the
+smallest key keeps its lines, and ties of templates go to the more general one; all columns of the
+input are kept, but for one named ``n_lines_dropped``, which is replaced; an empty table gives an
+empty table. The input must be a scan that repeats.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import MIX, NOT_SPACE, byte_slices, mixed, span_hashes, string_buffers, token_spans, written
+from .common import MIX, NOT_SPACE, byte_slices, join_counted, map_arrow, mixed, name_beside, span_hashes, string_buffers, token_spans, written
 from .fragments import STEP_BYTES, text_bytes
 
 LEADING, MIN_TOKENS, MIN_DOCUMENTS, FIXED_SHARE = 3, 4, 5, 0.6
@@ -112,7 +115,7 @@ def _deal(df: DataFrame, fixed_share: float, leading: int, min_tokens: int, buck
                 rows["tokens"].append(b"".join([tokens[x:y].tobytes() for x, y in zip(lines.begin[w].tolist(), lines.end[w].tolist())]))
             yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts]), *(pa.array(v, pa.binary()) for v in rows.values())], names=["bucket", *rows])
 
-    return df.mapInArrow(run, "bucket bigint, leaf binary, line binary, documents binary, size binary, tokens binary")
+    return map_arrow(df, run, "bucket bigint, leaf binary, line binary, documents binary, size binary, tokens binary")
 
 
 def generalise(leaf: np.ndarray, line: np.ndarray, documents: np.ndarray, tokens: np.ndarray, min_documents: int, fixed_share: float, leading: int = LEADING) -> np.ndarray:
@@ -177,7 +180,7 @@ def _document_lines(df: DataFrame, fixed_share: float, leading: int, min_tokens:
             ids = part.column("id").to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(ids[lines.doc], pa.int64()), pa.array(lines.line.view(np.int64))], names=["id", "line"])
 
-    return df.mapInArrow(run, "id bigint, line bigint")
+    return map_arrow(df, run, "id bigint, line bigint")
 
 
 def recurring_lines(df: DataFrame, text: str = "text", key: str = "doc_id", min_documents: int = MIN_DOCUMENTS, fixed_share: float = FIXED_SHARE, leading: int = LEADING, min_tokens: int = MIN_TOKENS) -> DataFrame:
@@ -188,15 +191,17 @@ def recurring_lines(df: DataFrame, text: str = "text", key: str = "doc_id", min_
     found = written(found, "templates")
     places = written(_document_lines(docs, fixed_share, leading, min_tokens).join(found, "line").select("id", "line", "template").distinct(), "places")
     first = places.groupBy("template", "id").agg(F.lit(1).alias("one")).groupBy("template").agg(F.count("*").alias("documents"), F.min("id").alias("first"))
-    first = first.where(F.col("documents") >= min_documents).select("template", "first")
-    return places.join(first, "template").where("id <> first").select("id", "line", "template")
+    lines = places.groupBy("template").agg(F.count("*").alias("members"))
+    first = written(first.where(F.col("documents") >= min_documents).join(lines, "template").select("template", "first", "members"), "first")
+    return join_counted(places, first, ["template"]).where("id <> first").select("id", "line", "template")
 
 
 def drop_recurring_lines(df: DataFrame, text: str = "text", key: str = "doc_id", min_documents: int = MIN_DOCUMENTS, fixed_share: float = FIXED_SHARE, leading: int = LEADING, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """All columns, the text without recurring lines, and ``n_lines_dropped``."""
     gone = recurring_lines(df, text, key, min_documents, fixed_share, leading, min_tokens)
-    gone = gone.groupBy(F.col("id").alias("_id")).agg(F.collect_set("line").alias("_lines"))
-    names, place = df.columns, df.columns.index(text)
+    names = [c for c in df.columns if c != "n_lines_dropped"]
+    place, own_id, own_lines = names.index(text), name_beside(names, "_id"), name_beside(names, "_lines")
+    gone = gone.groupBy(F.col("id").alias(own_id)).agg(F.collect_set("line").alias(own_lines))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in byte_slices(batches, text):
@@ -206,7 +211,7 @@ def drop_recurring_lines(df: DataFrame, text: str = "text", key: str = "doc_id",
             bounds = np.searchsorted(lines.doc, np.arange(part.num_rows + 1))
             valid = part.column(text).is_valid().to_pylist()
             hashes = lines.line.view(np.int64)
-            for d, own in enumerate(part.column("_lines").to_pylist()):
+            for d, own in enumerate(part.column(own_lines).to_pylist()):
                 rows = slice(bounds[d], bounds[d + 1])
                 hit = np.flatnonzero(np.isin(hashes[rows], np.array(own, np.int64))) if own else ()
                 dropped.append(len(hit))
@@ -222,6 +227,6 @@ def drop_recurring_lines(df: DataFrame, text: str = "text", key: str = "doc_id",
             columns = [pa.array(texts, pa.string()) if i == place else part.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(dropped, pa.int64())], names=[*names, "n_lines_dropped"])
 
-    joined = df.join(gone, F.col(key).cast("bigint") == F.col("_id"), "left").select(*[df[c] for c in names], "_lines")
+    joined = df.join(gone, df[key].cast("bigint") == gone[own_id], "left").select(*[df[c] for c in names], own_lines)
     schema = ", ".join([f"`{c}` {'string' if c == text else df.schema[c].dataType.simpleString()}" for c in names] + ["n_lines_dropped bigint"])
-    return joined.mapInArrow(run, schema)
+    return map_arrow(joined, run, schema)
