@@ -5,19 +5,28 @@ principle one of them stands in every match unchanged. One pass of a multi-patte
 finds these exact seeds, and only around them the regex library's bounded-error matching
 verifies the edits and gives the spans. Exact phrases are found by their words as well.
 
-Defined results: null and empty texts have no words, no places and score 0; equal rows give equal
-results; extra columns are dropped unless named in ``keep``; an empty table gives an empty table.
+Seeds of a notice that lie close together are verified in windows of a few times its length, which
+overlap by as much as a match can take, so that the work grows with the text, however many notices
+it holds. Of matches of one notice that overlap, the one with the fewest errors counts, then the
+first.
+
+Defined results: null and empty texts have no words, no places and score 0; texts of any length
+are scanned whole; equal and repeated rows give equal results; extra columns are dropped unless
+named in ``keep``, where one with the name of a result is replaced by it; an empty table gives an
+empty table.
 """
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import byte_slices, string_buffers
+from .common import byte_slices, map_arrow, schema_of, string_buffers, text_rows
 
 #: Phrases whose words must stand consecutively, with their labels.
 BASE_PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -81,7 +90,7 @@ class Scanner:
 
     def scan(self, text: str) -> list[Match]:
         """Matches in a normalised text, without order."""
-        found: list[Match] = []
+        exact: list[tuple[str, int, int]] = []
         windows: dict[int, list[list[int]]] = {}
         n = len(text)
         for last, (size, uses) in self.automaton.iter(text):
@@ -89,8 +98,7 @@ class Scanner:
             for number, what in uses:
                 if number is None:
                     if (start == 0 or text[start - 1] == " ") and (last + 1 == n or text[last + 1] == " "):
-                        word = text.count(" ", 0, start)
-                        found.append(Match(self.phrases[what], word, word + what.count(" "), start, last + 1, 0, 1.0, True))
+                        exact.append((what, start, last + 1))
                     continue
                 notice, _, errors, _ = self.notices[number]
                 a, b = max(0, start - what - errors), min(n, start - what + len(notice) + errors)
@@ -99,38 +107,63 @@ class Scanner:
                     spans[-1][0], spans[-1][1] = min(a, spans[-1][0]), max(b, spans[-1][1])
                 else:
                     spans.append([a, b])
-        for number, spans in windows.items():
-            notice, label, _, pattern = self.notices[number]
-            for a, b in spans:
-                for m in pattern.finditer(text, a, b):
-                    start, end = m.span()
-                    errors = sum(m.fuzzy_counts)
-                    found.append(Match(label, text.count(" ", 0, start), text.count(" ", 0, end), start, end, errors, 1 - errors / len(notice), False))
+        fuzzy = [(number, *m) for number, spans in windows.items() for m in self._verified(number, text, spans)]
+        if not exact and not fuzzy:
+            return []
+        # A place's word is the number of spaces before it.
+        spaces = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), "<u4") == 32)
+        word = lambda at: int(np.searchsorted(spaces, at))
+        found = [Match(self.phrases[p], word(a), word(a) + p.count(" "), a, b, 0, 1.0, True) for p, a, b in exact]
+        for number, errors, a, b in fuzzy:
+            notice, label, _, _ = self.notices[number]
+            found.append(Match(label, word(a), word(b), a, b, errors, 1 - errors / len(notice), False))
         return found
 
+    def _verified(self, number: int, text: str, spans: list[list[int]]) -> list[tuple[int, int, int]]:
+        """Errors, start and end of a notice's matches within spans."""
+        notice, _, errors, pattern = self.notices[number]
+        longest = len(notice) + errors
+        matches: set[tuple[int, int, int]] = set()
+        for a, b in spans:
+            for begin in range(a, max(a + 1, b - longest), 2 * longest):
+                for m in pattern.finditer(text, begin, min(b, begin + 3 * longest)):
+                    matches.add((sum(m.fuzzy_counts), *m.span()))
+        taken: list[tuple[int, int]] = []
+        kept = []
+        for match in sorted(matches):
+            _, a, b = match
+            at = bisect(taken, (a, b))
+            if (at == 0 or taken[at - 1][1] <= a) and (at == len(taken) or b <= taken[at][0]):
+                taken.insert(at, (a, b))
+                kept.append(match)
+        return kept
+
 
 MATCH_TYPE = pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("errors", pa.int32()), ("likeness", pa.float64()), ("exact", pa.bool_())]))
 MATCH_SCHEMA = "array<struct<label: string, first_word: bigint, last_word: bigint, errors: int, likeness: double, exact: boolean>>"
 
 
+RESULT = f"n_words bigint, matches {MATCH_SCHEMA}"
+
+
 def license_scan(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), phrases: dict[str, str] = BASE_PHRASES, notices: dict[str, str] = NOTICES, characters_per_error: int = CHARACTERS_PER_ERROR) -> DataFrame:
     """``keep`` columns, ``n_words`` and ``matches``: spans in words, with their errors."""
+    keep, name, rows = text_rows(df, keep, text, RESULT)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(phrases, notices, characters_per_error)
-        for part in byte_slices(batches, "_text"):
-            data, at = string_buffers(part.column("_text"))
+        for part in byte_slices(batches, name):
+            data, at = string_buffers(part.column(name))
             raw, at = data.tobytes(), at.tolist()
             counts, matches = [], []
             for a, b in zip(at, at[1:]):
                 words = normalise(raw[a:b])
                 counts.append(words.count(" ") + 1 if words else 0)
-                rows = sorted(scanner.scan(words), key=lambda m: (m.first_word, m.last_word, m.label, m.errors, m.exact))
-                matches.append([{"label": m.label, "first_word": m.first_word, "last_word": m.last_word, "errors": m.errors, "likeness": m.likeness, "exact": m.exact} for m in rows])
+                found = sorted(scanner.scan(words), key=lambda m: (m.first_word, m.last_word, m.label, m.errors, m.exact))
+                matches.append([{"label": m.label, "first_word": m.first_word, "last_word": m.last_word, "errors": m.errors, "likeness": m.likeness, "exact": m.exact} for m in found])
             yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(counts, pa.int64()), pa.array(matches, MATCH_TYPE)], names=[*keep, "n_words", "matches"])
 
-    schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep] + ["n_words bigint", f"matches {MATCH_SCHEMA}"])
-    return df.select(*keep, F.col(text).cast("string").alias("_text")).mapInArrow(run, schema)
+    return map_arrow(rows, run, schema_of(df, keep, RESULT))
 
 
 def license_digest(scanned: DataFrame) -> DataFrame:
