@@ -4,9 +4,16 @@ Training counts byte n-grams of words per language. Each word of a text then get
 log-likelihood per language; the scripts of its letters narrow the candidates to languages seen
 in that script; a Viterbi pass with a penalty for every switch labels spans of words.
 
+Every language that has a row to learn from is learned. The model has three tables of
+``2 ** BUCKETS_LOG2`` numbers for each, and the words looked at together get fewer with many
+languages, so that a step's memory stays the same.
+
 Defined results: a null text, or one without letters, is ``und`` with score 0; languages are
-learned from rows with a non-null text and language only; equal texts give equal results; extra
-columns are dropped unless named in ``keep``; without any training row everything is ``und``.
+learned from rows with a non-null text and language only, and repeated rows count as often as they
+stand; texts of any length are labelled whole; of equally good languages the first by name counts;
+equal texts give equal results; extra columns are dropped unless named in ``keep``, where one with
+the name of a result is replaced by it; an empty table gives an empty table, and without any row
+to learn from everything is ``und``.
 """
 
 from __future__ import annotations
@@ -20,15 +27,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import HELD_OUT_MOD, HELD_OUT_REMAINDER, byte_slices, string_buffers
+from .common import CHUNK_BYTES, byte_slices, held_out, learnable, map_arrow, schema_of, string_buffers, text_rows, written  # noqa: F401
 
 UNKNOWN = "und"
 #: Buckets of hashed n-grams of each length: the model's size is fixed by this.
 BUCKETS_LOG2, ORDERS = 15, (1, 2, 3)
 #: About so many documents of each language are learned from; fewer if there are fewer.
 TRAIN_DOCUMENTS_PER_LANGUAGE = 2000
-#: At most so many languages, the most frequent ones, are learned.
-MAX_LANGUAGES = 256
+#: Languages that a step of ``CHUNK_BYTES`` is meant for; with more of them steps are shorter.
+STEP_LANGUAGES = 16
 #: Nats that a change of language costs, and the count added to every bucket.
 SWITCH_PENALTY, SMOOTHING = 12.0, 0.5
 # First and last code points of the main scripts.
@@ -97,20 +104,15 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
 
 
 def train_rows(df: DataFrame, text: str, lang: str, key: str, per_language: int) -> DataFrame:
-    """A bounded sample of the rows that may be learned from, alike at every size."""
-    learn = df.where(
-        (F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(HELD_OUT_MOD)) != HELD_OUT_REMAINDER)
-        & F.col(text).isNotNull()
-        & F.col(lang).isNotNull()
-    )
-    counts = learn.groupBy(F.col(lang).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    """A bounded sample of each language's rows that may be learned from, alike at every size: all
+    rows of a language that has few, and a share by a hash of key and text of one that has more."""
+    learn = df.where(learnable(key) & F.col(text).isNotNull() & F.col(lang).isNotNull())
+    learn = learn.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("_text"), F.xxhash64(key, text).alias("place"))
     scale = 1_000_000
-    keep = F.lit(False)
-    for row in counts:
-        keep = F.when(F.col(lang) == row["lang"], F.lit(min(scale, -(-per_language * scale // row["count"])))).otherwise(keep if row is not counts[0] else F.lit(0))
-    if not counts:
-        return learn.where("false").select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("_text"))
-    return learn.where(F.pmod(F.xxhash64(F.col(key)), F.lit(scale)) < keep).select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("_text"))
+    share = F.ceil(F.lit(per_language * scale) / F.col("n"))
+    often = written(learn.groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") > per_language).select("lang", share.alias("share")), "languages")
+    shared = learn.join(often, "lang", "left")
+    return shared.where(F.pmod("place", F.lit(scale)) < F.coalesce("share", F.lit(scale))).select("lang", "_text")
 
 
 @dataclass
@@ -141,18 +143,19 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
                 if len(used):
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(used)), pa.array([k] * len(used), pa.int32()), pa.array(used, pa.int64()), pa.array(array[used], pa.int64())], names=["lang", "part", "bucket", "n"])
 
-    counted = train_rows(df, text, lang, key, per_language).mapInArrow(count, "lang string, part int, bucket bigint, n bigint")
+    counted = map_arrow(train_rows(df, text, lang, key, per_language), count, "lang string, part int, bucket bigint, n bigint")
     rows = counted.groupBy("lang", "part", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(rows["lang"].unique().tolist())
+    number = {x: i for i, x in enumerate(languages)}
     scores = []
     for k in range(len(ORDERS)):
         table = np.full((1 << BUCKETS_LOG2, len(languages)), SMOOTHING)
         part = rows[rows["part"] == k]
-        table[part["bucket"].to_numpy(), [languages.index(x) for x in part["lang"]]] += part["n"].to_numpy()
+        table[part["bucket"].to_numpy(), part["lang"].map(number).to_numpy(np.int64)] += part["n"].to_numpy()
         scores.append(np.log(table / table.sum(axis=0)).astype(np.float32) if languages else table.astype(np.float32))
     seen = np.zeros((OTHER_SCRIPT + 1, len(languages)))
     part = rows[rows["part"] == len(ORDERS)]
-    seen[part["bucket"].to_numpy(), [languages.index(x) for x in part["lang"]]] = part["n"].to_numpy()
+    seen[part["bucket"].to_numpy(), part["lang"].map(number).to_numpy(np.int64)] = part["n"].to_numpy()
     return Model(languages, scores, seen / np.maximum(1, seen.sum(axis=0)) >= SCRIPT_SHARE)
 
 
@@ -219,11 +222,13 @@ SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang",
 def identify(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), penalty: float = SWITCH_PENALTY) -> DataFrame:
     """``keep`` columns, the language of most letters, its share as score, and spans of words."""
     shared = df.sparkSession.sparkContext.broadcast(model)
+    limit = CHUNK_BYTES * STEP_LANGUAGES // max(STEP_LANGUAGES, len(model.languages))
+    keep, name, rows = text_rows(df, keep, text, RESULT)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for part in byte_slices(batches, "_text"):
-            words = words_of(*string_buffers(part.column("_text")))
+        for part in byte_slices(batches, name, limit):
+            words = words_of(*string_buffers(part.column(name)))
             scores = word_scores(words, model)
             names, shares, spans = [], [], []
             for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist()):
@@ -244,9 +249,4 @@ def identify(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, .
                 names=[*keep, "lang_pred", "score", "n_words", "spans"],
             )
 
-    schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep] + [RESULT])
-    return df.select(*keep, F.col(text).cast("string").alias("_text")).mapInArrow(run, schema)
-
-
-def held_out(key: str = "doc_id") -> F.Column:
-    return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(HELD_OUT_MOD)) == HELD_OUT_REMAINDER
+    return map_arrow(rows, run, schema_of(df, keep, RESULT))
