@@ -4,9 +4,13 @@
 of a stored file (either byte order), decodes PackBits, LZW or deflate strips and tiles, undoes
 the horizontal predictor and gives one row per page.
 
-Defined results: a null text counts as empty and still gives one page; a null or damaged file
-gives one row with a null page and the reason in ``error``; equal inputs give equal files; extra
-columns are dropped unless named in ``keep``; an empty table gives an empty table.
+Defined results: a null text counts as empty and still gives one page; texts of any length are
+stored whole; a null or damaged file gives a row with null samples and the reason in ``error``,
+after the pages before the damage, whose number ``page`` says; nothing in a file can make its task
+fail, as sizes are checked against ``MAX_SAMPLES`` before anything is made, and nothing is unpacked
+beyond them; equal and repeated inputs give equal files; extra columns are dropped unless named in
+``keep``, and a column with the name of a result is replaced by it; an empty table gives an empty
+table.
 """
 
 from __future__ import annotations
@@ -19,10 +23,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import byte_slices, string_buffers
+from .common import byte_slices, map_arrow, schema_of, string_buffers, text_rows
 
 WIDTH = 64
 ROWS_PER_STRIP = 512
+#: Samples of a page that are decoded at most; a file that claims more is damaged.
+MAX_SAMPLES = 1 << 28
 # Fixed values of the format: tags, field sizes, compression schemes.
 TAG_WIDTH, TAG_LENGTH, TAG_BITS, TAG_COMPRESSION, TAG_PHOTOMETRIC = 256, 257, 258, 259, 262
 TAG_STRIP_OFFSETS, TAG_SAMPLES, TAG_ROWS_PER_STRIP, TAG_STRIP_COUNTS = 273, 277, 278, 279
@@ -52,9 +58,9 @@ def pack_bits(data: bytes) -> bytes:
     return bytes(out)
 
 
-def unpack_bits(data: bytes) -> bytes:
+def unpack_bits(data: bytes, limit: int) -> bytes:
     out, i = bytearray(), 0
-    while i < len(data):
+    while i < len(data) and len(out) < limit:
         head = data[i]
         if head < 128:
             out += data[i + 1 : i + 2 + head]
@@ -107,11 +113,13 @@ def lzw_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-def lzw_decode(data: bytes) -> bytes:
+def lzw_decode(data: bytes, limit: int) -> bytes:
     first = [bytes((i,)) for i in range(256)] + [b"", b""]
     table, width, last, out = list(first), 9, b"", []
-    held = bits = 0
+    held = bits = made = 0
     for byte in data:
+        if made >= limit:
+            break
         held, bits = (held << 8) | byte, bits + 8
         if bits < width:
             continue
@@ -131,12 +139,19 @@ def lzw_decode(data: bytes) -> bytes:
             table.append(last + now[:1])
             last = now
         out.append(last)
+        made += len(last)
         if len(table) >= (1 << width) - 1 and width < 12:
             width += 1
     return b"".join(out)
 
 
-DECODERS = {NONE: bytes, LZW: lzw_decode, DEFLATE: zlib.decompress, OLD_DEFLATE: zlib.decompress, PACKBITS: unpack_bits}
+def inflate(data: bytes, limit: int) -> bytes:
+    """No more than ``limit`` bytes, whatever the data would unpack to."""
+    return zlib.decompressobj().decompress(data, limit)
+
+
+#: Each takes the stored bytes and how many samples' bytes are wanted at most.
+DECODERS = {NONE: lambda b, limit: b[:limit], LZW: lzw_decode, DEFLATE: inflate, OLD_DEFLATE: inflate, PACKBITS: unpack_bits}
 ENCODERS = {NONE: bytes, LZW: lzw_encode, DEFLATE: lambda b: zlib.compress(b, 1), PACKBITS: pack_bits}
 
 
@@ -211,10 +226,16 @@ def read_page(data: bytes, order: str, fields: dict[int, tuple]) -> np.ndarray:
     decode = DECODERS.get(one(TAG_COMPRESSION, NONE))
     if decode is None:
         raise ValueError("unsupported compression")
+    if not 0 < width * height * samples <= MAX_SAMPLES:
+        raise ValueError("the page is too large")
     tiled = TAG_TILE_OFFSETS in fields
     piece_w = one(TAG_TILE_WIDTH) if tiled else width
     piece_h = one(TAG_TILE_LENGTH) if tiled else min(one(TAG_ROWS_PER_STRIP, height), height)
+    if not piece_w or not piece_h or piece_w < 0 or piece_h < 0 or piece_w * piece_h * samples > MAX_SAMPLES:
+        raise ValueError("strips or tiles have no size, or too large a one")
     across, down = -(-width // piece_w), -(-height // piece_h)
+    if down * piece_h * across * piece_w * samples > 4 * MAX_SAMPLES:
+        raise ValueError("strips or tiles are too large for the page")
     kind = np.dtype(order + ("u1" if bits == 8 else "u2"))
     page = np.zeros((down * piece_h, across * piece_w, samples), kind.newbyteorder("="))
     starts = fields[TAG_TILE_OFFSETS if tiled else TAG_STRIP_OFFSETS]
@@ -222,7 +243,7 @@ def read_page(data: bytes, order: str, fields: dict[int, tuple]) -> np.ndarray:
     for k in range(across * down):
         y, x = k // across * piece_h, k % across * piece_w
         rows = piece_h if tiled else min(piece_h, height - y)
-        raw = np.frombuffer(decode(data[starts[k] : starts[k] + counts[k]]), kind, count=rows * piece_w * samples)
+        raw = np.frombuffer(decode(data[starts[k] : starts[k] + counts[k]], rows * piece_w * samples * kind.itemsize), kind, count=rows * piece_w * samples)
         piece = raw.reshape(rows, piece_w, samples).astype(page.dtype)
         if one(TAG_PREDICTOR, 1) == 2:
             piece = np.cumsum(piece, axis=1, dtype=page.dtype)
@@ -245,27 +266,48 @@ def payload(text: bytes) -> np.ndarray:
     return np.frombuffer(text.ljust(rows * WIDTH, b"\0"), np.uint8).reshape(rows, WIDTH)
 
 
+ENCODED = "n_bytes bigint, media binary"
+
+
 def tiff_encode(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), compression: int = DEFLATE) -> DataFrame:
     """``keep`` columns, ``n_bytes`` of the text and the file in ``media``."""
+    keep, name, texts = text_rows(df, keep, text, ENCODED)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in byte_slices(batches, "_text"):
-            data, at = string_buffers(part.column("_text"))
+        for part in byte_slices(batches, name):
+            data, at = string_buffers(part.column(name))
             raw, at = data.tobytes(), at.tolist()
             files = [write_tiff([payload(raw[a:b])], compression) for a, b in zip(at, at[1:])]
             sizes = [b - a for a, b in zip(at, at[1:])]
             yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(sizes, pa.int64()), pa.array(files, pa.binary())], names=[*keep, "n_bytes", "media"])
 
-    schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep] + ["n_bytes bigint", "media binary"])
-    return df.select(*keep, F.col(text).cast("string").alias("_text")).mapInArrow(run, schema)
+    return map_arrow(texts, run, schema_of(df, keep, ENCODED))
 
 
 PAGE_FIELDS = "page int, width int, height int, samples_per_pixel int, samples binary, feature string, error string"
 
 
+def pages_of(data: bytes | None) -> Iterator[tuple]:
+    """A file's pages in the order of ``PAGE_FIELDS``; damage ends them with a row that says why."""
+    number = 0
+    try:
+        if data is None:
+            raise ValueError("no file")
+        for order, fields in directories(data):
+            page = read_page(data, order, fields)
+            yield number, page.shape[1], page.shape[0], page.shape[2], page.tobytes(), feature(page[:, :, 0]), None
+            number += 1
+        if not number:
+            raise ValueError("no pages")
+    except Exception as why:  # noqa: BLE001 - any bytes may come; the row tells what happened
+        yield number, None, None, None, None, None, f"{type(why).__name__}: {why}"
+
+
 def tiff_pages(df: DataFrame, media: str = "media") -> DataFrame:
     """One row per page: the input's columns, the page's number, shape, samples and features."""
-    names = [f.name for f in df.schema]
+    given = [f.split()[0] for f in PAGE_FIELDS.split(", ")]
+    names = [c for c in df.columns if c not in given]
+    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string(), pa.string())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -273,20 +315,11 @@ def tiff_pages(df: DataFrame, media: str = "media") -> DataFrame:
                 part = batch.slice(start, 64)
                 rows, pages = [], []
                 for i, file in enumerate(part.column(media)):
-                    data, before = file.as_py(), len(pages)
-                    try:
-                        if data is None:
-                            raise ValueError("no file")
-                        for number, (order, fields) in enumerate(directories(data)):
-                            page = read_page(data, order, fields)
-                            pages.append((number, page.shape[1], page.shape[0], page.shape[2], page.tobytes(), feature(page[:, :, 0]), None))
-                    except (ValueError, KeyError, IndexError, TypeError, struct.error, zlib.error) as why:
-                        pages.append((None, None, None, None, None, None, str(why)))
-                    rows += [i] * (len(pages) - before)
+                    own = list(pages_of(file.as_py()))
+                    pages += own
+                    rows += [i] * len(own)
                 kept = part.take(pa.array(rows, pa.int32()))
-                kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string(), pa.string())
                 new = [pa.array([p[k] for p in pages], kind) for k, kind in enumerate(kinds)]
-                yield pa.RecordBatch.from_arrays([*kept.columns, *new], names=[*names, *[f.split()[0] for f in PAGE_FIELDS.split(", ")]])
+                yield pa.RecordBatch.from_arrays([*kept.columns, *new], names=[*names, *given])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema] + [PAGE_FIELDS])
-    return df.mapInArrow(run, schema)
+    return map_arrow(df.select(*[F.col(f"`{c}`") for c in names]), run, schema_of(df, names, PAGE_FIELDS))
