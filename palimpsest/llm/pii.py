@@ -8,16 +8,28 @@ the same format, equal values get equal pseudonyms in every document, different
 ones, and ``invert=True`` with the same key gives the text back. E-mail addresses and secrets,
 which have no small format, get a keyed digest of the same shape (not invertible).
 
+The key never enters a plan: each kind of value has a key of its own, the HMAC of the kind under
+the key, and digests are HMACs under that. What a plan or an event log shows are these derived
+keys, padded; whoever reads them can undo pseudonyms, so plans are as secret as the key's use, but
+the key itself and its other uses stay unknown.
+
 Defined results: a null text stays null and counts no values; texts without candidates stay as
-they are, byte for byte; invalid candidates are left alone; equal texts get equal results; extra
-columns, whatever their names, are dropped unless named in ``keep``; an empty table gives an
-empty table.
+they are, byte for byte; texts of any length are searched whole; invalid candidates are left
+alone; equal and repeated texts get equal results; extra columns are dropped unless named in
+``keep``, where one with the name of a result is replaced by it; an empty table gives an empty
+table.
 """
 
 from __future__ import annotations
 
+import hashlib
+import hmac
+
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.payload import hmac_hex
+from .common import name_beside, text_rows
+
 ROUNDS = 8
 #: Days of the calendar's 400-year cycle, which are 189 x 773; cycles are counted from 1800.
 CYCLE, CYCLE_A, CYCLE_B, EPOCH = 146_097, 189, 773, "1800-01-01"
@@ -38,8 +50,10 @@ SECRET = r"(?i:password|passwd|token|secret|api_key|apikey) {0,3}[=:] {0,3}[\"']
 ANY = r"(?<!\w)(?:" + "|".join((EMAIL, PHONE, PLAIN_PHONE, ABROAD, ISO_DATE, TURNED_DATE, ADDRESS, SOCIAL, SECRET, CARD)) + ")"
 
 
-def _keyed(key: str, *parts: Column) -> Column:
-    return F.sha2(F.concat_ws("|", F.lit(key), *[p.cast("string") for p in parts]), 256)
+def _keyed(key: str, kind: str, *parts: Column) -> Column:
+    """HMAC of the parts, in hex, under a key that was derived for the kind."""
+    own = hmac.new(key.encode(), kind.encode(), hashlib.sha256).hexdigest()
+    return hmac_hex(own, F.concat_ws("|", *[p.cast("string") for p in parts]))
 
 
 def feistel(a: Column, b: Column, size_a: int | Column, size_b: int | Column, key: str, kind: str, invert: bool = False) -> Column:
@@ -48,7 +62,7 @@ def feistel(a: Column, b: Column, size_a: int | Column, size_b: int | Column, ke
     sizes = [s if isinstance(s, Column) else F.lit(s).cast("bigint") for s in (size_a, size_b)]
 
     def move(value: Column, other: Column, size: Column, turn: Column) -> Column:
-        by = F.conv(F.substring(_keyed(key, F.lit(kind), turn, other), 1, 14), 16, 10).cast("bigint") % size
+        by = F.conv(F.substring(_keyed(key, kind, turn, other), 1, 14), 16, 10).cast("bigint") % size
         return F.pmod(value - by if invert else value + by, size)
 
     def turn(now: Column, i: Column) -> Column:
@@ -156,7 +170,7 @@ def _date(day: Column, key: str, invert: bool) -> Column:
 def _email(m: Column, key: str) -> Column:
     """A digest for the name and one for the domain, so that both stay linked."""
     name, domain = F.substring_index(m, "@", 1), F.lower(F.substring_index(m, "@", -1))
-    return F.concat(F.lit("u"), F.substring(_keyed(key, F.lit("name"), F.lower(m)), 1, 12), F.lit("@d"), F.substring(_keyed(key, F.lit("domain"), domain), 1, 8), F.lit(".invalid"))
+    return F.concat(F.lit("u"), F.substring(_keyed(key, "name", F.lower(m)), 1, 12), F.lit("@d"), F.substring(_keyed(key, "domain", domain), 1, 8), F.lit(".invalid"))
 
 
 def pseudonym(m: Column, key: str, invert: bool = False) -> Column:
@@ -170,7 +184,7 @@ def pseudonym(m: Column, key: str, invert: bool = False) -> Column:
     area = F.substring(digits, -10, 3)
     found = lambda kind, new: F.struct(F.lit(kind).alias("kind"), new.alias("new"))
     hexed = F.regexp_extract(m, "[=:] {0,3}[\"']?(.*)$", 1)
-    digest = F.concat(*[_keyed(key, F.lit(f"secret{i}"), hexed) for i in range(2)]).substr(F.lit(1), F.length(hexed))
+    digest = F.concat(*[_keyed(key, f"secret{i}", hexed) for i in range(2)]).substr(F.lit(1), F.length(hexed))
     secret = F.concat(m.substr(F.lit(1), F.length(m) - F.length(hexed)), digest)
     whole = lambda pattern: m.rlike(rf"^(?:{pattern})$")
     return (
@@ -189,15 +203,17 @@ def pseudonym(m: Column, key: str, invert: bool = False) -> Column:
 
 def pseudonymise(df: DataFrame, key: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), invert: bool = False) -> DataFrame:
     """``keep`` columns, ``text`` with pseudonyms, ``n_private`` and ``kinds`` (of the values)."""
-    rows = df.select(*keep, F.col(text).cast("string").alias("_text"))
-    may = F.col("_text").rlike("[0-9@]|(?i:password|passwd|token|secret|api_?key) {0,3}[=:]")
-    found = rows.select(*keep, "_text", F.when(may, F.regexp_extract_all("_text", F.lit(ANY), F.lit(0))).alias("_found"))
-    named = found.select(*keep, "_text", "_found", F.when(F.size("_found") > 0, F.transform("_found", lambda m: pseudonym(m, key, invert))).alias("_new"))
-    pieces = F.zip_with(F.split("_text", ANY, -1), F.zip_with("_found", "_new", lambda m, n: F.coalesce(n["new"], m)), lambda gap, new: F.concat(gap, F.coalesce(new, F.lit(""))))
-    kinds = F.filter(F.transform("_new", lambda n: n["kind"]), lambda k: k.isNotNull())
+    keep, source, rows = text_rows(df, keep, text, "text string, n_private bigint, kinds string")
+    found_, new_ = name_beside((*keep, source), "_found"), name_beside((*keep, source), "_new")
+    may = F.col(source).rlike("[0-9@]|(?i:password|passwd|token|secret|api_?key) {0,3}[=:]")
+    kept = [F.col(f"`{c}`") for c in keep]
+    found = rows.select(*kept, source, F.when(may, F.regexp_extract_all(source, F.lit(ANY), F.lit(0))).alias(found_))
+    named = found.select(*kept, source, found_, F.when(F.size(found_) > 0, F.transform(found_, lambda m: pseudonym(m, key, invert))).alias(new_))
+    pieces = F.zip_with(F.split(source, ANY, -1), F.zip_with(found_, new_, lambda m, n: F.coalesce(n["new"], m)), lambda gap, new: F.concat(gap, F.coalesce(new, F.lit(""))))
+    kinds = F.filter(F.transform(new_, lambda n: n["kind"]), lambda k: k.isNotNull())
     return named.select(
-        *keep,
-        F.when(F.col("_new").isNull(), F.col("_text")).otherwise(F.array_join(pieces, "")).alias("text"),
-        F.when(F.col("_new").isNull(), 0).otherwise(F.size(kinds)).cast("bigint").alias("n_private"),
+        *kept,
+        F.when(F.col(new_).isNull(), F.col(source)).otherwise(F.array_join(pieces, "")).alias("text"),
+        F.when(F.col(new_).isNull(), 0).otherwise(F.size(kinds)).cast("bigint").alias("n_private"),
         F.coalesce(F.array_join(F.array_sort(F.array_distinct(kinds)), ","), F.lit("")).alias("kinds"),
     )

@@ -6,10 +6,12 @@ them are summed by partition, so that only matrices of a fixed size meet; the ra
 calibrated by isotonic regression over a fixed grid of score bins. Labelled rows are split by a
 hash of their key: most fit the ridge, the rest calibrate it.
 
-Defined results: a null text counts as empty; empty texts get a score like any other; labels that
-are null or belong to no document are not learned from, repeated labels count as often as they
-stand; without any label every score is 0.5; equal texts get equal scores; extra columns are
-dropped unless named in ``keep``; an empty table gives an empty table.
+Defined results: a null text counts as empty; empty texts get a score like any other; texts of any
+length are taken whole; labels that are null or belong to no document are not learned from,
+repeated rows and labels count as often as they stand; without any label every score is 0.5; equal
+texts get equal scores, and equal raw scores are one step of the calibration; extra columns are
+dropped unless named in ``keep``, where one with the name of a result is replaced by it; an empty
+table gives an empty table.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import LOWER, NOT_SPACE, byte_slices, distinct_in_rows, learnable, mixed, per_row, schema_of, span_hashes, string_buffers, token_spans, written
+from .common import LOWER, NOT_SPACE, byte_slices, distinct_in_rows, learnable, map_arrow, mixed, per_row, schema_of, span_hashes, string_buffers, text_rows, token_spans, written
 
 #: Random features, width of the Gaussian in standard deviations of all statistics, ridge weight.
 N_FEATURES, WIDTH, RIDGE, SEED = 384, 1.2, 1e-3, 20_240_229
@@ -86,13 +88,14 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def document_statistics(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns and ``stats``, packed 64-bit floats."""
+    keep, name, texts = text_rows(df, keep, text, "stats binary, score double")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in byte_slices(batches, "_text"):
-            rows = statistics(*string_buffers(part.column("_text")))
+        for part in byte_slices(batches, name):
+            rows = statistics(*string_buffers(part.column(name)))
             yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([r.tobytes() for r in rows], pa.binary())], names=[*keep, "stats"])
 
-    return df.select(*keep, F.col(text).cast("string").alias("_text")).mapInArrow(run, schema_of(df, keep, "stats binary"))
+    return map_arrow(texts, run, schema_of(df, keep, "stats binary"))
 
 
 @dataclass
@@ -230,4 +233,4 @@ def score(stats: DataFrame, model: Model) -> DataFrame:
                 part = batch.slice(at, CHUNK_ROWS)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(shared.value.scores(_stats_of(part)))], names=[*keep, "score"])
 
-    return stats.select(*keep, "stats").mapInArrow(run, schema_of(stats, keep, "score double"))
+    return map_arrow(stats.select(*keep, "stats"), run, schema_of(stats, keep, "score double"))
