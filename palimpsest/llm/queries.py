@@ -1,12 +1,16 @@
-"""Registered queries of the corpus operators and their SQL."""
+"""Registered queries of the corpus operators and their SQL.
+
+An operator has one query with all its results. Where SQL can express a part of them only, a
+second query of that part stands beside it.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, jaccard, langid, licenses, lines, pii, quality, repeats, tiff
-from .common import learnable, table, written
+from . import bpe, decontaminate, jaccard, langid, licenses, lines, pii, quality, repeats, sql, tiff
+from .common import held_out, table, written
 
 RANK_FILE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: A fixed key, so that the query's results repeat; callers pass their own.
@@ -43,7 +47,7 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.identify(docs, langid.train(docs))
-    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
 def op8_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,9 +72,19 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = written(quality.document_statistics(table(spark, sf_dir, "documents")), "statistics")
     scored = quality.score(stats, quality.train(stats, table(spark, sf_dir, "labels")))
-    return scored.select("doc_id", (~learnable()).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of the license scan that rest on exact phrases."""
+    return op6_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
 
+def tiff_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of the media query that rest on the samples as they are read back."""
+    return op8_tiff(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_pii_pseudonyms, op3_bpe, op4_suffix_dedup, op5_line_templates, op6_license_scan, op7_language_id, op8_tiff, op9_decontamination, op10_quality)}
 
-SQL: dict[str, str] = {}
+OPERATORS = (op1_ngram_jaccard, op2_pii_pseudonyms, op3_bpe, op4_suffix_dedup, op5_line_templates, op6_license_scan, op7_language_id, op8_tiff, op9_decontamination, op10_quality)
+QUERIES = {f.__name__: f for f in (*OPERATORS, license_base, tiff_payload)}
+SQL = {"op1_ngram_jaccard": sql.NGRAM_JACCARD, "op4_suffix_dedup": sql.SUFFIX_DEDUP, "op9_decontamination": sql.DECONTAMINATION, "license_base": sql.LICENSE_BASE, "tiff_payload": sql.TIFF_PAYLOAD}
