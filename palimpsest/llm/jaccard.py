@@ -30,9 +30,9 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import LOWER, MIX, NOT_SPACE, byte_slices, distinct_in_rows, join_counted, map_arrow, mixed, per_row, span_hashes, string_buffers, token_spans, written
+from .common import LOWER, MIX, NOT_SPACE, byte_slices, distinct_in_rows, join_counted, map_arrow, mixed, name_beside, per_row, span_hashes, string_buffers, token_spans, written
 from .components import connected
 from .fragments import DEALT, STEP_BYTES, deal, fragments_for, shared_values, text_bytes
 
@@ -279,10 +279,14 @@ def _block_links(ordered: DataFrame, roots: DataFrame, percent: int) -> DataFram
     return left.groupBy(*by).cogroup(right.groupBy(*[f"{c}_" for c in by])).applyInArrow(compare, "a bigint, b bigint")
 
 
-def jaccard_components(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """``key``, ``n_shingles``, ``component_id`` and ``representative`` (the smallest key of its
-    class of equal sets) of every row."""
-    docs = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("string").alias("_text")).withColumn("digest", F.md5(F.col("_text").cast("binary")))
+def _digest(text: str) -> Column:
+    return F.md5(F.col(text).cast("string").cast("binary"))
+
+
+def _found(df: DataFrame, text: str, key: str, words: int, percent: int) -> DataFrame:
+    """``id``, ``digest`` (of the text), ``n``, ``component_id``, ``least`` (key of its class) and
+    ``root`` (a number of the component, null without shingles) of every row."""
+    docs = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("string").alias("_text"), _digest(text).alias("digest"))
     fragments = fragments_for(text_bytes(docs, "_text") / BYTES_PER_SHINGLE / 2)
     sizes = written(_sizes(docs, words), "sizes")
     met = shared_values(_deal_low(docs, words, fragments), fragments, False).groupBy(F.col("key").alias("sig1")).agg(F.sum("n").alias("met"))
@@ -304,10 +308,40 @@ def jaccard_components(df: DataFrame, text: str = "text", key: str = "doc_id", w
     placed = classes.join(roots.select(F.col("id").alias("class"), "root"), "class", "left").select(*by, "least", "members", F.coalesce("root", "class").alias("root"))
     placed = written(placed, "placed")
     least = written(placed.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("classes")), "least")
-    named = written(join_counted(placed, least, ["root"], "classes").drop("root"), "named")
-    found = join_counted(sizes.where("n > 0").drop("digest", "low"), named, by).select("id", "n", "component_id", "least")
-    alone = sizes.where("n = 0").select("id", "n", F.col("id").alias("component_id"), F.col("id").alias("least"))
-    return found.unionByName(alone).select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id", F.col("least").alias("representative"))
+    named = written(join_counted(placed, least, ["root"], "classes"), "named")
+    found = join_counted(sizes.where("n > 0").drop("low"), named, by).select("id", "digest", "n", "component_id", "least", "root")
+    alone = sizes.where("n = 0").select("id", "digest", "n", F.col("id").alias("component_id"), F.col("id").alias("least"), F.lit(None).cast("bigint").alias("root"))
+    return found.unionByName(alone)
+
+
+def jaccard_components(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """``key``, ``n_shingles``, ``component_id`` and ``representative`` (the smallest key of its
+    class of equal sets) of every row."""
+    found = _found(df, text, key, words, percent)
+    return found.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id", F.col("least").alias("representative"))
+
+
+def keep_one(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``df`` without near duplicates: of each component the row with the smallest key
+    stays (one without a key only if no row has one), and rows without shingles stay. Of rows with
+    that key and the same text one stays, whichever; others of a repeated key go by their own text."""
+    found = written(_found(df, text, key, words, percent).where("root is not null").select("id", "digest", "root"), "found")
+    same = ["id", "digest"]
+    rank = F.struct(F.col("id").isNull().alias("bare"), "id", "digest")
+    first = written(found.groupBy("root").agg(F.min(rank).alias("first"), F.count("*").alias("members")), "firsts")
+    placed = join_counted(found, first, ["root"]).withColumn("stays", F.col("id").eqNullSafe(F.col("first.id")) & (F.col("digest") == F.col("first.digest")))
+    # A key and a text are in one component, so all rows of both go or stay.
+    rows = written(placed.groupBy(*same).agg(F.max("stays").alias("stays"), F.count("*").alias("members")), "rows")
+    id_, digest_ = name_beside(df.columns, "_id"), name_beside(df.columns, "_digest")
+    docs = df.withColumns({id_: F.col(key).cast("bigint"), digest_: _digest(text)})
+    match = lambda other: docs[id_].eqNullSafe(other["id"]) & (docs[digest_] == other["digest"])
+    gone = rows.where("not stays")
+    twice = rows.where("stays and members > 1")
+    if not twice.limit(1).count():
+        return docs.join(gone, match(gone), "left_anti").select(*df.columns)
+    several = rows.where("not stays or members > 1")
+    once = docs.join(twice, match(twice), "left_semi").dropDuplicates([id_, digest_])
+    return docs.join(several, match(several), "left_anti").unionByName(once).select(*df.columns)
 
 
 def jaccard_pairs(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
