@@ -19,27 +19,39 @@ from palimpsest.llm.queries import RANK_FILE
 LANGUAGE_SHARE = 0.5
 
 
+def _aside(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """Documents with other names for all columns but key and text, so that no operator's result
+    can replace one, and the way back."""
+    back = {f"column_{k}": c for k, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    return docs.withColumnsRenamed({c: k for k, c in back.items()}), back
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
-    found = langid.identify(docs, langid.train(docs), keep=tuple(docs.columns))
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LANGUAGE_SHARE)).select(*docs.columns)
+    aside, back = _aside(docs)
+    found = langid.identify(aside, langid.train(docs), keep=tuple(aside.columns))
+    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LANGUAGE_SHARE)).select(*aside.columns).withColumnsRenamed(back).select(*docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
-    return lines.drop_recurring_lines(docs).withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+    aside, back = _aside(docs)
+    cut = lines.drop_recurring_lines(aside).select(*aside.columns).withColumnsRenamed(back)
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.length("text").cast("bigint"))
+    return cut.select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
-    groups = jaccard.jaccard_components(docs)
-    return docs.join(groups.where("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    return jaccard.keep_one(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
-    matches = decontaminate.phrase_matches(docs, table(spark, sf_dir, "benchmark"), keep=tuple(docs.columns))
-    return matches.where(F.size("hit_spans") == 0).select(*docs.columns)
+    aside, back = _aside(docs)
+    matches = decontaminate.phrase_matches(aside, table(spark, sf_dir, "benchmark"), keep=tuple(aside.columns))
+    return matches.where(F.size("hit_spans") == 0).select(*aside.columns).withColumnsRenamed(back).select(*docs.columns)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
