@@ -37,7 +37,7 @@ from .fragments import STEP_BYTES, text_bytes
 
 LEADING, MIN_TOKENS, MIN_DOCUMENTS, FIXED_SHARE = 3, 4, 5, 0.6
 #: Text bytes whose lines a bucket of leaves should hold.
-BUCKET_BYTES = 48 << 20
+BUCKET_BYTES = 16 << 20
 _NOT_BREAK = np.ones(256, bool)
 _NOT_BREAK[10] = False
 _DIGIT = np.zeros(256, bool)
