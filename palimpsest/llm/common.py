@@ -95,6 +95,19 @@ def join_counted(left: DataFrame, right: DataFrame, on: list[str], members: str
     return left.join(often, on).unionByName(seldom)
 
 
+def join_salted(left: DataFrame, right: DataFrame, on: str, spread: str, members: str = "members") -> DataFrame:
+    """``join_counted`` for a ``left`` that is dear to compute, read once: rows of hot keys are dealt
+    by ``spread`` to as many copies of the key's row as there are shuffle partitions. ``right`` is
+    read twice."""
+    total = right.agg(F.sum(members)).first()[0] or 0
+    salts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = F.col(members) > total // HOT_SHARE
+    often = F.broadcast(right.where(hot).select(on, F.lit(salts).alias("_salts")))
+    left = left.join(often, on, "left").withColumn("_salt", F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))).drop("_salts")
+    right = right.withColumn("_salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop(members)
+    return left.join(right, [on, "_salt"]).drop("_salt")
+
+
 def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and the n + 1 offsets of its rows; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -12,8 +12,10 @@ documents have is recurring: its lines go from every document but the first, the
 smallest key.
 
 Step by step: equal lines meet within a map step, then by leaf, so that a line that a third of
-all documents have makes one entry for each step; templates' documents are counted exactly in
-joins on the line; every document is rewritten from the hashes of its own dropped lines.
+all documents have makes one entry for each step. Leaves go to tasks in buckets; a leaf of more
+bytes than a bucket should hold is generalised by joins and sums over its lines instead, by the
+same rule, share by share. Templates' documents are counted exactly in joins on the line, with
+hot lines salted; every document is rewritten from the hashes of its own dropped lines.
 
 Defined results: null texts stay null, empty texts empty; texts of any length are taken whole;
 lines of fewer tokens than ``min_tokens`` have no fields; lines without tokens stay; a document's
@@ -32,12 +34,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import MIX, NOT_SPACE, byte_slices, join_counted, map_arrow, mixed, name_beside, span_hashes, string_buffers, token_spans, written
+from .common import MIX, NOT_SPACE, byte_slices, join_counted, join_salted, map_arrow, mixed, name_beside, span_hashes, string_buffers, token_spans, written
 from .fragments import STEP_BYTES, text_bytes
 
 LEADING, MIN_TOKENS, MIN_DOCUMENTS, FIXED_SHARE = 3, 4, 5, 0.6
-#: Text bytes whose lines a bucket of leaves should hold.
-BUCKET_BYTES = 16 << 20
+#: Text bytes whose lines a bucket of leaves should hold, and bytes of entries of a leaf that may lie in one.
+BUCKET_BYTES, LEAF_BYTES = 16 << 20, 16 << 20
+_DEALT = "leaf binary, line binary, documents binary, size binary, tokens binary"
 _NOT_BREAK = np.ones(256, bool)
 _NOT_BREAK[10] = False
 _DIGIT = np.zeros(256, bool)
@@ -82,7 +85,8 @@ class Lines:
 
 
 def _deal(df: DataFrame, fixed_share: float, leading: int, min_tokens: int, buckets: int) -> DataFrame:
-    """Distinct lines of each step, by buckets of leaves: leaf, line, documents, token hashes."""
+    """Distinct lines of each step, by buckets of leaves: leaf, line, documents, token hashes; and
+    the bytes of each leaf that has tokens."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in byte_slices(batches, "_text", STEP_BYTES):
@@ -105,6 +109,7 @@ def _deal(df: DataFrame, fixed_share: float, leading: int, min_tokens: int, buck
             cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
             tokens = lines.hashes.astype("<u8")
             rows = {c: [] for c in ("leaf", "line", "documents", "size", "tokens")}
+            leaves, leaf_bytes = [], []
             for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(bucket)).tolist()):
                 w = which[a:b]
                 rows["leaf"].append(lines.leaf[w].tobytes())
@@ -113,9 +118,89 @@ def _deal(df: DataFrame, fixed_share: float, leading: int, min_tokens: int, buck
                 rows["size"].append(np.where(lines.open[w], lines.count[w], 0).astype("<i4").tobytes())
                 w = w[lines.open[w]]
                 rows["tokens"].append(b"".join([tokens[x:y].tobytes() for x, y in zip(lines.begin[w].tolist(), lines.end[w].tolist())]))
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts]), *(pa.array(v, pa.binary()) for v in rows.values())], names=["bucket", *rows])
+                own, which_leaf = np.unique(lines.leaf[w], return_inverse=True)
+                leaves.append(own.view(np.int64))
+                leaf_bytes.append(np.bincount(which_leaf, weights=24 + 8 * lines.count[w], minlength=len(own)).astype(np.int64))
+            sizes = [pa.array(x, pa.list_(pa.int64())) for x in (leaves, leaf_bytes)]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts]), *(pa.array(v, pa.binary()) for v in rows.values()), *sizes], names=["bucket", *rows, "leaves", "leaf_bytes"])
 
-    return map_arrow(df, run, "bucket bigint, leaf binary, line binary, documents binary, size binary, tokens binary")
+    return map_arrow(df, run, f"bucket bigint, {_DEALT}, leaves array<bigint>, leaf_bytes array<bigint>")
+
+
+def _columns(row: dict) -> list[np.ndarray]:
+    return [np.frombuffer(row[c], kind) for c, kind in (("leaf", "<u8"), ("line", "<u8"), ("documents", "<i4"), ("size", "<i4"), ("tokens", "<u8"))]
+
+
+def _without_large(dealt: DataFrame) -> DataFrame:
+    """Dealt rows without the lines of their ``large`` leaves."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for row in batch.to_pylist():
+                leaf, line, documents, size, tokens = _columns(row)
+                stays = ~np.isin(leaf.view(np.int64), np.array(row["large"], np.int64))
+                rows.append({"bucket": row["bucket"], "leaf": leaf[stays].tobytes(), "line": line[stays].tobytes(), "documents": documents[stays].tobytes(), "size": size[stays].tobytes(), "tokens": tokens[np.repeat(stays, size)].tobytes()})
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("bucket", pa.int64()), *((c, pa.binary()) for c in ("leaf", "line", "documents", "size", "tokens"))]))
+
+    return map_arrow(dealt, run, f"bucket bigint, {_DEALT}")
+
+
+def _large_lines(dealt: DataFrame) -> DataFrame:
+    """One row a line of the ``large`` leaves of dealt rows."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                leaf, line, documents, size, tokens = _columns(row)
+                goes = np.isin(leaf.view(np.int64), np.array(row["large"], np.int64)) & (size > 0)
+                kept = tokens[np.repeat(goes, size)].view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size[goes])), pa.int32()), pa.array(kept))
+                yield pa.RecordBatch.from_arrays([pa.array(leaf[goes].view(np.int64)), pa.array(line[goes].view(np.int64)), pa.array(documents[goes], pa.int64()), lists], names=["leaf", "line", "documents", "tokens"])
+
+    return map_arrow(dealt, run, "leaf bigint, line bigint, documents bigint, tokens array<bigint>")
+
+
+def generalise_large(lines: DataFrame, min_documents: int, fixed_share: float, leading: int = LEADING) -> DataFrame:
+    """What ``generalise`` finds, for leaves of any number of lines: ``line``, ``template`` and the
+    line's ``members`` (documents). ``lines`` has ``leaf``, ``line``, ``documents`` and ``tokens``, several rows a line.
+
+    Each share is a sum over templates and a join back, with hot templates apart; as the share
+    is halved, their number is the logarithm of the largest leaf's documents.
+    """
+    lines = written(lines.groupBy("leaf", "line").agg(F.sum("documents").alias("documents"), F.first("tokens").alias("tokens")), "large_lines")
+    leaves = written(lines.groupBy("leaf").agg(F.sum("documents").alias("in_leaf"), F.count("*").alias("members")), "large_leaves")
+    places = written(lines.select("leaf", "line", "documents", F.posexplode("tokens").alias("place", "token")).where(F.col("token") != int(_VARIABLE.view(np.int64))), "large_places")
+    have = places.groupBy("leaf", "place", "token").agg(F.sum("documents").alias("have"), F.count("*").alias("members"))
+    have = written(have.where(F.col("have") >= min_documents), "large_tokens")
+    of_line = join_counted(places.drop("documents"), have, ["leaf", "place", "token"]).groupBy("line").agg(F.sort_array(F.collect_list(F.struct("place", "token", "have"))).alias("have"))
+    left = join_counted(lines.select("leaf", "line", "documents", F.size("tokens").alias("size")), leaves, ["leaf"]).join(of_line, "line")
+    left = written(left, "large_have")
+    most = left.agg(F.max("in_leaf")).first()[0] or 0
+
+    found, share = [], 0.5
+    while most:
+        least = F.greatest(F.lit(float(min_documents)), F.lit(share) * F.col("in_leaf"))
+        fixed = F.transform(F.filter("have", lambda x: x["have"] >= F.col("least")), lambda x: F.struct(x["place"].alias("place"), x["token"].alias("token")))
+        beyond = F.size(F.filter("fixed", lambda x: x["place"] >= leading))
+        enough_places = (F.size("fixed") / F.col("size") >= fixed_share) & (3 * beyond >= F.col("size") - leading)
+        level = left.withColumn("least", least).withColumn("fixed", fixed).withColumn("template", F.when(enough_places, F.xxhash64("leaf", "fixed")))
+        level = written(level.drop("fixed"), "large_level")
+        enough = level.where("template is not null").groupBy("template").agg(F.sum("documents").alias("in_template"), F.count("*").alias("members"))
+        enough = written(enough.where(F.col("in_template") >= min_documents).drop("in_template"), "large_enough")
+        decided = written(join_counted(level, enough, ["template"]).select("line", "template", F.col("documents").alias("members")), "large_found")
+        found.append(decided)
+        if min_documents >= share * most:
+            break
+        left = level.where(F.col("least") > min_documents).drop("template", "least").join(decided.select("line"), "line", "left_anti")
+        share /= 2
+    itself = lines.select("line", F.col("line").alias("template"), F.col("documents").alias("members"))
+    if not found:
+        return itself
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    return every.unionByName(itself.join(every.select("line"), "line", "left_anti").where(F.col("members") >= min_documents))
 
 
 def generalise(leaf: np.ndarray, line: np.ndarray, documents: np.ndarray, tokens: np.ndarray, min_documents: int, fixed_share: float, leading: int = LEADING) -> np.ndarray:
@@ -158,7 +243,7 @@ def _templates(min_documents: int, fixed_share: float, leading: int):
         leaf, size, at = leaf[one], size[one], at[one]
         _, number = np.unique(leaf, return_inverse=True)
         often = np.flatnonzero(np.bincount(number, weights=documents)[number] >= min_documents) if len(number) else np.zeros(0, np.int64)
-        out_line, out_template = [], []
+        out_line, out_template, out_members = [], [], []
         for length in np.unique(size[often]):
             rows = often[size[often] == length]
             # Lines that can have no template come without tokens.
@@ -167,8 +252,9 @@ def _templates(min_documents: int, fixed_share: float, leading: int):
             enough = np.bincount(group, weights=documents[rows])[group] >= min_documents
             out_line.append(line[rows[enough]])
             out_template.append(template[enough])
-        both = [np.concatenate(x).view(np.int64) if x else np.zeros(0, np.int64) for x in (out_line, out_template)]
-        return pa.table({"line": both[0], "template": both[1]})
+            out_members.append(documents[rows[enough]])
+        out = [np.concatenate(x).view(np.int64) if x else np.zeros(0, np.int64) for x in (out_line, out_template, out_members)]
+        return pa.table(out, names=["line", "template", "members"])
 
     return run
 
@@ -183,22 +269,32 @@ def _document_lines(df: DataFrame, fixed_share: float, leading: int, min_tokens:
     return map_arrow(df, run, "id bigint, line bigint")
 
 
-def recurring_lines(df: DataFrame, text: str = "text", key: str = "doc_id", min_documents: int = MIN_DOCUMENTS, fixed_share: float = FIXED_SHARE, leading: int = LEADING, min_tokens: int = MIN_TOKENS) -> DataFrame:
+def recurring_lines(df: DataFrame, text: str = "text", key: str = "doc_id", min_documents: int = MIN_DOCUMENTS, fixed_share: float = FIXED_SHARE, leading: int = LEADING, min_tokens: int = MIN_TOKENS, leaf_bytes: int = LEAF_BYTES) -> DataFrame:
     """``id``, ``line`` (hash) and ``template`` of every line that goes."""
     docs = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("string").alias("_text")).where("id is not null")
     buckets = max(8, text_bytes(docs, "_text") // BUCKET_BYTES + 1)
-    found = _deal(docs, fixed_share, leading, min_tokens, buckets).groupBy("bucket").applyInArrow(_templates(min_documents, fixed_share, leading), "line bigint, template bigint")
-    found = written(found, "templates")
-    places = written(_document_lines(docs, fixed_share, leading, min_tokens).join(found, "line").select("id", "line", "template").distinct(), "places")
+    dealt = written(_deal(docs, fixed_share, leading, min_tokens, buckets), "dealt")
+    large = dealt.select("bucket", F.explode(F.arrays_zip("leaves", "leaf_bytes")).alias("x")).groupBy("bucket", "x.leaves").agg(F.sum("x.leaf_bytes").alias("total"))
+    large = written(large.where(F.col("total") > leaf_bytes).groupBy("bucket").agg(F.collect_set("leaves").alias("large")), "large")
+    dealt = dealt.drop("leaves", "leaf_bytes")
+    small, found = dealt, []
+    if not large.isEmpty():
+        with_large = dealt.join(large, "bucket")
+        found.append(generalise_large(_large_lines(with_large), min_documents, fixed_share, leading))
+        small = dealt.join(large, "bucket", "left_anti").unionByName(_without_large(with_large))
+    found.append(small.groupBy("bucket").applyInArrow(_templates(min_documents, fixed_share, leading), "line bigint, template bigint, members bigint"))
+    found = written(found[0] if len(found) == 1 else found[0].unionByName(found[1]), "templates")
+    places = written(join_salted(_document_lines(docs, fixed_share, leading, min_tokens), found, "line", "id").select("id", "line", "template").distinct(), "places")
     first = places.groupBy("template", "id").agg(F.lit(1).alias("one")).groupBy("template").agg(F.count("*").alias("documents"), F.min("id").alias("first"))
     lines = places.groupBy("template").agg(F.count("*").alias("members"))
     first = written(first.where(F.col("documents") >= min_documents).join(lines, "template").select("template", "first", "members"), "first")
     return join_counted(places, first, ["template"]).where("id <> first").select("id", "line", "template")
 
 
-def drop_recurring_lines(df: DataFrame, text: str = "text", key: str = "doc_id", min_documents: int = MIN_DOCUMENTS, fixed_share: float = FIXED_SHARE, leading: int = LEADING, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """All columns, the text without recurring lines, and ``n_lines_dropped``."""
-    gone = recurring_lines(df, text, key, min_documents, fixed_share, leading, min_tokens)
+def drop_recurring_lines(df: DataFrame, text: str = "text", key: str = "doc_id", min_documents: int = MIN_DOCUMENTS, fixed_share: float = FIXED_SHARE, leading: int = LEADING, min_tokens: int = MIN_TOKENS, leaf_bytes: int = LEAF_BYTES) -> DataFrame:
+    """All columns, the text without recurring lines, and ``n_lines_dropped``. Leaves of more than
+    ``leaf_bytes`` of entries are spread over tasks; results don't depend on it."""
+    gone = recurring_lines(df, text, key, min_documents, fixed_share, leading, min_tokens, leaf_bytes)
     names = [c for c in df.columns if c != "n_lines_dropped"]
     place, own_id, own_lines = names.index(text), name_beside(names, "_id"), name_beside(names, "_lines")
     gone = gone.groupBy(F.col("id").alias(own_id)).agg(F.collect_set("line").alias(own_lines))

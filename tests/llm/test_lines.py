@@ -56,3 +56,18 @@ def test_short_lines_go_by_their_real_text(spark, tmp_path):
     got = cut(spark, tmp_path, texts)
     assert got[0] == texts[0] and got[1:] == [t.replace("Read more\n", "") for t in texts[1:]]
     assert cut(spark, tmp_path / "few", texts[:4]) == texts[:4]
+
+
+def test_large_leaves_give_the_same(spark, tmp_path):
+    """Leaves that are spread over tasks, against leaves that lie in one; fields at several shares."""
+    rng = np.random.default_rng(11)
+    names = [f"{a}{b}" for a in "bdfgklmnprst" for b in ("ane", "ore", "ist", "ull", "ent")]
+    texts = []
+    for k in range(900):
+        i, j = rng.integers(0, len(names), 2)
+        common = ["alpha", "beta", "gamma"][int(rng.integers(0, 3))]
+        texts.append("\n".join([f"entry made by {names[i]} for {names[j]} in {common}", f"entry made by {common} on {k} of {names[i % 7]}", f"the same line number {'ABCDEF'[k % 6]} here", names[i] + " " + names[j] + " one two three", "Read more", f"{k} {k + 1} 3 4"]))
+    texts[3] = ""
+    one = cut(spark, tmp_path / "one", texts)
+    assert one != texts and cut(spark, tmp_path / "all", texts, leaf_bytes=0) == one
+    assert cut(spark, tmp_path / "some", texts, leaf_bytes=40_000) == one
