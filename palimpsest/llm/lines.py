@@ -12,7 +12,8 @@ documents have is recurring: its lines go from every document but the first, the
 smallest key.
 
 Step by step: equal lines meet within a map step, then by leaf, so that a line that a third of
-all documents have makes one entry for each step. Leaves go to tasks in buckets; a leaf of more
+all documents have makes one entry for each step. The lines of a leaf have the same leading tokens,
+so an entry has the hashes of the others, and how many of the leading ones are constant. Leaves go to tasks in buckets; a leaf of more
 bytes than a bucket should hold is generalised by joins and sums over its lines instead, by the
 same rule, share by share. Templates' documents are counted exactly in joins on the line, with
 hot lines salted; every document is rewritten from the hashes of its own dropped lines.
@@ -40,7 +41,10 @@ from .fragments import STEP_BYTES, text_bytes
 LEADING, MIN_TOKENS, MIN_DOCUMENTS, FIXED_SHARE = 3, 4, 5, 0.6
 #: Text bytes whose lines a bucket of leaves should hold, and bytes of entries of a leaf that may lie in one.
 BUCKET_BYTES, LEAF_BYTES = 16 << 20, 16 << 20
-_DEALT = "leaf binary, line binary, documents binary, size binary, tokens binary"
+#: Entries of a step in a bucket: lines and their documents; of the ``n_open`` first ones, which may have a
+#: template, also leaf, number of tokens, constant leading tokens, and hashes of the others.
+_ENTRIES = {"line": "<u8", "documents": "<i4", "leaf": "<u8", "size": "<i4", "lead": "<i2", "tokens": "<u8"}
+_DEALT = ", ".join(f"{c} binary" for c in _ENTRIES)
 _NOT_BREAK = np.ones(256, bool)
 _NOT_BREAK[10] = False
 _DIGIT = np.zeros(256, bool)
@@ -81,7 +85,8 @@ class Lines:
         itself = mixed((total_real[end] - total_real[begin] + sized) ^ _REAL)
         self.line = np.where(self.open, mixed(total[end] - total[begin] + sized), itself)
         self.leaf = np.where(self.open, mixed(total[beyond] - total[begin] + sized), itself)
-        self.hashes, self.begin, self.end = hashes, begin, end
+        self.hashes, self.begin, self.beyond, self.end = hashes, begin, beyond, end
+        self.lead = constants[beyond] - constants[begin]
 
 
 def _deal(df: DataFrame, fixed_share: float, leading: int, min_tokens: int, buckets: int) -> DataFrame:
@@ -102,88 +107,92 @@ def _deal(df: DataFrame, fixed_share: float, leading: int, min_tokens: int, buck
             at = np.flatnonzero(new_line)
             documents = np.add.reduceat(new_doc, at, dtype=np.int64)
             which = pair[at]
-            leaf = lines.leaf[which]
-            bucket = ((leaf >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
+            bucket = ((lines.leaf[which] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            order = np.lexsort((~lines.open[which], bucket))
             which, documents, bucket = which[order], documents[order], bucket[order]
             cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
             tokens = lines.hashes.astype("<u8")
-            rows = {c: [] for c in ("leaf", "line", "documents", "size", "tokens")}
+            rows = {c: [] for c in _ENTRIES}
             leaves, leaf_bytes = [], []
             for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(bucket)).tolist()):
                 w = which[a:b]
-                rows["leaf"].append(lines.leaf[w].tobytes())
-                rows["line"].append(lines.line[w].tobytes())
-                rows["documents"].append(documents[a:b].astype("<i4").tobytes())
-                rows["size"].append(np.where(lines.open[w], lines.count[w], 0).astype("<i4").tobytes())
+                own = {"line": lines.line[w], "documents": documents[a:b]}
                 w = w[lines.open[w]]
-                rows["tokens"].append(b"".join([tokens[x:y].tobytes() for x, y in zip(lines.begin[w].tolist(), lines.end[w].tolist())]))
-                own, which_leaf = np.unique(lines.leaf[w], return_inverse=True)
-                leaves.append(own.view(np.int64))
-                leaf_bytes.append(np.bincount(which_leaf, weights=24 + 8 * lines.count[w], minlength=len(own)).astype(np.int64))
+                pieces = [tokens[x:y] for x, y in zip(lines.beyond[w].tolist(), lines.end[w].tolist())]
+                own |= {"leaf": lines.leaf[w], "size": lines.count[w], "lead": lines.lead[w], "tokens": np.concatenate(pieces) if pieces else tokens[:0]}
+                for c, kind in _ENTRIES.items():
+                    rows[c].append(own[c].astype(kind).tobytes())
+                leaf, which_leaf = np.unique(lines.leaf[w], return_inverse=True)
+                leaves.append(leaf.view(np.int64))
+                leaf_bytes.append(np.bincount(which_leaf, weights=24 + 8 * lines.count[w], minlength=len(leaf)).astype(np.int64))
             sizes = [pa.array(x, pa.list_(pa.int64())) for x in (leaves, leaf_bytes)]
             yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts]), *(pa.array(v, pa.binary()) for v in rows.values()), *sizes], names=["bucket", *rows, "leaves", "leaf_bytes"])
 
     return map_arrow(df, run, f"bucket bigint, {_DEALT}, leaves array<bigint>, leaf_bytes array<bigint>")
 
 
-def _columns(row: dict) -> list[np.ndarray]:
-    return [np.frombuffer(row[c], kind) for c, kind in (("leaf", "<u8"), ("line", "<u8"), ("documents", "<i4"), ("size", "<i4"), ("tokens", "<u8"))]
+def _entries(row: dict, leading: int) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Columns of a dealt row, and how many token hashes each entry with a leaf has."""
+    columns = {c: np.frombuffer(row[c], kind) for c, kind in _ENTRIES.items()}
+    return columns, np.maximum(columns["size"] - leading, 0)
 
 
-def _without_large(dealt: DataFrame) -> DataFrame:
+def _without_large(dealt: DataFrame, leading: int) -> DataFrame:
     """Dealt rows without the lines of their ``large`` leaves."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for row in batch.to_pylist():
-                leaf, line, documents, size, tokens = _columns(row)
-                stays = ~np.isin(leaf.view(np.int64), np.array(row["large"], np.int64))
-                rows.append({"bucket": row["bucket"], "leaf": leaf[stays].tobytes(), "line": line[stays].tobytes(), "documents": documents[stays].tobytes(), "size": size[stays].tobytes(), "tokens": tokens[np.repeat(stays, size)].tobytes()})
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([("bucket", pa.int64()), *((c, pa.binary()) for c in ("leaf", "line", "documents", "size", "tokens"))]))
+                columns, n_tokens = _entries(row, leading)
+                stays = ~np.isin(columns["leaf"].view(np.int64), np.array(row["large"], np.int64))
+                every = np.append(stays, np.ones(len(columns["line"]) - len(stays), bool))
+                chosen = {"line": every, "documents": every, "tokens": np.repeat(stays, n_tokens)}
+                rows.append({"bucket": row["bucket"]} | {c: columns[c][chosen.get(c, stays)].tobytes() for c in _ENTRIES})
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("bucket", pa.int64()), *((c, pa.binary()) for c in _ENTRIES)]))
 
     return map_arrow(dealt, run, f"bucket bigint, {_DEALT}")
 
 
-def _large_lines(dealt: DataFrame) -> DataFrame:
+def _large_lines(dealt: DataFrame, leading: int) -> DataFrame:
     """One row a line of the ``large`` leaves of dealt rows."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                leaf, line, documents, size, tokens = _columns(row)
-                goes = np.isin(leaf.view(np.int64), np.array(row["large"], np.int64)) & (size > 0)
-                kept = tokens[np.repeat(goes, size)].view(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size[goes])), pa.int32()), pa.array(kept))
-                yield pa.RecordBatch.from_arrays([pa.array(leaf[goes].view(np.int64)), pa.array(line[goes].view(np.int64)), pa.array(documents[goes], pa.int64()), lists], names=["leaf", "line", "documents", "tokens"])
+                columns, n_tokens = _entries(row, leading)
+                goes = np.flatnonzero(np.isin(columns["leaf"].view(np.int64), np.array(row["large"], np.int64)))
+                kept = columns["tokens"][np.repeat(np.isin(np.arange(len(n_tokens)), goes), n_tokens)]
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n_tokens[goes])), pa.int32()), pa.array(kept.view(np.int64)))
+                numbers = [pa.array(columns[c][goes].astype(np.int64) if c in ("documents", "size", "lead") else columns[c][goes].view(np.int64)) for c in ("leaf", "line", "documents", "size", "lead")]
+                yield pa.RecordBatch.from_arrays([*numbers, lists], names=["leaf", "line", "documents", "size", "lead", "tokens"])
 
-    return map_arrow(dealt, run, "leaf bigint, line bigint, documents bigint, tokens array<bigint>")
+    return map_arrow(dealt, run, "leaf bigint, line bigint, documents bigint, size bigint, lead bigint, tokens array<bigint>")
 
 
 def generalise_large(lines: DataFrame, min_documents: int, fixed_share: float, leading: int = LEADING) -> DataFrame:
     """What ``generalise`` finds, for leaves of any number of lines: ``line``, ``template`` and the
-    line's ``members`` (documents). ``lines`` has ``leaf``, ``line``, ``documents`` and ``tokens``, several rows a line.
+    line's ``members`` (documents). ``lines`` has ``leaf``, ``line``, ``documents``, ``size``,
+    ``lead`` (constant leading tokens) and the other ``tokens``, several rows a line.
 
     Each share is a sum over templates and a join back, with hot templates apart; as the share
     is halved, their number is the logarithm of the largest leaf's documents.
     """
-    lines = written(lines.groupBy("leaf", "line").agg(F.sum("documents").alias("documents"), F.first("tokens").alias("tokens")), "large_lines")
+    lines = written(lines.groupBy("leaf", "line").agg(F.sum("documents").alias("documents"), *[F.first(c).alias(c) for c in ("size", "lead", "tokens")]), "large_lines")
     leaves = written(lines.groupBy("leaf").agg(F.sum("documents").alias("in_leaf"), F.count("*").alias("members")), "large_leaves")
     places = written(lines.select("leaf", "line", "documents", F.posexplode("tokens").alias("place", "token")).where(F.col("token") != int(_VARIABLE.view(np.int64))), "large_places")
     have = places.groupBy("leaf", "place", "token").agg(F.sum("documents").alias("have"), F.count("*").alias("members"))
     have = written(have.where(F.col("have") >= min_documents), "large_tokens")
     of_line = join_counted(places.drop("documents"), have, ["leaf", "place", "token"]).groupBy("line").agg(F.sort_array(F.collect_list(F.struct("place", "token", "have"))).alias("have"))
-    left = join_counted(lines.select("leaf", "line", "documents", F.size("tokens").alias("size")), leaves, ["leaf"]).join(of_line, "line")
-    left = written(left, "large_have")
+    left = written(join_counted(lines.drop("tokens"), leaves, ["leaf"]).join(of_line, "line"), "large_have")
     most = left.agg(F.max("in_leaf")).first()[0] or 0
 
     found, share = [], 0.5
     while most:
         least = F.greatest(F.lit(float(min_documents)), F.lit(share) * F.col("in_leaf"))
         fixed = F.transform(F.filter("have", lambda x: x["have"] >= F.col("least")), lambda x: F.struct(x["place"].alias("place"), x["token"].alias("token")))
-        beyond = F.size(F.filter("fixed", lambda x: x["place"] >= leading))
-        enough_places = (F.size("fixed") / F.col("size") >= fixed_share) & (3 * beyond >= F.col("size") - leading)
+        n_fixed = F.when(F.col("in_leaf") >= min_documents, F.col("lead")).otherwise(0) + F.size("fixed")
+        enough_places = (n_fixed / F.col("size") >= fixed_share) & (3 * F.size("fixed") >= F.col("size") - leading)
         level = left.withColumn("least", least).withColumn("fixed", fixed).withColumn("template", F.when(enough_places, F.xxhash64("leaf", "fixed")))
         level = written(level.drop("fixed"), "large_level")
         enough = level.where("template is not null").groupBy("template").agg(F.sum("documents").alias("in_template"), F.count("*").alias("members"))
@@ -235,19 +244,28 @@ def generalise(leaf: np.ndarray, line: np.ndarray, documents: np.ndarray, tokens
 
 def _templates(min_documents: int, fixed_share: float, leading: int):
     def run(table: pa.Table) -> pa.Table:
-        column = lambda c, kind: np.concatenate([np.frombuffer(x.as_py(), kind) for x in table.column(c)])
-        leaf, line, documents, size, tokens = column("leaf", "<u8"), column("line", "<u8"), column("documents", "<i4"), column("size", "<i4").astype(np.int64), column("tokens", "<u8")
-        at = np.cumsum(size) - size
+        parts = [_entries(row, leading) for row in table.select(list(_ENTRIES)).to_pylist()]
+        column = lambda c: np.concatenate([x[c] for x, _ in parts])
+        padded = lambda c: np.concatenate([np.append(x[c], np.zeros(len(x["line"]) - len(x[c]), x[c].dtype)) for x, _ in parts])
+        line, documents, tokens, size, lead = column("line"), column("documents"), column("tokens"), padded("size").astype(np.int64), padded("lead")
+        # A line that can have no template is a leaf of its own.
+        leaf = np.where(size > 0, padded("leaf"), line)
+        n_tokens = np.maximum(size - leading, 0)
+        at = np.cumsum(n_tokens) - n_tokens
         line, one, same = np.unique(line, return_index=True, return_inverse=True)
         documents = np.bincount(same, weights=documents).astype(np.int64)
-        leaf, size, at = leaf[one], size[one], at[one]
+        leaf, size, lead, at = leaf[one], size[one], lead[one], at[one]
         _, number = np.unique(leaf, return_inverse=True)
         often = np.flatnonzero(np.bincount(number, weights=documents)[number] >= min_documents) if len(number) else np.zeros(0, np.int64)
         out_line, out_template, out_members = [], [], []
         for length in np.unique(size[often]):
             rows = often[size[often] == length]
-            # Lines that can have no template come without tokens.
-            template = generalise(leaf[rows], line[rows], documents[rows], tokens[at[rows][:, None] + np.arange(length)], min_documents, fixed_share, leading) if length else line[rows]
+            template = line[rows]
+            if length:
+                # Any hashes do for the leading tokens, as they are the same in a leaf.
+                first = np.where(np.arange(min(leading, length)) < lead[rows][:, None], np.uint64(1), _VARIABLE)
+                others = tokens[at[rows][:, None] + np.arange(max(length - leading, 0))]
+                template = generalise(leaf[rows], template, documents[rows], np.hstack([first, others]), min_documents, fixed_share, leading)
             _, group = np.unique(template, return_inverse=True)
             enough = np.bincount(group, weights=documents[rows])[group] >= min_documents
             out_line.append(line[rows[enough]])
@@ -280,8 +298,8 @@ def recurring_lines(df: DataFrame, text: str = "text", key: str = "doc_id", min_
     small, found = dealt, []
     if not large.isEmpty():
         with_large = dealt.join(large, "bucket")
-        found.append(generalise_large(_large_lines(with_large), min_documents, fixed_share, leading))
-        small = dealt.join(large, "bucket", "left_anti").unionByName(_without_large(with_large))
+        found.append(generalise_large(_large_lines(with_large, leading), min_documents, fixed_share, leading))
+        small = dealt.join(large, "bucket", "left_anti").unionByName(_without_large(with_large, leading))
     found.append(small.groupBy("bucket").applyInArrow(_templates(min_documents, fixed_share, leading), "line bigint, template bigint, members bigint"))
     found = written(found[0] if len(found) == 1 else found[0].unionByName(found[1]), "templates")
     places = written(join_salted(_document_lines(docs, fixed_share, leading, min_tokens), found, "line", "id").select("id", "line", "template").distinct(), "places")
