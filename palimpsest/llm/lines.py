@@ -90,8 +90,7 @@ class Lines:
 
 
 def _deal(df: DataFrame, fixed_share: float, leading: int, min_tokens: int, buckets: int) -> DataFrame:
-    """Distinct lines of each step, by buckets of leaves: leaf, line, documents, token hashes; and
-    the bytes of each leaf that has tokens."""
+    """Distinct lines of each step, by buckets of leaves: leaf, line, documents, token hashes."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in byte_slices(batches, "_text", STEP_BYTES):
@@ -113,7 +112,6 @@ def _deal(df: DataFrame, fixed_share: float, leading: int, min_tokens: int, buck
             cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
             tokens = lines.hashes.astype("<u8")
             rows = {c: [] for c in _ENTRIES}
-            leaves, leaf_bytes = [], []
             for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(bucket)).tolist()):
                 w = which[a:b]
                 own = {"line": lines.line[w], "documents": documents[a:b]}
@@ -122,13 +120,26 @@ def _deal(df: DataFrame, fixed_share: float, leading: int, min_tokens: int, buck
                 own |= {"leaf": lines.leaf[w], "size": lines.count[w], "lead": lines.lead[w], "tokens": np.concatenate(pieces) if pieces else tokens[:0]}
                 for c, kind in _ENTRIES.items():
                     rows[c].append(own[c].astype(kind).tobytes())
-                leaf, which_leaf = np.unique(lines.leaf[w], return_inverse=True)
-                leaves.append(leaf.view(np.int64))
-                leaf_bytes.append(np.bincount(which_leaf, weights=24 + 8 * lines.count[w], minlength=len(leaf)).astype(np.int64))
-            sizes = [pa.array(x, pa.list_(pa.int64())) for x in (leaves, leaf_bytes)]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts]), *(pa.array(v, pa.binary()) for v in rows.values()), *sizes], names=["bucket", *rows, "leaves", "leaf_bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts]), *(pa.array(v, pa.binary()) for v in rows.values())], names=["bucket", *rows])
 
-    return map_arrow(df, run, f"bucket bigint, {_DEALT}, leaves array<bigint>, leaf_bytes array<bigint>")
+    return map_arrow(df, run, f"bucket bigint, {_DEALT}")
+
+
+def _large_leaves(df: DataFrame, fixed_share: float, leading: int, min_tokens: int, buckets: int, leaf_bytes: int) -> DataFrame:
+    """By bucket, the leaves with more bytes of entries than a task should get."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in byte_slices(batches, "_text", STEP_BYTES):
+            lines = Lines(*string_buffers(part.column("_text")), fixed_share, leading, min_tokens)
+            _, one = np.unique(lines.line, return_index=True)
+            one = one[lines.open[one]]
+            leaf, which = np.unique(lines.leaf[one], return_inverse=True)
+            size = np.bincount(which, weights=24 + 8 * lines.count[one], minlength=len(leaf)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(leaf.view(np.int64)), pa.array(size)], names=["leaf", "size"])
+
+    sizes = map_arrow(df, run, "leaf bigint, size bigint").groupBy("leaf").agg(F.sum("size").alias("size")).where(F.col("size") > leaf_bytes)
+    bucket = F.shiftright(F.shiftrightunsigned("leaf", 32) * F.lit(buckets), 32)
+    return sizes.groupBy(bucket.alias("bucket")).agg(F.collect_set("leaf").alias("large"))
 
 
 def _entries(row: dict, leading: int) -> tuple[dict[str, np.ndarray], np.ndarray]:
@@ -291,12 +302,11 @@ def recurring_lines(df: DataFrame, text: str = "text", key: str = "doc_id", min_
     """``id``, ``line`` (hash) and ``template`` of every line that goes."""
     docs = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("string").alias("_text")).where("id is not null")
     buckets = max(8, text_bytes(docs, "_text") // BUCKET_BYTES + 1)
-    dealt = written(_deal(docs, fixed_share, leading, min_tokens, buckets), "dealt")
-    large = dealt.select("bucket", F.explode(F.arrays_zip("leaves", "leaf_bytes")).alias("x")).groupBy("bucket", "x.leaves").agg(F.sum("x.leaf_bytes").alias("total"))
-    large = written(large.where(F.col("total") > leaf_bytes).groupBy("bucket").agg(F.collect_set("leaves").alias("large")), "large")
-    dealt = dealt.drop("leaves", "leaf_bytes")
+    dealt = _deal(docs, fixed_share, leading, min_tokens, buckets)
+    large = written(_large_leaves(docs, fixed_share, leading, min_tokens, buckets, leaf_bytes), "large")
     small, found = dealt, []
     if not large.isEmpty():
+        dealt = written(dealt, "dealt")
         with_large = dealt.join(large, "bucket")
         found.append(generalise_large(_large_lines(with_large, leading), min_documents, fixed_share, leading))
         small = dealt.join(large, "bucket", "left_anti").unionByName(_without_large(with_large, leading))
