@@ -143,8 +143,8 @@ NOT_SPACE[[0x20, *range(0x09, 0x0E)]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 MIX = np.uint64(0x9E3779B97F4A7C15)
-_BASE = np.uint64(0xD6E8FEB86659FD93)
-_PLACES = np.cumprod(np.full(1 << 12, _BASE, np.uint64), dtype=np.uint64)
+#: The low n bytes of a 64-bit number.
+_LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def mixed(value: np.ndarray) -> np.ndarray:
@@ -171,20 +171,19 @@ def token_spans(data: np.ndarray, offsets: np.ndarray, inside_table: np.ndarray)
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span; spans are in order and don't overlap."""
+    """A 64-bit hash of each span. Every eight bytes are mixed together with their place before
+    they are summed, so no arrangement of equal parts can cancel out, however long the span is."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     size = ends - starts
-    before = np.cumsum(size) - size
-    within = np.arange(int(size.sum())) - np.repeat(before, size)
-    value = (data[np.repeat(starts, size) + within].astype(np.uint64) + np.uint64(1)) * _PLACES[within & 0xFFF]
-    long = within > 0xFFF
-    if long.any():
-        value[long] *= mixed((within[long] >> 12).astype(np.uint64)) | np.uint64(1)
-    total = np.add.reduceat(value, before[size > 0]) if len(value) else np.zeros(0, np.uint64)
-    out = np.zeros(len(starts), np.uint64)
-    out[size > 0] = total
-    return mixed(out + size.astype(np.uint64) * MIX)
+    parts = np.maximum(1, (size + 7) >> 3)
+    before = np.cumsum(parts) - parts
+    number = np.arange(int(parts.sum())) - np.repeat(before, parts)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    value = eight[np.repeat(starts, parts) + 8 * number] & _LOW_BYTES[np.minimum(np.repeat(size, parts) - 8 * number, 8)]
+    value = mixed(value ^ mixed((number.astype(np.uint64) + np.uint64(1)) * MIX))
+    return mixed(np.add.reduceat(value, before) + size.astype(np.uint64) * MIX)
 
 
 def per_row(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:

@@ -33,7 +33,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import byte_slices, map_arrow, schema_of, string_buffers, text_rows, written
+from .common import byte_slices, map_arrow, schema_of, span_hashes, string_buffers, text_rows, written
 
 WINDOW_WORDS = 10
 #: Benchmark text of one broadcast block, in bytes; a longer single item is a block of its own.
@@ -50,8 +50,6 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IS_WORD = np.zeros(256, bool)
 _IS_WORD[48:58] = _IS_WORD[97:123] = _IS_WORD[128:] = True
-_FACTOR = np.uint64(0x9E3779B97F4A7C15)
-_POWERS = np.cumprod(np.full(1 << 12, _FACTOR, np.uint64), dtype=np.uint64)
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -72,24 +70,10 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return lower, starts, np.flatnonzero(finish) + 1, np.searchsorted(starts, offsets)
 
 
-def word_hashes(lower: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    size = ends - starts
-    where = np.zeros(len(lower), np.int64)
-    where[starts[0] :] = np.arange(starts[0], len(lower)) - np.repeat(starts, np.diff(np.append(starts, len(lower))))
-    value = (lower.astype(np.uint64) + np.uint64(1)) * _POWERS[where & 0xFFF]
-    value[~_IS_WORD[lower]] = 0
-    total = np.add.reduceat(value, starts)
-    total ^= total >> np.uint64(29)
-    return (total + size.astype(np.uint64)) * _FACTOR
-
-
 def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of a column of texts, and each text's first word."""
     lower, starts, ends, first = word_spans(*string_buffers(column))
-    return word_hashes(lower, starts, ends), first
+    return span_hashes(lower, starts, ends), first
 
 
 #: The index's own columns, beside those that are kept.
