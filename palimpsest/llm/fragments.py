@@ -46,17 +46,20 @@ def _lists(keys: np.ndarray, owner: np.ndarray, values: np.ndarray, lists: bool)
     return keys[owner[at]].tolist(), (ends - at).tolist(), packed
 
 
-def deal(keys: np.ndarray, bounds: np.ndarray, values: np.ndarray, fragments: int, lists: bool) -> Iterator[pa.RecordBatch]:
+def deal(keys: np.ndarray, bounds: np.ndarray, values: np.ndarray, fragments: int, lists: bool, marked: bool = False) -> Iterator[pa.RecordBatch]:
     """Entries of one step for each fragment, and what the step knows by itself. ``values`` are
-    distinct within each key."""
+    distinct within each key. With ``marked`` their lowest bit is a mark and no part of the value."""
     if not len(values):
         return
     owner = np.repeat(np.arange(len(keys)), np.diff(bounds))
     order = np.argsort(values, kind="stable")
     values, owner = values[order], owner[order]
+    own_value = values >> np.uint64(marked)
     first = np.ones(len(values), bool)
-    first[1:] = values[1:] != values[:-1]
+    first[1:] = own_value[1:] != own_value[:-1]
     run = np.cumsum(first) - 1
+    if marked:  # the entry that goes on has the mark if any has it
+        first = np.append(first[1:], True)
     again = np.bincount(run)[run] > 1
     parts, key_rows, owner_rows, entry_rows = [], [], [], []
     if again.any():
@@ -78,8 +81,9 @@ def deal(keys: np.ndarray, bounds: np.ndarray, values: np.ndarray, fragments: in
     yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), *(pa.array(x, pa.binary()) for x in (key_rows, owner_rows, entry_rows))], names=["part", "keys", "owner", "entries"])
 
 
-def meet(fragments: int, lists: bool):
-    """For ``applyInArrow`` by ``part``: which entries at least two keys have."""
+def meet(fragments: int, lists: bool, marked: bool = False):
+    """For ``applyInArrow`` by ``part``: which entries at least two keys have, and with ``marked``
+    at least one of them with the mark."""
 
     def run(table: pa.Table) -> pa.Table:
         rows = [(np.frombuffer(k, "<i8"), o, e) for k, o, e in zip(*(table.column(c).to_pylist() for c in ("keys", "owner", "entries")))]
@@ -102,17 +106,20 @@ def meet(fragments: int, lists: bool):
         keys = np.concatenate([own for own, _, _ in rows])
         order = np.argsort(entries, kind="stable")
         entries, owner = entries[order], owner[order]
+        own_value = entries >> np.uint32(marked)
         new = np.ones(len(entries), bool)
-        new[1:] = entries[1:] != entries[:-1]
+        new[1:] = own_value[1:] != own_value[:-1]
         run_of = np.cumsum(new) - 1
         shared = (np.bincount(run_of)[run_of] > 1) & (owner >= 0)
+        if marked:
+            shared &= np.maximum.reduceat(entries & np.uint32(1), np.flatnonzero(new))[run_of] > 0
         own, n, packed = _lists(keys, owner[shared], entries[shared], lists)
         return pa.table({"key": pa.array(own, pa.int64()), "n": pa.array(n, pa.int64()), "shared": pa.array(packed, pa.binary())})
 
     return run
 
 
-def shared_values(dealt: DataFrame, fragments: int, lists: bool) -> DataFrame:
+def shared_values(dealt: DataFrame, fragments: int, lists: bool, marked: bool = False) -> DataFrame:
     """``key``, the number of its values in one fragment that other keys have too, and if asked
     for their low 32 bits; several rows a key."""
-    return dealt.groupBy("part").applyInArrow(meet(fragments, lists), SHARED)
+    return dealt.groupBy("part").applyInArrow(meet(fragments, lists, marked), SHARED)
