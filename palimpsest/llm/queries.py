@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, jaccard, langid, licenses, lines, pii, quality, repeats, sql, tiff
+from . import blocks, bpe, decontaminate, jaccard, langid, licenses, lines, phrases, pii, quality, repeats, sql, tiff, trie
 from .common import held_out, table, written
 
 RANK_FILE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -75,6 +75,19 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op11_block_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = blocks.remove_repeated_words(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations")).drop("digest", "parent")
+
+
 def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of the license scan that rest on exact phrases."""
     return op6_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
@@ -85,6 +98,7 @@ def tiff_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_tiff(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
 
 
-OPERATORS = (op1_ngram_jaccard, op2_pii_pseudonyms, op3_bpe, op4_suffix_dedup, op5_line_templates, op6_license_scan, op7_language_id, op8_tiff, op9_decontamination, op10_quality)
+OPERATORS = (op1_ngram_jaccard, op2_pii_pseudonyms, op3_bpe, op4_suffix_dedup, op5_line_templates, op6_license_scan, op7_language_id, op8_tiff, op9_decontamination, op10_quality, op11_block_dedup, op12_phrases, op13_prefix_trie)
 QUERIES = {f.__name__: f for f in (*OPERATORS, license_base, tiff_payload)}
 SQL = {"op1_ngram_jaccard": sql.NGRAM_JACCARD, "op4_suffix_dedup": sql.SUFFIX_DEDUP, "op9_decontamination": sql.DECONTAMINATION, "license_base": sql.LICENSE_BASE, "tiff_payload": sql.TIFF_PAYLOAD}
+SQL |= {"op11_block_dedup": sql.BLOCK_DEDUP, "op12_phrases": sql.PHRASES, "op13_prefix_trie": sql.TRIE}
