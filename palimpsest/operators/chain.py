@@ -67,6 +67,30 @@ def chain_tip(log: DataFrame) -> DataFrame:
     return log.where(F.col("row_hash").isNotNull()).orderBy(F.desc_nulls_last("chain_seq"), F.desc("id")).limit(1).select("id", "chain_seq", "row_hash", "changed_at")
 
 
+#: What stands for rows that a purge has taken: a stretch of the chain without a row left in it.
+GAP = "first_seq bigint, last_seq bigint, first_prev string, last_hash string, last_id bigint"
+
+
+def gaps(gone: DataFrame, before: DataFrame | None = None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Gaps that chained rows leave which go, whatever their place in the chain; ``before`` are gaps
+    of earlier purges. Neighbours of one bucket are one gap."""
+    rows = gone.where(F.col("row_hash").isNotNull() & F.col("chain_seq").isNotNull()).select(F.col("chain_seq").alias("first_seq"), F.col("chain_seq").alias("last_seq"), F.col("prev_hash").alias("first_prev"), F.col("row_hash").alias("last_hash"), F.col("id").alias("last_id"))
+    rows = (rows if before is None else rows.unionByName(before)).withColumn("_bucket", F.floor(F.col("first_seq") / bucket_rows))
+    order = Window.partitionBy("_bucket").orderBy("first_seq")
+    fresh = ~F.coalesce(F.lag("last_seq").over(order) + 1 == F.col("first_seq"), F.lit(False))
+    runs = rows.withColumn("_fresh", fresh.cast("int")).withColumn("_run", F.sum("_fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    last = lambda c: F.max_by(c, "last_seq").alias(c)
+    return runs.groupBy("_bucket", "_run").agg(F.min("first_seq").alias("first_seq"), F.max("last_seq").alias("last_seq"), F.min_by("first_prev", "first_seq").alias("first_prev"), last("last_hash"), last("last_id")).drop("_bucket", "_run")
+
+
+def _with_gaps(log: DataFrame, left: DataFrame | None) -> DataFrame:
+    """Gaps among the rows of a log, as rows of their own with the mark ``is_gap``."""
+    log = log.withColumn("is_gap", F.lit(False))
+    if left is None:
+        return log
+    return log.unionByName(left.select(F.col("last_id").alias("id"), F.col("first_seq").alias("chain_seq"), F.col("first_prev").alias("prev_hash"), F.col("last_hash").alias("row_hash"), F.lit(True).alias("is_gap")), allowMissingColumns=True)
+
+
 def with_expected(log: DataFrame, bucket_rows: int = BUCKET_ROWS, start: str | None = None) -> DataFrame:
     """Chained rows with ``expected_prev``, the hash before them in order of ``chain_seq``, rows
     without one first, then id. ``start`` is the hash before the first one."""
@@ -81,14 +105,15 @@ def with_expected(log: DataFrame, bucket_rows: int = BUCKET_ROWS, start: str | N
     return joined.withColumn("expected_prev", F.when(F.col("_first"), F.col("_before")).otherwise(F.col("_lag"))).drop("_bucket", "_lag", "_first", "_before")
 
 
-def verify(log: DataFrame, expected_tip: dict[str, Any] | None = None, bucket_rows: int = BUCKET_ROWS, chain_from: int | None = None, anchor: dict[str, Any] | None = None) -> DataFrame:
+def verify(log: DataFrame, expected_tip: dict[str, Any] | None = None, bucket_rows: int = BUCKET_ROWS, chain_from: int | None = None, anchor: dict[str, Any] | None = None, left: DataFrame | None = None) -> DataFrame:
     """Broken rows: ``id`` and one ``reason`` each. A wrong link hides a wrong hash; empty and
     null hashes are equal. A tip that was noted before must still be there as it was. From the id
-    ``chain_from`` on every row must have a hash; ``anchor`` is the last row that a purge has
-    taken, which the first row left must follow."""
+    ``chain_from`` on every row must have a hash; ``anchor`` is a row before the first one, which
+    that must follow, and ``left`` are the gaps of purges, which the rows beside them must fit."""
+    log = _with_gaps(log, left)
     rows = with_expected(log, bucket_rows, (anchor or {}).get("row_hash"))
     blank = lambda c: F.when(F.col(c) != "", F.col(c))
-    reason = F.when(~blank("prev_hash").eqNullSafe(blank("expected_prev")), "prev_hash mismatch").when(row_hash(digest(), F.col("expected_prev")) != F.col("row_hash"), "row_hash mismatch")
+    reason = F.when(~blank("prev_hash").eqNullSafe(blank("expected_prev")), "prev_hash mismatch").when(~F.col("is_gap") & (row_hash(digest(), F.col("expected_prev")) != F.col("row_hash")), "row_hash mismatch")
     broken = rows.select("id", reason.alias("reason")).where("reason is not null")
     if chain_from is not None:
         bare = log.where((F.col("id") >= chain_from) & F.col("row_hash").isNull())
@@ -111,11 +136,11 @@ def summary(log: DataFrame, broken: DataFrame) -> DataFrame:
     return log.agg(F.count("row_hash").alias("checked")).select("checked", (count == 0).alias("ok"), count.alias("n_broken"))
 
 
-def verify_summary(log: DataFrame, expected_tip: dict[str, Any] | None = None, chain_from: int | None = None, anchor: dict[str, Any] | None = None, first: int = 1000) -> dict[str, Any]:
+def verify_summary(log: DataFrame, expected_tip: dict[str, Any] | None = None, chain_from: int | None = None, anchor: dict[str, Any] | None = None, first: int = 1000, left: DataFrame | None = None) -> dict[str, Any]:
     """Counts, and the first broken rows; ``verify`` gives the table of all of them."""
     if expected_tip and anchor and expected_tip.get("id") is not None and expected_tip["id"] <= anchor["id"]:
         expected_tip = None  # a purge has taken the whole chain
-    broken = verify(log, expected_tip, chain_from=chain_from, anchor=anchor)
+    broken = verify(log, expected_tip, chain_from=chain_from, anchor=anchor, left=left)
     found = summary(log, broken).first()
     rows = [(r["id"], r["reason"]) for r in broken.orderBy("id", "reason").limit(first).collect()] if found["n_broken"] else []
     return {"checked": found["checked"], "ok": found["ok"], "n_broken": found["n_broken"], "broken": rows}

@@ -50,3 +50,11 @@ def since(df: DataFrame, at: datetime | str, inclusive: bool = True) -> Column:
     moment = moment_column(at, kind)
     condition = F.col("changed_at") >= moment if inclusive else F.col("changed_at") > moment
     return condition & (F.col(MONTH) >= month_of(moment, kind)) if MONTH in df.columns else condition
+
+
+def before(df: DataFrame, at: datetime | str) -> Column:
+    """Events before a moment; months after it are not read."""
+    kind = df.schema["changed_at"].dataType
+    moment = moment_column(at, kind)
+    condition = F.col("changed_at") < moment
+    return condition & (F.col(MONTH) <= month_of(moment, kind)) if MONTH in df.columns else condition

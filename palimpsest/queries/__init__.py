@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import asking, capturing, chains, keeping, logs, reports, streams
+from . import asking, capturing, chains, keeping, logs, reports, streams, trees
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for _part in (capturing, asking, keeping, streams, chains, logs, reports):
+for _part in (capturing, asking, keeping, streams, chains, logs, reports, trees):
     QUERIES |= _part.register.queries
     SQL |= _part.register.sql

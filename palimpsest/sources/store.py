@@ -4,8 +4,9 @@ Everything goes through the Hadoop file system of the path, so the folder may be
 that Spark reads. Every write goes to folders of its own, which nobody reads until a manifest
 names them; a manifest is a small numbered file that is made once and never changed. So a commit
 happens whole or not at all: rows, the number of the last id, the chain's tip and the streams'
-places go together, and what a crash leaves behind is not part of the log. A purge writes what
-it keeps of the cutoff's month beside the old rows and then commits a manifest without those.
+places go together, and what a crash leaves behind is not part of the log. Contexts are committed with the events that
+have them. A purge writes what it keeps of the cutoff's month beside the old rows, and what a
+later check needs to know of those that go, and then commits a manifest without them.
 """
 
 from __future__ import annotations
@@ -23,20 +24,21 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from ..context import current_context
 from ..functions.intervals import cutoff, month_bounds
-from ..operators import blame as blame_ops, chain, contexts as context_ops, retention, timetravel
+from ..operators import blame as blame_ops, chain, contexts as context_ops, retention, timetravel, tree
 from ..operators.capture import capture_cdc, with_ids
 from ..operators.history import History
-from ..plans.months import MONTH, since, utc, with_month
+from ..plans.months import MONTH, before, since, utc, with_month
 from ..schema import AUDIT_LOG, CONTEXT
 from ..spec import Capture
+from .folders import fresh_folder
 from .importers import conform
 
-FORMAT_VERSION, BATCH = 2, "batch"
+FORMAT_VERSION, BATCH = 3, "batch"
 #: Seconds after which a lock that its owner has not given back may be taken over.
 LOCK_SECONDS = 6 * 3600
 #: Older manifests that are kept.
 OLD_MANIFESTS = 20
-EMPTY = {"number": 0, "parts": [], "last_id": 0, "tip": None, "chain_from": None, "anchor": None, "streams": {}}
+EMPTY = {"number": 0, "parts": [], "last_id": 0, "tip": None, "chain_from": None, "anchor": None, "streams": {}, "gaps": [], "contexts": [], "context_seq": 0, "tree": None, "tree_nodes": [], "tree_gone": []}
 
 
 class Locked(RuntimeError):
@@ -44,11 +46,11 @@ class Locked(RuntimeError):
 
 
 class Engine:
-    """``hash_chain=True`` switches the log's chain on; that is kept with the log and holds for
-    every later writer."""
+    """``hash_chain=True`` switches the log's chain on, ``history_tree=True`` its tree of digests;
+    that is kept with the log and holds for every later writer."""
 
-    def __init__(self, spark: SparkSession, path: str, admin: bool = False, hash_chain: bool = False):
-        self.spark, self.path, self.admin, self._chain_wanted = spark, path.rstrip("/"), admin, hash_chain
+    def __init__(self, spark: SparkSession, path: str, admin: bool = False, hash_chain: bool = False, history_tree: bool = False):
+        self.spark, self.path, self.admin, self._chain_wanted, self._tree_wanted = spark, path.rstrip("/"), admin, hash_chain, history_tree
         self._jvm = spark.sparkContext._jvm
         self._fs = self._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
@@ -130,13 +132,16 @@ class Engine:
             self._put("_version.json", json.dumps({"format": FORMAT_VERSION}))
         if self._chain_wanted:
             self.enable_chain()
+        if self._tree_wanted:
+            self.enable_tree()
 
     def version(self) -> int:
         return int(json.loads(self._get("_version.json"))["format"]) if self._exists("_version.json") else 0
 
     def upgrade(self) -> list[str]:
         """Brings an older folder to today's format; gives the steps taken. Folders of format 1 had
-        months without batches: their files move into a batch of their own, then are committed."""
+        months without batches: their files move into a batch of their own, then are committed.
+        Those of format 2 had contexts that no manifest named."""
         steps, version = [], self.version()
         if version == 1:
             with self.lock():
@@ -154,6 +159,16 @@ class Engine:
                 last = rows.agg(F.max("id")).first()[0] if parts else 0
                 self._commit(dict(EMPTY), parts=parts, last_id=last or 0, tip=tip[0].asDict() if tip else None, chain_from=first)
             steps.append("batches and manifests")
+        if version in (1, 2):
+            with self.lock():
+                files = [n for n in self._names("contexts") if n.endswith(".parquet")]
+                if files:
+                    self._fs.mkdirs(self._at("contexts", "format2"))
+                    for name in files:
+                        self._fs.rename(self._at("contexts", name), self._at("contexts", "format2", name))
+                    seq = self.spark.read.schema(CONTEXT).parquet(f"{self.path}/contexts/format2").agg(F.max("seq")).first()[0]
+                    self._commit(self.manifest(), contexts=["format2"], context_seq=seq or 0)
+                    steps.append("contexts")
         if version < FORMAT_VERSION:
             self.bootstrap()
             self._put("_version.json", json.dumps({"format": FORMAT_VERSION}))
@@ -169,6 +184,14 @@ class Engine:
                 if now["chain_from"] is None:
                     self._commit(now, chain_from=now["last_id"] + 1)
 
+    def enable_tree(self) -> None:
+        """Puts every row from here on into the history tree, whoever writes it."""
+        if self.manifest()["tree"] is None:
+            with self.lock():
+                now = self.manifest()
+                if now["tree"] is None:
+                    self._commit(now, tree={"first": now["last_id"] + 1, "size": 0, "peaks": []})
+
     @property
     def hash_chain(self) -> bool:
         return self._chain_wanted or self.manifest()["chain_from"] is not None
@@ -188,9 +211,13 @@ class Engine:
 
     @property
     def context_versions(self) -> DataFrame:
-        if not any(not n.startswith("_") for n in self._names("contexts")):
-            return self.spark.createDataFrame([], CONTEXT)
-        return self.spark.read.schema(CONTEXT).parquet(f"{self.path}/contexts")
+        return self._parts("contexts", self.manifest()["contexts"], CONTEXT)
+
+    def _parts(self, folder: str, names: list[str], schema: StructType | str) -> DataFrame:
+        """The folders of one kind that a manifest names."""
+        if not names:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{folder}/{n}" for n in names])
 
     @property
     def contexts(self) -> DataFrame:
@@ -219,7 +246,38 @@ class Engine:
         """Held against the tip that was noted with the last commit unless another is given; rows
         that came without a hash after the chain was switched on are broken as well."""
         now = self.manifest()
-        return chain.verify_summary(self.log, expected_tip or now["tip"], now["chain_from"], now["anchor"])
+        left = self._parts("gaps", now["gaps"], chain.GAP) if now["gaps"] else None
+        return chain.verify_summary(self._read(now["parts"]), expected_tip or now["tip"], now["chain_from"], now["anchor"], left=left)
+
+    @property
+    def tree_nodes(self) -> DataFrame:
+        return self._parts("tree", self.manifest()["tree_nodes"], tree.NODES)
+
+    def tree_root(self, size: int | None = None) -> dict[str, Any]:
+        """Size and root of the history tree, now or when it had ``size`` rows, to be noted elsewhere."""
+        state = self.manifest()["tree"] or {"size": 0, "peaks": []}
+        if size is None or size == state["size"]:
+            return {"size": state["size"], "root": tree.root(state["size"], [bytes.fromhex(h) for _, _, h in state["peaks"]])}
+        return {"size": size, "root": tree.root_at(self.tree_nodes, size)}
+
+    def verify_tree(self, expected: dict[str, Any] | None = None) -> DataFrame:
+        """Broken rows (``id``, ``reason``) against the tree, and the tree against its root and, if
+        given, one that was noted when the log was smaller."""
+        now = self.manifest()
+        state = now["tree"] or {"first": 0, "size": 0, "peaks": []}
+        gone = self._parts("tree_gone", now["tree_gone"], "id bigint") if now["tree_gone"] else None
+        nodes = self._parts("tree", now["tree_nodes"], tree.NODES)
+        broken = tree.verify(self._read(now["parts"]), nodes, state["first"], state["size"], self.tree_root()["root"], gone, self._kept)
+        if expected and (expected["size"] > state["size"] or tree.root_at(nodes, expected["size"]) != expected["root"]):
+            noted = [(state["first"] + expected["size"] - 1, "root differs from the noted one")]
+            broken = broken.unionByName(self.spark.createDataFrame(noted, "id bigint, reason string"))
+        return broken
+
+    def _kept(self, df: DataFrame) -> DataFrame:
+        """A table of the session's shared folder, as checks may run beside a writer."""
+        path = fresh_folder(self.spark, "check")
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
     def months(self) -> list[str]:
         return sorted({month for month, _ in self.manifest()["parts"]})
@@ -238,14 +296,13 @@ class Engine:
     def capture(self, changes: DataFrame, spec: Capture) -> int:
         """Appends the events of a batch of changes; the number of events."""
         context = current_context()
-        written = self.append_events(capture_cdc(changes, spec, context).drop("id"))
-        if context and written:
-            self.write_contexts(self.spark.createDataFrame([(context.id, json.dumps(dict(context.metadata), default=str))], "id string, metadata string"))
-        return written
-
-    def append_events(self, events: DataFrame, stream: str | None = None, batch_number: int | None = None) -> int:
-        """Ids and, if it is on, the chain continue from the last commit. A stream's batch is
-        committed together with its number and is left alone when it comes again."""
+        own = self.spark.createDataFrame([(context.id, json.dumps(dict(context.metadata), default=str))], "id string, metadata string") if context else None
+        return self.append_events(capture_cdc(changes, spec, context).drop("id"), contexts=own)
+
+    def append_events(self, events: DataFrame, stream: str | None = None, batch_number: int | None = None, contexts: DataFrame | None = None) -> int:
+        """Ids and, if they are on, chain and tree continue from the last commit. A stream's batch is
+        committed together with its number and is left alone when it comes again; ``contexts`` (id,
+        metadata) are committed with the events, if there are any."""
         with self.lock():
             now = self.manifest()
             if stream is not None and now["streams"].get(stream, -1) >= batch_number:
@@ -266,11 +323,32 @@ class Engine:
             if n and first is not None:
                 tip = chain.chain_tip(rows).first().asDict()
             streams = now["streams"] | ({stream: batch_number} if stream is not None else {})
+            more = self._grown_tree(now, rows, n) if n else {}
+            if n and contexts is not None:
+                more |= self._put_contexts(now, contexts)
             if n or stream is not None:
-                self._commit(now, parts=now["parts"] + [[m, name] for m in sorted(months)], last_id=now["last_id"] + n, tip=tip, chain_from=first, streams=streams)
+                self._commit(now, parts=now["parts"] + [[m, name] for m in sorted(months)], last_id=now["last_id"] + n, tip=tip, chain_from=first, streams=streams, **more)
             self._fs.delete(self._at("_staging"), True)
         return n
 
+    def _grown_tree(self, now: dict[str, Any], rows: DataFrame, n: int) -> dict[str, Any]:
+        """What a commit of ``n`` new rows changes of the history tree."""
+        state = now["tree"] or ({"first": now["last_id"] + 1, "size": 0, "peaks": []} if self._tree_wanted else None)
+        if state is None:
+            return {}
+        size, name = state["size"] + n, uuid.uuid4().hex
+        nodes = tree.grown(tree.leaves(rows, state["first"]), size, state["peaks"], self._staged)
+        nodes.sortWithinPartitions("level", "place").write.parquet(f"{self.path}/tree/{name}")
+        peaks = tree.peaks_at(self._parts("tree", [name], tree.NODES), size, state["peaks"])
+        return {"tree": state | {"size": size, "peaks": peaks}, "tree_nodes": now["tree_nodes"] + [name]}
+
+    def _put_contexts(self, now: dict[str, Any], rows: DataFrame, moment: datetime | None = None) -> dict[str, Any]:
+        """Writes versions of contexts for the next commit, and gives what that changes."""
+        at = F.lit(utc(moment or datetime.now(timezone.utc)).isoformat(sep=" ")).cast("timestamp")
+        seq, name = now["context_seq"] + 1, uuid.uuid4().hex
+        rows.select("id", "metadata", at.alias("written_at"), F.lit(seq).cast("bigint").alias("seq")).write.parquet(f"{self.path}/contexts/{name}")
+        return {"contexts": now["contexts"] + [name], "context_seq": seq}
+
     def _staged(self, df: DataFrame) -> DataFrame:
         path = f"{self.path}/_staging/{uuid.uuid4().hex}"
         df.write.parquet(path)
@@ -278,9 +356,9 @@ class Engine:
 
     def write_contexts(self, rows: DataFrame, now: datetime | None = None) -> None:
         """Adds a version of each context (id, metadata); reading resolves them."""
-        moment = F.lit(utc(now or datetime.now(timezone.utc)).isoformat(sep=" ")).cast("timestamp")
-        seq = self.context_versions.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("n")).first()["n"] + 1
-        rows.select("id", "metadata", moment.alias("written_at"), F.lit(int(seq)).cast("bigint").alias("seq")).write.mode("append").parquet(f"{self.path}/contexts")
+        with self.lock():
+            state = self.manifest()
+            self._commit(state, **self._put_contexts(state, rows, now))
 
     def _only_admin(self) -> None:
         if not self.admin:
@@ -299,30 +377,41 @@ class Engine:
             with self.lock():
                 state = self.manifest()
                 gone = [p for p in state["parts"] if p[0] in names]
-                self._commit(state, parts=[p for p in state["parts"] if p[0] not in names], anchor=self._anchor(state, self._read(gone)))
+                self._commit(state, parts=[p for p in state["parts"] if p[0] not in names], **self._farewell(state, self._read(gone)))
                 self._forget(gone)
         return names
 
-    @staticmethod
-    def _anchor(state: dict[str, Any], gone: DataFrame) -> dict[str, Any] | None:
-        """The last chained row that goes, from which what is left can be checked."""
-        found = chain.chain_tip(gone).collect()
-        return found[0].asDict() if found else state["anchor"]
+    def _farewell(self, state: dict[str, Any], gone: DataFrame, gaps: bool = True) -> dict[str, Any]:
+        """What is noted of rows that go, so that what is left can be checked: gaps of the chain, and
+        ids of the tree, whose nodes stay."""
+        out: dict[str, Any] = {}
+        if gaps and state["chain_from"] is not None:
+            name = uuid.uuid4().hex
+            old = self._parts("gaps", state["gaps"], chain.GAP) if state["gaps"] else None
+            chain.gaps(gone, old).write.parquet(f"{self.path}/gaps/{name}")
+            out["gaps"] = [name]
+        if state["tree"] is not None:
+            name = uuid.uuid4().hex
+            gone.where(F.col("id") >= state["tree"]["first"]).select("id").repartitionByRange("id").sortWithinPartitions("id").write.parquet(f"{self.path}/tree_gone/{name}")
+            out["tree_gone"] = state["tree_gone"] + [name]
+        return out
 
     def purge(self, now: datetime, older_than: str, dry_run: bool = False, keep_anchor: bool = False) -> int:
         """Deletes events before the cutoff: whole months go, only the cutoff's month is
-        rewritten. ``keep_anchor`` notes the last purged row's hash, so that what is left can be
-        checked from there."""
+        rewritten, and no later one is read. ``keep_anchor`` notes what stood in the chain where rows
+        go, so that what is left can be checked, in whatever order events came; the tree always
+        can be."""
         edge = utc(cutoff(now, older_than))
-        log = self.log
-        gone = log.where(~since(log, edge))
-        n = gone.count()
-        if dry_run or not n:
-            return n
+        if dry_run:
+            return self._before(self.manifest(), edge).count()
+        if not self._before(self.manifest(), edge).limit(1).count():
+            return 0
         self._only_admin()
         with self.lock():
             state, month = self.manifest(), edge.strftime("%Y-%m")
-            anchor = self._anchor(state, gone) if keep_anchor else state["anchor"]
+            gone = self._before(state, edge)
+            n = gone.count()
+            noted = self._farewell(state, gone, keep_anchor)
             old = [p for p in state["parts"] if p[0] <= month]
             rewritten = [p for p in old if p[0] == month]
             parts = [p for p in state["parts"] if p[0] > month]
@@ -332,10 +421,15 @@ class Engine:
                 kept.where(since(kept, edge)).withColumn(BATCH, F.lit(name)).write.mode("append").partitionBy(MONTH, BATCH).parquet(f"{self.path}/log")
                 if self._exists("log", f"{MONTH}={month}", f"{BATCH}={name}"):
                     parts.append([month, name])
-            self._commit(state, parts=sorted(parts), anchor=anchor)
+            self._commit(state, parts=sorted(parts), **noted)
             self._forget(old)
         return n
 
+    def _before(self, state: dict[str, Any], edge: datetime) -> DataFrame:
+        """Events before a moment, from the folders of its month and earlier ones only."""
+        rows = self._read([p for p in state["parts"] if p[0] <= edge.strftime("%Y-%m")])
+        return rows.where(before(rows, edge))
+
     def vacuum(self) -> int:
         """Deletes folders that a crash has left and no manifest names; how many."""
         self._only_admin()
@@ -344,6 +438,11 @@ class Engine:
             found = [[m.split("=", 1)[1], b.split("=", 1)[1]] for m in self._names("log") if m.startswith(f"{MONTH}=") for b in self._names(f"log/{m}") if b.startswith(f"{BATCH}=")]
             lost = [p for p in found if tuple(p) not in live]
             self._forget(lost)
+            state = self.manifest()
+            for folder, kind in (("gaps", "gaps"), ("contexts", "contexts"), ("tree", "tree_nodes"), ("tree_gone", "tree_gone")):
+                for name in set(self._names(folder)) - set(state[kind]):
+                    self._fs.delete(self._at(folder, name), True)
+                    lost.append([folder, name])
             self._fs.delete(self._at("_staging"), True)
         return len(lost)
 
