@@ -25,6 +25,7 @@ repeats.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -102,6 +103,33 @@ def merged_ranges(key: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.n
     return pa.table([pa.array(key[at[heads]]), pa.array(row[at[heads]]), pa.array(packed, pa.binary())], schema=kinds)
 
 
+MARKS = "bucket bigint, keys binary, rows binary, many binary, marks binary"
+
+
+def _by_bucket(found: pa.Table, buckets: int) -> pa.Table:
+    """Rows of ``merged_ranges`` together by a hash of their row."""
+    keys, rows = found.column("key").to_numpy(), found.column("row").to_numpy()
+    bucket = ((mixed(rows.view(np.uint64)) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    marks = found.column("marks").to_pylist()
+    cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+    packed = {c: [] for c in ("keys", "rows", "many", "marks")}
+    for own in np.split(order, cuts[1:]) if len(cuts) else ():
+        packed["keys"].append(keys[own].astype("<i8").tobytes())
+        packed["rows"].append(rows[own].astype("<i8").tobytes())
+        packed["many"].append(np.array([len(marks[k]) // 16 for k in own.tolist()], "<u4").tobytes())
+        packed["marks"].append(b"".join([marks[k] for k in own.tolist()]))
+    return pa.table([pa.array(bucket[order][cuts]), *(pa.array(v, pa.binary()) for v in packed.values())], names=["bucket", *packed])
+
+
+def _together(table: pa.Table) -> pa.Table:
+    """For ``applyInArrow`` by bucket: the ranges of each row, from all shards."""
+    whole = lambda c, kind: np.frombuffer(b"".join(table.column(c).to_pylist()), kind)
+    many = whole("many", "<u4")
+    ranges = whole("marks", "<i8").reshape(-1, 2)
+    return merged_ranges(np.repeat(whole("keys", "<i8"), many), np.repeat(whole("rows", "<i8"), many), ranges[:, 0], ranges[:, 1])
+
+
 EXTENSIONS = "shard bigint, keys binary, rows binary, owner binary, starts binary, high binary, low binary"
 
 
@@ -138,10 +166,10 @@ def _extensions(part: pa.RecordBatch, window: int, shards: int) -> Iterator[pa.R
     later = key[doc] > key[doc][fresh][np.cumsum(fresh) - 1]
     known = merged_ranges(key[doc[later]], row[doc[later]], start[later], start[later] + window)
     if known.num_rows:
-        shard = [-1 - int(known.column("key")[0].as_py()) % 65_536] * known.num_rows
-        one = lambda c: pa.array([np.int64(k).tobytes() for k in known.column(c).to_pylist()], pa.binary())
-        none = pa.array([b""] * known.num_rows, pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), one("key"), one("row"), none, known.column("marks").combine_chunks(), none, none], names=["shard", "keys", "rows", "owner", "starts", "high", "low"])
+        own = _by_bucket(known, 1)
+        none = pa.array([b""], pa.binary())
+        shard = -1 - int(known.column("row")[0].as_py()) % 65_536
+        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), *(own.column(c).combine_chunks() for c in ("keys", "rows", "many", "marks")), none, none], names=["shard", "keys", "rows", "owner", "starts", "high", "low"])
     high, other, doc, start = high[~later], other[~later], doc[~later], start[~later]
     # Sorted by hash, so a shard is a stretch.
     shard = ((high >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
@@ -158,14 +186,15 @@ def _extensions(part: pa.RecordBatch, window: int, shards: int) -> Iterator[pa.R
     yield pa.RecordBatch.from_arrays([pa.array(shard[cuts]), *(pa.array(v, pa.binary()) for v in packed.values())], names=["shard", *packed])
 
 
-def _sources(window: int):
-    """For ``applyInArrow`` by shard: ranges whose extension has a smaller source."""
+def _sources(window: int, buckets: int):
+    """For ``applyInArrow`` by shard: ranges whose extension has a smaller source, by bucket, so that
+    a document does not make a row for each shard."""
 
     def run(table: pa.Table) -> pa.Table:
         column = lambda c: table.column(c).to_pylist()
         if table.column("shard")[0].as_py() < 0:
-            keys, rows = (np.frombuffer(b"".join(column(c)), "<i8") for c in ("keys", "rows"))
-            return pa.table({"key": pa.array(keys), "row": pa.array(rows), "marks": table.column("starts").combine_chunks()})
+            known = table.rename_columns(["shard", "keys", "rows", "many", "marks", "high", "low"])
+            return _by_bucket(_together(known), buckets)
         owner, base = [], 0
         for own, docs in zip(column("owner"), column("keys")):
             owner.append(np.frombuffer(own, "<u4").astype(np.int64) + base)
@@ -179,7 +208,7 @@ def _sources(window: int):
         fresh[1:] = (high[1:] != high[:-1]) | (low[1:] != low[:-1])
         later = keys > keys[fresh][np.cumsum(fresh) - 1]
         begin = start[order][later].astype(np.int64)
-        return merged_ranges(keys[later], rows[order][later], begin, begin + window)
+        return _by_bucket(merged_ranges(keys[later], rows[order][later], begin, begin + window), buckets)
 
     return run
 
@@ -190,6 +219,7 @@ def repeated_words(rows: DataFrame, window: int = WINDOW_WORDS) -> DataFrame:
     docs = rows.where(F.col("id").isNotNull() & (F.octet_length("_text") >= 2 * window - 1))
     total = text_bytes(docs, "_text")
     fragments, shards = fragments_for(total / BYTES_PER_WORD), max(32, total // SHARD_BYTES)
+    buckets = 64 + isqrt(total >> 20)
     digests = written(docs.select("id", "row", F.md5(F.col("_text").cast("binary")).alias("digest")), "digests")
     first = written(digests.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("members")).where("members > 1"), "first")
     copies = written(join_counted(digests, first, ["digest"]).where("id <> first").select("id", "row").distinct(), "copies")
@@ -209,7 +239,8 @@ def repeated_words(rows: DataFrame, window: int = WINDOW_WORDS) -> DataFrame:
     hits = hits.groupBy(F.col("key").alias("row")).agg(F.collect_list("shared").alias("wanted"))
     # From the left and without a filter, as at the end: the texts are shuffled once for both.
     wanted = rows.join(written(hits, "hits").join(copies, "row", "left_anti"), "row", "left").select("id", "row", "_text", "wanted")
-    marks = map_arrow(wanted, extend, EXTENSIONS).groupBy("shard").applyInArrow(_sources(window), "key bigint, row bigint, marks binary")
+    found = map_arrow(wanted, extend, EXTENSIONS).groupBy("shard").applyInArrow(_sources(window, buckets), MARKS)
+    marks = found.groupBy("bucket").applyInArrow(_together, "key bigint, row bigint, marks binary")
     whole = copies.select(F.col("id").alias("key"), "row", F.lit(None).cast("binary").alias("marks"))
     return marks.union(whole).groupBy("row").agg(F.collect_list(F.struct("key", "marks")).alias("marks"))
 
