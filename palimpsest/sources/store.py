@@ -14,22 +14,23 @@ from __future__ import annotations
 import json
 import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from datetime import datetime, timezone
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType, TimestampType
 
 from ..context import current_context
 from ..functions.intervals import cutoff, month_bounds
-from ..operators import blame as blame_ops, chain, contexts as context_ops, retention, timetravel, tree
+from ..operators import blame as blame_ops, chain, contexts as context_ops, keyframes, retention, timetravel, tree
 from ..operators.capture import capture_cdc, with_ids
 from ..operators.history import History
-from ..plans.months import MONTH, before, since, utc, with_month
+from ..plans.months import MONTH, before, moment_column, since, utc, with_month
 from ..schema import AUDIT_LOG, CONTEXT
 from ..spec import Capture
+from . import fileindex
 from .folders import fresh_folder
 from .importers import conform
 
@@ -38,18 +39,30 @@ FORMAT_VERSION, BATCH = 3, "batch"
 LOCK_SECONDS = 6 * 3600
 #: Older manifests that are kept.
 OLD_MANIFESTS = 20
-EMPTY = {"number": 0, "parts": [], "last_id": 0, "tip": None, "chain_from": None, "anchor": None, "streams": {}, "gaps": [], "contexts": [], "context_seq": 0, "tree": None, "tree_nodes": [], "tree_gone": []}
+EMPTY = {"number": 0, "parts": [], "last_id": 0, "tip": None, "chain_from": None, "anchor": None, "streams": {}, "gaps": [], "contexts": [], "context_seq": 0, "tree": None, "tree_nodes": [], "tree_gone": [], "keyframes": [], "index": None}
 
 
 class Locked(RuntimeError):
     pass
 
 
+def _batch_name(now: dict[str, Any]) -> str:
+    """A batch's name begins with the number of its commit."""
+    return f"{now['number'] + 1:012d}-{uuid.uuid4().hex}"
+
+
+def _commit_of(batch: str) -> int:
+    """The commit of a batch; 0 for batches of older formats."""
+    number, _, rest = batch.partition("-")
+    return int(number) if rest and number.isdigit() else 0
+
+
 class Engine:
-    """``hash_chain=True`` switches the log's chain on, ``history_tree=True`` its tree of digests;
-    that is kept with the log and holds for every later writer."""
+    """``hash_chain=True`` switches the log's chain on, ``history_tree=True`` its tree of digests,
+    ``indexed=True`` its index of files; that is kept with the log and holds for every later writer."""
 
-    def __init__(self, spark: SparkSession, path: str, admin: bool = False, hash_chain: bool = False, history_tree: bool = False):
+    def __init__(self, spark: SparkSession, path: str, admin: bool = False, hash_chain: bool = False, history_tree: bool = False, indexed: bool = False):
+        self._index_wanted = indexed
         self.spark, self.path, self.admin, self._chain_wanted, self._tree_wanted = spark, path.rstrip("/"), admin, hash_chain, history_tree
         self._jvm = spark.sparkContext._jvm
         self._fs = self._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -134,6 +147,8 @@ class Engine:
             self.enable_chain()
         if self._tree_wanted:
             self.enable_tree()
+        if self._index_wanted:
+            self.enable_index()
 
     def version(self) -> int:
         return int(json.loads(self._get("_version.json"))["format"]) if self._exists("_version.json") else 0
@@ -192,6 +207,23 @@ class Engine:
                 if now["tree"] is None:
                     self._commit(now, tree={"first": now["last_id"] + 1, "size": 0, "peaks": []})
 
+    def enable_index(self) -> None:
+        """Indexes the log's files, and those of every later commit."""
+        if self.manifest()["index"] is None:
+            with self.lock():
+                now = self.manifest()
+                if now["index"] is None:
+                    self._commit(now, index=self._indexed([], now["parts"]))
+
+    def _indexed(self, names: list[str], parts: list[list[str]]) -> list[str]:
+        """The index with the files of more parts."""
+        if not parts:
+            return names
+        name, rows = uuid.uuid4().hex, self._read(parts)
+        fileindex.object_ranges(rows).coalesce(1).write.parquet(f"{self.path}/ranges/{name}")
+        fileindex.value_files(rows).write.parquet(f"{self.path}/values/{name}")
+        return [*names, name]
+
     @property
     def hash_chain(self) -> bool:
         return self._chain_wanted or self.manifest()["chain_from"] is not None
@@ -199,10 +231,12 @@ class Engine:
     # Reading
 
     def _read(self, parts: list[list[str]]) -> DataFrame:
-        if not parts:
+        return self._read_paths([f"{self.path}/log/{MONTH}={month}/{BATCH}={batch}" for month, batch in parts])
+
+    def _read_paths(self, paths: list[str]) -> DataFrame:
+        if not paths:
             return with_month(self.spark.createDataFrame([], AUDIT_LOG))
         schema = StructType([*AUDIT_LOG.fields, StructField(MONTH, StringType()), StructField(BATCH, StringType())])
-        paths = [f"{self.path}/log/{MONTH}={month}/{BATCH}={batch}" for month, batch in parts]
         return self.spark.read.schema(schema).option("basePath", f"{self.path}/log").parquet(*paths).drop(BATCH)
 
     @property
@@ -226,8 +260,60 @@ class Engine:
     def history(self) -> History:
         return History(self.log)
 
+    def for_object(self, table: str, pk: Any) -> History:
+        return self._in_files("ranges", fileindex.RANGES, lambda x: fileindex.with_object(x, table, str(pk))).for_object(table, pk)
+
+    def for_user(self, user_id: int | None) -> History:
+        if user_id is None:
+            return self.history().for_user(None)
+        return self._in_files("values", fileindex.KEYS, lambda x: fileindex.with_value(x, "user", str(int(user_id)))).for_user(user_id)
+
+    def for_context(self, context_id: Any) -> History:
+        return self._in_files("values", fileindex.KEYS, lambda x: fileindex.with_value(x, "context", str(context_id))).for_context(context_id)
+
+    def _in_files(self, folder: str, schema: str, find: Callable[[DataFrame], DataFrame]) -> History:
+        """The log's rows in the files that an index names; all of it without an index."""
+        now = self.manifest()
+        if now["index"] is None:
+            return History(self._read(now["parts"]))
+        found = find(self._parts(folder, now["index"], schema)).distinct().limit(fileindex.MOST_FILES + 1).collect()
+        if len(found) > fileindex.MOST_FILES:
+            return History(self._read(now["parts"]))
+        live = {f"{MONTH}={m}/{BATCH}={b}" for m, b in now["parts"]}
+        return History(self._read_paths([f"{self.path}/log/{r['path']}" for r in found if r["path"].rsplit("/", 1)[0] in live]))
+
     def as_of(self, table: str, at: datetime | str) -> DataFrame:
-        return timetravel.table_as_of(self.log, table, at)
+        """From the last keyframe before the moment, if there is one."""
+        now = self.manifest()
+        frame, since = self._since_keyframe(now, table, at)
+        if frame is None:
+            return timetravel.table_as_of(self._read(now["parts"]), table, at)
+        return keyframes.table_as_of(frame, since, table, at)
+
+    def _since_keyframe(self, now: dict[str, Any], table: str, at: datetime | str) -> tuple[DataFrame | None, DataFrame | None]:
+        """A table's last keyframe up to a moment, and all events that it does not know: those of
+        its month and later, and those of earlier months that were committed after it."""
+        frames = sorted((f for f in now["keyframes"] if f["table"] == table), key=lambda f: f["at"])
+        if frames:
+            micros = self.spark.range(1).select(F.unix_micros(moment_column(at, TimestampType()))).first()[0]
+            frames = [f for f in frames if f["at"] <= micros]
+        if not frames:
+            return None, None
+        last = frames[-1]
+        since = [p for p in now["parts"] if p[0] >= last["month"] or _commit_of(p[1]) > last["commit"]]
+        return self._parts("keyframes", [last["name"]], keyframes.KEYFRAME), self._read(since)
+
+    def write_keyframe(self, table: str, month: str) -> None:
+        """Keeps the state of a table at the beginning of a month (UTC); made from the last one."""
+        start = datetime.strptime(month, "%Y-%m").replace(tzinfo=timezone.utc)
+        with self.lock():
+            now = self.manifest()
+            earlier, events = self._since_keyframe(now, table, start)
+            name = uuid.uuid4().hex
+            rows = keyframes.keyframe(self._read(now["parts"]) if events is None else events, table, start, earlier)
+            rows.repartitionByRange("object_id").sortWithinPartitions("object_id").write.parquet(f"{self.path}/keyframes/{name}")
+            own = {"table": table, "at": int(start.timestamp()) * 1_000_000, "month": month, "commit": now["number"], "name": name}
+            self._commit(now, keyframes=[*(f for f in now["keyframes"] if (f["table"], f["month"]) != (table, month)), own])
 
     def row_as_of(self, table: str, object_id: str, at: datetime | str) -> DataFrame:
         return timetravel.row_as_of(self.log, table, object_id, at)
@@ -313,10 +399,11 @@ class Engine:
                 first = now["last_id"] + 1
             if first is not None:
                 placed = self._staged(chain.chained(self._staged(placed), tip))
-            name = uuid.uuid4().hex
+            name = _batch_name(now)
             # Ranges of month, table and object: one month does not go to one task.
             spread = with_month(conform(placed)).repartitionByRange(MONTH, "table_name", "object_id", "changed_at", "id").sortWithinPartitions(MONTH, "table_name", "object_id", "changed_at")
-            spread.withColumn(BATCH, F.lit(name)).write.mode("append").partitionBy(MONTH, BATCH).parquet(f"{self.path}/log")
+            options = fileindex.BLOOM if self._index_wanted or now["index"] is not None else {}
+            spread.withColumn(BATCH, F.lit(name)).write.options(**options).mode("append").partitionBy(MONTH, BATCH).parquet(f"{self.path}/log")
             months = [n.split("=", 1)[1] for n in self._names("log") if n.startswith(f"{MONTH}=") and self._exists("log", n, f"{BATCH}={name}")]
             rows = self._read([[m, name] for m in sorted(months)])
             n = rows.count() if months else 0
@@ -324,6 +411,8 @@ class Engine:
                 tip = chain.chain_tip(rows).first().asDict()
             streams = now["streams"] | ({stream: batch_number} if stream is not None else {})
             more = self._grown_tree(now, rows, n) if n else {}
+            if n and options:
+                more |= {"index": self._indexed(now["index"] or [], [[m, name] for m in sorted(months)])}
             if n and contexts is not None:
                 more |= self._put_contexts(now, contexts)
             if n or stream is not None:
@@ -384,7 +473,8 @@ class Engine:
     def _farewell(self, state: dict[str, Any], gone: DataFrame, gaps: bool = True) -> dict[str, Any]:
         """What is noted of rows that go, so that what is left can be checked: gaps of the chain, and
         ids of the tree, whose nodes stay."""
-        out: dict[str, Any] = {}
+        # Keyframes hold rows that go; what is left makes new ones.
+        out: dict[str, Any] = {"keyframes": []}
         if gaps and state["chain_from"] is not None:
             name = uuid.uuid4().hex
             old = self._parts("gaps", state["gaps"], chain.GAP) if state["gaps"] else None
@@ -416,11 +506,13 @@ class Engine:
             rewritten = [p for p in old if p[0] == month]
             parts = [p for p in state["parts"] if p[0] > month]
             if rewritten:
-                name = uuid.uuid4().hex
+                name = _batch_name(state)
                 kept = self._read(rewritten)
                 kept.where(since(kept, edge)).withColumn(BATCH, F.lit(name)).write.mode("append").partitionBy(MONTH, BATCH).parquet(f"{self.path}/log")
                 if self._exists("log", f"{MONTH}={month}", f"{BATCH}={name}"):
                     parts.append([month, name])
+                    if state["index"] is not None:
+                        noted |= {"index": self._indexed(state["index"], [[month, name]])}
             self._commit(state, parts=sorted(parts), **noted)
             self._forget(old)
         return n
@@ -439,8 +531,9 @@ class Engine:
             lost = [p for p in found if tuple(p) not in live]
             self._forget(lost)
             state = self.manifest()
-            for folder, kind in (("gaps", "gaps"), ("contexts", "contexts"), ("tree", "tree_nodes"), ("tree_gone", "tree_gone")):
-                for name in set(self._names(folder)) - set(state[kind]):
+            used = {f: state[k] for f, k in (("gaps", "gaps"), ("contexts", "contexts"), ("tree", "tree_nodes"), ("tree_gone", "tree_gone"), ("ranges", "index"), ("values", "index"))}
+            for folder, names in (used | {"keyframes": [f["name"] for f in state["keyframes"]]}).items():
+                for name in set(self._names(folder)) - set(names or ()):
                     self._fs.delete(self._at(folder, name), True)
                     lost.append([folder, name])
             self._fs.delete(self._at("_staging"), True)
