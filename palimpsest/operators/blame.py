@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-import json
-from dataclasses import dataclass
-from datetime import datetime
-from typing import Any
-
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import render
@@ -14,19 +9,6 @@ from ..functions.payload import JSON_OPTIONS, has_key, touches
 from ..identifiers import validate_identifier
 
 
-@dataclass(frozen=True)
-class BlameEntry:
-    id: int
-    changed_at: datetime
-    operation: str
-    user_id: int | None
-    context_id: str | None
-    metadata: dict[str, Any] | None
-    change_reason: str | None
-    diff: dict[str, Any] | None
-    actor: str
-
-
 def own_events(log: DataFrame, table: str, object_id: str, limit: int = 200) -> DataFrame:
     """A row's first events, oldest first."""
     validate_identifier(table, "table")
@@ -55,14 +37,6 @@ def blame(log: DataFrame, contexts: DataFrame, table: str, object_id: str, field
     ).orderBy("changed_at", "id")
 
 
-def entries(found: DataFrame) -> list[BlameEntry]:
-    out = []
-    for r in found.collect():
-        diff = {k: {"old": v["old"], "new": v["new"]} for k, v in r["diff"].items()} if r["diff"] is not None else None
-        out.append(BlameEntry(r["id"], r["changed_at"], r["operation"], r["user_id"], r["context_id"], json.loads(r["metadata"]) if r["metadata"] else None, r["change_reason"], diff, r["actor"]))
-    return out
-
-
 def text_lines(found: DataFrame) -> DataFrame:
     """``id``, ``changed_at`` and an aligned ``line`` for each event; actors have the width of the longest."""
     width = found.agg(F.coalesce(F.max(F.length("actor")), F.lit(0))).scalar()

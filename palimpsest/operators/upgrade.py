@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-TEXTS, PAIRS = "map<string,string>", "map<string,struct<old:string,new:string>>"
+TEXTS = "map<string,string>"
 
 
 def _paired(values: Column) -> Column:
@@ -20,16 +20,15 @@ def is_paired(diff_json: str = "diff") -> Column:
 def paired(log: DataFrame, diff_json: str = "diff") -> DataFrame:
     """Diffs of new values only become pairs, with old values from the old image; paired ones
     stay. Running it twice changes nothing. The result's diff is a map. Each text is parsed once
-    for a row: the maps are bound before the lambdas that look into them."""
-    parsed = F.struct(*[F.from_json(c, TEXTS).alias(n) for n, c in (("values", diff_json), ("old", "old_data"), ("new", "new_data"))])
-    nothing = F.lit(None).cast("string")
-
-    def pairs(x: Column) -> Column:
-        return (
-            F.when(F.col("operation") == "UPDATE", F.transform_values(x["values"], lambda k, v: F.struct(F.when(x["old"].isNotNull(), x["old"][k]).alias("old"), v.alias("new"))))
-            .when(F.col("operation") == "INSERT", F.transform_values(x["new"], lambda k, v: F.struct(nothing.alias("old"), v.alias("new"))))
-            .when(F.col("operation") == "DELETE", F.transform_values(x["old"], lambda k, v: F.struct(v.alias("old"), nothing.alias("new"))))
-        )
-
-    upgraded = F.transform(F.array(parsed), lambda x: F.when(_paired(x["values"]), F.from_json(diff_json, PAIRS)).otherwise(pairs(x)))[0]
-    return log.withColumn(diff_json, upgraded)
+    for a row: the parsed maps are rows of an explode, which later steps cannot be folded into."""
+    texts = F.struct(*[F.from_json(c, TEXTS).alias(n) for n, c in (("values", diff_json), ("old", "old_data"), ("new", "new_data"))])
+    x, nothing = F.col("_parsed"), F.lit(None).cast("string")
+    side = lambda v, name: F.get_json_object(v, f"$.{name}")
+    kept = F.transform_values(x["values"], lambda k, v: F.struct(side(v, "old").alias("old"), side(v, "new").alias("new")))
+    pairs = (
+        F.when(F.col("operation") == "UPDATE", F.transform_values(x["values"], lambda k, v: F.struct(F.when(x["old"].isNotNull(), x["old"][k]).alias("old"), v.alias("new"))))
+        .when(F.col("operation") == "INSERT", F.transform_values(x["new"], lambda k, v: F.struct(nothing.alias("old"), v.alias("new"))))
+        .when(F.col("operation") == "DELETE", F.transform_values(x["old"], lambda k, v: F.struct(v.alias("old"), nothing.alias("new"))))
+    )
+    upgraded = F.when(_paired(x["values"]), kept).otherwise(pairs)
+    return log.withColumn("_parsed", F.explode(F.array(texts))).withColumn(diff_json, upgraded).drop("_parsed")

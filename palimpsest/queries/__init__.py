@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import asking, capturing, chains, keeping, logs, reports, states, streams, trees
+from . import asking, capturing, chains, extras, keeping, logs, reports, states, streams, trees
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for _part in (capturing, asking, keeping, streams, chains, logs, reports, trees, states):
+for _part in (capturing, asking, keeping, streams, chains, logs, reports, trees, states, extras):
     QUERIES |= _part.register.queries
     SQL |= _part.register.sql

@@ -293,8 +293,8 @@ def tracked_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(f"SELECT object_id, event_type, value, k FROM (SELECT * {EVENTS_OF} AND changed_at <= TIMESTAMP '{AT}' ORDER BY changed_at DESC, id DESC LIMIT 1) WHERE operation <> 'DELETE'")
 def tracked_at(spark: SparkSession, sf_dir: str) -> DataFrame:
-    row = Tracked(testlog.log(spark, sf_dir), "events").at(OBJECT, AT)
-    found = [(row.object_id, row.event_type, row["value"], row.get("k"))] if row else []
+    row = Tracked(testlog.log(spark, sf_dir), "events").at(OBJECT, AT, "event_type string, value double, k bigint")
+    found = [(row.object_id, row.event_type, row["value"], row.k)] if row else []
     return spark.createDataFrame(found, "object_id string, event_type string, value double, k bigint")
 
 
@@ -305,6 +305,13 @@ def json_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return updates.select("id", F.explode(json_diff(F.col("old_data"), F.col("new_data"))).alias("field", "change")).select("id", "field", "change.old", "change.new")
 
 
+@register(f"SELECT object_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY changed_at DESC, id DESC) AS n FROM audit WHERE changed_at <= TIMESTAMP '{AT}') WHERE n = 1 AND operation <> 'DELETE'")
+def tracked_state_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same state by the iterator over its rows."""
+    rows = Tracked(testlog.log(spark, sf_dir), "events").state_as_of(AT)
+    return spark.createDataFrame([(r.object_id, r.event_type, float(r["value"])) for r in rows], "object_id string, event_type string, value double")
+
+
 KEY = "session secret"
 _IPAD, _OPAD = (bytes(b ^ p for b in KEY.encode().ljust(64, b"\0")).hex() for p in (0x36, 0x5C))
 

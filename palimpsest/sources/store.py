@@ -51,7 +51,7 @@ def _batch_name(now: dict[str, Any]) -> str:
     return f"{now['number'] + 1:012d}-{uuid.uuid4().hex}"
 
 
-def _commit_of(batch: str) -> int:
+def commit_of(batch: str) -> int:
     """The commit of a batch; 0 for batches of older formats."""
     number, _, rest = batch.partition("-")
     return int(number) if rest and number.isdigit() else 0
@@ -230,14 +230,15 @@ class Engine:
 
     # Reading
 
-    def _read(self, parts: list[list[str]]) -> DataFrame:
-        return self._read_paths([f"{self.path}/log/{MONTH}={month}/{BATCH}={batch}" for month, batch in parts])
+    def _read(self, parts: list[list[str]], batches: bool = False) -> DataFrame:
+        rows = self._read_paths([f"{self.path}/log/{MONTH}={month}/{BATCH}={batch}" for month, batch in parts])
+        return rows if batches else rows.drop(BATCH)
 
     def _read_paths(self, paths: list[str]) -> DataFrame:
         if not paths:
             return with_month(self.spark.createDataFrame([], AUDIT_LOG))
         schema = StructType([*AUDIT_LOG.fields, StructField(MONTH, StringType()), StructField(BATCH, StringType())])
-        return self.spark.read.schema(schema).option("basePath", f"{self.path}/log").parquet(*paths).drop(BATCH)
+        return self.spark.read.schema(schema).option("basePath", f"{self.path}/log").parquet(*paths)
 
     @property
     def log(self) -> DataFrame:
@@ -280,7 +281,7 @@ class Engine:
         if len(found) > fileindex.MOST_FILES:
             return History(self._read(now["parts"]))
         live = {f"{MONTH}={m}/{BATCH}={b}" for m, b in now["parts"]}
-        return History(self._read_paths([f"{self.path}/log/{r['path']}" for r in found if r["path"].rsplit("/", 1)[0] in live]))
+        return History(self._read_paths([f"{self.path}/log/{r['path']}" for r in found if r["path"].rsplit("/", 1)[0] in live]).drop(BATCH))
 
     def as_of(self, table: str, at: datetime | str) -> DataFrame:
         """From the last keyframe before the moment, if there is one."""
@@ -300,7 +301,7 @@ class Engine:
         if not frames:
             return None, None
         last = frames[-1]
-        since = [p for p in now["parts"] if p[0] >= last["month"] or _commit_of(p[1]) > last["commit"]]
+        since = [p for p in now["parts"] if p[0] >= last["month"] or commit_of(p[1]) > last["commit"]]
         return self._parts("keyframes", [last["name"]], keyframes.KEYFRAME), self._read(since)
 
     def write_keyframe(self, table: str, month: str) -> None:
@@ -506,13 +507,15 @@ class Engine:
             rewritten = [p for p in old if p[0] == month]
             parts = [p for p in state["parts"] if p[0] > month]
             if rewritten:
-                name = _batch_name(state)
-                kept = self._read(rewritten)
-                kept.where(since(kept, edge)).withColumn(BATCH, F.lit(name)).write.mode("append").partitionBy(MONTH, BATCH).parquet(f"{self.path}/log")
-                if self._exists("log", f"{MONTH}={month}", f"{BATCH}={name}"):
-                    parts.append([month, name])
-                    if state["index"] is not None:
-                        noted |= {"index": self._indexed(state["index"], [[month, name]])}
+                # A batch stays one of its own commit, for those who read by commits.
+                renewed = {b: f"{commit_of(b):012d}-{uuid.uuid4().hex}" for _, b in rewritten}
+                kept = self._read(rewritten, batches=True)
+                new = F.create_map(*[F.lit(x) for pair in renewed.items() for x in pair])[F.col(BATCH)]
+                kept.where(since(kept, edge)).withColumn(BATCH, new).write.mode("append").partitionBy(MONTH, BATCH).parquet(f"{self.path}/log")
+                there = [[month, b] for b in renewed.values() if self._exists("log", f"{MONTH}={month}", f"{BATCH}={b}")]
+                parts += there
+                if state["index"] is not None:
+                    noted |= {"index": self._indexed(state["index"], there)}
             self._commit(state, parts=sorted(parts), **noted)
             self._forget(old)
         return n
