@@ -334,7 +334,9 @@ class Engine:
         that came without a hash after the chain was switched on are broken as well."""
         now = self.manifest()
         left = self._parts("gaps", now["gaps"], chain.GAP) if now["gaps"] else None
-        return chain.verify_summary(self._read(now["parts"]), expected_tip or now["tip"], now["chain_from"], now["anchor"], left=left)
+        # Logs of older formats have the last purged row only.
+        anchor = None if left is not None else now["anchor"]
+        return chain.verify_summary(self._read(now["parts"]), expected_tip or now["tip"], now["chain_from"], anchor, left=left)
 
     @property
     def tree_nodes(self) -> DataFrame:
@@ -480,7 +482,8 @@ class Engine:
             name = uuid.uuid4().hex
             old = self._parts("gaps", state["gaps"], chain.GAP) if state["gaps"] else None
             chain.gaps(gone, old).write.parquet(f"{self.path}/gaps/{name}")
-            out["gaps"] = [name]
+            last = chain.chain_tip(gone).collect()
+            out |= {"gaps": [name], "anchor": last[0].asDict() if last else state["anchor"]}
         if state["tree"] is not None:
             name = uuid.uuid4().hex
             gone.where(F.col("id") >= state["tree"]["first"]).select("id").repartitionByRange("id").sortWithinPartitions("id").write.parquet(f"{self.path}/tree_gone/{name}")
