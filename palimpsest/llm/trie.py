@@ -57,7 +57,7 @@ def _turns(df: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFra
     own = F.unhex(F.sha2(F.concat(F.octet_length("role").cast("string"), F.lit(":"), "role", "text").cast("binary"), 256))
     rows = rows.select((F.col("conv") - F.col("conv") % FAMILY).alias("family"), "conv", "turn", "role", F.substring("text", 1, HEAD).alias("head"), own.alias("own"), F.octet_length("text").cast("bigint").alias("n_bytes"))
     # The family's first conversation comes first, also among negative numbers.
-    order = ["family", F.abs(F.col("conv") % FAMILY), F.asc_nulls_first("turn"), "role", "head", "own"]
+    order = ["family", F.abs(F.col("conv") % FAMILY), "conv", F.asc_nulls_first("turn"), "role", "head", "own"]
     return rows.repartition("family").sortWithinPartitions(*order).select("family", "conv", "own", "n_bytes")
 
 
