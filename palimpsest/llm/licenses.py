@@ -8,7 +8,7 @@ verifies the edits and gives the spans. Exact phrases are found by their words a
 Seeds of a notice that lie close together are verified in windows of a few times its length, which
 overlap by as much as a match can take, so that the work grows with the text, however many notices
 it holds. Of matches of one notice that overlap, the one with the fewest errors counts, then the
-first.
+first; left and right of it the search goes on, so that a better match elsewhere hides none.
 
 Defined results: null and empty texts have no words, no places and score 0; texts of any length
 are scanned whole; equal and repeated rows give equal results; extra columns are dropped unless
@@ -42,6 +42,27 @@ NOTICES = {
     "redistribution and use in source and binary forms with or without modification": "bsd",
     "mozilla public license version 2 0": "mpl-2",
     "all rights reserved": "all-rights-reserved",
+    "this software is provided by the copyright holders and contributors as is": "bsd",
+    "neither the name of the copyright holder nor the names of its contributors": "bsd-3-clause",
+    "the software is provided as is without warranty of any kind express or implied": "mit",
+    "permission to use copy modify and or distribute this software for any purpose": "isc",
+    "this program is free software you can redistribute it and or modify": "gpl",
+    "gnu lesser general public license": "lgpl",
+    "gnu affero general public license": "agpl",
+    "gnu free documentation license": "gfdl",
+    "eclipse public license version 2 0": "epl-2",
+    "european union public licence": "eupl",
+    "boost software license version 1 0": "bsl-1",
+    "creative commons attribution sharealike": "cc-by-sa",
+    "creative commons attribution noderivatives": "cc-by-nd",
+    "creative commons attribution 4 0 international": "cc-by",
+    "cc0 1 0 universal public domain dedication": "cc0",
+    "this is free and unencumbered software released into the public domain": "unlicense",
+    "the artistic license 2 0": "artistic-2",
+    "python software foundation license": "psf",
+    "common development and distribution license": "cddl",
+    "open database license": "odbl",
+    "sil open font license version 1 1": "ofl-1.1",
 }
 #: One error is allowed for so many characters of a notice.
 CHARACTERS_PER_ERROR = 10
@@ -126,8 +147,13 @@ class Scanner:
         matches: set[tuple[int, int, int]] = set()
         for a, b in spans:
             for begin in range(a, max(a + 1, b - longest), 2 * longest):
-                for m in pattern.finditer(text, begin, min(b, begin + 3 * longest)):
-                    matches.add((sum(m.fuzzy_counts), *m.span()))
+                open_parts = [(begin, min(b, begin + 3 * longest))]
+                while open_parts:
+                    low, high = open_parts.pop()
+                    m = pattern.search(text, low, high) if high - low >= len(notice) - errors else None
+                    if m is not None:
+                        matches.add((sum(m.fuzzy_counts), *m.span()))
+                        open_parts += [(low, m.start()), (m.end(), high)]
         taken: list[tuple[int, int]] = []
         kept = []
         for match in sorted(matches):
