@@ -1,14 +1,15 @@
 """TIFF media columns.
 
 ``tiff_encode`` stores bytes as an 8-bit grey image; ``tiff_pages`` walks the image directories
-of a stored file (either byte order), decodes PackBits, LZW or deflate strips and tiles, undoes
-the horizontal predictor and gives one row per page.
+of a stored file (either byte order), decodes PackBits, LZW or deflate strips and tiles of 1, 4, 8
+or 16 bits a sample, undoes the horizontal predictor and gives one row per page. Samples of 1 and
+4 bits are given as bytes; other predictors and layouts are refused.
 
 Defined results: a null text counts as empty and still gives one page; texts of any length are
 stored whole; a null or damaged file gives a row with null samples and the reason in ``error``,
 after the pages before the damage, whose number ``page`` says; nothing in a file can make its task
-fail, as sizes are checked against ``MAX_SAMPLES`` before anything is made, and nothing is unpacked
-beyond them; equal and repeated inputs give equal files; extra columns are dropped unless named in
+fail, as sizes are checked against ``MAX_BYTES``, which is what a cell can hold, or a lower bound
+of the caller's before anything is made, and nothing is unpacked beyond them; equal and repeated inputs give equal files; extra columns are dropped unless named in
 ``keep``, and a column with the name of a result is replaced by it; an empty table gives an empty
 table.
 """
@@ -27,8 +28,8 @@ from .common import byte_slices, map_arrow, schema_of, string_buffers, text_rows
 
 WIDTH = 64
 ROWS_PER_STRIP = 512
-#: Samples of a page that are decoded at most; a file that claims more is damaged.
-MAX_SAMPLES = 1 << 28
+#: Bytes of a page's samples at most, as no cell can hold more; a file that claims more is damaged.
+MAX_BYTES = (1 << 31) - 1024
 # Fixed values of the format: tags, field sizes, compression schemes.
 TAG_WIDTH, TAG_LENGTH, TAG_BITS, TAG_COMPRESSION, TAG_PHOTOMETRIC = 256, 257, 258, 259, 262
 TAG_STRIP_OFFSETS, TAG_SAMPLES, TAG_ROWS_PER_STRIP, TAG_STRIP_COUNTS = 273, 277, 278, 279
@@ -217,38 +218,53 @@ def directories(data: bytes) -> Iterator[tuple[str, dict[int, tuple]]]:
         (at,) = struct.unpack_from(order + "I", data, at + 2 + 12 * count)
 
 
-def read_page(data: bytes, order: str, fields: dict[int, tuple]) -> np.ndarray:
+def _samples(raw: bytes, rows: int, per_row: int, bits: int, order: str) -> np.ndarray:
+    """Rows of samples; each row of less than a byte a sample begins with a byte of its own."""
+    if bits in (8, 16):
+        kind = np.dtype(order + ("u1" if bits == 8 else "u2"))
+        return np.frombuffer(raw, kind, count=rows * per_row).reshape(rows, per_row).astype(kind.newbyteorder("="))
+    row_bytes = -(-per_row * bits // 8)
+    packed = np.frombuffer(raw, np.uint8, count=rows * row_bytes).reshape(rows, row_bytes)
+    if bits == 1:
+        return np.unpackbits(packed, axis=1)[:, :per_row]
+    return np.stack([packed >> 4, packed & 15], axis=2).reshape(rows, -1)[:, :per_row]
+
+
+def read_page(data: bytes, order: str, fields: dict[int, tuple], max_bytes: int = MAX_BYTES) -> np.ndarray:
     """Samples of one page as height x width x samples."""
     one = lambda tag, default=None: fields.get(tag, (default,))[0]
     width, height, samples, bits = one(TAG_WIDTH), one(TAG_LENGTH), one(TAG_SAMPLES, 1), one(TAG_BITS, 1)
-    if not width or not height or bits not in (8, 16) or (one(TAG_PLANAR, 1) != 1 and samples > 1):
+    if not width or not height or bits not in (1, 4, 8, 16) or len(set(fields.get(TAG_BITS, (1,)))) > 1 or (one(TAG_PLANAR, 1) != 1 and samples > 1):
         raise ValueError("unsupported layout")
-    decode = DECODERS.get(one(TAG_COMPRESSION, NONE))
+    decode, predictor = DECODERS.get(one(TAG_COMPRESSION, NONE)), one(TAG_PREDICTOR, 1)
     if decode is None:
         raise ValueError("unsupported compression")
-    if not 0 < width * height * samples <= MAX_SAMPLES:
+    if predictor not in (1, 2) or (predictor == 2 and bits < 8):
+        raise ValueError("unsupported predictor")
+    size = 2 if bits == 16 else 1
+    if width < 0 or height < 0 or samples < 1 or width * height * samples * size > max_bytes:
         raise ValueError("the page is too large")
     tiled = TAG_TILE_OFFSETS in fields
     piece_w = one(TAG_TILE_WIDTH) if tiled else width
     piece_h = one(TAG_TILE_LENGTH) if tiled else min(one(TAG_ROWS_PER_STRIP, height), height)
-    if not piece_w or not piece_h or piece_w < 0 or piece_h < 0 or piece_w * piece_h * samples > MAX_SAMPLES:
+    if not piece_w or not piece_h or piece_w < 0 or piece_h < 0 or piece_w * piece_h * samples * size > max_bytes:
         raise ValueError("strips or tiles have no size, or too large a one")
     across, down = -(-width // piece_w), -(-height // piece_h)
-    if down * piece_h * across * piece_w * samples > 4 * MAX_SAMPLES:
+    if down * piece_h * across * piece_w * samples * size > 4 * max_bytes:
         raise ValueError("strips or tiles are too large for the page")
-    kind = np.dtype(order + ("u1" if bits == 8 else "u2"))
-    page = np.zeros((down * piece_h, across * piece_w, samples), kind.newbyteorder("="))
+    page = np.zeros((height, width, samples), np.uint16 if bits == 16 else np.uint8)
     starts = fields[TAG_TILE_OFFSETS if tiled else TAG_STRIP_OFFSETS]
     counts = fields[TAG_TILE_COUNTS if tiled else TAG_STRIP_COUNTS]
+    row_bytes = -(-piece_w * samples * bits // 8)
     for k in range(across * down):
         y, x = k // across * piece_h, k % across * piece_w
         rows = piece_h if tiled else min(piece_h, height - y)
-        raw = np.frombuffer(decode(data[starts[k] : starts[k] + counts[k]], rows * piece_w * samples * kind.itemsize), kind, count=rows * piece_w * samples)
-        piece = raw.reshape(rows, piece_w, samples).astype(page.dtype)
-        if one(TAG_PREDICTOR, 1) == 2:
+        raw = decode(data[starts[k] : starts[k] + counts[k]], rows * row_bytes)
+        piece = _samples(raw, rows, piece_w * samples, bits, order).reshape(rows, piece_w, samples)
+        if predictor == 2:
             piece = np.cumsum(piece, axis=1, dtype=page.dtype)
-        page[y : y + rows, x : x + piece_w] = piece
-    return page[:height, :width]
+        page[y : y + rows, x : x + piece_w] = piece[: height - y, : width - x]
+    return page
 
 
 def feature(page: np.ndarray) -> str:
@@ -287,14 +303,14 @@ def tiff_encode(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc
 PAGE_FIELDS = "page int, width int, height int, samples_per_pixel int, samples binary, feature string, error string"
 
 
-def pages_of(data: bytes | None) -> Iterator[tuple]:
+def pages_of(data: bytes | None, max_bytes: int = MAX_BYTES) -> Iterator[tuple]:
     """A file's pages in the order of ``PAGE_FIELDS``; damage ends them with a row that says why."""
     number = 0
     try:
         if data is None:
             raise ValueError("no file")
         for order, fields in directories(data):
-            page = read_page(data, order, fields)
+            page = read_page(data, order, fields, max_bytes)
             yield number, page.shape[1], page.shape[0], page.shape[2], page.tobytes(), feature(page[:, :, 0]), None
             number += 1
         if not number:
@@ -303,8 +319,9 @@ def pages_of(data: bytes | None) -> Iterator[tuple]:
         yield number, None, None, None, None, None, f"{type(why).__name__}: {why}"
 
 
-def tiff_pages(df: DataFrame, media: str = "media") -> DataFrame:
-    """One row per page: the input's columns, the page's number, shape, samples and features."""
+def tiff_pages(df: DataFrame, media: str = "media", max_bytes: int = MAX_BYTES) -> DataFrame:
+    """One row per page: the input's columns, the page's number, shape, samples and features. For
+    files of unknown origin, ``max_bytes`` bounds what one page may take in memory."""
     given = [f.split()[0] for f in PAGE_FIELDS.split(", ")]
     names = [c for c in df.columns if c not in given]
     kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string(), pa.string())
@@ -315,7 +332,7 @@ def tiff_pages(df: DataFrame, media: str = "media") -> DataFrame:
                 part = batch.slice(start, 64)
                 rows, pages = [], []
                 for i, file in enumerate(part.column(media)):
-                    own = list(pages_of(file.as_py()))
+                    own = list(pages_of(file.as_py(), max_bytes))
                     pages += own
                     rows += [i] * len(own)
                 kept = part.take(pa.array(rows, pa.int32()))
