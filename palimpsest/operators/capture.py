@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..context import Context, current_context
 from ..functions.payload import metadata_user, paired_diff, row_json
@@ -70,18 +70,22 @@ def capture_snapshots(before: DataFrame, after: DataFrame, spec: Capture, key: s
     return capture_cdc(snapshot_changes(before, after, key, changed_at), spec, context)
 
 
-def with_ids(events: DataFrame, first_id: int, stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Consecutive ids in order of time for one committed batch.
+def with_ids(events: DataFrame, first_id: int, stage: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, int]:
+    """Consecutive ids in order of time for one committed batch, and how many rows it has.
 
     Rows are sorted over a range partitioning and written once (by ``stage``) with their
     partition and their place in it; every later step reads these numbers as data, so that a new
-    run of a task, or other range bounds, cannot number a row twice. A running sum over one row a
-    partition gives the offsets.
+    run of a task, or other range bounds, cannot number a row twice. The driver adds up one count
+    a partition to offsets.
     """
     order = [F.col(c) for c in ("changed_at", "table_name", "object_id", "operation")] + [F.xxhash64("new_data", "old_data", "context_id")]
     spread = events.repartitionByRange(*order).sortWithinPartitions(*order)
     placed = stage(spread.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
-    before = F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    counts = placed.groupBy("_part").agg(F.count("*").alias("n"))
-    offsets = counts.select("_part", (F.coalesce(before, F.lit(0)) + F.lit(first_id)).alias("_offset"))
-    return placed.join(F.broadcast(offsets), "_part").select((F.col("_offset") + F.col("_row")).cast("bigint").alias("id"), *events.columns)
+    counts = sorted((r["_part"], r["n"]) for r in placed.groupBy("_part").agg(F.count("*").alias("n")).collect())
+    offsets, following = [], first_id
+    for part, n in counts:
+        offsets.append((part, following))
+        following += n
+    known = events.sparkSession.createDataFrame(offsets, "_part int, _offset bigint")
+    numbered = placed.join(F.broadcast(known), "_part").select((F.col("_offset") + F.col("_row")).cast("bigint").alias("id"), *events.columns)
+    return numbered, following - first_id

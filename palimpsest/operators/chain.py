@@ -36,12 +36,18 @@ def row_hash(row_digest: Column, before: Column) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(VERSION), row_digest, F.coalesce(before, F.lit(""))), 256)
 
 
+LINK_COLUMNS = ("row_hash", "prev_hash", "chain_seq")
+
+
 def chained(batch: DataFrame, tip: dict[str, Any] | None = None) -> DataFrame:
-    """The batch with ``row_hash``, ``prev_hash`` and ``chain_seq``, continuing from a tip.
+    """The batch with ``row_hash``, ``prev_hash`` and ``chain_seq``, continuing from a tip; rows meet
+    their hashes in a join on the id."""
+    return batch.drop(*LINK_COLUMNS).join(links(batch, tip), "id")
+
 
-    The running hash reads ids and digests in order in one task, in bounded memory; rows meet
-    their hashes again in a join on the id.
-    """
+def links(batch: DataFrame, tip: dict[str, Any] | None = None) -> DataFrame:
+    """``id`` and the hashes of a batch, continuing from a tip. The running hash reads ids and
+    digests, and nothing else, in order in one task, in bounded memory."""
     start_hash = (tip or {}).get("row_hash") or ""
     start_seq = int((tip or {}).get("chain_seq") or 0)
 
@@ -58,8 +64,7 @@ def chained(batch: DataFrame, tip: dict[str, Any] | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(hashes), pa.array(before, pa.string()), pa.array(numbers, pa.int64())], names=["id", "row_hash", "prev_hash", "chain_seq"])
 
     digests = batch.select(F.col("id").cast("bigint").alias("id"), digest().alias("digest"))
-    links = digests.repartition(1).sortWithinPartitions("id").mapInArrow(fold, "id bigint, row_hash string, prev_hash string, chain_seq bigint")
-    return batch.drop("row_hash", "prev_hash", "chain_seq").join(links, "id")
+    return digests.repartition(1).sortWithinPartitions("id").mapInArrow(fold, "id bigint, row_hash string, prev_hash string, chain_seq bigint")
 
 
 def chain_tip(log: DataFrame) -> DataFrame:

@@ -30,9 +30,13 @@ def table_as_of(log: DataFrame, table: str, at: datetime | str) -> DataFrame:
     return last.where(F.col("operation") != "DELETE").select("object_id", "id", "changed_at", F.col("new_data").alias("data"))
 
 
-def as_of_join(points: DataFrame, log: DataFrame, table: str) -> DataFrame:
+def as_of_join(points: DataFrame, log: DataFrame, table: str, latest: datetime | str | None = None) -> DataFrame:
     """The image at its own moment for every (object_id, at): events and points are merged in
-    order of time within each object and the last event is carried to the point."""
+    order of time within each object and the last event is carried to the point. Events after
+    ``latest``, the last moment asked for, are not read if it is given. An object's events
+    lie in one task; ``scan.as_of_join`` splits them."""
+    if latest is not None:
+        log = log.where(until(log, latest))
     event = F.struct("id", "operation", F.col("new_data").alias("data"), "changed_at")
     events = log.where(F.col("table_name") == table).select("object_id", F.col("changed_at").alias("at"), F.lit(0).alias("is_point"), F.col("id").alias("tie"), event.alias("event"))
     asked = points.select("object_id", F.col("at").cast(log.schema["changed_at"].dataType).alias("at"), F.lit(1).alias("is_point"), F.lit(None).cast("bigint").alias("tie"), F.lit(None).cast(events.schema["event"].dataType).alias("event"))

@@ -69,6 +69,18 @@ def append_late(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.log.select(_event_id(), "id")
 
 
+@register("SELECT id AS event_id, row_number() OVER (ORDER BY id % 4, changed_at, object_id, operation) AS id, CAST(1 AS BIGINT) AS parts FROM audit")
+def append_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four commits whose batches are made one a month: ids stay."""
+    engine = _engine(spark)
+    rows = _events(spark, sf_dir)
+    for turn in range(4):
+        engine.append_events(rows.where(F.col("meta")["event"].cast("bigint") % 4 == turn))
+    engine.merge_batches(at_least=2)
+    parts = len(engine.manifest()["parts"]) // max(1, len(engine.months()))
+    return engine.log.select(_event_id(), "id", F.lit(parts).cast("bigint").alias("parts"))
+
+
 @register(f"SELECT object_id, event_type, value, k FROM (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY changed_at DESC, id DESC) AS n FROM audit WHERE changed_at <= TIMESTAMP '{NOW}') WHERE n = 1 AND operation <> 'DELETE'")
 def asof_after_late(spark: SparkSession, sf_dir: str) -> DataFrame:
     """States stay right when events come late, as they go by time."""
@@ -144,6 +156,23 @@ def partition_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("changed_month").alias("month"), "rows", (F.col("bytes") > 0).alias("has_bytes"), place.alias("place"))
 
 
+@register(f"SELECT strftime(moved, '%Y-%m') AS month, TRUE AS same_bytes, TRUE AS same_files FROM ({SHIFTED}) GROUP BY 1")
+def partition_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of each month by file metadata against those that the file system lists."""
+    engine = _engine(spark)
+    for half in _halves(shifted(spark, sf_dir).drop("id")):
+        engine.append_events(half)
+    found = metrics.partition_sizes(engine.log)
+    listed = []
+    for month, batch in engine.manifest()["parts"]:
+        files = [f for f in engine._fs.listStatus(engine._at("log", f"{MONTH}={month}", f"batch={batch}")) if f.getPath().getName().endswith(".parquet")]
+        listed.append((month, sum(f.getLen() for f in files), len(files)))
+    sizes = spark.createDataFrame(listed, "changed_month string, n bigint, files bigint").groupBy("changed_month").agg(F.sum("n").alias("n"), F.sum("files").alias("files"))
+    read = engine.log.select("changed_month", F.col("_metadata.file_path").alias("path")).distinct().groupBy("changed_month").agg(F.count("*").alias("read"))
+    both = found.join(sizes, "changed_month").join(read, "changed_month")
+    return both.select(F.col("changed_month").alias("month"), (F.col("bytes") == F.col("n")).alias("same_bytes"), (F.col("files") == F.col("read")).alias("same_files"))
+
+
 @register("SELECT count(*) AS total, count(*) FILTER (changed_at >= TIMESTAMP '2024-01-15') AS checked, TRUE AS ok, count(*) FILTER (changed_at < TIMESTAMP '2024-01-15') + 1 AS chain_from, count(*) AS last_id FROM audit")
 def chain_switch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chain is switched on between two batches; a writer that does not ask for it chains too."""

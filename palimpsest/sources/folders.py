@@ -22,5 +22,23 @@ def shared_folder(spark: SparkSession) -> str:
     return made
 
 
+#: Folders that this process has named, by application.
+_NAMED: dict[str, list[str]] = {}
+
+
 def fresh_folder(spark: SparkSession, tag: str) -> str:
-    return f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+    _NAMED.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def drop_folders(spark: SparkSession, keep: int = 0) -> int:
+    """Deletes the intermediate folders of this application but the last ``keep`` ones; how many.
+    For callers whose results are written: tables that still read from a folder lose it."""
+    named = _NAMED.get(spark.sparkContext.applicationId, [])
+    gone = named[: len(named) - keep]
+    del named[: len(gone)]
+    for path in gone:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return len(gone)

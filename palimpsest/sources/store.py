@@ -396,24 +396,25 @@ class Engine:
             now = self.manifest()
             if stream is not None and now["streams"].get(stream, -1) >= batch_number:
                 return 0
-            placed = with_ids(conform(events).drop("id"), now["last_id"] + 1, self._staged)
+            placed, n = with_ids(conform(events).drop("id"), now["last_id"] + 1, self._staged)
+            if not n and stream is None:
+                self._fs.delete(self._at("_staging"), True)
+                return 0
             tip, first = now["tip"], now["chain_from"]
             if self._chain_wanted and first is None:
                 first = now["last_id"] + 1
             if first is not None:
-                placed = self._staged(chain.chained(self._staged(placed), tip))
+                # Images are staged once, for the ids; only ids and hashes are staged for the chain.
+                placed = placed.drop(*chain.LINK_COLUMNS).join(self._staged(chain.links(placed, tip)), "id")
             name = _batch_name(now)
-            # Ranges of month, table and object: one month does not go to one task.
-            spread = with_month(conform(placed)).repartitionByRange(MONTH, "table_name", "object_id", "changed_at", "id").sortWithinPartitions(MONTH, "table_name", "object_id", "changed_at")
             options = fileindex.BLOOM if self._index_wanted or now["index"] is not None else {}
-            spread.withColumn(BATCH, F.lit(name)).write.options(**options).mode("append").partitionBy(MONTH, BATCH).parquet(f"{self.path}/log")
-            months = [n.split("=", 1)[1] for n in self._names("log") if n.startswith(f"{MONTH}=") and self._exists("log", n, f"{BATCH}={name}")]
-            rows = self._read([[m, name] for m in sorted(months)])
-            n = rows.count() if months else 0
+            months = self._written(with_month(conform(placed)), name, options)
+            # Read again only where something is derived from the rows.
+            rows = self._read([[m, name] for m in months]) if n and (first is not None or now["tree"] is not None or self._tree_wanted) else None
             if n and first is not None:
                 tip = chain.chain_tip(rows).first().asDict()
             streams = now["streams"] | ({stream: batch_number} if stream is not None else {})
-            more = self._grown_tree(now, rows, n) if n else {}
+            more = self._grown_tree(now, rows, n) if rows is not None else {}
             if n and options:
                 more |= {"index": self._indexed(now["index"] or [], [[m, name] for m in sorted(months)])}
             if n and contexts is not None:
@@ -423,6 +424,38 @@ class Engine:
             self._fs.delete(self._at("_staging"), True)
         return n
 
+    def _written(self, rows: DataFrame, name: str, options: dict[str, str]) -> list[str]:
+        """Writes rows as a batch and gives its months. Ranges of month, table and object: one month
+        does not go to one task."""
+        spread = rows.repartitionByRange(MONTH, "table_name", "object_id", "changed_at", "id").sortWithinPartitions(MONTH, "table_name", "object_id", "changed_at")
+        spread.withColumn(BATCH, F.lit(name)).write.options(**options).mode("append").partitionBy(MONTH, BATCH).parquet(f"{self.path}/log")
+        return sorted(m.split("=", 1)[1] for m in self._names("log") if m.startswith(f"{MONTH}=") and self._exists("log", m, f"{BATCH}={name}"))
+
+    def merge_batches(self, until_commit: int | None = None, at_least: int = 8) -> list[str]:
+        """Makes one batch of the batches of each month that has ``at_least`` so many; gives these
+        months. Rows, ids, chain and tree stay as they are. A merged batch counts as one of its
+        last commit, so ``until_commit`` must not be beyond what any reader of the feed has read."""
+        merged = []
+        with self.lock():
+            state = self.manifest()
+            by_month: dict[str, list[str]] = {}
+            for month, batch in state["parts"]:
+                if until_commit is None or commit_of(batch) <= until_commit:
+                    by_month.setdefault(month, []).append(batch)
+            for month, batches in sorted(by_month.items()):
+                if len(batches) < at_least:
+                    continue
+                name = f"{max(map(commit_of, batches)):012d}-{uuid.uuid4().hex}"
+                self._written(self._read([[month, b] for b in batches]), name, fileindex.BLOOM if state["index"] is not None else {})
+                merged.append((month, batches, name))
+            if merged:
+                old = [[m, b] for m, batches, _ in merged for b in batches]
+                new = [[m, name] for m, _, name in merged]
+                more = {"index": self._indexed(state["index"], new)} if state["index"] is not None else {}
+                self._commit(state, parts=[p for p in state["parts"] if p not in old] + new, **more)
+                self._forget(old)
+        return [m for m, _, _ in merged]
+
     def _grown_tree(self, now: dict[str, Any], rows: DataFrame, n: int) -> dict[str, Any]:
         """What a commit of ``n`` new rows changes of the history tree."""
         state = now["tree"] or ({"first": now["last_id"] + 1, "size": 0, "peaks": []} if self._tree_wanted else None)

@@ -52,13 +52,16 @@ def append_stream(events: DataFrame, engine: Engine, checkpoint: str, **trigger:
 
 
 def stream_rates(events: DataFrame, width: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
-    """Events by operation in windows; events later than the watermark are left out."""
+    """Events by operation in windows. In append mode a window is given once, when the watermark has
+    passed it, and later events are left out; in complete mode none is, and state is kept for ever."""
     return events.withWatermark("changed_at", late).groupBy(F.window("changed_at", width), "operation").agg(F.count("*").alias("events"))
 
 
 def images_to_changes(images: DataFrame, key: str = "id", moment: str = "changed_at", deleted: str = "deleted", tie: str | None = None) -> DataFrame:
     """Change records from a stream of new images: the last image of each object is its state.
-    A batch's images of an object are put in order of their moment, then of ``tie``; ``deleted``
+    A batch's images of an object are put in order of their moment, then of ``tie``, and count as
+    newer than those of earlier batches, whatever their moment: streams that may be late need
+    ``ordered.ordered_changes``, which waits for the watermark. ``deleted``
     marks the end of an object. Gives ``operation``, ``changed_at``, ``object_id`` and both
     images as JSON."""
     columns = [c for c in images.columns if c not in (moment, deleted, tie)]
