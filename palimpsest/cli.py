@@ -32,6 +32,18 @@ def parser() -> argparse.ArgumentParser:
     sub.add_parser("partitions").add_argument("--months", type=int, default=3)
     sub.add_parser("status")
     sub.add_parser("chain-enable", help="chain every event from here on")
+    sub.add_parser("tree-enable", help="put every event from here on into the history tree")
+    sub.add_parser("tree-root", help="size and root of the history tree, to be noted elsewhere")
+    tree = sub.add_parser("tree-verify")
+    tree.add_argument("--root", help="JSON of a size and root that were noted before")
+    tree.add_argument("--limit", type=int, default=1000, help="broken rows that are listed")
+    sub.add_parser("index-enable", help="index the log's files")
+    frame = sub.add_parser("keyframe", help="keep the state of a table at the beginning of a month")
+    frame.add_argument("table")
+    frame.add_argument("month")
+    merge = sub.add_parser("merge", help="make one batch of a month's many")
+    merge.add_argument("--until-commit", type=int)
+    merge.add_argument("--at-least", type=int, default=8)
     sub.add_parser("vacuum").add_argument("--admin", action="store_true", required=True)
     apply = sub.add_parser("apply", help="install the captures that a module declares")
     apply.add_argument("module")
@@ -90,6 +102,22 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     elif args.command == "chain-enable":
         engine.bootstrap()
         engine.enable_chain()
+    elif args.command == "tree-enable":
+        engine.bootstrap()
+        engine.enable_tree()
+    elif args.command == "tree-root":
+        print(json.dumps(engine.tree_root()))
+    elif args.command == "tree-verify":
+        broken = engine.verify_tree(json.loads(args.root) if args.root else None).orderBy("id", "reason").limit(args.limit).collect()
+        print(json.dumps({"ok": not broken, "broken": [[r["id"], r["reason"]] for r in broken]}))
+        return 1 if broken else 0
+    elif args.command == "index-enable":
+        engine.bootstrap()
+        engine.enable_index()
+    elif args.command == "keyframe":
+        engine.write_keyframe(args.table, args.month)
+    elif args.command == "merge":
+        print(" ".join(engine.merge_batches(args.until_commit, args.at_least)))
     elif args.command == "vacuum":
         print(engine.vacuum())
     elif args.command == "apply":

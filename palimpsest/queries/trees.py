@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import tree
 from ..plans.months import MONTH
+from ..sources.folders import fresh_folder
 from ..sources.store import Engine
+from ..streaming.stream import append_stream
 from .base import LOG, NOW, Registered, micros, sql_field
 from .chains import FIELDS, tampered
 from .keeping import SHIFTED, shifted
@@ -102,3 +104,16 @@ def chain_tree_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     roots = _thirds(spark, sf_dir, engine)
     nodes = engine.tree_nodes
     return spark.createDataFrame([(r["size"], tree.root_at(nodes, r["size"]) == r["root"]) for r in roots], "size bigint, same boolean")
+
+
+@register("SELECT row_number() OVER (ORDER BY id % 3, changed_at, object_id, operation) AS id, id AS event_id, TRUE AS chain_ok, TRUE AS tree_ok FROM audit")
+def append_stream_chained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of three micro-batches into a log with chain and tree."""
+    engine, folder = _engine(spark, hash_chain=True, history_tree=True), fresh_folder(spark, "streams")
+    rows = _events(spark, sf_dir)
+    for turn in range(3):
+        rows.where(F.col("meta")["event"].cast("bigint") % 3 == turn).coalesce(1).write.parquet(f"{folder}/in/turn={turn}")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
+    append_stream(stream, engine, f"{folder}/checkpoint", availableNow=True).awaitTermination()
+    chain_ok, tree_ok = engine.verify()["ok"], not engine.verify_tree().limit(1).count()
+    return engine.log.select("id", _event_id(), F.lit(chain_ok).alias("chain_ok"), F.lit(tree_ok).alias("tree_ok"))
