@@ -5,7 +5,7 @@ import pytest
 
 from palimpsest import queries
 
-TABLES = ("nation", "customer", "orders", "events", "conversations")
+TABLES = ("nation", "customer", "orders", "lineitem", "events", "conversations")
 
 
 def plain(value):
