@@ -117,7 +117,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     elif args.command == "keyframe":
         engine.write_keyframe(args.table, args.month)
     elif args.command == "merge":
-        print(" ".join(engine.merge_batches(args.until_commit, args.at_least)))
+        print(" ".join(engine.merge_batches(args.until_commit, args.at_least) + engine.merge_side_tables(args.at_least)))
     elif args.command == "vacuum":
         print(engine.vacuum())
     elif args.command == "apply":

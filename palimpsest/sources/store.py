@@ -456,6 +456,33 @@ class Engine:
                 self._forget(old)
         return [m for m, _, _ in merged]
 
+    def merge_side_tables(self, at_least: int = 8) -> list[str]:
+        """Makes one folder of the many that commits have left of contexts, of the tree's nodes and
+        of the index; gives the names of those tables."""
+        tables = {
+            "contexts": {"contexts": (CONTEXT, ["id", "seq"])},
+            "tree_nodes": {"tree": (tree.NODES, ["level", "place"])},
+            "tree_gone": {"tree_gone": ("id bigint", ["id"])},
+            "index": {"ranges": (fileindex.RANGES, ["table_name", "least"]), "values": (fileindex.KEYS, ["kind", "value"])},
+        }
+        with self.lock():
+            state, changes = self.manifest(), {}
+            for key, folders in tables.items():
+                names = state[key] or []
+                if len(names) < at_least:
+                    continue
+                changes[key] = [uuid.uuid4().hex]
+                for folder, (schema, order) in folders.items():
+                    rows = self._parts(folder, names, schema)
+                    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(f"{self.path}/{folder}/{changes[key][0]}")
+            if changes:
+                self._commit(state, **changes)
+                for key in changes:
+                    for folder in tables[key]:
+                        for name in state[key]:
+                            self._fs.delete(self._at(folder, name), True)
+        return sorted(changes)
+
     def _grown_tree(self, now: dict[str, Any], rows: DataFrame, n: int) -> dict[str, Any]:
         """What a commit of ``n`` new rows changes of the history tree."""
         state = now["tree"] or ({"first": now["last_id"] + 1, "size": 0, "peaks": []} if self._tree_wanted else None)

@@ -39,6 +39,21 @@ def test_merge_keeps_everything(spark, tmp_path):
     assert engine.purge(datetime(2024, 2, 10), "5 days", keep_anchor=True) == 8 and engine.verify()["ok"] and engine.verify_tree(noted).count() == 0
 
 
+def test_side_tables_are_merged(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "log"), admin=True, history_tree=True, indexed=True)
+    engine.bootstrap()
+    for k in range(3):
+        engine.append_events(events(spark, k, 40 + k), contexts=spark.createDataFrame([("c", f'{{"k": {k}}}')], "id string, metadata string"))
+    noted, found, contexts = engine.tree_root(2), rows(engine.for_object("t", 1).df), engine.contexts.collect()
+    assert engine.merge_side_tables(at_least=4) == [] and engine.merge_side_tables(at_least=3) == ["contexts", "index", "tree_nodes"]
+    now = engine.manifest()
+    assert len(now["contexts"]) == len(now["tree_nodes"]) == len(now["index"]) == 1 and len(engine._names("tree")) == 1
+    engine.append_events(events(spark, 5))
+    assert engine.verify_tree(noted).count() == 0 and engine.contexts.collect() == contexts
+    assert rows(engine.for_object("t", 1).df) == found and rows(engine.for_object("t", 2).df)[-1][1] == "5"
+    assert engine.vacuum() == 0
+
+
 def test_feed_gives_each_commit_once(spark, tmp_path):
     """Also after a purge has written a month anew, and after older batches were merged."""
     engine = Engine(spark, str(tmp_path / "log"), admin=True)
