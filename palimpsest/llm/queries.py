@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import blocks, bpe, decontaminate, jaccard, langid, licenses, lines, phrases, pii, quality, repeats, sql, tiff, trie
+from . import blocks, bpe, decontaminate, jaccard, langid, licenses, lines, phrases, pii, postings, quality, repeats, sql, tiff, trie
 from .common import held_out, table, written
 
 RANK_FILE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -65,8 +65,8 @@ def op8_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    matches = decontaminate.phrase_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return decontaminate.contamination(matches)
+    index = postings.store_index(table(spark, sf_dir, "documents"))
+    return decontaminate.contamination(postings.search(index, table(spark, sf_dir, "benchmark")))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
