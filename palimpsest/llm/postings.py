@@ -131,25 +131,26 @@ def store_index(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str =
             terms, n, positions, size = _lists_of(_named(hashes), sizes)
             # A word with over a quarter of a partition's share of the block is split, by blocks.
             salt = (number * 0x9E3779B97F4A7C15 >> 32 & 0xFFFFFFFF) % (1 + size * 4 * partitions // STEP_BYTES)
-            yield _rows("documents", number, kept=part.column("kept"), doc=pa.array(np.arange(part.num_rows)), n_words=pa.array(sizes), salt=pa.repeat(pa.scalar(number, pa.int64()), part.num_rows))
-            yield _rows("lists", number, kept=pa.nulls(len(terms), part.schema.field("kept").type), term=pa.array(terms), n=pa.array(n.astype(np.int64)), positions=positions, salt=pa.array(salt.astype(np.int64)))
+            yield _rows(number, kept=part.column("kept"), doc=pa.array(np.arange(part.num_rows)), n_words=pa.array(sizes), salt=pa.repeat(pa.scalar(number, pa.int64()), part.num_rows))
+            yield _rows(number, kept=pa.nulls(len(terms), part.schema.field("kept").type), term=pa.array(terms), n=pa.array(n.astype(np.int64)), positions=positions, salt=pa.array(salt.astype(np.int64)))
             number += 1
 
     path = fresh_folder(spark, "index")
-    indexed = map_arrow(rows, run, schema_of(rows, ("kept",), f"{PLACES}, {LISTS}, part string, block bigint, salt bigint"))
+    indexed = map_arrow(rows, run, schema_of(rows, ("kept",), f"{PLACES}, {LISTS}, block bigint, salt bigint"))
     # Lists of documents are dealt by block, like the documents.
     dealt = indexed.withColumn("salt", F.when(F.col("term") == DOCUMENTS, F.col("block")).otherwise(F.col("salt"))).repartition(partitions, "term", "salt")
-    dealt.sortWithinPartitions("part", "term", "block").drop("salt").write.partitionBy("part").parquet(path)
-    read = spark.read.schema(dealt.drop("salt").schema).parquet(path)
+    parted = dealt.drop("salt").withColumn("part", F.when(F.col("term").isNull(), "documents").otherwise("lists"))
+    parted.sortWithinPartitions("part", "term", "block").write.partitionBy("part").parquet(path)
+    read = spark.read.schema(parted.schema).parquet(path)
     return Index(read.where("part = 'lists'").select("term", "block", "n", "positions"), read.where("part = 'documents'").select("kept", "block", "doc", "n_words"), keep)
 
 
-def _rows(part: str, block: int, **columns: pa.Array) -> pa.RecordBatch:
-    """Rows of one part of the index; columns that are not given are null."""
+def _rows(block: int, **columns: pa.Array) -> pa.RecordBatch:
+    """Rows of documents or of lists; columns that are not given are null."""
     many = len(columns["salt"])
     kinds = {"doc": pa.int64(), "n_words": pa.int64(), "term": pa.int64(), "n": pa.int64(), "positions": pa.binary()}
     own = {"kept": columns["kept"], **{c: columns.get(c, pa.nulls(many, kind)) for c, kind in kinds.items()}}
-    own |= {"part": pa.repeat(part, many), "block": pa.repeat(pa.scalar(block, pa.int64()), many), "salt": columns["salt"]}
+    own |= {"block": pa.repeat(pa.scalar(block, pa.int64()), many), "salt": columns["salt"]}
     return pa.RecordBatch.from_pydict(own)
 
 
