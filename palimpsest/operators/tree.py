@@ -19,6 +19,7 @@ import hashlib
 from functools import reduce
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -128,17 +129,56 @@ def verify(log: DataFrame, nodes: DataFrame, first: int, size: int, expected_roo
     return broken.unionByName(noted).where(F.col("reason").isNotNull())
 
 
+PROOFS = "place bigint, peak int, hash binary, path array<struct<level: int, hash: binary, is_left: boolean>>"
+#: Proofs that one batch of a block holds.
+PROOF_ROWS = 8192
+
+
+def _paths(asked: pa.Table, nodes: pa.Table) -> pa.Table:
+    """Proofs of a block's places, from its nodes and those that its way to the peak needs."""
+    levels, places = (nodes.column(c).to_numpy() for c in ("level", "place"))
+    hashes, ordered = nodes.column("hash").combine_chunks(), {}
+    for level in np.unique(levels):
+        rows = np.flatnonzero(levels == level)
+        ordered[int(level)] = rows[np.argsort(places[rows], kind="stable")]
+
+    def at(level: int, wanted: np.ndarray) -> np.ndarray:
+        """Rows of nodes, -1 where there is none."""
+        rows = ordered.get(level)
+        if rows is None:
+            return np.full(len(wanted), -1)
+        found = np.minimum(np.searchsorted(places[rows], wanted), len(rows) - 1)
+        return np.where(places[rows[found]] == wanted, rows[found], -1)
+
+    shape = pa.struct([("level", pa.int32()), ("hash", pa.binary()), ("is_left", pa.bool_())])
+    names, out = ["place", "peak", "hash", "path"], []
+    for start in range(0, max(1, asked.num_rows), PROOF_ROWS):
+        own, peak = (asked.column(c).to_numpy()[start : start + PROOF_ROWS] for c in ("place", "peak"))
+        leaf_at = at(0, own)
+        own, peak, leaf_at = (x[leaf_at >= 0] for x in (own, peak, leaf_at))
+        climb = np.arange(peak.max() if len(peak) else 0)
+        beside = (own[:, None] >> climb) ^ 1
+        rows = np.stack([at(int(n), beside[:, n]) for n in climb], 1) if len(climb) else np.empty((len(own), 0), np.int64)
+        rows = np.where(climb < peak[:, None], rows, -1)
+        there = rows >= 0
+        steps = pa.StructArray.from_arrays([pa.array(np.broadcast_to(climb, rows.shape)[there].astype(np.int32)), hashes.take(pa.array(rows[there])), pa.array(beside[there] % 2 == 0)], fields=list(shape))
+        path = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], there.sum(1).cumsum()]).astype(np.int32)), steps)
+        out.append(pa.table([pa.array(own, pa.int64()), pa.array(peak, pa.int32()), hashes.take(pa.array(leaf_at)), path], names=names))
+    return pa.concat_tables(out)
+
+
 def inclusion(nodes: DataFrame, size: int, places: DataFrame) -> DataFrame:
     """For each ``place``: its leaf's ``hash``, the ``path`` of neighbours up to its peak, from below,
-    and ``peak``, the level of that. Path and peaks show that the leaf is in the root."""
+    and ``peak``, the level of that. Path and peaks show that the leaf is in the root. Places meet
+    the nodes of their block; above it all of them go the same way, which is looked up once."""
     top = F.expr(f"cast(length(bin(place ^ {int(size)}L)) - 1 as int)")
     asked = places.select("place").distinct().where(f"place >= 0 and place < {int(size)}L").withColumn("peak", top)
-    steps = asked.where("peak > 0").select("place", "peak", F.explode(F.sequence(F.lit(0), F.col("peak") - 1)).alias("level"))
-    steps = steps.select(F.col("place").alias("leaf"), "level", F.expr("(place >> level) ^ 1L").alias("place"))
-    step = F.struct("level", "hash", (F.col("place") % 2 == 0).alias("is_left"))
-    found = steps.join(nodes, ["level", "place"]).groupBy(F.col("leaf").alias("place")).agg(F.array_sort(F.collect_list(step)).alias("path"))
-    none = F.array().cast("array<struct<level: int, hash: binary, is_left: boolean>>")
-    return asked.join(nodes.where("level = 0").select("place", "hash"), "place").join(found, "place", "left").withColumn("path", F.coalesce("path", none))
+    inside = nodes.where(F.col("level") < BLOCK_LEVELS).select(F.expr(f"place >> ({BLOCK_LEVELS} - level)").alias("block"), "level", "place", "hash")
+    blocks = nodes.sparkSession.range((size >> BLOCK_LEVELS) + 1).select(F.col("id").alias("block"), F.expr(f"id << {BLOCK_LEVELS}").alias("place")).withColumn("peak", top)
+    way = blocks.where(F.col("peak") > BLOCK_LEVELS).select("block", "place", F.explode(F.sequence(F.lit(BLOCK_LEVELS), F.col("peak") - 1)).alias("level"))
+    above = way.select("block", "level", F.expr("(place >> level) ^ 1L").alias("place")).hint("merge").join(nodes.where(F.col("level") >= BLOCK_LEVELS), ["level", "place"])
+    known = inside.unionByName(above.select("block", "level", "place", "hash"))
+    return asked.withColumn("block", F.expr(f"place >> {BLOCK_LEVELS}")).groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_paths, PROOFS)
 
 
 def proven(peaks: list[list[Any]]) -> Column:

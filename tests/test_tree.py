@@ -106,6 +106,25 @@ def test_edited_nodes_and_roots_are_found(spark, tmp_path):
     assert not any(r["ok"] for r in wrong.collect())
 
 
+@pytest.mark.parametrize("levels", [16, 2])
+def test_proofs_meet_their_nodes_by_block(spark, levels, monkeypatch):
+    """All paths of a log, those above a block too, from a plan that sends no table to the driver."""
+    monkeypatch.setattr(tree, "BLOCK_LEVELS", levels)
+    monkeypatch.setattr(tree, "PROOF_ROWS", 3)
+    n = 45
+    want = plain([hashlib.sha256(str(i).encode()).digest() for i in range(n)])
+    gone = (1, 3)
+    nodes = spark.createDataFrame([(level, place, h) for (level, place), h in want.items() if (level, place) != gone], tree.NODES)
+    proofs = tree.inclusion(nodes, n, spark.range(n).select(F.col("id").alias("place")))
+    assert "Broadcast" not in proofs._jdf.queryExecution().executedPlan().toString()
+    got = {r["place"]: r for r in proofs.collect()}
+    assert set(got) == set(range(n))
+    for place, r in got.items():
+        assert (r["peak"], r["place"] >> r["peak"]) in tree.peaks_of(n) and bytes(r["hash"]) == want[0, place]
+        path = [(level, (place >> level) ^ 1) for level in range(r["peak"])]
+        assert [(s["level"], bytes(s["hash"]), s["is_left"]) for s in r["path"]] == [(level, want[level, p], p % 2 == 0) for level, p in path if (level, p) != gone]
+
+
 def test_purge_reads_no_later_month(spark, tmp_path):
     engine = Engine(spark, str(tmp_path / "log"), admin=True)
     engine.bootstrap()
