@@ -129,7 +129,7 @@ def actor_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("""SELECT id, CASE operation WHEN 'INSERT' THEN 'inserted (4 fields)' WHEN 'DELETE' THEN 'deleted (4 fields)' ELSE concat('changed: ', concat_ws(', ', CASE WHEN event_type IS DISTINCT FROM old_type THEN 'event_type' END, CASE WHEN k IS DISTINCT FROM old_k THEN 'k' END, CASE WHEN value IS DISTINCT FROM old_value THEN 'value' END)) END AS change FROM audit
 WHERE operation <> 'UPDATE' OR event_type IS DISTINCT FROM old_type OR k IS DISTINCT FROM old_k OR value IS DISTINCT FROM old_value""")
 def change_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return testlog.log(spark, sf_dir).select("id", render.row_change(F.col("operation"), F.col("diff")).alias("change"))
+    return testlog.changed(testlog.log(spark, sf_dir)).select("id", render.row_change(F.col("operation"), F.col("diff")).alias("change"))
 
 
 @register("SELECT conv_id, turn, CASE WHEN text IS NULL THEN '∅' ELSE concat('\"', replace(replace(CASE WHEN length(text) > 40 THEN concat(substr(text, 1, 37), '...') ELSE text END, '\\', '\\\\'), '\"', '\\\"'), '\"') END AS shown FROM conversations", log=False)

@@ -40,7 +40,7 @@ CASE WHEN operation <> 'UPDATE' OR k IS DISTINCT FROM old_k THEN concat('k: ', c
 CASE WHEN operation <> 'UPDATE' OR value IS DISTINCT FROM old_value THEN concat('value: ', coalesce('"' || old_value || '"', '∅'), ' → ', coalesce('"' || value || '"', '∅')) END], lambda x: x IS NOT NULL), 'string_agg', '; ') AS changes
 FROM (SELECT a.*, ctx.source, ctx.reason FROM audit a LEFT JOIN ctx ON ctx.id = a.context_id) WHERE operation <> 'UPDATE' OR event_type IS DISTINCT FROM old_type OR k IS DISTINCT FROM old_k OR value IS DISTINCT FROM old_value""")
 def history_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = blame_ops.history_report(testlog.log(spark, sf_dir), testlog.contexts(spark, sf_dir))
+    found = blame_ops.history_report(testlog.changed(testlog.log(spark, sf_dir)), testlog.contexts(spark, sf_dir))
     return found.select("id", "source", "reason", F.array_join("changes", "; ").alias("changes"))
 
 

@@ -18,7 +18,8 @@ class Capture:
     """A declaration: ``columns`` are the only ones that updates and inserts are compared by (all
     if not given), ``without`` are never compared; the row images stay whole. ``keep`` are new
     values that go along with each event, ``where`` is a trusted Spark SQL condition over the
-    structs OLD and NEW and the map CTX."""
+    structs OLD and NEW and the map CTX. With ``unchanged``, an update that changes none of the
+    compared columns is an event as well, with an empty diff."""
 
     table: str
     log: str = "auditlog"
@@ -27,6 +28,7 @@ class Capture:
     keep: tuple[str, ...] = ()
     where: str | None = None
     label: str | None = None
+    unchanged: bool = False
 
     def __post_init__(self) -> None:
         for kind, names in {"table": [self.table, self.log], "column": [*(self.columns or ()), *self.without, *self.keep], "label": [self.label] if self.label is not None else []}.items():
@@ -53,7 +55,7 @@ class Capture:
         else:
             names = list(names)
             lists = {o: str(self.compared(names, o)) for o in OPERATIONS}
-        lines = [f"capture {self.table} into {self.log}", *(f"{o.lower()} compares {x}" for o, x in lists.items()), f"keeps {sorted(self.keep)}", f"where {self.where or 'always'}"]
+        lines = [f"capture {self.table} into {self.log}", *(f"{o.lower()} compares {x}" for o, x in lists.items()), f"keeps {sorted(self.keep)}", f"where {self.where or 'always'}", *(["unchanged updates too"] if self.unchanged else [])]
         text = "\n".join(lines)
         return CapturePlan(self, text, hashlib.sha256(f"{CAPTURE_VERSION}\n{self.name}\n{text}".encode()).hexdigest())
 
