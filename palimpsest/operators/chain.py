@@ -1,8 +1,9 @@
 """Tamper evidence: a hash chain over the log.
 
 A row's digest covers id, time, operation, table and both images; its hash covers the digest and
-the hash of the row before. Digests are computed in parallel and only (id, digest) goes through
-the running hash, which is sequential by nature: one task for a batch, 72 bytes for a row. Checking
+the hash of the row before. Digests are computed in parallel, ranged by id and written; only (id,
+digest) goes through the running hash, which is sequential by nature: one stretch of ranges after
+another, each a task of its own that goes on from the last hash of the one before. Checking
 is parallel throughout: hashes of the rows before are found by a lag within buckets of the chain's
 order and a second lag over one row a bucket.
 """
@@ -16,8 +17,12 @@ from typing import Any
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..sources.folders import fresh_folder
+
 VERSION = "v1"
 BUCKET_ROWS = 65_536
+#: Rows of a stretch; one range of ids at least.
+STRETCH_ROWS = 1 << 20
 HASHED = ("id", "changed_at", "operation", "table_name", "old_data", "new_data")
 
 
@@ -37,6 +42,7 @@ def row_hash(row_digest: Column, before: Column) -> Column:
 
 
 LINK_COLUMNS = ("row_hash", "prev_hash", "chain_seq")
+LINKS = "id bigint, row_hash string, prev_hash string, chain_seq bigint"
 
 
 def chained(batch: DataFrame, tip: dict[str, Any] | None = None) -> DataFrame:
@@ -45,26 +51,47 @@ def chained(batch: DataFrame, tip: dict[str, Any] | None = None) -> DataFrame:
     return batch.drop(*LINK_COLUMNS).join(links(batch, tip), "id")
 
 
-def links(batch: DataFrame, tip: dict[str, Any] | None = None) -> DataFrame:
-    """``id`` and the hashes of a batch, continuing from a tip. The running hash reads ids and
-    digests, and nothing else, in order in one task, in bounded memory."""
-    start_hash = (tip or {}).get("row_hash") or ""
-    start_seq = int((tip or {}).get("chain_seq") or 0)
+def _folded(digests: DataFrame, last: str, seq: int) -> DataFrame:
+    """The running hash over one stretch, in order in one task."""
 
     def fold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, seq = start_hash, start_seq
+        own, number = last, seq
         for part in batches:
-            hashes, before, numbers = [], [], []
+            hashes, before = [], []
             for one in part.column("digest").to_pylist():
-                before.append(last or None)
-                last = hashlib.sha256(f"{VERSION}|{one}|{last}".encode()).hexdigest()
-                seq += 1
-                hashes.append(last)
-                numbers.append(seq)
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(hashes), pa.array(before, pa.string()), pa.array(numbers, pa.int64())], names=["id", "row_hash", "prev_hash", "chain_seq"])
-
-    digests = batch.select(F.col("id").cast("bigint").alias("id"), digest().alias("digest"))
-    return digests.repartition(1).sortWithinPartitions("id").mapInArrow(fold, "id bigint, row_hash string, prev_hash string, chain_seq bigint")
+                before.append(own or None)
+                own = hashlib.sha256(f"{VERSION}|{one.hex()}|{own}".encode()).hexdigest()
+                hashes.append(own)
+            numbers = pa.array(range(number + 1, number + 1 + len(hashes)), pa.int64())
+            number += len(hashes)
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(hashes, pa.string()), pa.array(before, pa.string()), numbers], names=["id", "row_hash", "prev_hash", "chain_seq"])
+
+    return digests.select("id", "digest").coalesce(1).sortWithinPartitions("id").mapInArrow(fold, LINKS)
+
+
+def links(batch: DataFrame, tip: dict[str, Any] | None = None, folder: str | None = None) -> DataFrame:
+    """``id`` and the hashes of a batch, continuing from a tip, written to ``folder``, which all
+    executors share. The running hash reads ids and digests, and nothing else; only its last value
+    passes through the driver from one stretch to the next."""
+    spark, folder = batch.sparkSession, folder or fresh_folder(batch.sparkSession, "links")
+    digests = batch.select(F.col("id").cast("bigint").alias("id"), F.unhex(digest()).alias("digest"))
+    digests.repartitionByRange("id").sortWithinPartitions("id").withColumn("part", F.spark_partition_id()).write.parquet(f"{folder}/digests")
+    ranged = spark.read.schema("id bigint, digest binary, part int").parquet(f"{folder}/digests")
+    stretches: list[list[int]] = []
+    for part, n in sorted(tuple(r) for r in ranged.groupBy("part").agg(F.count("*").alias("n")).collect()):
+        if not stretches or stretches[-1][2] + n > STRETCH_ROWS:
+            stretches.append([part, part, 0])
+        stretches[-1][1], stretches[-1][2] = part, stretches[-1][2] + n
+    last, seq = (tip or {}).get("row_hash") or "", int((tip or {}).get("chain_seq") or 0)
+    for number, (low, high, n) in enumerate(stretches):
+        path = f"{folder}/links/stretch={number}"
+        _folded(ranged.where(F.col("part").between(low, high)), last, seq).write.parquet(path)
+        seq += n
+        if number + 1 < len(stretches):
+            last = spark.read.schema(LINKS).parquet(path).where(F.col("chain_seq") == seq).first()["row_hash"]
+    if not stretches:
+        return spark.createDataFrame([], LINKS)
+    return spark.read.schema(LINKS + ", stretch int").parquet(f"{folder}/links").drop("stretch")
 
 
 def chain_tip(log: DataFrame) -> DataFrame:

@@ -405,7 +405,7 @@ class Engine:
                 first = now["last_id"] + 1
             if first is not None:
                 # Images are staged once, for the ids; only ids and hashes are staged for the chain.
-                placed = placed.drop(*chain.LINK_COLUMNS).join(self._staged(chain.links(placed, tip)), "id")
+                placed = placed.drop(*chain.LINK_COLUMNS).join(chain.links(placed, tip, f"{self.path}/_staging/{uuid.uuid4().hex}"), "id")
             name = _batch_name(now)
             options = fileindex.BLOOM if self._index_wanted or now["index"] is not None else {}
             months = self._written(with_month(conform(placed)), name, options)

@@ -10,6 +10,7 @@ import __spark_entry__
 from palimpsest.operators import chain
 from palimpsest.queries import chains
 from palimpsest.sources import testlog
+from palimpsest.sources.folders import fresh_folder
 
 
 def field(value):
@@ -44,3 +45,22 @@ def test_edits_are_found_anywhere(spark, data, fold):
     for column in ("operation", "table_name", "old_data", "new_data"):
         edited = log.withColumn(column, F.when(F.col("id") == fold[-1][0], F.lit("edited")).otherwise(F.col(column)))
         assert [tuple(r) for r in chain.verify(edited, bucket_rows=64).collect()] == [(fold[-1][0], "row_hash mismatch")]
+
+
+@pytest.mark.parametrize("rows", [1, 100, 1 << 20])
+def test_stretches_go_on_from_each_other(spark, data, fold, rows, monkeypatch):
+    """The chain by several tasks of bounded stretches is the one of a plain fold."""
+    monkeypatch.setattr(chain, "STRETCH_ROWS", rows)
+    monkeypatch.setattr(chain, "fresh_folder", lambda spark, tag: folders.append(folder := fresh_folder(spark, tag)) or folder)
+    folders = []
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    log = testlog.log(spark, data)
+    cut = fold[len(fold) // 2]
+    first = sorted(tuple(r[c] for c in ("id", "chain_seq", "prev_hash", "row_hash")) for r in chain.links(log.where(F.col("id") <= cut[0])).collect())
+    tip = {"row_hash": cut[3], "chain_seq": cut[1]}
+    second = sorted(tuple(r[c] for c in ("id", "chain_seq", "prev_hash", "row_hash")) for r in chain.links(log.where(F.col("id") > cut[0]), tip).collect())
+    assert first + second == fold
+    found = spark.read.parquet(f"{folders[0]}/links").groupBy("stretch").count().collect()
+    assert len(found) == (1 if rows == 1 << 20 else 4)
+    assert chain.links(log.limit(0)).count() == 0
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
