@@ -69,21 +69,26 @@ def stream_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Micro-batches of a stream that comes out of order, how far it may, and a moment that ends it.
 BATCHES, JITTER_HOURS, LATE, END = 6, 48, "3 days", "2030-01-01 00:00:00"
+#: Rows of a file, of which a micro-batch has one at least.
+FILE_ROWS = 250_000
 
 
 def _out_of_order(rows: DataFrame, moment: str, number: str, last: DataFrame, folder: str) -> DataFrame:
-    """A stream of files, one a micro-batch, in which rows stand up to ``JITTER_HOURS`` from their
-    place; a last row of a later time lets the watermark pass all of them."""
+    """A stream of files, equally many a micro-batch, in which rows stand up to ``JITTER_HOURS`` from
+    their place; a last row of a later time lets the watermark pass all of them."""
     spark = rows.sparkSession
     shifted = F.unix_micros(moment) + F.pmod(F.xxhash64(number), F.lit(JITTER_HOURS * 3600)) * 1_000_000
-    rows = rows.withColumn("_at", shifted)
+    placed = rows.withColumn("_at", shifted)
+    placed.write.parquet(f"{folder}/rows")
+    rows = spark.read.schema(placed.schema).parquet(f"{folder}/rows")
     low, high = rows.agg(F.min("_at"), F.max("_at")).first()
     turn = F.floor((F.col("_at") - F.lit(low or 0)) * BATCHES / F.lit((high or 0) - (low or 0) + 1))
+    # As the source counts files, no micro-batch may have fewer than another: the smallest one says how many.
+    files = max(1, min((r["count"] for r in rows.groupBy(turn).count().collect()), default=0) // FILE_ROWS)
     for k in range(BATCHES):
-        rows.where(turn == k).drop("_at").repartition(1, number).write.parquet(f"{folder}/in/batch={k}")
+        rows.where(turn == k).drop("_at").repartition(files).write.parquet(f"{folder}/in/batch={k}")
     last.write.parquet(f"{folder}/in/batch={BATCHES}")
-    schema = rows.drop("_at").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
+    return spark.readStream.schema(rows.drop("_at").schema).option("maxFilesPerTrigger", files).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
 
 
 @register("SELECT operation, changed_us, object_id, event_type, value, old_type, old_value FROM audit WHERE operation <> 'UPDATE' OR event_type IS DISTINCT FROM old_type OR value IS DISTINCT FROM old_value")
