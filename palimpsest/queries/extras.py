@@ -9,7 +9,7 @@ from ..plans.months import with_month
 from ..sources import testlog
 from .base import Registered
 from .keeping import SHIFTED, shifted
-from .states import written
+from .logs import made_once
 
 register = Registered()
 
@@ -47,7 +47,7 @@ def variant_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _nine_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = F.get_json_object("new_data", "$.value").cast("double")
     rows = shifted(spark, sf_dir).where("operation <> 'DELETE'").select("id", "changed_at", "object_id", F.get_json_object("new_data", "$.event_type").alias("event_type"), value.alias("value"))
-    return written(with_month(rows))
+    return made_once(with_month(rows))
 
 
 @register(f"SELECT event_type, CAST(r AS DOUBLE) AS rank, count(value) AS n, TRUE AS within FROM ({SHIFTED}), unnest([0.5, 0.95, 0.99]) AS u(r) WHERE operation <> 'DELETE' AND strftime(moved, '%Y-%m') BETWEEN '2023-07' AND '2023-12' GROUP BY ALL")
@@ -55,7 +55,7 @@ def quantiles_by_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quantiles of six months from monthly sketches; their exact ranks are off by no more than the
     sketch allows."""
     log = _nine_months(spark, sf_dir)
-    kept = written(sketches.by_month(log, "value", "event_type"))
+    kept = made_once(sketches.by_month(log, "value", "event_type"))
     found = sketches.quantiles(sketches.merged(kept, "event_type", "2023-07", "2023-12"), "event_type")
     own = log.where(F.col("changed_month").between("2023-07", "2023-12"))
     errors = sketches.rank_errors(found, own, "value", "event_type")
@@ -65,7 +65,7 @@ def quantiles_by_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(f"SELECT event_type AS item, count(*) AS n FROM ({SHIFTED}) WHERE operation <> 'DELETE' AND strftime(moved, '%Y-%m') >= '2023-10' GROUP BY 1 ORDER BY n DESC LIMIT 10")
 def hitters_by_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most frequent event types of the last months, from monthly sketches."""
-    kept = written(sketches.hitters_by_month(_nine_months(spark, sf_dir), "event_type"))
+    kept = made_once(sketches.hitters_by_month(_nine_months(spark, sf_dir), "event_type"))
     return sketches.top_items(kept.where("changed_month >= '2023-10'"), 10).select("item", F.col("count").alias("n"))
 
 
@@ -74,8 +74,8 @@ UNION ALL SELECT '1', id FROM audit WHERE object_id LIKE '%1%' OR (CASE WHEN ope
 def search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts in objects and diffs: one by its trigrams, one that is too short for them."""
     log = testlog.log(spark, sf_dir)
-    postings = written(search.index(log))
-    counts = written(search.frequencies(postings))
+    postings = made_once(search.index(log))
+    counts = made_once(search.frequencies(postings))
     found = [search.search(log, postings, counts, t).select(F.lit(t).alias("text"), "id") for t in ("urchas", "1", "no such text")]
     return found[0].unionByName(found[1]).unionByName(found[2])
 
@@ -108,4 +108,4 @@ def subject_export_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = _shop_log(spark, sf_dir)
     start = spark.read.parquet(f"{sf_dir}/customer.parquet").where(SUBJECT).select(F.lit("customer").alias("table_name"), F.col("c_custkey").alias("object_id"))
     references = (linked.Reference("orders", "o_custkey", "customer"), linked.Reference("lineitem", "l_orderkey", "orders"))
-    return linked.subject_export(log, start, references, written).groupBy("table_name", "object_id", "step").agg(F.count("*").alias("events"))
+    return linked.subject_export(log, start, references, made_once).groupBy("table_name", "object_id", "step").agg(F.count("*").alias("events"))

@@ -30,10 +30,17 @@ register = Registered()
 MIDDLE = datetime.fromisoformat(AT).replace(tzinfo=timezone.utc)
 
 
+def made_once(df: DataFrame) -> DataFrame:
+    """A table of rows that several appends take their parts from, each of them reading it twice."""
+    path = fresh_folder(df.sparkSession, "rows")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log's events with moments of the log's own type; their ids come along as ``meta``."""
     log = testlog.log(spark, sf_dir)
-    return log.withColumn("changed_at", F.col("changed_at").cast("timestamp")).withColumn("meta", F.create_map(F.lit("event"), F.col("id").cast("string"))).drop("id")
+    return made_once(log.withColumn("changed_at", F.col("changed_at").cast("timestamp")).withColumn("meta", F.create_map(F.lit("event"), F.col("id").cast("string"))).drop("id"))
 
 
 def _engine(spark: SparkSession, **options: bool) -> Engine:

@@ -7,26 +7,19 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import scan
-from ..sources.folders import fresh_folder
 from .base import AT, OBJECT, Registered, image, micros
 from .keeping import SHIFTED, shifted
-from .logs import _engine, _event_id, _events, _halves
+from .logs import _engine, _event_id, _events, _halves, made_once
 
 register = Registered()
 #: A moment within the nine months of the shifted log, and a keyframe's month before it.
 LATE_AT, MONTH_BEFORE, MONTH_EARLIER = "2023-11-20 00:00:00", "2023-11", "2023-09"
 
 
-def written(df: DataFrame) -> DataFrame:
-    path = fresh_folder(df.sparkSession, "rows")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _kept_states(spark: SparkSession, sf_dir: str, late: bool):
     """A log over nine months with two keyframes, the second made from the first; with ``late``, a
     third of the events of all months comes after both."""
-    rows = shifted(spark, sf_dir).withColumn("meta", F.create_map(F.lit("event"), F.col("id").cast("string")))
+    rows = made_once(shifted(spark, sf_dir).withColumn("meta", F.create_map(F.lit("event"), F.col("id").cast("string"))))
     engine = _engine(spark)
     first = F.col("id") % 3 != 2 if late else F.lit(True)
     engine.append_events(rows.where(first).drop("id"))
@@ -85,5 +78,5 @@ def asof_join_hot_object(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = hot_log(spark, sf_dir)
     asked = log.select("object_id", (F.col("changed_at") + F.make_dt_interval(hours=F.lit(1))).alias("at"))
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").cast("string").alias("object_id"), F.lit(AT).cast("timestamp_ntz").alias("at"))
-    found = scan.as_of_join(asked.unionByName(orders), log, "events", written, ranges=32)
+    found = scan.as_of_join(asked.unionByName(orders), log, "events", made_once, ranges=32)
     return found.select("object_id", micros("at").alias("at_us"), "id", F.get_json_object("data", "$.event_type").alias("event_type"))

@@ -17,7 +17,7 @@ from ..streaming.stream import append_stream
 from .base import LOG, NOW, Registered, micros, sql_field
 from .chains import FIELDS, tampered
 from .keeping import SHIFTED, shifted
-from .logs import _engine, _event_id, _events, _halves
+from .logs import _engine, _event_id, _events, _halves, made_once
 
 register = Registered()
 
@@ -33,7 +33,7 @@ def _recursive(sql: str) -> str:
 def _thirds(spark: SparkSession, sf_dir: str, engine: Engine) -> list[dict]:
     """Three batches whose moments all reach over the same nine months, so that events of the
     second and third come late; the roots after each."""
-    rows = shifted(spark, sf_dir).withColumn("meta", F.create_map(F.lit("event"), F.col("id").cast("string")))
+    rows = made_once(shifted(spark, sf_dir).withColumn("meta", F.create_map(F.lit("event"), F.col("id").cast("string"))))
     roots = []
     for turn in range(3):
         engine.append_events(rows.where(F.col("id") % 3 == turn).drop("id"))
