@@ -64,3 +64,24 @@ def test_stretches_go_on_from_each_other(spark, data, fold, rows, monkeypatch):
     assert len(found) == (1 if rows == 1 << 20 else 4)
     assert chain.links(log.limit(0)).count() == 0
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+@pytest.mark.parametrize("name", ["chain_log_anchor_rewritten", "chain_log_tail_truncated", "chain_log_verify_tampered", "chain_tail_truncated", "chain_tip"])
+def test_checks_over_several_stretches(name, spark, data, fold, monkeypatch):
+    """Checks of a chain that several tasks have made, none of which read all rows."""
+    folders = []
+    monkeypatch.setattr(chain, "STRETCH_ROWS", 100)
+    monkeypatch.setattr(chain, "fresh_folder", lambda spark, tag: folders.append(folder := fresh_folder(spark, tag)) or folder)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    found = sorted(tuple(r) for r in __spark_entry__.queries()[name](spark, data).collect())
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    last, n, _, tip = fold[-1]
+    want = {
+        "chain_log_anchor_rewritten": [(last, "expected tip hash changed")],
+        "chain_log_tail_truncated": [(last, "expected tip row is missing"), (last, "tail of the log is missing")],
+        "chain_log_verify_tampered": [(r[0], "row_hash mismatch") for r in fold if r[0] % 10 == 0],
+        "chain_tip": [(last, n, tip)],
+    }
+    assert found == want.get(name, want["chain_log_tail_truncated"])
+    stretches = [r["count"] for r in spark.read.parquet(f"{folders[0]}/links").groupBy("stretch").count().collect()]
+    assert sum(stretches) == n and max(stretches) < n / 2
