@@ -13,6 +13,7 @@ from ..operators.retention import lag_behind
 from ..sources import testlog
 from .asking import ACTOR, _blame, _history, _now
 from .base import NOW, OBJECT, Registered, micros
+from .logs import made_once
 
 register = Registered()
 
@@ -90,7 +91,7 @@ def statement_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM events GROUP BY event_type", log=False)
 def value_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.latency_quantiles(spark.read.parquet(f"{sf_dir}/events.parquet"), "value", "event_type")
+    return metrics.latency_quantiles(spark.read.parquet(f"{sf_dir}/events.parquet"), "value", "event_type", made_once)
 
 
 @register(f"SELECT count(*) AS events, (epoch_us(TIMESTAMP '{NOW}' - INTERVAL 10 DAY) - min(changed_us)) / 1000000 AS seconds_behind, count(DISTINCT strftime(changed_at, '%Y-%m')) AS months, count(DISTINCT object_id) AS objects FROM audit")
