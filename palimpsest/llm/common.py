@@ -144,7 +144,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: The low n bytes of a 64-bit number.
-_LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def mixed(value: np.ndarray) -> np.ndarray:
@@ -181,7 +181,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     number = np.arange(int(parts.sum())) - np.repeat(before, parts)
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
-    value = eight[np.repeat(starts, parts) + 8 * number] & _LOW_BYTES[np.minimum(np.repeat(size, parts) - 8 * number, 8)]
+    value = eight[np.repeat(starts, parts) + 8 * number] & LOW_BYTES[np.minimum(np.repeat(size, parts) - 8 * number, 8)]
     value = mixed(value ^ mixed((number.astype(np.uint64) + np.uint64(1)) * MIX))
     return mixed(np.add.reduceat(value, before) + size.astype(np.uint64) * MIX)
 

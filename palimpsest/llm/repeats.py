@@ -4,14 +4,17 @@ A passage of at least ``LENGTH`` bytes that also stands in an earlier document (
 removed. Two occurrences of it lie in documents that share an anchor: in every stretch of
 ``LENGTH`` bytes the least hash of its short strings is an anchor, wherever the stretch stands.
 Anchors that several documents have are found by fragments of their hash order; the contexts
-around them, long enough for every passage with that anchor, meet by anchor in shards. In a shard
-the distinct contexts, in document order, are indexed by the Burrows-Wheeler transform of their
-text, kept as runs, with the document sampled at the top of each different passage. Every
-context is then streamed against it from right to left: a step extends the match by one byte, and
-a match of ``LENGTH`` bytes names the earliest document that has it. The transform sorts by the
-first ``LENGTH`` bytes, which is all that such matches ask for.
-
-An anchor with more contexts than a shard should hold, as a common phrase in differing
+around them, long enough for every passage with that anchor, meet by anchor in shards. A task
+gathers the contexts of many steps before it deals them to the shards, and a shard is large and
+cuts its anchors into parts when it has them: a row for each step and each index would make rows
+with the square of the input. In a part of a shard the distinct contexts, in document order, are
+indexed by the Burrows-Wheeler transform of their text, kept as runs, with the document sampled at
+the top of each different passage. Every context is then streamed against it from right to left: a
+step extends the match by one byte, and a match of ``LENGTH`` bytes names the earliest document
+that has it. The transform sorts by the first ``LENGTH`` bytes, which is all that such matches ask
+for.
+
+An anchor with more contexts than an index should hold, as a common phrase in differing
 surroundings has, is split: each of its passages of ``LENGTH`` bytes is a context of its own, with
 its own hash for an anchor, so that its passages spread over all shards and only equal ones meet.
 
@@ -36,15 +39,20 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import MIX, byte_slices, distinct_in_rows, join_counted, map_arrow, mixed, string_buffers, written
+from .common import BATCH_BYTES, LOW_BYTES, MIX, byte_slices, distinct_in_rows, join_counted, map_arrow, mixed, string_buffers, written
 from .fragments import DEALT, deal, fragments_for, shared_values, text_bytes
 
 LENGTH, GRAM = 50, 32
 #: Bytes on either side of an anchor's start that a passage with it can reach.
 REACH = LENGTH - GRAM
-#: Bytes of text for an anchor, and bytes of shared text for a shard.
-BYTES_PER_ANCHOR, SHARD_BYTES, STEP = 10, 1 << 20, 2 << 20
+#: Bytes of text for an anchor, of contexts for one anchor, of contexts for an index, and of text for a shard and for a step.
+BYTES_PER_ANCHOR, SHARD_BYTES, INDEX_BYTES, DEALT_BYTES, STEP = 10, 1 << 20, 1 << 17, 4 << 20, 2 << 20
+#: Shards that inputs of so many ``SHARD_BYTES`` at most have; contexts that a task gathers.
+LEAST_SHARDS, GATHERED = 48, 1 << 19
+#: Places that anchors are looked for at once, few enough for a processor's cache.
+BLOCK = 1 << 15
 SEPARATOR = 0xFF
+COLUMNS = ("keys", "rows", "starts", "sizes", "anchor", "bytes")
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -59,25 +67,31 @@ def _sliding(values: np.ndarray, width: int, best) -> np.ndarray:
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
     """Places of all anchors and their hashes."""
-    n = len(data)
-    if n < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h, power, have = data.astype(np.uint64) + np.uint64(1), np.array([_STEP]), 1
-    while have < gram:  # gram is a power of two
-        h = h[:-have] + power * h[have:]
-        power, have = power * power, have * 2
-    h = mixed(h)
-    width = length - gram + 1
-    least = _sliding(h, width, np.minimum)
+    n, width = len(data), length - gram + 1
     valid = np.zeros(n, bool)
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
         if b - a >= length:
             valid[a : b - length + 1] = True
-    least = np.where(valid[: len(least)], least, np.uint64(0))
-    padded = np.concatenate([np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)])
-    most = _sliding(padded, width, np.maximum)[: len(h)]
-    places = np.flatnonzero((most == h) & (h > 0))
-    return places, h[places]
+    places, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for start in range(0, n - gram + 1, BLOCK):
+        low = max(0, start - width + 1)
+        part = data[low : start + BLOCK + length - 1]
+        if len(part) < length:
+            break
+        h, power, have = part.astype(np.uint64) + np.uint64(1), np.array([_STEP]), 1
+        while have < gram:  # gram is a power of two
+            h = h[:-have] + power * h[have:]
+            power, have = power * power, have * 2
+        h = mixed(h)
+        least = _sliding(h, width, np.minimum)
+        least *= valid[low : low + len(least)]
+        padded = np.concatenate([np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)])
+        h = h[start - low : start - low + BLOCK]
+        most = _sliding(padded, width, np.maximum)[start - low : start - low + len(h)]
+        here = np.flatnonzero((most == h) & (h > 0))
+        places.append(here + start)
+        found.append(h[here])
+    return np.concatenate(places), np.concatenate(found)
 
 
 class RunIndex:
@@ -155,10 +169,10 @@ class RunIndex:
                 yield alive, place - begin[alive], self.first_document[np.searchsorted(self.tops, at, side="right") - 1]
 
 
-def _packed_marks(key: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Table:
-    """Marked ranges of each row, merged."""
+def _merged(key: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Marked ranges, in order and merged within each row."""
     if not len(key):
-        return pa.table({"key": pa.array([], pa.int64()), "row": pa.array([], pa.int64()), "marks": pa.array([], pa.binary())})
+        return key, row, start, end
     order = np.lexsort((start, row, key))
     key, row, start, end = key[order], row[order], start[order], end[order]
     other = np.ones(len(key), bool)
@@ -168,11 +182,19 @@ def _packed_marks(key: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.n
     new = np.ones(len(key), bool)
     new[1:] = (number * (1 << 40) + start)[1:] > reach[:-1]
     at = np.flatnonzero(new)
-    stop = np.append(at[1:], len(key)) - 1
-    pair = np.column_stack([start[at], reach[stop] & ((1 << 40) - 1)])
-    first = np.flatnonzero(other[at])
-    at = at[first]
-    return pa.table({"key": pa.array(key[at]), "row": pa.array(row[at]), "marks": pa.array([pair[a:b].astype("<i8").tobytes() for a, b in zip(first.tolist(), [*first[1:].tolist(), len(pair)])], pa.binary())})
+    return key[at], row[at], start[at], reach[np.append(at[1:], len(key)) - 1] & ((1 << 40) - 1)
+
+
+def _packed_marks(key: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Table:
+    """Marked ranges of each row, merged."""
+    key, row, start, end = _merged(key, row, start, end)
+    if not len(key):
+        return pa.table({"key": pa.array([], pa.int64()), "row": pa.array([], pa.int64()), "marks": pa.array([], pa.binary())})
+    other = np.ones(len(key), bool)
+    other[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
+    first = np.flatnonzero(other)
+    pair = np.column_stack([start, end])
+    return pa.table({"key": pa.array(key[first]), "row": pa.array(row[first]), "marks": pa.array([pair[a:b].astype("<i8").tobytes() for a, b in zip(first.tolist(), [*first[1:].tolist(), len(pair)])], pa.binary())})
 
 
 def _settle(hashes: np.ndarray, key: np.ndarray, row: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -224,18 +246,19 @@ def split_anchors(docs: DataFrame, least: int) -> np.ndarray:
     return np.sort(np.array([r["anchor"] for r in found.collect()], np.int64).view(np.uint64))
 
 
-def _contexts(data: np.ndarray, at: np.ndarray, keys: np.ndarray, row: np.ndarray, wanted: list, shards: int, split: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Contexts of shared anchors of a step, by shard; shard -1 has what the step knows itself."""
+def _contexts(data: np.ndarray, at: np.ndarray, keys: np.ndarray, row: np.ndarray, wanted: list, shards: int, split: np.ndarray, waiting: list | None = None, enough: int = 0) -> Iterator[pa.RecordBatch]:
+    """Contexts of shared anchors of a step, by shard; shard -1 has what the step knows itself.
+    Contexts stay in ``waiting`` until it has more than ``enough`` of them."""
     if not any(wanted):
         return
     places, hashes = anchors(data, at)
     doc = np.searchsorted(at, places, side="right") - 1
     spread = mixed(hashes + MIX)
-    bounds = np.searchsorted(doc, np.arange(len(keys) + 1))
-    keep = np.zeros(len(places), bool)
-    for d, own in enumerate(wanted):
-        rows = slice(bounds[d], bounds[d + 1])
-        keep[rows] = np.isin(spread[rows].astype(np.uint32), np.frombuffer(b"".join(own or ()), "<u4"))
+    lists = [np.frombuffer(b"".join(own or ()), "<u4") for own in wanted]
+    of_doc = lambda number, low: number.astype(np.uint64) << np.uint64(32) | low
+    known = np.sort(of_doc(np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.concatenate(lists)))
+    own = of_doc(doc, spread.astype(np.uint32))
+    keep = known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own
     places, doc, spread = places[keep], doc[keep], spread[keep]
     if not len(places):
         return
@@ -249,35 +272,54 @@ def _contexts(data: np.ndarray, at: np.ndarray, keys: np.ndarray, row: np.ndarra
     first, later, again, _ = _settle(context, keys[doc], row[doc], places - at[doc])
     first = np.append(first, again)
     known = _packed_marks(keys[doc[later]], row[doc[later]], (begin - at[doc])[later], (end - at[doc])[later])
-    shard = ((spread[first] >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
-    order = np.argsort(shard, kind="stable")
-    first, shard = first[order], shard[order]
-    cuts = np.flatnonzero(np.diff(shard, prepend=-1))
-    raw = data.tobytes()
-    rows = {c: [] for c in ("keys", "rows", "starts", "sizes", "anchor", "bytes")}
-    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(shard)]):
-        own = first[a:b]
-        rows["keys"].append(keys[doc[own]].astype("<i8").tobytes())
-        rows["rows"].append(row[doc[own]].astype("<i8").tobytes())
-        rows["starts"].append((begin - at[doc])[own].astype("<u4").tobytes())
-        rows["sizes"].append((end - begin)[own].astype("<u1").tobytes())
-        rows["anchor"].append(spread[own].astype("<u4").tobytes())
-        rows["bytes"].append(zlib.compress(b"".join([raw[x:y] for x, y in zip(begin[own].tolist(), end[own].tolist())]), 1))
     if known.num_rows:
         parts = [-1 - int(known.column("key")[0].as_py()) % 65_536] * known.num_rows
         one = lambda c: pa.array([np.int64(k).tobytes() for k in known.column(c).to_pylist()], pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), one("key"), one("row"), known.column("marks").combine_chunks(), *(pa.array([b""] * known.num_rows, pa.binary()) for _ in range(3))], names=["shard", *rows])
-    yield pa.RecordBatch.from_arrays([pa.array(shard[cuts]), *(pa.array(v, pa.binary()) for v in rows.values())], names=["shard", *rows])
+        yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), one("key"), one("row"), known.column("marks").combine_chunks(), *(pa.array([b""] * known.num_rows, pa.binary()) for _ in range(3))], names=["shard", *COLUMNS])
+    raw = data.tobytes()
+    own = doc[first]
+    text = [raw[x:y] for x, y in zip(begin[first].tolist(), end[first].tolist())]
+    waiting = [] if waiting is None else waiting
+    waiting.append((keys[own], row[own], begin[first] - at[own], end[first] - begin[first], spread[first], text))
+    if sum(len(x[-1]) for x in waiting) > enough:
+        yield from _by_shard(waiting, shards)
+
+
+def _by_shard(waiting: list, shards: int) -> Iterator[pa.RecordBatch]:
+    """A row for each shard of the contexts in ``waiting``, which is emptied."""
+    if not waiting:
+        return
+    *columns, text = zip(*waiting)
+    keys, row, start, size, spread = map(np.concatenate, columns)
+    text = [x for own in text for x in own]
+    waiting.clear()
+    shard = ((spread >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    cuts = np.flatnonzero(np.diff(shard[order], prepend=-1))
+    rows, held = {c: [] for c in ("shard", *COLUMNS)}, 0
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)]):
+        own = order[a:b]
+        rows["shard"].append(int(shard[own[0]]))
+        rows["keys"].append(keys[own].astype("<i8").tobytes())
+        rows["rows"].append(row[own].astype("<i8").tobytes())
+        rows["starts"].append(start[own].astype("<u4").tobytes())
+        rows["sizes"].append(size[own].astype("<u1").tobytes())
+        rows["anchor"].append(spread[own].astype("<u4").tobytes())
+        rows["bytes"].append(zlib.compress(b"".join([text[x] for x in own.tolist()]), 1))
+        held += sum(len(x[-1]) for c, x in rows.items() if c != "shard")
+        if held > BATCH_BYTES or b == len(order):
+            yield pa.RecordBatch.from_arrays([pa.array(rows["shard"], pa.int64()), *(pa.array(rows[c], pa.binary()) for c in COLUMNS)], names=["shard", *COLUMNS])
+            rows, held = {c: [] for c in rows}, 0
 
 
 def context_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hashes of spans of at most LENGTH + REACH bytes, which may overlap."""
-    out = np.zeros(len(begin), np.uint64)
-    for j in range(LENGTH + REACH):
-        inside = begin + j < end
-        value = data[np.minimum(begin + j, len(data) - 1)].astype(np.uint64) + np.uint64(1)
-        out = out * _STEP + np.where(inside, value, np.uint64(0))
-    return mixed(out + (end - begin).astype(np.uint64) * MIX)
+    eight = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    out = (end - begin).astype(np.uint64) * MIX
+    for j in range(0, LENGTH + REACH, 8):
+        out = (out ^ (eight[np.minimum(begin + j, len(data))] & LOW_BYTES[np.clip(end - begin - j, 0, 8)])) * _STEP
+        out ^= out >> np.uint64(32)
+    return mixed(out)
 
 
 def _index_shard(table: pa.Table) -> pa.Table:
@@ -295,31 +337,42 @@ def _index_shard(table: pa.Table) -> pa.Table:
     used = np.flatnonzero(variants[same] > 1)  # an anchor with one context has nothing to be held against
     if not len(used):
         return _packed_marks(*marked[0])
-    used = used[np.lexsort((starts[first[used]], row[first[used]], keys[first[used]]))]
-    first = first[used]
-    size = sizes[first]
-    text = np.full(int(size.sum()) + len(first), SEPARATOR, np.uint8)
+    parts = np.uint64(int(sizes[first[used]].sum()) // INDEX_BYTES + 1)
+    part = anchor[used].astype(np.uint64) * parts >> np.uint64(32)
+    order = np.lexsort((starts[first[used]], row[first[used]], keys[first[used]], part))
+    used, cuts = used[order], np.flatnonzero(np.diff(part[order].astype(np.int64), prepend=-1)).tolist()
+    # Further occurrences in the same document have the same passages.
+    place = np.full(len(first), -1)
+    place[used] = np.arange(len(used))
+    number = place[number]
+    again, number = again[number >= 0], number[number >= 0]
+    for a, b in zip(cuts, [*cuts[1:], len(used)]):
+        own = first[used[a:b]]
+        pattern, offset = _repeated(data, (end - sizes)[own], sizes[own], keys[own])
+        marked.append(_merged(keys[own[pattern]], row[own[pattern]], starts[own[pattern]] + offset, starts[own[pattern]] + offset + LENGTH))
+        here = (number >= a) & (number < b)
+        others, which = again[here], number[here] - a
+        by = np.argsort(pattern, kind="stable")
+        low, high = np.searchsorted(pattern[by], which), np.searchsorted(pattern[by], which, side="right")
+        which = np.repeat(low, high - low) + np.arange(int((high - low).sum())) - np.repeat(np.cumsum(high - low) - (high - low), high - low)
+        others, offset = np.repeat(others, high - low), offset[by][which]
+        marked.append(_merged(keys[others], row[others], starts[others] + offset, starts[others] + offset + LENGTH))
+    return _packed_marks(*(np.concatenate(x) for x in zip(*marked)))
+
+
+def _repeated(data: np.ndarray, at: np.ndarray, size: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts, in document order, and offsets of their passages that an earlier document has."""
+    text = np.full(int(size.sum()) + len(size), SEPARATOR, np.uint8)
     begin = np.cumsum(size + 1) - size - 1
     within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-    text[np.repeat(begin, size) + within] = data[np.repeat((end - sizes)[first], size) + within]
-    index = RunIndex(text, np.repeat(keys[first], size + 1), LENGTH)
+    text[np.repeat(begin, size) + within] = data[np.repeat(at, size) + within]
+    index = RunIndex(text, np.repeat(keys, size + 1), LENGTH)
     patterns, offsets = [], []
     for pattern, offset, document in index.first_documents(text, begin, begin + size, LENGTH):
-        hit = document < keys[first[pattern]]
+        hit = document < keys[pattern]
         patterns.append(pattern[hit])
         offsets.append(offset[hit])
-    pattern, offset = np.concatenate(patterns), np.concatenate(offsets)
-    marked.append((keys[first[pattern]], row[first[pattern]], starts[first[pattern]] + offset, starts[first[pattern]] + offset + LENGTH))
-    # Further occurrences in the same document have the same passages.
-    place = np.full(len(variants[same]), -1)
-    place[used] = np.arange(len(used))
-    again, number = again[place[number] >= 0], place[number[place[number] >= 0]]
-    by = np.argsort(pattern, kind="stable")
-    low, high = np.searchsorted(pattern[by], number), np.searchsorted(pattern[by], number, side="right")
-    which = np.repeat(low, high - low) + np.arange(int((high - low).sum())) - np.repeat(np.cumsum(high - low) - (high - low), high - low)
-    own, offset = np.repeat(again, high - low), offset[by][which]
-    marked.append((keys[own], row[own], starts[own] + offset, starts[own] + offset + LENGTH))
-    return _packed_marks(*(np.concatenate(x) for x in zip(*marked)))
+    return np.concatenate(patterns), np.concatenate(offsets)
 
 
 def _rows(df: DataFrame, text: str, key: str) -> DataFrame:
@@ -333,7 +386,7 @@ def repeated_passages(rows: DataFrame) -> DataFrame:
     and end bytes), null for a whole text."""
     docs = rows.where(F.col("id").isNotNull() & (F.octet_length("_text") >= LENGTH))
     total = text_bytes(docs, "_text")
-    fragments, shards = fragments_for(total / BYTES_PER_ANCHOR), max(8, total // SHARD_BYTES)
+    fragments, shards = fragments_for(total / BYTES_PER_ANCHOR), max(8, min(LEAST_SHARDS, total // SHARD_BYTES), total // DEALT_BYTES)
     split = rows.sparkSession.sparkContext.broadcast(split_anchors(docs, SHARD_BYTES // (LENGTH + REACH)))
     digests = written(docs.select("id", "row", F.md5(F.col("_text").cast("binary")).alias("digest")), "digests")
     first = written(digests.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("members")).where("members > 1"), "first")
@@ -347,8 +400,10 @@ def repeated_passages(rows: DataFrame) -> DataFrame:
             yield from deal(part.column("row").to_numpy(), bounds, values, fragments, True)
 
     def deal_contexts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list = []
         for part in byte_slices(batches, "_text", STEP):
-            yield from _contexts(*string_buffers(part.column("_text")), pc.fill_null(part.column("id"), 0).to_numpy(), part.column("row").to_numpy(), part.column("wanted").to_pylist(), shards, split.value)
+            yield from _contexts(*string_buffers(part.column("_text")), pc.fill_null(part.column("id"), 0).to_numpy(), part.column("row").to_numpy(), part.column("wanted").to_pylist(), shards, split.value, waiting, GATHERED)
+        yield from _by_shard(waiting, shards)
 
     shared = shared_values(map_arrow(docs, deal_anchors, DEALT), fragments, True)
     shared = shared.groupBy(F.col("key").alias("row")).agg(F.collect_list("shared").alias("wanted"))
